@@ -1,5 +1,11 @@
 """Operators for preparing language-model training data.
 
-Nothing else in the library imports this subpackage.  Python functions of these modules run on the
-executors, so the package has to be on their path (``--py-files`` or an installed wheel).
+Nothing else in the library imports this subpackage.  Its functions are shipped to the executors by value, so
+they need no copy of the package there.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
