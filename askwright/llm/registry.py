@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "sharding", "url_filter", "decontaminate", "quality", "toxicity")
+MODULES = ("exact_dedup", "sharding", "url_filter", "decontaminate", "quality", "toxicity", "packing")
 
 
 def queries() -> dict:

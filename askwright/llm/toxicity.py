@@ -3,7 +3,7 @@
 Tokens are runs between white space, lower-cased; a token's features are its character 4-grams and 5-grams and, when shorter, the
 token itself.  Token labels come from document labels of a bounded sample: a feature is evidence when it occurs in
 toxic documents and (almost) never in others, and a token of a toxic document that holds evidence is toxic.  The
-field (two tags, transitions, one weight a feature) is fitted by gradient ascent on windows of tokens, with
+field (two tags, transitions, one weight for each feature that is evidence) is fitted by gradient ascent on windows of tokens, with
 forward-backward marginals.  Weights near zero are dropped.
 
 Scoring finds the remaining features by one Aho-Corasick pass over the whole text.  Between tokens with a feature all
@@ -85,8 +85,11 @@ class ToxicField:
         self.curve = logistic(scored, sample.labels[last], sample.rates)
 
     @staticmethod
-    def _evidence(fit: list[tuple[list[str], int]], least: int = 3, ratio: float = 30.0) -> set[str]:
-        """Features whose rate among toxic documents is ``ratio`` times that among others, smoothed by one half."""
+    def _evidence(fit: list[tuple[list[str], int]], least: float = 0.006, ratio: float = 30.0) -> set[str]:
+        """Features in 3 and in ``least`` of the toxic documents whose rate there is ``ratio`` times that among others.
+
+        Rates are smoothed by one half; of fewer than 200 toxic documents a smaller ratio is asked.
+        """
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         n = [0, 0]
         for tokens, y in fit:
@@ -94,10 +97,10 @@ class ToxicField:
             n[y] += 1
         if not all(n):
             return set()
-        return {f for f, c in seen[1].items() if c >= least and (c + 0.5) / (n[1] + 1) >= ratio * (seen[0][f] + 0.5) / (n[0] + 1) * min(1.0, n[1] / 200) ** 0.5}
+        return {f for f, c in seen[1].items() if c >= max(3, least * n[1]) and (c + 0.5) / (n[1] + 1) >= ratio * (seen[0][f] + 0.5) / (n[0] + 1) * min(1.0, n[1] / 200) ** 0.5}
 
     def _train(self, fit, seeds, width, windows, rounds, rng) -> None:
-        rows, tags, counts = [], [], Counter()
+        rows, tags = [], []
         for tokens, y in fit:
             if not tokens:
                 continue
@@ -108,9 +111,7 @@ class ToxicField:
                 tags.append([int(y == 1 and not seeds.isdisjoint(_features(t))) for t in rows[-1]])
         pick = rng.permutation(len(rows))[:windows]
         rows, tags = [rows[i] for i in pick], [tags[i] for i in pick]
-        for r in rows:
-            counts.update(f for t in r for f in _features(t))
-        names = sorted(seeds | {f for f, c in counts.items() if c >= 20})
+        names = sorted(seeds)
         index = {f: i for i, f in enumerate(names)}
         y = np.zeros((len(rows), width))
         real = np.zeros((len(rows), width), bool)
@@ -136,11 +137,11 @@ class ToxicField:
             p, pairs = _forward_backward(e, trans, self.start)
             pairs[0, 0] -= pad  # pairs that end in the padding
             miss = np.where(real, y - p, 0.0)
-            grads = [np.bincount(which, miss.ravel()[at], minlength=len(w)) - 0.1 * w, miss.sum() - 0.01 * bias, told - pairs - 0.1 * trans]
+            grads = [np.bincount(which, miss.ravel()[at], minlength=len(w)) - 0.5 * w, miss.sum() - 0.01 * bias, told - pairs - 0.1 * trans]
             for k, g in enumerate(grads):
                 sums[k] = sums[k] + g * g
             w, bias, trans = w + 0.5 * grads[0] / np.sqrt(sums[0]), bias + 0.5 * grads[1] / np.sqrt(sums[1]), trans + 0.2 * grads[2] / np.sqrt(sums[2])
-        keep = np.abs(w) > 0.25 * max(np.abs(w).max(), 1e-9)
+        keep = np.abs(w) > 0.5
         self.weights = {f: float(x) for f, x, k in zip(names, w, keep, strict=True) if k}
         self.bias, self.trans = float(bias), trans
 
