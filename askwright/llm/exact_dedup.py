@@ -84,8 +84,8 @@ def repeat_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_cell
     return bits, cells
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, narrow: bool = False, bits_per_row: int = 16, max_cells: int = 1 << 29) -> DataFrame:
-    """``docs`` with keep_id, group_size, kept and text_sha256 for each row.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, narrow: bool = False, least: bool = False, bits_per_row: int = 16, max_cells: int = 1 << 29) -> DataFrame:
+    """``docs`` with keep_id, group_size, kept and text_sha256 for each row; the largest id stays, or the ``least``.
 
     ``narrow`` keeps only the id and first writes ids and digests to the shared folder, so that texts are read
     once; without it all columns pass through, and of the texts only the possibly repeated ones are shuffled.
@@ -109,7 +109,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     flagged = keyed.withColumn(_FLAG, met_twice(F.col(_HASH)))
     alone = flagged.where(~F.col(_FLAG)).select(*names, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex(_SHA)).alias("text_sha256"))
     maybe = settle(flagged.where(F.col(_FLAG)).select(*names, _SHA).withColumn(_ROW, F.monotonically_increasing_id()), "possibly-repeated")
-    groups = settle(maybe.groupBy(_SHA).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct(F.col(id_col).alias("keep_id"), F.col(_ROW).alias("row"))).alias(_TOP)), "groups")
+    groups = settle(maybe.groupBy(_SHA).agg(F.count(F.lit(1)).alias("group_size"), (F.min if least else F.max)(F.struct(F.col(id_col).alias("keep_id"), F.col(_ROW).alias("row"))).alias(_TOP)), "groups")
     told = maybe.join(groups, _SHA).select(*[maybe[c] for c in names], F.col(f"{_TOP}.keep_id").alias("keep_id"), "group_size", (F.col(f"{_TOP}.row") == F.col(_ROW)).alias("kept"), F.lower(F.hex(_SHA)).alias("text_sha256"))
     return alone.unionByName(told)
 
