@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,25 @@ def settle(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_process(name: str, build: Callable):
+    """One object for a Python process, kept between tasks: tables whose content follows from their keys alone."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_askwright_process", types.ModuleType("_askwright_process"))
+    if not hasattr(held, name):
+        setattr(held, name, build())
+    return getattr(held, name)
+
+
+def portions(batches: Iterator[pd.DataFrame], column: str = "text", limit: int = 2 << 20) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in portions of about ``limit`` characters, one row at least."""
+    for batch in batches:
+        size = batch[column].str.len().to_numpy().cumsum()
+        for _, part in batch.groupby((size - 1) // limit if len(batch) else size, sort=True):
+            yield part
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
