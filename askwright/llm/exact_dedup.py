@@ -15,7 +15,7 @@ other; of rows with equal text *and* id exactly one is kept; extra columns stay
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,16 +84,17 @@ def repeat_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_cell
     return bits, cells
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, narrow: bool = False, least: bool = False, bits_per_row: int = 16, max_cells: int = 1 << 29) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, narrow: Sequence[str] | None = None, least: bool = False, bits_per_row: int = 16, max_cells: int = 1 << 29) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 for each row; the largest id stays, or the ``least``.
 
-    ``narrow`` keeps only the id and first writes ids and digests to the shared folder, so that texts are read
-    once; without it all columns pass through, and of the texts only the possibly repeated ones are shuffled.
+    ``narrow`` names columns to keep (the id and other short ones); they are first written with their digests to the shared
+    folder, so that texts are read once.  Without it all columns pass through, and of the texts only the possibly repeated ones are
+    shuffled.
     """
     spark = docs.sparkSession
     text = ascii_lower(F.coalesce(docs[text_col], F.lit(""))) if key is None else key
-    columns = [docs[id_col]] if narrow else [docs[c] for c in docs.columns]
-    names = [id_col] if narrow else list(docs.columns)
+    names = list(narrow) if narrow else list(docs.columns)
+    columns = [docs[c] for c in names]
     keyed = docs.select(*columns, F.unhex(F.sha2(text.cast("binary"), 256)).alias(_SHA), F.xxhash64(text).alias(_HASH))
     if narrow:
         keyed = settle(keyed, "digests")
@@ -124,7 +125,7 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), narrow=True)
+    return exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), narrow=["doc_id"])
 
 
 ORACLE = {

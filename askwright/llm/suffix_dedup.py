@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import per_process, portions, settle, table
 from .exact_dedup import exact_duplicates
 
 SPAN, GRAM = 50, 26
@@ -177,9 +177,9 @@ def _bytes(text) -> np.ndarray:
     return np.frombuffer(text if isinstance(text, (bytes, bytearray)) else text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _send_anchors(bits: int, flush: int = 1 << 21):
+def _send_anchors(bits: int, flush: int = 1 << 20):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, codes, ids, held = Powers(), [], [], 0
+        powers, codes, ids, held = per_process("powers", Powers), [], [], 0
 
         def out() -> pd.DataFrame:
             code, order = np.concatenate(codes), np.concatenate(ids)
@@ -190,8 +190,9 @@ def _send_anchors(bits: int, flush: int = 1 << 21):
                 rows.append((b, _squeeze((code[s:e] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.diff(order[s:e], prepend=np.int64(0)))))
             return pd.DataFrame(rows, columns=["bucket", "blob"])
 
-        for batch in batches:
-            for order, text in zip(batch["ord"], batch["text"], strict=True):
+        for batch in portions(batches, limit=8 << 20):
+            # of equal texts one is sent: the others are copies of it or of a text with a still smaller id
+            for order, text in batch.sort_values("ord", kind="stable")[["ord", "text"]].drop_duplicates("text").itertuples(index=False):
                 data = _bytes(text)
                 if len(data) < SPAN:
                     continue
@@ -244,7 +245,7 @@ class Chunk:
         order, code, many = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
         by = np.lexsort((code, order))
         order, code, many = order[by], code[by], many[by]
-        powers = Powers()
+        powers = per_process("powers", Powers)
         self.data: list[np.ndarray] = []
         self.runs: list[tuple[np.ndarray, ...]] = []  # start, windows and content of each run, by document
         self.index: dict[tuple[int, bytes], int] = {}
@@ -297,11 +298,19 @@ class Chunk:
             yield b, order[s:e]
 
 
+def _own(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """The documents without the copies: rows of kind 2 name them by id and hash of the text."""
+    copies = set(zip(told["ord"][told["kind"] == 2], told["bucket"][told["kind"] == 2], strict=True))
+    if not copies:
+        return docs
+    return docs[[k not in copies for k in zip(docs["ord"], docs["mark"], strict=True)]]
+
+
 def _send_runs(bits: int):
     def run(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        if len(docs) and len(told):
-            chunk = Chunk(docs, list(told["blob"]), bits)
+        if len(docs) and (told["kind"] == 0).any():
+            chunk = Chunk(_own(docs, told), list(told["blob"][told["kind"] == 0]), bits)
             contents = list(chunk.index)
             for b, which in chunk.sent():
                 keys = [contents[c] for c in which]
@@ -323,7 +332,7 @@ def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
     start = offset[of] + k
     place = rel[of].astype(np.int64) - k  # of the anchor in the window
     names, which = np.unique(anchor, return_inverse=True)
-    order, new = suffix_classes(data, start, which[of] * SPAN + place, Powers())
+    order, new = suffix_classes(data, start, which[of] * SPAN + place, per_process("powers", Powers))
     first = np.flatnonzero(new)
     owner = np.empty(len(order), np.int64)
     owner[order] = np.repeat(np.minimum.reduceat(least[of][order], first), np.diff(np.append(first, len(order))))
@@ -335,7 +344,7 @@ def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
 
 def _cut(bits: int):
     def run(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(docs, list(told["blob"][told["kind"] == 0]), bits)
+        chunk = Chunk(_own(docs, told), list(told["blob"][told["kind"] == 0]), bits)
         answers = {b: np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x)), np.uint8)) for b, x in zip(told["bucket"][told["kind"] == 1], told["blob"][told["kind"] == 1], strict=True)}
         size = np.array([len(k[1]) - SPAN + 1 for k in chunk.index], np.int64)
         first = np.zeros(len(size), np.int64)  # of each content's bits in the row below
@@ -375,17 +384,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = int(total / chunk_bytes) | 1
     while any(chunks % d == 0 for d in range(3, int(chunks**0.5) + 1, 2)):
         chunks += 2  # a prime, so ids in steps are dealt evenly
-    told = exact_duplicates(texts, key=F.col("text"), least=True)
-    copies = told.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text_sha256")
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE_FIRST))
+    chunk = F.pmod(order, F.lit(chunks))
+    texts = texts.select("doc_id", order.alias("ord"), F.xxhash64("text").alias("mark"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    told = exact_duplicates(texts, key=F.col("text"), narrow=["doc_id", "ord", "mark", "n_bytes"], least=True)
+    copies = settle(told.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("keep_id", "group_size", "kept"), "copies")
+    named = copies.select(F.pmod("ord", F.lit(chunks)).alias("chunk"), F.lit(2).alias("kind"), F.col("mark").alias("bucket"), F.lit(None).cast("binary").alias("blob"), "ord").distinct()
     removed = F.col("n_bytes") >= SPAN
     copies = copies.select("doc_id", "n_bytes", F.when(removed, F.col("n_bytes")).otherwise(F.lit(0)).alias("n_removed"), removed.cast("long").alias("n_spans"), F.when(removed, F.lit(sha256(b"").hexdigest())).otherwise(F.col("text_sha256")).alias("kept_sha256"))
-    own = told.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE_FIRST)).alias("ord"), "text")
-    chunked = own.withColumn("chunk", F.pmod("ord", F.lit(chunks))).groupBy("chunk")
-    blobs = own.select("ord", "text").mapInPandas(_send_anchors(bits), "bucket long, blob binary")
+    chunked = texts.select("doc_id", "ord", "mark", "text", chunk.alias("chunk")).groupBy("chunk")
+    blobs = texts.select("ord", "text").mapInPandas(_send_anchors(bits), "bucket long, blob binary")
     repeated = settle(blobs.groupBy("bucket").applyInPandas(_repeated_anchors(chunks, hot), "chunk long, kind int, bucket long, blob binary"), "anchors")
+    repeated = repeated.withColumn("ord", F.lit(None).cast("long")).unionByName(named)
     runs = chunked.cogroup(repeated.groupBy("chunk")).applyInPandas(_send_runs(bits), "bucket long, chunk long, blob binary")
     answers = settle(runs.groupBy("bucket").applyInPandas(_sort_bucket, "chunk long, kind int, bucket long, blob binary"), "answers")
-    cut = chunked.cogroup(repeated.unionByName(answers).groupBy("chunk")).applyInPandas(_cut(bits), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = chunked.cogroup(repeated.unionByName(answers.withColumn("ord", F.lit(None).cast("long"))).groupBy("chunk")).applyInPandas(_cut(bits), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return cut.unionByName(copies)
 
 
