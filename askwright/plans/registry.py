@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "text_queries")
 
 
 def queries() -> dict:
