@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,12 +69,24 @@ def per_process(name: str, build: Callable):
     return getattr(held, name)
 
 
-def portions(batches: Iterator[pd.DataFrame], column: str = "text", limit: int = 2 << 20) -> Iterator[pd.DataFrame]:
-    """The rows of the batches in portions of about ``limit`` characters, one row at least."""
+def release() -> None:
+    """Give free memory of this Python process back: Spark keeps the process for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def portions(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about ``limit`` bytes of text, one row at least."""
     for batch in batches:
-        size = batch[column].str.len().to_numpy().cumsum()
-        for _, part in batch.groupby((size - 1) // limit if len(batch) else size, sort=True):
-            yield part
+        size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = (np.flatnonzero(np.diff((size - 1) // limit)) + 1).tolist()
+        for a, b in zip([0, *cut], [*cut, len(size)], strict=True) if len(size) else ():
+            yield batch.slice(a, b - a)
 
 
 def ascii_lower(column: Column) -> Column:

@@ -20,13 +20,17 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import per_process, portions, release, settle, table
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -171,51 +175,100 @@ class Lookup:
 class WordCache(dict):
     """Bytes of the little-endian 32-bit ids of a run of characters without blanks and newlines.
 
-    The tokenizer splits at white space before anything else, so the ids of a text are those of its runs in turn.
+    The tokenizer splits at white space before anything else, so the ids of a text are those of its runs in turn.  It also
+    lower-cases and splits between a letter or digit and the punctuation after it, so A-Z are lower-cased here, and a run with such
+    a tail is put together from its two parts.  Beyond ``limit`` runs the cache starts anew.
     """
 
-    def __init__(self, tokenizer, limit: int = 400_000):
+    TAIL = ".,;:!?%$&*#|"
+
+    def __init__(self, tokenizer, limit: int = 500_000):
         super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
 
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= self.limit:
+    def _cut(self, run: str) -> int:
+        """Where the tail begins; the length of the run if there is none to cut."""
+        n = len(run.rstrip(self.TAIL))
+        return n if 0 < n < len(run) and (run[n - 1].isalpha() or run[n - 1] in "0123456789") else len(run)
+
+    def _encode(self, runs: list[str]) -> None:
+        """Runs not met before, a thousand a time; token offsets tell them apart."""
+        for i in range(0, len(runs), 1000):
+            part = runs[i : i + 1000]
+            got = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
+            data = np.array(got.ids, "<u4").tobytes()
+            begin = np.array([b for b, _ in got.offsets], np.int64)
+            at = (4 * np.searchsorted(begin, np.cumsum([0, *(len(r) + 1 for r in part)]))).tolist()
+            self.update((r, data[s:e]) for r, s, e in zip(part, at, at[1:], strict=False))
+
+    def ids(self, runs: list[str]) -> list[bytes]:
+        """The bytes of each of the distinct ``runs``."""
+        if len(self) > self.limit:
             self.clear()
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids if run else []
-        got = np.array(ids, "<u4").tobytes()
-        if len(run) <= 200:  # longer runs hardly come again
-            self[run] = got
+        self[""] = b""
+        got = list(map(self.get, runs))
+        at = list(compress(range(len(runs)), map(is_, got, repeat(None))))
+        unknown = [runs[i] for i in at]
+        cuts = [self._cut(r) for r in unknown]
+        parts = [(r, n) for r, n in zip(unknown, cuts, strict=True) if n < len(r)]
+        whole = {r for r, n in zip(unknown, cuts, strict=True) if n == len(r)}.union(chain.from_iterable((r[:n], r[n:]) for r, n in parts))
+        self._encode(list(whole.difference(self)))
+        self.update((r, self[r[:n]] + self[r[n:]]) for r, n in parts)
+        for i in at:
+            got[i] = self[runs[i]]
         return got
 
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text.  Arrow cuts a portion of texts into runs and numbers the distinct ones."""
+        plain = pc.invert(pc.match_substring(texts, "<|"))  # a special token's string is one in small letters only
+        low = pc.if_else(plain, pc.ascii_lower(texts), texts)
+        lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        numbered = lists.flatten().dictionary_encode()
+        found = self.ids(numbered.dictionary.to_pylist())
+        which = numbered.indices.to_numpy()
+        data = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        many = size[which]
+        end = np.cumsum(lists.value_lengths().to_numpy())
+        for a, b in zip([0, *end[:-1]], end, strict=True):
+            yield data[_ranges(first[which[a:b]], many[a:b])]
+
+
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... many[0] of them, then those from first[1], and so on."""
+    end = np.cumsum(many)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + many, many)
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, and its part and rank for the plan."""
-    end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
-    id_type = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
+    end = np.array([end_id], "<u4")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        cache = WordCache(Tokenizer.from_str(tokenizer_json))
+        cache = per_process(f"runs_{zlib.crc32(tokenizer_json.encode())}", lambda: WordCache(Tokenizer.from_str(tokenizer_json)))
         part, ranks = TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for some in portions(batches, 8 << 20):
             rows = []
-            for i, text in enumerate(batch["text"]):
-                data = cache.text(text) + end
-                for p in range(0, len(data), width):
-                    piece = data[p : p + width]
-                    n = len(piece) // 4
-                    rows.append((i, p // width, p // 4, n, zlib.crc32(piece), ranks[n]))
-                    ranks[n] += 1
-            at, piece, start, length, crc, rank = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pd.DataFrame({"doc_id": batch["id"].take(list(at)).to_numpy(), "piece": piece, "start": start, "length": length, "ids_crc32": crc, "part": part, "rank": rank})
+            for i, ids in enumerate(cache.texts(some.column("text"))):
+                ids = np.concatenate([ids, end])
+                for p, at in enumerate(range(0, len(ids), capacity)):
+                    piece = ids[at : at + capacity]
+                    rows.append((i, p, at, len(piece), zlib.crc32(piece.tobytes()), part, ranks[len(piece)]))
+                    ranks[len(piece)] += 1
+            row, *rest = zip(*rows, strict=True)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        release()
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return texts.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, **columns) -> DataFrame:
