@@ -20,21 +20,20 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from hashlib import blake2b
 from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, held_out, per_process, portions, scratch, settle, table
+from .common import LOWER_BYTES, held_out, per_process, portions, release, scratch, settle, table
 from .elias_fano import Sequence, map_arrays, monotone, write_arrays
 
+PORTION = 4 << 20  # bytes of text worked on at once
 STEP = 8 / 255  # of the log10 scale of one byte
-END = b"\n"  # no word holds white space
-
 
 def _code(p: np.ndarray) -> np.ndarray:
     """log10 of p as one byte, rounded down in probability; the least code that stands for p = 0 is 255."""
@@ -46,31 +45,52 @@ def _decode(code: np.ndarray) -> np.ndarray:
     return np.where(code == 255, 0.0, 10 ** (-STEP * code.astype(np.float64)))
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) < 100:
-            self[word] = h
-        return h
-
-
-class Tokens:
-    """Batches of texts as one array of word hashes, an end token after each text."""
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, as many as were needed so far."""
 
     def __init__(self) -> None:
-        self.hashes = WordHash()
-
-    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, number of tokens of each text)."""
-        words, sizes = [], []
-        for t in texts:
-            w = (t if isinstance(t, (bytes, bytearray)) else t.encode("utf-8", "surrogatepass")).translate(LOWER_BYTES).split()
-            w.append(END)
-            sizes.append(len(w))
-            words.append(np.fromiter(map(self.hashes.__getitem__, w), np.uint64, len(w)))
-        return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << max(16, n.bit_length())
+            for name, base in (("up", 0x9E3779B97F4A7C15), ("down", pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x))
+
+
+_LOWER = np.frombuffer(LOWER_BYTES, np.uint8).astype(np.uint64) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Stands for the end of a text; words hash elsewhere but by chance.
+END = np.uint64(0xE7037ED1A0B428DB)
+
+
+def token_hashes(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words and an end of each text, number of tokens of each text), from the bytes of all texts at once."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    powers.upto(len(data) + 1)
+    inside = ~_SPACE[data]
+    text_start = np.zeros(len(data) + 1, bool)
+    text_start[offsets] = True
+    before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
+    after = np.concatenate([inside[1:], [False]]) if len(data) else inside
+    begin = np.flatnonzero(inside & (~before | text_start[:-1]))
+    end = np.flatnonzero(inside & (~after | text_start[1:])) + 1
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWER[data] * powers.up[: len(data)], out=prefix[1:])
+    h = (prefix[end] - prefix[begin]) * powers.down[begin]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    words = np.diff(np.searchsorted(begin, offsets))
+    out = np.full(len(h) + len(words), END)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(words)), words)] = h
+    return out, words + 1
 
 
 class Model:
@@ -132,8 +152,9 @@ class Model:
                 continue
             left[at] = _decode(level["left"][context[at]])
             unique, back = np.unique(context[at], return_inverse=True)
-            lo = level["pointers"].value(unique)[back]
-            many = level["pointers"].value(unique + 1)[back] - lo
+            both = level["pointers"].value(np.concatenate([unique, unique + 1]))
+            lo = both[: len(unique)][back]
+            many = both[len(unique) :][back] - lo
             some = np.flatnonzero((many > 0) & (word[at] >= 0))
             at, lo, many = at[some], lo[some], many[some]
             i = level["items"].find(*_scaled(word[at], lo, many, self.distinct, level["items"].width))
@@ -160,7 +181,7 @@ def contexts(model: Model, hashes: np.ndarray, sizes: np.ndarray, upto: int):
     ids, shard, count = model.words(hashes)
     begin = np.zeros(len(ids), bool)
     begin[np.cumsum(sizes) - sizes] = True
-    end_id, end_shard, _ = model.words(np.array([WordHash()[END]], np.uint64))
+    end_id, end_shard, _ = model.words(np.array([END], np.uint64))
     context = np.concatenate([[-1], ids[:-1]]) if len(ids) else ids
     at = np.concatenate([[0], shard[:-1]]) if len(ids) else shard
     context, at = np.where(begin, end_id[0], context), np.where(begin, end_shard[0], at)  # a text starts after an end
@@ -198,28 +219,35 @@ def _add_up(blobs) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _send(shard: np.ndarray, key: np.ndarray) -> pd.DataFrame:
-    by = np.lexsort((key, shard))
+def _send(shard: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    by = np.argsort(shard.astype(np.int16), kind="stable")
     shard, key = shard[by], key[by]
-    first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (key[1:] != key[:-1])]))
-    count, shard, key = np.diff(np.append(first, len(key))), shard[first], key[first]
-    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    return pd.DataFrame([(int(shard[a]), _pack(key[a:b], count[a:b])) for a, b in zip(cut, [*cut[1:], len(key)], strict=True)], columns=["shard", "blob"])
+    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
+    blobs = []
+    for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
+        k = np.sort(key[a:b])
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        blobs.append(_pack(k[first], np.diff(np.append(first, len(k)))))
+    return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int64)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
 
 def _count_words(bits: int, flush: int = 1 << 21):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, held, n = per_process("lm_tokens", Tokens), [], 0
-        for part in portions(batches):
-            held.append(tokens(part["text"])[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, held, n = per_process("lm_powers", Powers), [], 0
+
+        def out() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            return _send((h >> np.uint64(64 - bits)).astype(np.int64), h & np.uint64((1 << (64 - bits)) - 1))
+
+        for part in portions(batches, PORTION):
+            held.append(token_hashes(part.column("text"), powers)[0])
             n += len(held[-1])
             if n >= flush:
-                h = np.concatenate(held)
-                yield _send((h >> np.uint64(64 - bits)).astype(np.int64), h & np.uint64((1 << (64 - bits)) - 1))
+                yield out()
                 held, n = [], 0
         if n:
-            h = np.concatenate(held)
-            yield _send((h >> np.uint64(64 - bits)).astype(np.int64), h & np.uint64((1 << (64 - bits)) - 1))
+            yield out()
+        release()
 
     return run
 
@@ -238,10 +266,10 @@ def _write_words(folder: str, bits: int):
 
 
 def _count_grams(model: Model, k: int, flush: int = 1 << 20):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, shards, keys, n = per_process("lm_tokens", Tokens), [], [], 0
-        for part in portions(batches):
-            hashes, sizes = tokens(part["text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, shards, keys, n = per_process("lm_powers", Powers), [], [], 0
+        for part in portions(batches, PORTION):
+            hashes, sizes = token_hashes(part.column("text"), powers)
             ids, _, at, context, _ = contexts(model, hashes, sizes, k)
             of = np.flatnonzero((context >= 0) & (ids >= 0))
             shards.append(at[of])
@@ -252,6 +280,7 @@ def _count_grams(model: Model, k: int, flush: int = 1 << 20):
                 shards, keys, n = [], [], 0
         if n:
             yield _send(np.concatenate(shards), np.concatenate(keys))
+        release()
 
     return run
 
@@ -285,7 +314,7 @@ def _write_grams(model: Model, k: int, min_count: int):
 _STATS = "shard long, n long, total long, once long, twice long, bytes long"
 
 
-def fit(docs: DataFrame, order: int = 3, min_count: int = 2, shard_bytes: int = 8 << 20, max_shards: int = 4096, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, order: int = 3, min_count: int = 2, shard_bytes: int = 32 << 20, max_shards: int = 4096, text_col: str = "text") -> Model:
     """The model of ``docs``.  The driver gets a row of sums for each shard, never n-grams."""
     spark = docs.sparkSession
     place = urlparse(scratch(spark, "lm"))
@@ -294,14 +323,14 @@ def fit(docs: DataFrame, order: int = 3, min_count: int = 2, shard_bytes: int =
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(max(int(total // shard_bytes).bit_length(), 2), max_shards.bit_length() - 1)
-    stats = settle(texts.mapInPandas(_count_words(bits), "shard long, blob binary").groupBy("shard").applyInPandas(_write_words(place.path, bits), _STATS), "lm-words")
+    stats = settle(texts.mapInArrow(_count_words(bits), "shard long, blob binary").groupBy("shard").applyInPandas(_write_words(place.path, bits), _STATS), "lm-words")
     rows = {r["shard"]: r for r in stats.collect()}
     sizes = np.array([rows[s]["n"] if s in rows else 0 for s in range(1 << bits)], np.int64)
     once, twice = (sum(r[c] for r in rows.values()) for c in ("once", "twice"))
     model = Model(place.path, bits, np.cumsum(sizes) - sizes, sum(r["total"] for r in rows.values()), int(sizes.sum()), min(max(once / max(once + 2 * twice, 1), 0.1), 0.95), 1)
     for k in range(2, order + 1):
         if model.total:
-            settle(texts.mapInPandas(_count_grams(model, k), "shard long, blob binary").groupBy("shard").applyInPandas(_write_grams(model, k, min_count), _STATS), f"lm-{k}-grams")
+            settle(texts.mapInArrow(_count_grams(model, k), "shard long, blob binary").groupBy("shard").applyInPandas(_write_grams(model, k, min_count), _STATS), f"lm-{k}-grams")
             model.order = k
     return model
 
@@ -310,18 +339,20 @@ def log_scores(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, n_tokens, n_known, base_score and score of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = per_process("lm_tokens", Tokens)
-        for part in portions(batches):
-            hashes, sizes = tokens(part["text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = per_process("lm_powers", Powers)
+        for part in portions(batches, PORTION):
+            hashes, sizes = token_hashes(part.column("text"), powers)
             _, count, _, _, p = contexts(model, hashes, sizes, model.order + 1)
             first = np.cumsum(sizes) - sizes
             base = np.log10((count + 1) / (model.total + model.distinct + 1))
             add = lambda x: np.add.reduceat(x, first)
-            yield pd.DataFrame({"doc_id": part["id"].to_numpy(), "n_tokens": sizes, "n_known": add((count > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))})
+            told = [pa.array(sizes), pa.array(add((count > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *told], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        release()
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return texts.mapInPandas(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def op9_trie_lm(spark, sf_dir: str) -> DataFrame:
