@@ -40,9 +40,12 @@ def _minima(df: DataFrame, span: int, gram: int, name: str) -> DataFrame:
     k = min(gram, span)
     w = span - k + 1
     none = "cast(array() as array<int>)"
-    df = df.withColumn("__grams", F.transform(_upto(F.size("hashes") - (k - 1), none), lambda i: F.xxhash64(F.lit(k), *[F.col("hashes")[i + j] for j in range(k)])))
-    at = lambda i: F.least(*[F.col("__grams")[i + j] for j in range(w)]) if w > 1 else F.col("__grams")[i]
-    return df.withColumn(name, F.transform(_upto(F.size("hashes") - (span - 1), none), at)).drop("__grams")
+    grams = F.transform(_upto(F.size("hashes") - (k - 1), none), lambda i: F.xxhash64(F.lit(k), *[F.col("hashes")[i + j] for j in range(k)], F.col("hashes")[i]))
+    if w == 1:  # a lambda with a single reference to the runs would be merged with them and hash them anew for each element
+        return df.withColumn(name, grams)
+    df = df.withColumn("__grams", grams)
+    least = F.transform(_upto(F.size("hashes") - (span - 1), none), lambda i: F.least(*[F.col("__grams")[i + j] for j in range(w)]))
+    return df.withColumn(name, least).drop("__grams")
 
 
 def _tokenised(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
