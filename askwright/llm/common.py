@@ -69,6 +69,13 @@ def per_process(name: str, build: Callable):
     return getattr(held, name)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let at most ``rows`` rows go to Python at once: whole texts are long, and a batch is held by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def release() -> None:
     """Give free memory of this Python process back: Spark keeps the process for later tasks."""
     import ctypes
@@ -80,6 +87,16 @@ def release() -> None:
         pass
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that, when its own frame is gone, gives its memory back."""
+
+    def outer(batches):
+        yield from run(batches)
+        release()
+
+    return outer
+
+
 def portions(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of about ``limit`` bytes of text, one row at least."""
     for batch in batches:

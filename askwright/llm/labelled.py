@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, settle
+from .common import held_out, settle, small_batches
 
 
 @dataclass
@@ -24,6 +24,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     Only rows outside the held-out fold with label 0 or 1 are learnt from.  A document that does not fit in what is left of
     ``max_bytes`` is passed over whole; none is cut.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(label_id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__id")))
     counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
     by = F.xxhash64("__id")

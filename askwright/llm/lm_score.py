@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, held_out, per_process, portions, release, scratch, settle, table
+from .common import LOWER_BYTES, held_out, per_process, portions, scratch, settle, small_batches, table, tidy
 from .elias_fano import Sequence, map_arrays, monotone, write_arrays
 
 PORTION = 4 << 20  # bytes of text worked on at once
@@ -116,9 +116,11 @@ class Model:
         return self.files[k, shard]
 
     def shards(self, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if not len(of):
+            return
         by = np.argsort(of, kind="stable")
         s = of[by]
-        cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else []
+        cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         for a, b in zip(cut, [*cut[1:], len(s)], strict=True):
             yield int(s[a]), by[a:b]
 
@@ -247,7 +249,6 @@ def _count_words(bits: int, flush: int = 1 << 21):
                 held, n = [], 0
         if n:
             yield out()
-        release()
 
     return run
 
@@ -280,7 +281,6 @@ def _count_grams(model: Model, k: int, flush: int = 1 << 20):
                 shards, keys, n = [], [], 0
         if n:
             yield _send(np.concatenate(shards), np.concatenate(keys))
-        release()
 
     return run
 
@@ -317,20 +317,21 @@ _STATS = "shard long, n long, total long, once long, twice long, bytes long"
 def fit(docs: DataFrame, order: int = 3, min_count: int = 2, shard_bytes: int = 32 << 20, max_shards: int = 4096, text_col: str = "text") -> Model:
     """The model of ``docs``.  The driver gets a row of sums for each shard, never n-grams."""
     spark = docs.sparkSession
+    small_batches(spark)
     place = urlparse(scratch(spark, "lm"))
     if place.scheme not in ("", "file"):
         raise ValueError(f"language models are mapped from a mounted folder; spark.checkpoint.dir is on {place.scheme}:")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(max(int(total // shard_bytes).bit_length(), 2), max_shards.bit_length() - 1)
-    stats = settle(texts.mapInArrow(_count_words(bits), "shard long, blob binary").groupBy("shard").applyInPandas(_write_words(place.path, bits), _STATS), "lm-words")
+    stats = settle(texts.mapInArrow(tidy(_count_words(bits)), "shard long, blob binary").groupBy("shard").applyInPandas(_write_words(place.path, bits), _STATS), "lm-words")
     rows = {r["shard"]: r for r in stats.collect()}
     sizes = np.array([rows[s]["n"] if s in rows else 0 for s in range(1 << bits)], np.int64)
     once, twice = (sum(r[c] for r in rows.values()) for c in ("once", "twice"))
     model = Model(place.path, bits, np.cumsum(sizes) - sizes, sum(r["total"] for r in rows.values()), int(sizes.sum()), min(max(once / max(once + 2 * twice, 1), 0.1), 0.95), 1)
     for k in range(2, order + 1):
         if model.total:
-            settle(texts.mapInArrow(_count_grams(model, k), "shard long, blob binary").groupBy("shard").applyInPandas(_write_grams(model, k, min_count), _STATS), f"lm-{k}-grams")
+            settle(texts.mapInArrow(tidy(_count_grams(model, k)), "shard long, blob binary").groupBy("shard").applyInPandas(_write_grams(model, k, min_count), _STATS), f"lm-{k}-grams")
             model.order = k
     return model
 
@@ -349,10 +350,9 @@ def log_scores(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
             add = lambda x: np.add.reduceat(x, first)
             told = [pa.array(sizes), pa.array(add((count > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))]
             yield pa.RecordBatch.from_arrays([part.column("id"), *told], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-        release()
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return texts.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def op9_trie_lm(spark, sf_dir: str) -> DataFrame:

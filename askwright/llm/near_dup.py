@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, small_batches, table, tidy
 from .components import components
 from .exact_dedup import _cells, repeat_filter
 
@@ -193,11 +193,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     threshold, n_text_links other texts; keep marks the one document of its class that stays, the one of least id.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     bands, rows = bands_and_rows(threshold, recall, hashes)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    signed = settle(source.mapInArrow(_signer(n, bands, rows), f"id {kind}, mark long, n int, key binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "signed")
+    signed = settle(source.mapInArrow(tidy(_signer(n, bands, rows)), f"id {kind}, mark long, n int, key binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "signed")
     # texts without words are no copies of each other
     key = F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat(F.lit("row ").cast("binary"), F.col("row").cast("string").cast("binary")))
     signed = signed.withColumn("key", key)
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     dealt = whole.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("comp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node", "block", "copies", "text")
     dealt = dealt.repartition("comp", "left", "right").sortWithinPartitions("comp", "left", "right")
-    linked = settle(dealt.mapInPandas(_verify(n, threshold), "u long, v long, texts long, docs long"), "links")
+    linked = settle(dealt.mapInPandas(tidy(_verify(n, threshold)), "u long, v long, texts long, docs long"), "links")
 
     counts = linked.groupBy(F.col("u").alias("node")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     classes = settle(components(linked.select("u", "v")), "classes")

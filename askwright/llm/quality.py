@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, release, table
 from .labelled import Sample, labelled_sample, logistic, probability
 
 _BITS = 17
@@ -112,6 +112,7 @@ def quality_score(model: QualityModel, text: Column) -> Column:
         of = Indicators()
         for texts in batches:
             yield pd.Series(model.scores(texts, of))
+        release()
 
     return score(F.coalesce(text, F.lit("")))
 

@@ -27,11 +27,12 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, portions, settle, table
+from .common import per_process, portions, settle, small_batches, table, tidy
 from .exact_dedup import exact_duplicates
 
 SPAN, GRAM = 50, 26
@@ -178,21 +179,22 @@ def _bytes(text) -> np.ndarray:
 
 
 def _send_anchors(bits: int, flush: int = 1 << 20):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, codes, ids, held = per_process("powers", Powers), [], [], 0
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             code, order = np.concatenate(codes), np.concatenate(ids)
             by = np.lexsort((order, code >> np.uint64(32)))
             code, order = code[by], order[by]
             rows = []
             for b, s, e in _slices((code >> np.uint64(32)).astype(np.int64)):
                 rows.append((b, _squeeze((code[s:e] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.diff(order[s:e], prepend=np.int64(0)))))
-            return pd.DataFrame(rows, columns=["bucket", "blob"])
+            bucket, blob = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "blob"])
 
-        for batch in portions(batches, limit=8 << 20):
+        for batch in portions(batches, 8 << 20):
             # of equal texts one is sent: the others are copies of it or of a text with a still smaller id
-            for order, text in batch.sort_values("ord", kind="stable")[["ord", "text"]].drop_duplicates("text").itertuples(index=False):
+            for order, text in batch.to_pandas().sort_values("ord", kind="stable").drop_duplicates("text")[["ord", "text"]].itertuples(index=False):
                 data = _bytes(text)
                 if len(data) < SPAN:
                     continue
@@ -378,6 +380,7 @@ def _cut(bits: int):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_anchors: int = 250_000, chunk_bytes: int = 8 << 20, hot: int = 1 << 16) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(31, max(4, int(total / 13 / bucket_anchors).bit_length()))
@@ -393,7 +396,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed = F.col("n_bytes") >= SPAN
     copies = copies.select("doc_id", "n_bytes", F.when(removed, F.col("n_bytes")).otherwise(F.lit(0)).alias("n_removed"), removed.cast("long").alias("n_spans"), F.when(removed, F.lit(sha256(b"").hexdigest())).otherwise(F.col("text_sha256")).alias("kept_sha256"))
     chunked = texts.select("doc_id", "ord", "mark", "text", chunk.alias("chunk")).groupBy("chunk")
-    blobs = texts.select("ord", "text").mapInPandas(_send_anchors(bits), "bucket long, blob binary")
+    blobs = texts.select("ord", "text").mapInArrow(tidy(_send_anchors(bits)), "bucket long, blob binary")
     repeated = settle(blobs.groupBy("bucket").applyInPandas(_repeated_anchors(chunks, hot), "chunk long, kind int, bucket long, blob binary"), "anchors")
     repeated = repeated.withColumn("ord", F.lit(None).cast("long")).unionByName(named)
     runs = chunked.cogroup(repeated.groupBy("chunk")).applyInPandas(_send_runs(bits), "bucket long, chunk long, blob binary")

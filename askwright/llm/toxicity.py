@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, release, table
 from .labelled import Sample, labelled_sample, logistic, probability
 
 _GRAMS = (4, 5)
@@ -228,6 +228,7 @@ def toxicity(field: ToxicField, text: Column, least: float = 0.5) -> Column:
         for texts in batches:
             read = [field.read(t) for t in texts]
             yield pd.DataFrame({"score": field.score([r[0] for r in read]), "spans": [[{"start": b, "end": e, "marginal": m} for b, e, m in r[1] if m >= least] for r in read]})
+        release()
 
     return tell(F.coalesce(text, F.lit("")))
 
