@@ -276,7 +276,7 @@ k AS (SELECT *, CASE WHEN 192 - list_sum(f) < 16 THEN list_transform(f, lambda x
 s AS (SELECT *, least(n, greatest(0, 512 - (3 + hk + os) - 1)) AS sk FROM h)
 SELECT doc_id, CAST(hk AS INT) AS head, CAST(os AS INT) AS options, CAST(sk AS INT) AS state, CAST(len(list_filter(range(1, len(kept) + 1), lambda i: 2 + hk + coalesce(list_sum(kept[1:i - 1]), 0) < 512)) AS INT) AS markers, CAST(least(512, 3 + hk + os + sk + 1) AS INT) AS total FROM s""",
     "json_list_choices": "SELECT * FROM (VALUES (1, 'a|b'), (5, 'x')) v(id, options)",
-    "json_nested": "SELECT k // 10 AS decade, count(*) AS n, min(k) AS low FROM (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY 1",
+    "json_nested": "SELECT CAST(k // 10 AS BIGINT) AS decade, count(*) AS n, min(k) AS low FROM (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY 1",
     "multilabel_absent": "SELECT source, array_to_string(list_filter(v, lambda x: NOT list_contains(h, x)), '|') AS absent FROM (SELECT source, list(DISTINCT lang) AS h FROM documents WHERE doc_id % 40 < 4 GROUP BY 1), (SELECT list_sort(list(DISTINCT lang)) AS v FROM documents)",
     "music_questions": """WITH e AS (SELECT 60 + event_id % 90 AS bpm, event_id * 7 % 100 / 100.0 AS prob, event_id % 2 = 0 AS minor, event_id % 6 AS metre FROM events)
 SELECT kind, label, count(*) AS n FROM (SELECT 'tempo' AS kind, CASE WHEN bpm < 80 THEN 0 WHEN bpm < 120 THEN 1 ELSE 2 END AS label FROM e WHERE least(abs(bpm - 80), abs(bpm - 120)) > 5 UNION ALL SELECT 'mode', CAST(minor AS INT) FROM e WHERE prob > 0.6 UNION ALL SELECT 'metre', CAST(metre = 4 AS INT) FROM e WHERE metre IN (3, 4)) GROUP BY 1, 2""",
