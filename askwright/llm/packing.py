@@ -20,8 +20,6 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress, repeat
-from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -30,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_process, portions, release, settle, table
+from .common import portions, settle, small_batches, table, tidy
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -177,22 +175,32 @@ class WordCache(dict):
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of its runs in turn.  It also
     lower-cases and splits between a letter or digit and the punctuation after it, so A-Z are lower-cased here, and a run with such
-    a tail is put together from its two parts.  Beyond ``limit`` runs the cache starts anew.
+    a tail is read as two runs.  Beyond ``limit`` runs the cache starts anew.
     """
 
-    TAIL = ".,;:!?%$&*#|"
+    TAIL = r"(?s)^(?P<core>.*[\pL0-9])(?P<tail>[.,;:!?%$&*#|]+)$"
 
-    def __init__(self, tokenizer, limit: int = 500_000):
+    def __init__(self, tokenizer, limit: int = 700_000):
         super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
+        vocabulary = tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _cut(self, run: str) -> int:
-        """Where the tail begins; the length of the run if there is none to cut."""
-        n = len(run.rstrip(self.TAIL))
-        return n if 0 < n < len(run) and (run[n - 1].isalpha() or run[n - 1] in "0123456789") else len(run)
-
-    def _encode(self, runs: list[str]) -> None:
-        """Runs not met before, a thousand a time; token offsets tell them apart."""
+    def _words(self, runs: list[str]) -> None:
+        """Runs of letters only: one word each, and a word has one last token."""
+        for i in range(0, len(runs), 1000):
+            part = runs[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), (4 * ends).tolist()
+                self.update(zip(part, (data[s:e] for s, e in zip([0, *at], at, strict=False)), strict=True))
+            else:
+                self._others(part)
+
+    def _others(self, runs: list[str]) -> None:
+        """Any runs; token offsets tell them apart."""
         for i in range(0, len(runs), 1000):
             part = runs[i : i + 1000]
             got = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
@@ -206,35 +214,39 @@ class WordCache(dict):
         if len(self) > self.limit:
             self.clear()
         self[""] = b""
-        got = list(map(self.get, runs))
-        at = list(compress(range(len(runs)), map(is_, got, repeat(None))))
-        unknown = [runs[i] for i in at]
-        cuts = [self._cut(r) for r in unknown]
-        parts = [(r, n) for r, n in zip(unknown, cuts, strict=True) if n < len(r)]
-        whole = {r for r, n in zip(unknown, cuts, strict=True) if n == len(r)}.union(chain.from_iterable((r[:n], r[n:]) for r, n in parts))
-        self._encode(list(whole.difference(self)))
-        self.update((r, self[r[:n]] + self[r[n:]]) for r, n in parts)
-        for i in at:
-            got[i] = self[runs[i]]
-        return got
+        unknown = [r for r in runs if r not in self]
+        letters = [r for r in unknown if r.isalpha()]
+        self._words(letters)
+        if len(letters) < len(unknown):
+            self._others([r for r in unknown if not r.isalpha()])
+        return list(map(self.__getitem__, runs))
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text.  Arrow cuts a portion of texts into runs and numbers the distinct ones."""
+        """The ids of each text.  Arrow cuts a portion of texts into runs, cores and tails and numbers the distinct ones."""
         plain = pc.invert(pc.match_substring(texts, "<|"))  # a special token's string is one in small letters only
         low = pc.if_else(plain, pc.ascii_lower(texts), texts)
         lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
-        numbered = lists.flatten().dictionary_encode()
-        found = self.ids(numbered.dictionary.to_pylist())
-        which = numbered.indices.to_numpy()
+        runs = lists.flatten().dictionary_encode()
+        parts = pc.extract_regex(runs.dictionary, self.TAIL)
+        core = pc.if_else(pc.is_valid(parts), parts.field(0), runs.dictionary)
+        tail = pc.if_else(pc.is_valid(parts), parts.field(1), "")
+        first, size, found = [], [], []
+        for side in (core.dictionary_encode(), tail.dictionary_encode()):
+            got = self.ids(side.dictionary.to_pylist())
+            n = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            which = side.indices.to_numpy()
+            first.append((np.cumsum(n) - n + sum(map(len, found)) // 4)[which])
+            size.append(n[which])
+            found.append(b"".join(got))
         data = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        first = np.cumsum(size) - size
-        many = size[which]
+        first, size = np.stack(first, 1), np.stack(size, 1)
+        which = runs.indices.to_numpy()
         end = np.cumsum(lists.value_lengths().to_numpy())
         for a, b in zip([0, *end[:-1]], end, strict=True):
-            yield data[_ranges(first[which[a:b]], many[a:b])]
+            of = which[a:b]
+            yield data[_ranges(first[of].ravel(), size[of].ravel())]
 
 
 def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -249,12 +261,16 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
         from pyspark import TaskContext
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
-        cache = per_process(f"runs_{zlib.crc32(tokenizer_json.encode())}", lambda: WordCache(Tokenizer.from_str(tokenizer_json)))
+        cache = WordCache(Tokenizer.from_str(tokenizer_json))
         part, ranks = TaskContext.get().partitionId(), Counter()
-        for some in portions(batches, 8 << 20):
+        for some in portions(batches, 6 << 20):
             rows = []
             for i, ids in enumerate(cache.texts(some.column("text"))):
                 ids = np.concatenate([ids, end])
@@ -265,14 +281,14 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end
             row, *rest = zip(*rows, strict=True)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
-        release()
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return texts.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, **columns) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         pieces = settle(token_pieces(docs, f.read(), capacity, end_id, **columns), "pieces")
     counts = settle(pieces.groupBy("part", "length").count(), "counts")
