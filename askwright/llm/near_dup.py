@@ -1,6 +1,7 @@
 """Jaccard join on word n-grams by MinHash banding.
 
-A text is the set of its runs of ``n`` lower-cased words (words: runs between white space; a shorter text is one run).
+A text is the set of its runs of ``n`` words (a shorter text is one run); words are maximal runs of digits, a-z and non-ASCII
+characters after lower-casing A-Z, as in the decontamination, so punctuation and line breaks make no difference.
 Texts of equal words form one representative.  Its MinHash signature is cut into bands; representatives that share a band's hash
 are shuffled to it and tied to the least of them, so a bucket of any size gives one edge a member and never pairs.  Inside the
 connected candidates every pair of representatives is verified on the full sets, in blocks: a component of many members is cut
@@ -41,19 +42,27 @@ def bands_and_rows(threshold: float, recall: float, hashes: int) -> tuple[int, i
     return hashes, 1
 
 
+#: Bytes that are part of no word become blanks, A-Z small letters.
+_TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c > 0x7F or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words met lately."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        h = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         if len(word) < 100:
             self[word] = h
         return h
 
 
-def gram_hashes(words: list[str], n: int, cache: WordHashes) -> np.ndarray:
+def gram_hashes(words: list[bytes], n: int, cache: WordHashes) -> np.ndarray:
     """A 64-bit hash of each run of n words; of all words if they are fewer."""
     if not words:
         return np.zeros(0, np.uint64)
@@ -89,10 +98,10 @@ def _signer(n: int, bands: int, rows: int, seed: int = 1):
         for batch in batches:
             size, keys, signed = [], [], []
             for text in batch.column("text"):
-                words = text.as_py().lower().split()
+                words = words_of(text.as_py())
                 x = gram_hashes(words, n, cache)
                 size.append(len(x))
-                keys.append(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                keys.append(blake2b(b" ".join(words), digest_size=16).digest())
                 signed.append(sign(x) if len(x) else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in signed])]), pa.int32()), pa.array(np.concatenate([*signed, np.zeros(0, np.int64)]), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(size, pa.int32()), pa.array(keys, pa.binary()), lists], ["id", "mark", *schema.names])
@@ -148,7 +157,7 @@ def _verify(n: int, threshold: float):
         if not same:
             group = group.sort_values("block", kind="stable")
         nodes, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-        sets = [np.unique(gram_hashes(t.lower().split(), n, cache)) for t in group["text"]]
+        sets = [np.unique(gram_hashes(words_of(t), n, cache)) for t in group["text"]]
         if same:
             hit = links(sets, None)
             np.fill_diagonal(hit, False)

@@ -17,14 +17,14 @@ WORDS = "the quick brown fox jumps over a lazy dog while seven wise owls watch f
 def near_rows():
     base = " ".join(WORDS * 3)
     rows = [(i, " ".join(w if k != i % 60 else f"w{i}" for k, w in enumerate(base.split()))) for i in range(40)]
-    rows += [(100, base), (101, base.upper()), (102, None), (103, ""), (104, "  "), (105, "two words"), (106, "Two  Words"), (107, "x " * 30_000), (100, base), (None, "nobody here"), (108, "completely other words in this one text")]
+    rows += [(100, base), (101, base.upper()), (102, None), (103, ""), (104, "  "), (105, "two words"), (106, "Two,  Words!"), (107, "x " * 30_000), (100, base), (None, "nobody here"), (108, "completely other words in this one text")]
     return rows
 
 
 def brute_links(rows, threshold=0.8):
     sets = []
     for _, t in rows:
-        w = (t or "").lower().split()
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
     return [{j for j, b in enumerate(sets) if j != i and a and b and len(a & b) / len(a | b) >= threshold} for i, a in enumerate(sets)]
 
