@@ -259,5 +259,18 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
 
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+rep AS (SELECT w, min(doc_id) AS text_id, count(*) AS copies FROM t WHERE len(w) > 0 GROUP BY w),
+g AS (SELECT DISTINCT text_id, array_to_string(w[s:s + least(len(w), 5) - 1], ' ') AS x FROM (SELECT text_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM rep)),
+sz AS (SELECT text_id, count(*) AS n FROM g GROUP BY 1),
+ln AS (SELECT u, v FROM (SELECT a.text_id AS u, b.text_id AS v, count(*) AS c FROM g a JOIN g b USING (x) WHERE a.text_id <> b.text_id GROUP BY 1, 2) JOIN sz p ON p.text_id = u JOIN sz q ON q.text_id = v WHERE 5 * c >= 4 * (p.n + q.n - c)),
+cc(node, root) AS (SELECT text_id, text_id FROM rep UNION SELECT ln.v, cc.root FROM cc JOIN ln ON ln.u = cc.node),
+cl AS (SELECT node, min(root) AS class_id FROM cc GROUP BY 1),
+lk AS (SELECT u, count(*) AS texts, sum(copies) AS docs FROM ln JOIN rep ON rep.text_id = v GROUP BY 1)
+SELECT t.doc_id, coalesce(rep.text_id, t.doc_id) AS text_id, coalesce(class_id, t.doc_id) AS class_id, CAST(coalesce(copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(docs, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links,
+       CAST(coalesce(texts, 0) AS BIGINT) AS n_text_links, t.doc_id = coalesce(class_id, t.doc_id) AS keep
+FROM t LEFT JOIN rep ON rep.w = t.w LEFT JOIN cl ON cl.node = rep.text_id LEFT JOIN lk ON lk.u = rep.text_id"""
+}
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}

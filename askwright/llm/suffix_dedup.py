@@ -409,5 +409,18 @@ def op6_suffix_repeats(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op6_suffix_repeats": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, b[s:s + 49] AS x FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS s FROM d WHERE octet_length(b) >= 50)),
+o AS (SELECT x, min(doc_id) AS m FROM w GROUP BY x),
+hit AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50, true) AS fresh FROM w JOIN o USING (x) WHERE m < doc_id),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 49 AS z FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM hit) GROUP BY doc_id, g),
+sums AS (SELECT doc_id, sum(z - a + 1) AS gone, count(*) AS n FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, p, lead(q) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM (SELECT doc_id, 1 AS p, 0 AS q FROM sums UNION ALL SELECT doc_id, z + 1, a - 1 FROM runs)),
+left_over AS (SELECT doc_id, string_agg(hex(b[p:coalesce(q, octet_length(b))]), '' ORDER BY p) AS h FROM kept JOIN d USING (doc_id) WHERE p <= coalesce(q, octet_length(b)) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN n IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
+}
 QUERIES = {"op6_suffix_repeats": op6_suffix_repeats}
