@@ -155,6 +155,38 @@ _KIND = "array_to_string(regexp_extract_all(lower({0}), '[a-z]+')[1:{1}], ' ')"
 ORACLE = {
     "parse_lettered": _rows("id, background, question, options, index", "(1, '', 'Which animal is it?', 'A cat|A dog|A bird', 1)", "(2, 'Hint: Ice is cold.', 'What melts?', 'ice|rock', 0)", "(3, 'Lecture: Things fall.', 'Is it heavy?', 'no|yes', 1)"),
     "parse_listed": _rows("id, question, options, index", "(4, 'What colour is the sky?', 'Blue|red|green', 0)"),
+    "strip_hints": r"""SELECT * FROM (VALUES (1, e'Which animal is it?'),
+(2, e'Question: What melts?\nHint: Ice is cold.'),
+(3, e'Lecture: Things fall.\nQuestion: Is it heavy?'),
+(4, e'What colour is the sky?'),
+(5, e'Is the cat asleep?'),
+(6, e'How many birds are there?'),
+(7, e'What is shown here?'),
+(8, e'What is the color of the car?'),
+(9, e'What is the color of the door?'),
+(10, e'What is the color of the wall?'),
+(11, e'What is the color of the hat?'),
+(12, e'Which way?'),
+(13, e'Name it.'),
+(14, e''),
+(15, e'Context: none\nQuestion: When was it built?\nContext: A tower.'),
+(16, e'Where is the odd one?')) v(id, question)""",
+    "split_context": r"""SELECT * FROM (VALUES (1, e'', e'Which animal is it?\nChoices:\nA. A cat.\nB. A dog\nC. A bird.\nAnswer with the letter.'),
+(2, e'Hint: Ice is cold.\nChoices:\nA. ice\nB. rock', e'What melts?'),
+(3, e'Lecture: Things fall.', e'Is it heavy?\nChoices:\nA. no\nB. yes\nPick one.'),
+(4, e'', e'What colour is the sky?\nOptions: Blue, red , green.'),
+(5, e'', e'Is the cat asleep?\nAnswer yes or no.'),
+(6, e'', e'How many birds are there?\nKeep it brief.'),
+(7, e'', e'What is shown here?'),
+(8, e'', e'What is the color of the car?'),
+(9, e'', e'What is the color of the door?'),
+(10, e'', e'What is the color of the wall?'),
+(11, e'', e'What is the color of the hat?'),
+(12, e'', e'Which way?\nChoices:\nA. left\nB. left'),
+(13, e'', e'Name it.\nOptions: one, two'),
+(14, e'', e''),
+(15, e'Context: A tower.\nContext: none', e'When was it built?'),
+(16, e'', e'Where is the odd one?')) v(id, background, question)""",
     "clean_answers": f"SELECT id, {_CLEAN.format('assistant')} AS answer FROM {_USER_TURNS}",
     "question_kinds": f"""SELECT rank, kind, count(*) AS n FROM (SELECT unnest([0, 1, 2]) AS rank, unnest([{_KIND.format('text', 4)}, {_KIND.format('text', 3)}, {_KIND.format('text', 2)}]) AS kind FROM conversations WHERE role = 'user') GROUP BY 1, 2""",
     "normalised_texts": "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents",
