@@ -349,7 +349,7 @@ def airbench(df):
 
 
 @converter
-def valen(df):
+def chat_targets(df):
     """id, messages (JSON: [{content: [{text}]}]), targets (JSON: {option: probability}): the likeliest option is the label"""
     text = F.from_json("messages", "array<struct<content:array<struct<text:string>>>>")
     said = F.filter(F.flatten(F.transform(text, lambda m: F.transform(m["content"], lambda c: c["text"]))), lambda t: t.isNotNull())

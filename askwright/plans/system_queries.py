@@ -52,7 +52,7 @@ def convert_options(spark, sf_dir):
     out = out.unionByName(C.mmau(s([("m1", "Q6", '["p", "q"]', "q"), ("m2", "Q7", "p, q", "q")], "id string, question string, choices string, answer string")))
     out = out.unionByName(C.aokvqa(s([("k1", "Q8", ["u", "v"], 0, "train")], "id string, question string, choices array<string>, correct_choice_idx int, split string")))
     out = out.unionByName(C.scienceqa(s([("n1", "Q9", ["u", "v"], 1, " a hint ", "test")], "id string, question string, choices array<string>, answer int, hint string, split string")))
-    out = out.unionByName(C.valen(s([("v1", '[{"content": [{"text": "Q10"}]}]', '{"no": 0.2, "yes": 0.8}')], "id string, messages string, targets string")))
+    out = out.unionByName(C.chat_targets(s([("v1", '[{"content": [{"text": "Q10"}]}]', '{"no": 0.2, "yes": 0.8}')], "id string, messages string, targets string")))
     return _told(out)
 
 
