@@ -73,16 +73,17 @@ def overlap(evaluation: DataFrame, train: DataFrame, key: str = "id", image: str
 def contained_items(docs: DataFrame, items: DataFrame, words: int = 8, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """(doc, item) pairs where the normalised item is part of the normalised document.
 
-    Candidates share the item's first ``words`` words (all of a shorter one) as a run; only they are compared as strings.
+    Candidates share the hash of the item's first ``words`` words (all of a shorter one) with a run of theirs; only they are compared
+    as strings.
     """
     i = items.select(item_id, T.normalise(F.col("text")).alias("item")).where("item <> ''").withColumn("w", F.split("item", " "))
-    i = i.withColumn("n", F.least(F.size("w"), F.lit(words))).withColumn("head", F.expr("array_join(slice(w, 1, n), ' ')")).drop("w")
+    i = i.withColumn("n", F.least(F.size("w"), F.lit(words))).withColumn("head", F.expr("xxhash64(slice(w, 1, n))")).drop("w")
     d = docs.select(doc_id, T.normalise(F.col("text")).alias("doc"))
     lengths = [r[0] for r in i.select("n").distinct().collect()]  # at most `words` numbers
     runs = None
     for n in sorted(lengths):
         w = d.select(doc_id, F.split("doc", " ").alias("w")).where(F.size("w") >= n)
-        r = w.select(doc_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda k: F.array_join(F.slice(F.col("w"), k, F.lit(n)), " ")))).alias("head"))
+        r = w.select(doc_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda k: F.xxhash64(F.slice(F.col("w"), k, F.lit(n)))))).alias("head"))
         runs = r if runs is None else runs.unionByName(r)
     if runs is None:
         return d.crossJoin(i).select(doc_id, item_id).limit(0)
