@@ -270,7 +270,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end
 
         cache = WordCache(Tokenizer.from_str(tokenizer_json))
         part, ranks = TaskContext.get().partitionId(), Counter()
-        for some in portions(batches, 6 << 20):
+        for some in portions(batches, 4 << 20):
             rows = []
             for i, ids in enumerate(cache.texts(some.column("text"))):
                 ids = np.concatenate([ids, end])
