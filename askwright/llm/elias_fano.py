@@ -54,7 +54,10 @@ class Sequence:
         ones = np.bitwise_count(high).astype(np.int64)
         ones = np.cumsum(ones) - ones
         if width:
-            packed = _words(((low.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & _ONE).astype(np.uint8).ravel())
+            bits = np.empty((n, width), np.uint8)
+            for i in range(0, n, 1 << 16):
+                bits[i : i + (1 << 16)] = (low[i : i + (1 << 16)].astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & _ONE
+            packed = _words(bits.ravel())
         else:
             packed = np.zeros(1, "<u8")
         return {f"{name}.high": high, f"{name}.ones": ones, f"{name}.low": packed, f"{name}.shape": np.array([width, n], np.int64)}

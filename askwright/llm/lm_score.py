@@ -2,7 +2,8 @@
 
 Counting: tasks count their n-grams and send them, sorted and compressed, to the shard of the first word; a shard adds them up and
 writes its part of a level to the shared folder.  Level 1 has every word (64-bit hash) with its exact count; deeper levels keep n-grams
-seen ``min_count`` times and more, under contexts that the level above keeps.
+seen ``min_count`` times and more, under contexts that the level above keeps; the query keeps all (``min_count`` 1).  When all shards of
+a level are counted its discount is known, and probabilities are written beside each shard.
 
 A level is a file for each shard.  Children of all contexts stand in one sequence; a monotone Elias-Fano sequence of
 pointers gives a context's range [lo, hi).  Word ids are ranks of hashes, so ids under a context are spread evenly: an id is
@@ -112,6 +113,7 @@ class Model:
                 got["items"] = Sequence(got, "items")
                 if k > 1:
                     got["pointers"] = Sequence(got, "pointers")
+                    got |= map_arrays(f"{path}.p")
             self.files[k, shard] = got
         return self.files[k, shard]
 
@@ -291,26 +293,54 @@ def _write_grams(model: Model, k: int, min_count: int):
         keys, counts = _add_up(group["blob"])
         above = model.level(k - 1, shard)["items"].n
         once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
         context = (keys // np.uint64(model.distinct)).astype(np.int64)
-        total = np.bincount(context, counts, minlength=above)
-        keep = counts >= min_count
-        context, word, counts = context[keep], (keys[keep] % np.uint64(model.distinct)).astype(np.int64), counts[keep]
-        p = (counts - discount) / total[context]
-        left = np.ones(above)
-        got = np.bincount(context, p, minlength=above)
-        left[got > 0] = 1 - got[got > 0]
+        total = np.bincount(context, counts, minlength=above).astype(np.int64)
+        if min_count > 1:
+            keep = counts >= min_count
+            keys, context, counts = keys[keep], context[keep], counts[keep]
+        word = (keys % np.uint64(model.distinct)).astype(np.int64)
         many = np.bincount(context, minlength=above)
         pointers = np.concatenate([[0], np.cumsum(many)])
         width = max(1, int(model.distinct).bit_length())
         bucket, rest = _scaled(word, pointers[context], many[context], model.distinct, width)
-        arrays = Sequence.build("items", bucket, rest, width, len(word) + 1) | monotone("pointers", pointers, len(word) + 1) | {"codes": _code(p), "left": _code(np.maximum(left, 1e-7))}
+        arrays = Sequence.build("items", bucket, rest, width, len(word) + 1) | monotone("pointers", pointers, len(word) + 1)
         size = write_arrays(f"{model.folder}/{k}-{shard}", arrays)
+        size += write_arrays(f"{model.folder}/{k}-{shard}.counts", {"counts": _narrow(counts), "total": _narrow(total), "many": _narrow(many)})
         return pd.DataFrame([(shard, len(word), int(total.sum()), once, twice, size)], columns=["shard", "n", "total", "once", "twice", "bytes"])
 
     return run
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _write_probabilities(folder: str, k: int, discount: float):
+    """One byte for each child and for what its context leaves, by the discount of the whole level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for shard in batch.column("shard").to_pylist():
+                path = f"{folder}/{k}-{shard}"
+                if not os.path.exists(path):
+                    continue
+                told = map_arrays(f"{path}.counts")
+                context = np.repeat(np.arange(len(told["many"])), told["many"])
+                p = (told["counts"] - discount) / told["total"][context]
+                got = np.bincount(context, p, minlength=len(told["many"]))
+                left = np.where(got > 0, 1 - got, 1.0)
+                sizes.append(write_arrays(f"{path}.p", {"codes": _code(p), "left": _code(np.maximum(left, 1e-7))}))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["bytes"])
+
+    return run
+
+
+def _discount(rows: list) -> float:
+    once, twice = (sum(r[c] for r in rows) for c in ("once", "twice"))
+    return min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+
+
 _STATS = "shard long, n long, total long, once long, twice long, bytes long"
 
 
@@ -327,11 +357,12 @@ def fit(docs: DataFrame, order: int = 3, min_count: int = 2, shard_bytes: int =
     stats = settle(texts.mapInArrow(tidy(_count_words(bits)), "shard long, blob binary").groupBy("shard").applyInPandas(_write_words(place.path, bits), _STATS), "lm-words")
     rows = {r["shard"]: r for r in stats.collect()}
     sizes = np.array([rows[s]["n"] if s in rows else 0 for s in range(1 << bits)], np.int64)
-    once, twice = (sum(r[c] for r in rows.values()) for c in ("once", "twice"))
-    model = Model(place.path, bits, np.cumsum(sizes) - sizes, sum(r["total"] for r in rows.values()), int(sizes.sum()), min(max(once / max(once + 2 * twice, 1), 0.1), 0.95), 1)
+    model = Model(place.path, bits, np.cumsum(sizes) - sizes, sum(r["total"] for r in rows.values()), int(sizes.sum()), _discount(list(rows.values())), 1)
     for k in range(2, order + 1):
         if model.total:
-            settle(texts.mapInArrow(tidy(_count_grams(model, k)), "shard long, blob binary").groupBy("shard").applyInPandas(_write_grams(model, k, min_count), _STATS), f"lm-{k}-grams")
+            stats = settle(texts.mapInArrow(tidy(_count_grams(model, k)), "shard long, blob binary").groupBy("shard").applyInPandas(_write_grams(model, k, min_count), _STATS), f"lm-{k}-grams")
+            write = _write_probabilities(place.path, k, _discount(stats.select("once", "twice").collect()))
+            spark.range(0, 1 << bits, 1, 1 << bits).select(F.col("id").alias("shard")).mapInArrow(tidy(write), "bytes long").agg(F.sum("bytes")).collect()
             model.order = k
     return model
 
@@ -358,7 +389,7 @@ def log_scores(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
 def op9_trie_lm(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = lambda c: held_out(c, folds=7)
-    model = fit(docs.where(~out(F.col("doc_id"))))
+    model = fit(docs.where(~out(F.col("doc_id"))), min_count=1)
     scored = log_scores(model, docs)
     return scored.select("doc_id", out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 

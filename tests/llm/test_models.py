@@ -246,6 +246,51 @@ def test_model_counts_and_probabilities(spark):
     assert empty.total == 0 and all(r.score == r.base_score == 0 and r.n_known == 0 for r in lm_score.log_scores(empty, df).collect())
 
 
+def test_n_grams_seen_once_count_under_one_discount(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, 12) if x < 400) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lm_score.fit(df, min_count=1)
+    grams = {k: Counter() for k in (1, 2, 3)}
+    for t in texts:
+        w = ["\n", *t.split(), "\n"]
+        grams[1].update((x,) for x in w[1:])
+        for k in (2, 3):
+            grams[k].update(zip(*(w[i:] for i in range(k)), strict=False))
+    for k in (2, 3):
+        assert sum(level["items"].n for s in range(1 << model.bits) if (level := model.level(k, s))) == len(grams[k])
+    d = {k: min(max((one := sum(c == 1 for c in g.values())) / (one + 2 * sum(c == 2 for c in g.values())), 0.1), 0.95) for k, g in grams.items()}
+    total, many = ({k: Counter() for k in (2, 3)} for _ in range(2))
+    for k in (2, 3):
+        for g, c in grams[k].items():
+            total[k][g[:-1]] += c
+            many[k][g[:-1]] += 1
+    n, v = sum(grams[1].values()), len(grams[1])
+    ask = [*texts[:20], "w1 w2 w399 w1 unseen w1 w2", "w3 w1"]
+    told = {r.doc_id: r.score for r in lm_score.log_scores(model, spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(ask):
+        w, score = ["\n", *t.split(), "\n"], 0.0
+        for j in range(1, len(w)):
+            p = max(grams[1][w[j],] - d[1], 0) / n + d[1] * v / n / (v + 1)
+            for k in (2, 3):
+                if j >= k - 1 and (of := total[k][tuple(w[j - k + 1 : j])]):
+                    c = tuple(w[j - k + 1 : j])
+                    p = max(grams[k][*c, w[j]] - d[k], 0) / of + d[k] * many[k][c] / of * p
+            score += math.log10(p)
+        assert -1e-6 <= score - told[i] <= 2.01 * lm_score.STEP * (len(w) - 1)
+
+
+def test_the_query_keeps_n_grams_seen_once(spark, monkeypatch):
+    models, fit = [], lm_score.fit
+    monkeypatch.setattr(lm_score, "fit", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    lm_score.op9_trie_lm(spark, BIG).count()
+    words = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(lm_score.LOWER_BYTES)), b"\n"]
+    train = [words(r.text or "") for r in lm_score.table(spark, BIG, "documents").where(~lm_score.held_out(F.col("doc_id"), folds=7)).select("text").collect()]
+    for k in (2, 3):
+        kept = sum(level["items"].n for s in range(1 << models[0].bits) if (level := models[0].level(k, s)))
+        assert kept == len({g for w in train for g in zip(*([b"\n", *w][i:] for i in range(k)), strict=False)})
+
+
 def test_held_out_texts_score_above_the_base(spark):
     rows = lm_score.op9_trie_lm(spark, BIG).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
