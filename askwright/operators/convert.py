@@ -84,16 +84,7 @@ def pooled(df: DataFrame, state: str, split: Column, seed: str, id_: str = "id",
     """Short answers with wrong ones of questions of the same kind (``kind``, or the question's first words)."""
     rows = df.withColumn("__k", F.array(F.col(kind)) if kind else F.array_distinct(T.question_kinds(F.col("question"))))
     pool = rows.select(F.explode("__k").alias("kind"), "answer").distinct()
-    asked = rows.select(F.col(id_).alias("id"), "answer", F.col("__k")[0].alias("question") if kind else F.col("question"))
-    if kind:
-        from pyspark.sql import Window
-
-        by = Window.partitionBy("kind").orderBy(S.draw(seed, "kind", "answer"), "answer")
-        best = pool.withColumn("r", F.row_number().over(by)).where("r <= 4").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("r", F.col("answer").alias("w")))).alias("c"))
-        sized = pool.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-        wrong = asked.join(best, asked["question"] == best["kind"]).join(sized, "kind").where("n >= 4").select("id", F.slice(F.filter(F.transform("c", lambda x: x["w"]), lambda w: w != F.col("answer")), 1, 3).alias("wrong"))
-    else:
-        wrong = Q.fallback_pool(asked, pool, "id", seed).select("id", "wrong")
+    wrong = Q.drawn_pool(rows.select(F.col(id_).alias("id"), "answer", F.col("__k").alias("kinds")), pool, "id", seed).select("id", "wrong")
     rows = rows.join(wrong.withColumnRenamed("id", "__id"), rows[id_] == F.col("__id"))
     key = F.col(id_)
     options = _ordered(seed, key, F.concat(F.slice(F.col("wrong"), F.lit(1), S.whole(seed + "-many", 3, key) + 1), F.array("answer")))

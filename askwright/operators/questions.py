@@ -103,7 +103,8 @@ def fallback_pool(questions: DataFrame, pool: DataFrame, key: str, seed: str, le
     """For each (key, question, answer) up to ``most`` drawn wrong answers of its most specific kind that has ``least``.
 
     Wrong answers of a kind are ranked once for the pool; the answer itself takes at most one place, so ``most`` + 1 ranked candidates
-    and the kind's size are enough, whatever the size of the pool.
+    and the kind's size are enough, whatever the size of the pool.  All questions of a kind so share their wrong answers: this is the
+    rule of the SQL of ``pool_fallback``; the cascade and the converters use ``drawn_pool``.
     """
     from pyspark.sql import Window
 
@@ -118,6 +119,40 @@ def fallback_pool(questions: DataFrame, pool: DataFrame, key: str, seed: str, le
     return told.groupBy(key).agg(F.min_by(F.struct("kind", "wrong"), "rank").alias("__b")).select(key, "__b.kind", "__b.wrong")
 
 
+def drawn_pool(asked: DataFrame, pool: DataFrame, key: str, seed: str, least: int = 3, most: int = 3, buckets: int = 64) -> DataFrame:
+    """(key, kind, wrong): ``most`` answers drawn by the key from all others of the first of its ``kinds`` that has ``least``.
+
+    ``asked`` has the key, ``answer`` and ``kinds``; ``pool`` has each (kind, answer) once and may have the text to show.  Answers are
+    numbered in hashed buckets of their kind, so a common kind is not one task's; places are drawn without replacement from the
+    kind's size and joined, so no answer is left out and no kind is ever an array.
+    """
+    from pyspark.sql import Window
+
+    assert most <= least
+    pool = pool if "shown" in pool.columns else pool.withColumn("shown", F.col("answer"))
+    by = Window.partitionBy("kind", "bucket").orderBy("answer")
+    numbered = pool.withColumn("bucket", F.pmod(F.xxhash64("answer"), F.lit(buckets)).cast("int")).withColumn("nth", F.row_number().over(by) - 1)
+    sized = pool.groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
+    filled = numbered.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("filled"))
+    own = asked.select(key, "answer", F.posexplode("kinds").alias("rank", "kind")).join(sized, "kind").join(numbered.select("kind", "answer", "bucket", "nth"), ["kind", "answer"], "left")
+    own = own.withColumn("size", F.col("size") - F.col("nth").isNotNull().cast("int")).where(F.col("size") >= least)
+    best = own.groupBy(key).agg(F.min_by(F.struct("kind", "size", "bucket", "nth"), "rank").alias("__b")).select(key, "__b.*").join(filled, "kind")
+    before = F.aggregate(F.filter("filled", lambda b: b["bucket"] < F.col("bucket")), F.lit(0).cast("long"), lambda n, b: n + b["n"])
+    # drawn places are moved past the smaller ones that are taken: the answer's own, then those drawn before
+    taken, places = F.array_compact(F.array((before + F.col("nth")).cast("long"))), []
+    for i in range(most):
+        free = F.pmod(F.conv(F.substring(S.draw(seed, F.lit(i), key), 1, 12), 16, 10).cast("long"), F.col("size") - i)
+        best = best.withColumn(f"__{i}", F.aggregate(F.array_sort(taken), free, lambda at, t: at + (t <= at).cast("long")))
+        places.append(F.col(f"__{i}"))
+        taken = F.concat(taken, F.array(F.col(f"__{i}")))
+    found = best.select(key, "kind", "filled", F.posexplode(F.array(*places)).alias("draw", "at"))
+    start = F.struct(F.col("at").alias("left"), F.lit(None).cast("int").alias("bucket"))
+    met = F.aggregate("filled", start, lambda s, b: F.when(s["bucket"].isNotNull(), s).when(s["left"] < b["n"], F.struct(s["left"].alias("left"), b["bucket"].alias("bucket"))).otherwise(F.struct((s["left"] - b["n"]).alias("left"), s["bucket"].alias("bucket"))))
+    found = found.withColumn("__m", met).select(key, "kind", "draw", F.col("__m.bucket").alias("bucket"), F.col("__m.left").cast("int").alias("nth"))
+    told = found.join(numbered.select("kind", "bucket", "nth", "shown"), ["kind", "bucket", "nth"])
+    return told.groupBy(key, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "shown"))), lambda s: s["shown"]).alias("wrong"))
+
+
 def cascade(turns: DataFrame, seed: str = "turns", key: str = "id", pool: DataFrame | None = None) -> DataFrame:
     """Chat turns (key, user, assistant) to typed questions; turns that no rule takes are left out.
 
@@ -125,7 +160,7 @@ def cascade(turns: DataFrame, seed: str = "turns", key: str = "id", pool: DataFr
     """
     user, answer = F.col("user"), F.col("assistant")
     rows = turns.withColumn("__l", F.coalesce(T.lettered(user, answer), T.listed(user, answer))).withColumn("__c", T.context_and_question(T.without_hints(user))).withColumn("__a", T.clean_answer(answer))
-    wrong = fallback_pool(rows.select(key, F.col("__a").alias("answer"), F.col("__c.question").alias("question")), pools(turns) if pool is None else pool, key, seed)
+    wrong = drawn_pool(rows.select(key, F.col("__a").alias("answer"), T.question_kinds(F.col("__c.question")).alias("kinds")), pools(turns) if pool is None else pool, key, seed)
     rows = rows.join(wrong.withColumnRenamed("wrong", "__w").drop("kind"), key, "left")
     options, index, k = F.col("__l.options"), F.col("__l.index"), F.col(key).cast("string")
     # of more options than are kept, the right one and drawn others, in their order

@@ -184,3 +184,21 @@ def test_empty_inputs(spark):
     assert Q.cascade(empty).count() == 0
     assert metrics.metrics(spark.createDataFrame([], "label int, logits array<double>"), ["label"]).count() == 0
     assert joins.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_pooled_questions_draw_from_the_whole_pool(spark):
+    rows = [(str(i), i, "What is it?", f"a{i % 90}", "hot") for i in range(900)] + [(f"s{i}", i, "What is it?", f"b{i}", "small") for i in range(4)] + [(f"t{i}", i, "What is it?", f"c{i}", "tiny") for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, image_id int, question string, multiple_choice_answer string, question_type string").withColumn("answer_type", F.lit("other"))
+    told = {r.id: r for r in convert.vqav2(df).collect()}
+    again = {r.id: r.criteria for r in convert.vqav2(df.repartition(5)).collect()}
+    assert {i: r.criteria for i, r in told.items()} == again and set(told) == {r[0] for r in rows if r[4] != "tiny"}
+    right = {r[0]: r[3] for r in rows}
+    assert all(r.criteria[r.label] == right[i] and 2 <= len(set(r.criteria)) == len(r.criteria) <= 4 and len({o[0] for o in r.criteria}) == 1 for i, r in told.items())
+    assert {o for i, r in told.items() if i.isdigit() for o in r.criteria if o != right[i]} == {f"a{i}" for i in range(90)}
+
+
+def test_cascade_draws_from_the_whole_pool(spark):
+    turns = spark.createDataFrame([(i, "What is the color of the car?", f"c{chr(97 + i % 20)}") for i in range(300)], "id int, user string, assistant string")
+    told = [r for r in Q.cascade(turns).collect() if r.rule == "pool"]
+    assert len(told) == 300
+    assert len({o for r in told for j, o in enumerate(r.criteria) if j != r.label}) == 20
