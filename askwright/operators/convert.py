@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import sampling as S
 from ..functions import text as T
 from . import questions as Q
-from .joins import held_out_bases, word_negatives
+from .joins import held_out_bases, nearest
 
 CONVERTERS: dict[str, Callable[..., DataFrame]] = {}
 IMAGE, AUDIO, BOTH = Q.STATES["image"], Q.STATES["audio"], Q.STATES["image+audio"]
@@ -65,15 +65,24 @@ def labelled(df: DataFrame, label: str, which: str, is_it: str | None, state: st
     return out.unionByName(asked.select(*_row(key, state, "noul", F.replace(F.lit(is_it), F.lit("{}"), name(F.col("__s"))), None, F.col("__s") == F.col(label), split)))
 
 
-def captioned(df: DataFrame, state: str, split: str, seed: str, clip: str = "id", caption: str = "caption") -> DataFrame:
-    """Does this fit, and which fits, with a negative that shares a content word (else one drawn for the split)."""
+def captioned(df: DataFrame, state: str, split: str, seed: str, clip: str = "id", caption: str = "caption", near: DataFrame | None = None) -> DataFrame:
+    """Does this fit, and which fits, with a negative of the same split: a caption that shares a content word, drawn by the row from all
+    of a word drawn by the row, else any caption of the split.
+
+    No negative has the normalised text of a caption of the clip.  ``near`` (clip, negative) goes before both.
+    """
     told = df.select(F.col(clip).alias("clip"), F.col(caption).alias("caption"), F.col(split).alias("split")).where("caption <> ''")
-    near = word_negatives(told, seed, "clip", "caption")
-    spare = told.agg(F.min(F.struct(S.draw(seed, "clip").alias("d"), "clip", "caption")).alias("a"), F.max(F.struct(S.draw(seed, "clip").alias("d"), "clip", "caption")).alias("b"))
-    rows = told.join(near, ["clip", "caption"], "left").crossJoin(F.broadcast(spare))
-    rows = rows.withColumn("negative", F.coalesce("negative", F.when(F.col("a.clip") != F.col("clip"), F.col("a.caption")).when(F.col("b.clip") != F.col("clip"), F.col("b.caption"))))
     key = F.concat_ws(":", F.col("clip").cast("string"), F.md5("caption"))
-    rows = rows.where(F.col("negative").isNotNull() & (F.col("negative") != F.col("caption"))).withColumn("key", key)
+    told = told.distinct().withColumn("key", key).withColumn("norm", F.coalesce(F.nullif(T.normalise(F.col("caption")), F.lit("")), F.col("caption")))
+    whole = F.concat(F.col("split"), F.lit(":"))
+    told = told.withColumn("kinds", F.concat(S.shuffled(seed + "-word", F.transform(T.content_words(F.col("caption")), lambda w: F.concat(whole, w)), F.col("key")), F.array(whole)))
+    pool = told.select(F.explode("kinds").alias("kind"), F.col("norm").alias("answer"), "caption").groupBy("kind", "answer").agg(F.min("caption").alias("shown"))
+    own = told.groupBy("clip").agg(F.collect_set("norm").alias("answers"))
+    drawn = Q.drawn_pool(told.join(own, "clip").select("key", "answers", "kinds"), pool, "key", seed, 1, 1).select("key", F.col("wrong")[0].alias("negative"))
+    rows = told.join(drawn, "key", "left")
+    if near is not None:
+        rows = rows.join(near.select("clip", F.col("negative").alias("near")), "clip", "left").withColumn("negative", F.coalesce("near", "negative"))
+    rows = rows.where("negative is not null")
     shown = F.when(S.uniform(seed + "-coin", "key") < 0.5, F.col("caption")).otherwise(F.col("negative"))
     rows = rows.withColumns({"shown": shown, "options": _ordered(seed, F.col("key"), F.array("negative", "caption"))})
     match = rows.select(*_row(F.col("clip"), state, "noul", F.concat(F.lit('Does this description fit? "'), F.col("shown"), F.lit('"')), None, F.col("shown") == F.col("caption"), F.col("split")))
@@ -158,9 +167,26 @@ def gqa(df, images=None):
 
 
 @converter
-def cc3m(df):
-    """id, caption, split: captions of three words and more"""
-    return captioned(df.where(F.size(T.words(F.col("caption"))) >= 3), IMAGE, "split", "cc3m")
+def cc3m(df, vectors=None, k: int = 30, max_sim: float = 0.9):
+    """id, caption, split: captions of three words and more; with ``vectors`` (id, embedding) a negative is one of the nearest by ``nearest``
+
+    As in the reference the four nearest are passed over where there are more, and neighbours are of the same split.
+    """
+    df = df.where(F.size(T.words(F.col("caption"))) >= 3)
+    if vectors is None:
+        return captioned(df, IMAGE, "split", "cc3m")
+    near = None
+    for r in df.select("split").distinct().collect():
+        own = df.where(F.col("split") == r["split"]).select("id", "caption")
+        found = nearest(own.join(vectors.select("id", "embedding"), "id"), k, max_sim, key="id", text="caption")
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        return captioned(df, IMAGE, "split", "cc3m")
+    near = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("n"))
+    hard = F.when(F.size("n") > 4, F.slice("n", F.lit(5), F.lit(k))).otherwise(F.col("n"))
+    near = near.withColumn("hard", hard).select(F.col("id").alias("clip"), F.get("hard", S.whole("cc3m-near", F.size("hard"), "id"))["other"].alias("other"))
+    near = near.join(df.select(F.col("id").alias("other"), F.col("caption").alias("negative")), "other")
+    return captioned(df, IMAGE, "split", "cc3m", near=near)
 
 
 @converter

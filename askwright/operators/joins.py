@@ -108,13 +108,13 @@ def word_negatives(captions: DataFrame, seed: str, key: str = "clip", text: str
 def nearest(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3, block: int = 4096, key: str = "vec_id", vector: str = "embedding", text: str | None = None) -> DataFrame:
     """(key, rank, other, sim): the k most similar others below ``max_sim`` among the ``wide`` * k most similar.
 
-    Vectors are dealt to hashed blocks; each pair of blocks is one matrix product whose rows keep their best, so what is shuffled
+    With ``text``, others of the same normalised text are no neighbours.  Vectors are dealt to hashed blocks; each pair of blocks is one matrix product whose rows keep their best, so what is shuffled
     grows with the number of blocks and not with the number of pairs.  Exact; similarities are rounded to six places.
     """
     import numpy as np
     import pandas as pd
 
-    n = vectors.count()
+    n, kind = vectors.count(), "string" if vectors.schema[key].dataType.simpleString() == "string" else "long"
     blocks = max(1, -(-n // block))
     best = wide * k + 1
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
@@ -128,11 +128,15 @@ def nearest(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "sim": []})
         ids, sims = b["id"].to_numpy(), np.round(np.stack(a["v"]) @ np.stack(b["v"]).T, 6)
-        order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :best]
+        by_id = np.unique(ids.astype(str) if ids.dtype == object else ids, return_inverse=True)[1]
+        order = np.lexsort((np.broadcast_to(by_id, sims.shape), -sims), axis=1)[:, :best]
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), order.shape[1]), "other": ids[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
 
-    told = left.unionByName(right).groupBy("i", "j").applyInPandas(top, "id long, other long, sim double")
+    told = left.unionByName(right).groupBy("i", "j").applyInPandas(top, f"id {kind}, other {kind}, sim double")
     by = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     told = told.withColumn("r", F.row_number().over(by)).where(F.col("r") <= wide * k).where((F.col("other") != F.col("id")) & (F.col("sim") < max_sim))
+    if text is not None:
+        norm = vectors.select(F.col(key).alias("id"), F.md5(T.normalise(F.col(text))).alias("norm"))
+        told = told.join(norm, "id").join(norm.select(F.col("id").alias("other"), F.col("norm").alias("its")), "other").where("norm <> its").drop("norm", "its")
     told = told.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return told.select(F.col("id").alias(key), "rank", "other", "sim")

@@ -122,7 +122,8 @@ def fallback_pool(questions: DataFrame, pool: DataFrame, key: str, seed: str, le
 def drawn_pool(asked: DataFrame, pool: DataFrame, key: str, seed: str, least: int = 3, most: int = 3, buckets: int = 64) -> DataFrame:
     """(key, kind, wrong): ``most`` answers drawn by the key from all others of the first of its ``kinds`` that has ``least``.
 
-    ``asked`` has the key, ``answer`` and ``kinds``; ``pool`` has each (kind, answer) once and may have the text to show.  Answers are
+    ``asked`` has the key, ``kinds`` and ``answer`` (or distinct ``answers``, none of which is drawn); ``pool`` has each (kind, answer) once
+    and may have the text to show.  Answers are
     numbered in hashed buckets of their kind, so a common kind is not one task's; places are drawn without replacement from the
     kind's size and joined, so no answer is left out and no kind is ever an array.
     """
@@ -134,12 +135,19 @@ def drawn_pool(asked: DataFrame, pool: DataFrame, key: str, seed: str, least: in
     numbered = pool.withColumn("bucket", F.pmod(F.xxhash64("answer"), F.lit(buckets)).cast("int")).withColumn("nth", F.row_number().over(by) - 1)
     sized = pool.groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
     filled = numbered.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("filled"))
+    several = "answers" in asked.columns
+    asked = asked.select(key, F.explode("answers").alias("answer"), "kinds") if several else asked
     own = asked.select(key, "answer", F.posexplode("kinds").alias("rank", "kind")).join(sized, "kind").join(numbered.select("kind", "answer", "bucket", "nth"), ["kind", "answer"], "left")
-    own = own.withColumn("size", F.col("size") - F.col("nth").isNotNull().cast("int")).where(F.col("size") >= least)
-    best = own.groupBy(key).agg(F.min_by(F.struct("kind", "size", "bucket", "nth"), "rank").alias("__b")).select(key, "__b.*").join(filled, "kind")
-    before = F.aggregate(F.filter("filled", lambda b: b["bucket"] < F.col("bucket")), F.lit(0).cast("long"), lambda n, b: n + b["n"])
+    if several:
+        held = F.collect_list(F.when(F.col("nth").isNotNull(), F.struct("bucket", "nth")))
+        own = own.groupBy(key, "rank", "kind").agg(F.first("size").alias("size"), held.alias("own"))
+    else:
+        own = own.withColumn("own", F.array_compact(F.array(F.when(F.col("nth").isNotNull(), F.struct("bucket", "nth")))))
+    own = own.withColumn("size", F.col("size") - F.size("own")).where(F.col("size") >= least)
+    best = own.groupBy(key).agg(F.min_by(F.struct("kind", "size", "own"), "rank").alias("__b")).select(key, "__b.*").join(filled, "kind")
+    before = lambda o: F.aggregate(F.filter("filled", lambda b: b["bucket"] < o["bucket"]), F.lit(0).cast("long"), lambda n, b: n + b["n"])
     # drawn places are moved past the smaller ones that are taken: the answer's own, then those drawn before
-    taken, places = F.array_compact(F.array((before + F.col("nth")).cast("long"))), []
+    taken, places = F.transform("own", lambda o: before(o) + o["nth"]), []
     for i in range(most):
         free = F.pmod(F.conv(F.substring(S.draw(seed, F.lit(i), key), 1, 12), 16, 10).cast("long"), F.col("size") - i)
         best = best.withColumn(f"__{i}", F.aggregate(F.array_sort(taken), free, lambda at, t: at + (t <= at).cast("long")))

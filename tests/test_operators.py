@@ -202,3 +202,29 @@ def test_cascade_draws_from_the_whole_pool(spark):
     told = [r for r in Q.cascade(turns).collect() if r.rule == "pool"]
     assert len(told) == 300
     assert len({o for r in told for j, o in enumerate(r.criteria) if j != r.label}) == 20
+
+
+def test_caption_negatives_are_of_the_split_and_drawn_by_the_row(spark):
+    rows = [(f"r{i}", f"A common thing number {chr(97 + i // 26)}{chr(97 + i % 26)}", "train") for i in range(200)] + [(f"s{i}", f"a common thing in test {i}", "test") for i in range(9)]
+    rows += [("t0", "zyxw", "test"), ("t1", "Zyxw!", "test"), ("t2", "A Common thing in test 0", "test")]
+    df = spark.createDataFrame(rows, "id string, caption string, split string")
+    own, split = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    of = {r[1]: r[2] for r in rows}
+    told = [r for r in convert.captioned(df, "s", "split", "x").collect() if r.type == "choice"]
+    wrong = {r.id: r.criteria[1 - r.label] for r in told}
+    plain = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    assert set(wrong) == set(own) and all(r.criteria[r.label] == own[r.id] for r in told)
+    assert all(of[w] == split[i] and plain(w) != plain(own[i]) for i, w in wrong.items())
+    assert len({w for i, w in wrong.items() if split[i] == "train"}) > 90
+    clips = [(f"c{i // 3}", f"the dog barks {'abcdefghi'[i]}", "train") for i in range(9)]
+    for r in convert.captioned(spark.createDataFrame(clips, "id string, caption string, split string"), "s", "split", "x").where("type = 'choice'").collect():
+        assert {c[0] for c in clips if c[1] in r.criteria} - {r.id}
+
+
+def test_near_captions_differ_in_text(spark):
+    rows = [(f"c{i}", ["A red car here", "a red  car here!", "A blue car here", "A green car there"][i], "train", [1.0, 0.1 * i]) for i in range(4)]
+    df = spark.createDataFrame(rows, "id string, caption string, split string, embedding array<double>")
+    near = {(r.id, r.other) for r in joins.nearest(df, 3, 9.0, key="id", text="caption").collect()}
+    assert near == {(f"c{i}", f"c{j}") for i in range(4) for j in range(4) if i != j and {i, j} != {0, 1}}
+    told = convert.cc3m(df.drop("embedding"), df.select("id", "embedding"), max_sim=9.0).where("type = 'choice'").collect()
+    assert len(told) == 4 and all({f"c{j}" for j in range(4) if rows[j][1] == r.criteria[1 - r.label]} <= {o for i, o in near if i == r.id} for r in told)
