@@ -128,7 +128,7 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 3_000) -> list[tupl
 
     while True:
         while h.lengths and (fewest is None or used + -(-h.total // capacity) < fewest):
-            nodes -= 1
+            nodes -= best is not None  # the budget is for the search after the first plan, however long that is
             stack.append([options(), 0, None, 0])
             apply(stack[-1])
         if not h.lengths and (fewest is None or used < fewest):

@@ -180,6 +180,14 @@ def test_plans_reach_the_optimum_of_small_cases(seed):
     assert sum(t for _, t in plan) == best_bins(items, 20)
 
 
+def test_the_search_goes_on_after_a_first_plan_as_long_as_the_budget():
+    rng = random.Random(65)
+    counts = Counter(rng.randint(5, 60) for _ in range(24))
+    first = packing.plan(counts, 100, 0)
+    told = packing.plan(counts, 100, len(first))
+    assert sum(t for _, t in told) == -(-sum(x * n for x, n in counts.items()) // 100) < sum(t for _, t in first)
+
+
 def test_a_hot_length_is_one_pattern():
     plan = packing.plan({300: 1_000_000, 4096: 7, 1: 3}, 4096)
     assert len(plan) <= 4 and sum(t for _, t in plan) == 7 + -(-1_000_000 // 13)
