@@ -1,25 +1,28 @@
 """Packing token sequences by bin completion.
 
 Pieces of equal length are interchangeable, so the search runs on a histogram of lengths: at most ``capacity`` entries, whatever
-the number of documents.  The largest piece left opens a sequence; its completions, sets of smaller pieces, are
-enumerated by branch and bound with the best-fit filling as the first incumbent.  A filling in which a piece could be swapped
-for a larger one that fits is dominated and left out.  The chosen filling is used as often as its pieces last,
-which uses up at least one length, so a plan has no more patterns than there are lengths.  Branches whose waste cannot beat the
-incumbent plan are pruned; the search ends at the lower bound or after ``nodes`` nodes with the incumbent.
+the number of documents.  The best-fit-decreasing plan is the first incumbent, so no plan is worse than that.  Branch and bound then
+looks for one with fewer sequences: the largest piece left opens a sequence, and its completions, sets of smaller pieces, are
+enumerated with the least waste first.  A filling in which a piece could be swapped for a longer one that fits is dominated and left
+out; so is one that wastes more than a plan better than the incumbent can afford.  A filling is used as often as its pieces last,
+which uses up at least one length.  The search ends at a lower bound or after ``nodes`` steps, with the incumbent.
 
 Documents are tokenised where they are read.  Each piece gets a rank among those of its length (its rank within the task and an
 offset for each task and length), and rank and length give sequence and offset by a lookup in the plan.
 
-Defined cases: null texts are empty; an empty text is the end token alone; equal rows are separate pieces; empty tables give no
-rows; white space other than blank and newline is left to the tokenizer.
+Defined cases: null texts are empty; an empty text is the end token alone; equal rows are separate pieces, and so are rows of one
+id; a very long text is tokenised whole and cut into pieces; ties in length are broken by task and place in it; empty tables give no
+rows; only id and text are read, so extra columns of any name change nothing; white space other than blank and newline is left to
+the tokenizer.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -58,94 +61,188 @@ class Histogram:
             self.total += x * m * times
 
 
-def completions(h: Histogram, room: int, nodes: int = 400, most: int = 4) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to ``most`` undominated fillings of ``room``, (waste, pieces) with the least waste first."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left = nodes
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Best fit decreasing on a histogram: sequences of equal content are one group (pattern, how many).
 
-    def record(room: int, chosen: tuple[int, ...]) -> None:
+    A piece goes to the fullest sequence that has room, so all pieces of a length that a sequence takes go there together.  A length
+    splits two groups at most, hence the groups number no more than about three a length.
+    """
+    groups: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # by the room left
+    rooms: list[int] = []
+
+    def put(room: int, pattern: tuple[tuple[int, int], ...], times: int) -> None:
+        if room not in groups:
+            groups[room] = []
+            insort(rooms, room)
+        groups[room].append((pattern, times))
+
+    for x in sorted(counts, reverse=True):
+        n, at, made = counts[x], bisect_left(rooms, x), []
+        while n and at < len(rooms):
+            room = rooms[at]
+            many = room // x
+            pattern, times = groups[room].pop()
+            if not groups[room]:
+                del groups[room]
+                rooms.pop(at)
+            full = min(times, n // many)
+            rest = min(n - full * many, many) if full < times else 0
+            n -= full * many + rest
+            for k, of in ((many, full), (rest, int(rest > 0))):
+                if of:
+                    made.append((room - k * x, (*pattern, (x, k)), of))
+            if untouched := times - full - (rest > 0):
+                put(room, pattern, untouched)
+        many = capacity // x
+        for k, of in ((many, n // many), (n % many, int(n % many > 0))):
+            if of:
+                made.append((capacity - k * x, ((x, k),), of))
+        for m in made:
+            put(*m)
+    return [g for held in groups.values() for g in held]
+
+
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """No plan has fewer: all pieces over the capacity, and, for each least length that is looked at, pieces over half a sequence are
+    in sequences of their own and the shorter ones fill what is left there before they need more."""
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    pieces, size = (np.concatenate([[0], np.cumsum(v)]) for v in (n, n * x))  # of the first lengths
+    upto = lambda y: np.searchsorted(x, y, side="right")
+    half, least = upto(capacity // 2), x[2 * x <= capacity]
+    alone = upto(capacity - least)  # from here on a sequence has no room for a piece of the least length
+    between = pieces[alone] - pieces[half]
+    over = size[half] - size[np.searchsorted(x, least)] - (between * capacity - size[alone] + size[half])
+    found = pieces[-1] - pieces[alone] + between + np.maximum(0, -(-over // capacity))
+    return int(max(-(-size[-1] // capacity), pieces[-1] - pieces[half], found.max(initial=0)))
+
+
+def completions(h: Histogram, room: int, allowed: int, effort: int, spent: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Undominated fillings of ``room`` as (waste, pieces), those of less waste first, none that wastes more than ``allowed``.
+
+    A depth-first walk, longest pieces first, for ever wider bands of waste; a branch ends where all pieces that are left and fit could
+    not bring the waste into the band.  A band costs ``effort`` nodes at most (``spent[0]`` counts them all), so on dense
+    histograms a walk moves on to the next band instead of searching one without end.
+    """
+    held = [0, *accumulate(x * h.counts[x] for x in h.lengths)]  # what all pieces up to a length hold
+    yielded = False
+
+    def dominated(room: int, chosen: tuple[int, ...]) -> bool:
         for x in set(chosen):
             i = bisect_right(h.lengths, x + room) - 1
             if h.lengths[i] > x and h.counts[h.lengths[i]] > chosen.count(h.lengths[i]):
-                return  # dominated
-        found.append((room, chosen))
+                return True  # x could be swapped for a longer piece
+        return False
 
-    def go(room: int, limit: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal left
+    def go(room: int, limit: int, chosen: tuple[int, ...], low: int, high: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        top = bisect_right(h.lengths, min(room, limit)) - 1
         grown = False
-        for j in range(bisect_right(h.lengths, min(room, limit)) - 1, -1, -1):
+        for j in range(top, -1, -1):
             x = h.lengths[j]
+            if room - held[j + 1] > high:
+                return  # the waste bound: the rest is too little
             if h.counts[x] <= chosen.count(x):
                 continue
-            left -= 1
-            if left < 0:
-                return True
+            spent[0] += 1
+            left[0] -= 1
+            if left[0] < 0:
+                return
             grown = True
-            if go(room - x, x, (*chosen, x)):
-                return True
-        if not grown:
-            record(room, chosen)
-        return room == 0 and not grown  # nothing beats a filling without waste
-
-    go(room, room, ())
-    if not found:
-        chosen, rest = (), room  # best fit
-        while (j := bisect_right(h.lengths, rest) - 1) >= 0:
-            while j >= 0 and h.counts[h.lengths[j]] <= chosen.count(h.lengths[j]):
-                j -= 1
-            if j < 0:
-                break
-            chosen, rest = (*chosen, h.lengths[j]), rest - h.lengths[j]
-        found.append((rest, chosen))
-    return sorted(set(found), key=lambda x: (x[0], len(x[1])))[:most]
-
-
-def plan(counts: dict[int, int], capacity: int, nodes: int = 3_000) -> list[tuple[Pattern, int]]:
-    """[(pattern, times)] with as few sequences as the search finds."""
+            yield from go(room - x, x, (*chosen, x), low, high)
+        # a filling that a further piece fits in is dominated
+        if not grown and low <= room <= high and not dominated(room, chosen):
+            yield room, chosen
+
+    low, high = 0, 0
+    while low <= min(room, allowed):
+        left = [effort]
+        for filling in go(room, room, (), low, min(high, allowed)):
+            yielded = True
+            yield filling
+        low, high = high + 1, 2 * high + 1
+    if not yielded:  # the effort was spent before a leaf: best fit
+        chosen, rest = (), room
+        for j in range(bisect_right(h.lengths, room) - 1, -1, -1):
+            x = h.lengths[j]
+            many = min(rest // x, h.counts[x])
+            chosen, rest = chosen + (x,) * many, rest - many * x
+        if rest <= allowed:
+            yield rest, chosen
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int = 100_000, effort: int = 400) -> list[tuple[Pattern, int]]:
+    """[(pattern, times)]: best fit decreasing, or what the search finds that takes fewer sequences.
+
+    Depth-first branch and bound.  To beat an incumbent of F sequences a plan may waste (F - 1) * capacity less all pieces; each
+    pattern takes its waste from that, and a filling that takes more is not enumerated.  A filling is tried as often as
+    its pieces last and then once, so no plan is out of reach.  ``nodes`` bounds the steps of the whole search.
+    """
+    counts = {int(k): int(v) for k, v in counts.items() if v > 0}
+    best = best_fit(counts, capacity)
+    fewest = sum(t for _, t in best)
     h = Histogram(counts)
-    lower = -(-h.total // capacity)
-    best: list[tuple[Pattern, int]] | None = None
-    fewest = None
-    stack: list[list] = []  # [fillings, which, pattern, times]
-    used = 0
-
-    def options() -> list[Pattern]:
-        big = h.lengths[-1]
-        h.counts[big] -= 1  # it is in the sequence already
-        try:
-            fillings = completions(h, capacity - big)
-        finally:
+    total = h.total
+    lower = least_sequences(counts, capacity)
+    stack: list[list] = []  # [fillings, their largest piece, pattern, times, waste of the pattern, tried once]
+    wasted, spent = 0, [0]
+
+    def allowance() -> int:
+        return (fewest - 1) * capacity - total - wasted
+
+    def advance(entry: list) -> bool:
+        """Take the next choice of an entry whose last one was put back."""
+        nonlocal wasted
+        spent[0] += 1
+        if entry[2] is not None and entry[3] > 1 and not entry[5]:
+            pattern, times, waste, entry[5] = entry[2], 1, entry[4], True
+        else:
+            big = entry[1]
+            h.counts[big] -= 1  # it is in the sequence already
+            found = next(entry[0], None)
             h.counts[big] += 1
-        return [tuple(sorted(Counter((big, *c)).items(), reverse=True)) for _, c in fillings]
-
-    def apply(entry: list) -> None:
-        nonlocal used
-        pattern = entry[0][entry[1]]
-        times = min(h.counts[x] // m for x, m in pattern)
+            if found is None:
+                return False
+            waste = found[0]
+            pattern = tuple(sorted(Counter((big, *found[1])).items(), reverse=True))
+            times = min(h.counts[x] // m for x, m in pattern)
+            entry[5] = False
+        if waste and waste * times > allowance():
+            times = allowance() // waste
+            if times <= 0:
+                return advance(entry) if not entry[5] else False
+        entry[2:5] = [pattern, times, waste]
         h.take(pattern, times)
-        used += times
-        entry[2:] = [pattern, times]
-
-    while True:
-        while h.lengths and (fewest is None or used + -(-h.total // capacity) < fewest):
-            nodes -= best is not None  # the budget is for the search after the first plan, however long that is
-            stack.append([options(), 0, None, 0])
-            apply(stack[-1])
-        if not h.lengths and (fewest is None or used < fewest):
-            best, fewest = [(e[2], e[3]) for e in stack], used
-        if fewest == lower or (nodes <= 0 and best is not None):
-            return best or []
-        while stack:
-            entry = stack[-1]
-            h.put(entry[2], entry[3])
-            used -= entry[3]
-            if entry[1] + 1 < len(entry[0]):
-                entry[1] += 1
-                apply(entry)
-                break
-            stack.pop()
+        wasted += waste * times
+        return True
+
+    def undo(entry: list) -> None:
+        nonlocal wasted
+        h.put(entry[2], entry[3])
+        wasted -= entry[4] * entry[3]
+
+    forward = True
+    while fewest > lower and spent[0] <= nodes:
+        if forward and h.lengths:
+            big = h.lengths[-1]
+            spent[0] += 1
+            h.counts[big] -= 1
+            fillings = completions(h, capacity - big, allowance(), effort, spent)
+            h.counts[big] += 1
+            stack.append([fillings, big, None, 0, 0, False])
+            forward = advance(stack[-1])
+            if not forward:
+                stack.pop()
+            continue
+        if forward:  # all is placed, in fewer sequences than before
+            best, fewest = [(e[2], e[3]) for e in stack], sum(e[3] for e in stack)
         if not stack:
-            return best or []
+            break
+        entry = stack[-1]
+        undo(entry)
+        forward = advance(entry)
+        if not forward:
+            stack.pop()
+    return best
 
 
 class Lookup:
@@ -175,10 +272,12 @@ class WordCache(dict):
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of its runs in turn.  It also
     lower-cases and splits between a letter or digit and the punctuation after it, so A-Z are lower-cased here, and a run with such
-    a tail is read as two runs.  Beyond ``limit`` runs the cache starts anew.
+    a tail is read as two runs, where the letter is an ASCII or Latin-1 one.  Beyond ``limit`` runs the cache starts anew.
     """
 
-    TAIL = r"(?s)^(?P<core>.*[\pL0-9])(?P<tail>[.,;:!?%$&*#|]+)$"
+    # other letters are no letters any more, or end in a mark, once the tokenizer has composed and lower-cased them (U+0130, U+0958)
+    TAIL = r"(?s)^(?P<core>.*[a-zA-Z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])(?P<tail>[.,;:!?%$&*#|]+)$"
+    CAPITAL_AND_MARK = r"[A-Z][^\x00-\x{FF}]"
 
     def __init__(self, tokenizer, limit: int = 700_000):
         super().__init__()
@@ -223,7 +322,8 @@ class WordCache(dict):
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text.  Arrow cuts a portion of texts into runs, cores and tails and numbers the distinct ones."""
-        plain = pc.invert(pc.match_substring(texts, "<|"))  # a special token's string is one in small letters only
+        # a special token's string is one in small letters only, and some marks compose with a small letter only (y and U+030A)
+        plain = pc.invert(pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, self.CAPITAL_AND_MARK)))
         low = pc.if_else(plain, pc.ascii_lower(texts), texts)
         lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
         if isinstance(lists, pa.ChunkedArray):
@@ -302,7 +402,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             sequence, offset = lookup(length.to_numpy(), rank.to_numpy())
             yield pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    placed = pieces.join(offsets, ["part", "length"]).withColumn("at", place("length", F.col("rank") + F.col("before")))
+    # the table of offsets grows with the number of tasks, so it is merged, never broadcast
+    placed = pieces.join(offsets.hint("merge"), ["part", "length"]).withColumn("at", place("length", F.col("rank") + F.col("before")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
 
 

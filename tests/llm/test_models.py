@@ -1,7 +1,9 @@
+import bisect
 import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -123,6 +125,7 @@ def tokenizer():
 
 
 ODD = [(1, None), (2, ""), (3, "<|endoftext|>. Hi It's ain't x)., a%%%. don't. 5%. abc'. ''s ."), (4, "a\tb\r\n c d. İstanbul ΣΑΣ. ﬁ."), (5, "<|ENDOFTEXT|> A"), (6, "word, " * 9000), (6, "word, " * 9000), (7, "..., ,a .b. '"), (8, "x" * 5000)]
+ODD += [(9, "TR İ. ok İ, ı."), (10, "Y\u030a. y\u030a; \u0958. \u05e9\u05c1: \ufb2a!"), (11, "é. É, e\u0301. \u2126. ª. ½. \u1680x.")]
 
 
 def test_pieces_are_the_tokenizers(spark):
@@ -146,6 +149,55 @@ def test_pieces_are_the_tokenizers(spark):
     assert packing.pack(df.limit(0), packing.default_tokenizer()).count() == 0
 
 
+def test_runs_give_the_ids_of_whole_texts():
+    """Characters that composing or lower-casing changes, beside marks, punctuation and blanks of all kinds."""
+    import pyarrow as pa
+
+    def changed(c):
+        return c.lower() != c or c.upper() != c or unicodedata.normalize("NFC", c) != c or (ord(c) < 0x3000 and unicodedata.category(c) in ("Mn", "Lm", "Nl", "No", "Lo"))
+
+    odd = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and changed(c)]
+    plain = [*"abcXYZ019.,;:!?%$&*#|'\"()<>[]{}-_ \n\t\r\x0b\x0c\x85\xa0\u2028", "'s", "'RE", "<|endoftext|>", "<|", "|>", "<|EndOfText|>", "the", ". "]
+    rng, tk = random.Random(5), tokenizer()
+    cache = packing.WordCache(tk, limit=5_000)
+    for _ in range(20):
+        texts = ["".join(rng.choice(odd) if (r := rng.random()) < 0.25 else chr(rng.randrange(0x300, 0x36F)) if r < 0.32 else rng.choice(plain) for _ in range(rng.randint(0, 14))) for _ in range(1000)]
+        for text, got, want in zip(texts, cache.texts(pa.array(texts)), tk.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert got.tolist() == want.ids, text
+
+
+def plain_best_fit(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - x)
+    return len(rooms)
+
+
+def sequences(plan, items, capacity):
+    used = Counter()
+    for pattern, times in plan:
+        assert times > 0 and sum(x * m for x, m in pattern) <= capacity
+        for x, m in pattern:
+            used[x] += m * times
+    assert used == Counter(items)
+    return sum(t for _, t in plan)
+
+
+def test_no_plan_is_worse_than_best_fit():
+    rng, better = random.Random(1), 0
+    for _ in range(100):
+        capacity = rng.choice([20, 100, 4096])
+        low = rng.randint(1, capacity // 2)
+        items = [rng.randint(low, rng.randint(low, capacity)) for _ in range(rng.randint(1, 800))]
+        plain = plain_best_fit(items, capacity)
+        assert sequences(packing.best_fit(Counter(items), capacity), items, capacity) == plain
+        told = sequences(packing.plan(Counter(items), capacity, 5_000), items, capacity)
+        assert packing.least_sequences(Counter(items), capacity) <= told <= plain
+        better += told < plain
+    assert better > 5
+
+
 def best_bins(items, capacity):
     """Fewest bins, by trying every bin for every item."""
     best = len(items)
@@ -180,14 +232,19 @@ def test_plans_reach_the_optimum_of_small_cases(seed):
     assert sum(t for _, t in plan) == best_bins(items, 20)
 
 
-def test_the_search_goes_on_after_a_first_plan_as_long_as_the_budget():
+def test_the_search_goes_on_to_the_bound():
     rng = random.Random(65)
     counts = Counter(rng.randint(5, 60) for _ in range(24))
-    first = packing.plan(counts, 100, 0)
-    told = packing.plan(counts, 100, len(first))
+    first, told = packing.plan(counts, 100, 0), packing.plan(counts, 100)
     assert sum(t for _, t in told) == -(-sum(x * n for x, n in counts.items()) // 100) < sum(t for _, t in first)
 
 
+def test_the_search_beats_best_fit_where_it_can():
+    rng = random.Random(65)
+    items = [rng.randint(17, 69) for _ in range(1_500)]
+    assert sequences(packing.plan(Counter(items), 100), items, 100) < plain_best_fit(items, 100)
+
+
 def test_a_hot_length_is_one_pattern():
     plan = packing.plan({300: 1_000_000, 4096: 7, 1: 3}, 4096)
     assert len(plan) <= 4 and sum(t for _, t in plan) == 7 + -(-1_000_000 // 13)
