@@ -22,16 +22,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     """At most ``per_class`` documents of either label and ``max_bytes`` of text, in the order of a hash of the id.
 
     Only rows outside the held-out fold with label 0 or 1 are learnt from.  A document that does not fit in what is left of
-    ``max_bytes`` is passed over whole; none is cut.
+    ``max_bytes`` is passed over whole; none is cut.  Ids with both labels are left out, equal rows count once, and of an id with several
+    texts each is a document; at most 4 * ``per_class`` texts are looked at.  The sample does not depend on partitioning.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(label_id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__id")))
+    known = known.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most")).where("__label = __most").drop("__most")
     counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
     by = F.xxhash64("__id")
-    picked = known.where("__label = 0").orderBy(by, "__id").limit(per_class).unionByName(known.where("__label = 1").orderBy(by, "__id").limit(per_class)).dropDuplicates(["__id"])
+    picked = known.where("__label = 0").orderBy(by, "__id").limit(per_class).unionByName(known.where("__label = 1").orderBy(by, "__id").limit(per_class))
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     found = settle(texts.join(F.broadcast(picked), "__id").withColumn("__size", F.octet_length("__text")), "sample")
-    sizes = sorted(found.select(F.xxhash64("__id"), "__id", "__size", F.xxhash64("__text")).distinct().limit(4 * per_class).collect())
+    sizes = found.select(F.xxhash64("__id").alias("__by"), "__id", "__size", F.xxhash64("__text").alias("__mark")).distinct()
+    sizes = sizes.orderBy("__by", "__id", "__size", "__mark").limit(4 * per_class).collect()
     room, chosen = max_bytes, []
     for _, i, size, mark in sizes:
         if size <= room:

@@ -3,6 +3,7 @@ import math
 import os
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -26,13 +27,16 @@ def accuracy(spark, query, label, threshold):
 
 
 def test_quality_on_held_out_rows(spark):
-    right, _ = accuracy(spark, quality.op1_nb_svm_quality, "quality", 0.7)
-    assert right > 0.88
+    right, held = accuracy(spark, quality.op1_nb_svm_quality, "quality", 0.7)
+    most = sum(r.y for r in held) / len(held)
+    assert right > most + 0.02 and sum(r.predicted == r.y for r in held if not r.y) >= 0.6 * (1 - most) * len(held)
 
 
 def test_toxicity_on_held_out_rows(spark):
     right, held = accuracy(spark, toxicity.op4_crf_toxicity, "toxic", 0.3)
-    assert right > 0.88 and sum(r.predicted and r.y for r in held) >= 6
+    toxic = [r for r in held if r.y]
+    # always answering the majority is right for 1 - len(toxic) / len(held)
+    assert right > 1 - len(toxic) / len(held) + 0.05 and sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
 
 
 EDGES = [(1, None), (2, ""), (3, " \n "), (4, "scum " * 30_000), (5, "fine words here"), (5, "fine words here")]
@@ -90,15 +94,49 @@ def test_marginals_against_all_taggings():
 def test_gaps_are_exact():
     """Reading by matrix powers gives the marginals of the whole chain."""
     field = toxicity.ToxicField.__new__(toxicity.ToxicField)
-    field.weights, field.bias, field.trans, field.start = {"scum": 3.0, "idio": 2.0}, -1.5, np.array([[0.4, -0.6], [-0.2, 0.9]]), np.zeros(2)
+    field.weights, field.bias, field.trans, field.start = {"scum": (3.0, 0.0, 0.0), " idio": (2.0, 0.7, -0.4), "n ": (0.1, 0.0, 0.0)}, -1.5, np.array([[0.4, -0.6], [-0.2, 0.9]]), np.zeros(2)
     field._prepare()
-    text = "one two scum three four five idiot scum six seven"
-    tokens = text.split()
-    e = np.array([[field.bias + sum(w for f, w in field.weights.items() if f in t) for t in tokens]])
-    want, _ = toxicity._forward_backward(e, field.trans, field.start)
-    spans = field.read(text)[1]
-    assert [text[b:s] for b, s, _ in spans] == ["scum", "idiot", "scum"]
-    assert np.allclose([m for _, _, m in spans], want[0][[2, 6, 7]])
+    for text, told in (("one two scum three four five idiot scum six seven", ["scum", "five", "idiot", "scum", "seven"]), ("IDIOT, scumscum", ["IDIOT", "scumscum"]), ("noidiot ten", ["ten"])):
+        tokens = re.findall(r"[^\W_]+", text.lower())
+        has = [[f in f" {t} " for f in field.weights] for t in ["", *tokens, ""]]
+        own, before, after = np.array(list(field.weights.values())).T
+        e = np.array([[field.bias + own @ has[j] + before @ has[j - 1] + after @ has[j + 1] for j in range(1, len(tokens) + 1)]])
+        want, _ = toxicity._forward_backward(e, field.trans, field.start)
+        spans = field.read(text)[1]
+        assert [text[b:s] for b, s, _ in spans] == told
+        at = [len(re.findall(r"[^\W_]+", text[:b])) for b, _, _ in spans]
+        assert np.allclose([m for _, _, m in spans], want[0][at])
+
+
+def scum_field():
+    field = toxicity.ToxicField.__new__(toxicity.ToxicField)
+    field.weights, field.bias, field.trans, field.start = {" scum ": (9.0, 0.0, 0.0), "scu": (1.0, 0.0, 0.0)}, -4.0, np.zeros((2, 2)), np.zeros(2)
+    field._prepare()
+    return field
+
+
+@pytest.mark.parametrize("blank", [*"\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000", ", ", "_"])
+def test_tokens_end_at_every_blank(blank):
+    for text in (f"scum{blank}nice", f"nice{blank}scum{blank}end", f"İ{blank}SCUM"):
+        (begin, end, marginal) = scum_field().read(text)[1][0]
+        assert text[begin:end].lower() == "scum" and marginal > 0.9
+
+
+def test_very_long_tokens_are_read_in_linear_time():
+    started = time.monotonic()
+    spans = scum_field().read("scum" * 2_500_000 + " scum")[1]
+    assert len(spans) == 2 and spans[1][:2] == (10_000_001, 10_000_005) and time.monotonic() - started < 30
+
+
+def test_token_labels_come_from_the_other_half():
+    """A word that only one half has is no evidence there, whatever the field's features."""
+    calm = [f"a calm text number {i} about rivers" for i in range(80)]
+    bad = [f"you are {'scum' if i % 2 else 'vermin'} number {i}" for i in range(80)]
+    texts = [t for pair in zip(calm, bad, strict=True) for t in pair]
+    fit = [(toxicity._spaced(t)[0].split(), int(i % 2)) for i, t in enumerate(texts)]
+    both, *halves = toxicity._frequent(fit, 4, [((0, 1, 2, 3), 5.0), ((1,), 5.0), ((3,), 5.0)])
+    assert " scum " in both and " vermin " in both
+    assert all(not halves[0].count(w) or not halves[1].count(w) for w in (" scum ", " vermin "))
 
 
 def test_dual_coordinate_descent_separates():
