@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one is set only where the cluster names none (tests)."""
+    """The folder all executors see.  Without one a temporary folder serves a local master (tests); a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="askwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

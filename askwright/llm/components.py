@@ -18,7 +18,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v), root being the least node it is connected to.
 
     Alternates large-star and small-star steps; both keep connectivity, and edges never grow in number.  The state between
-    rounds is a table in the shared folder, so a lost executor costs one step.
+    rounds is a table in the shared folder, so a lost executor costs one step.  Rounds grow with the logarithm of the longest path;
+    a graph that is not settled after ``rounds`` of them is an error, never a result.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
@@ -32,4 +33,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,8 +10,10 @@ collision can add one.
 Up to ``max_literals`` test fingerprints are a literal set that each task holds (8 bytes each), and documents need
 no shuffle for the search.  Beyond, document minima are joined to the test fingerprints by a shuffle.
 
-Defined cases: null texts have no words; empty tables, repeated items and repeated rows are each judged on their
-own; extra columns of either table are not read.
+Defined cases: null texts have no words; empty tables give no rows, or rows without hits; repeated items and repeated
+rows are each judged on their own; a null item id is listed as an empty string, and items of one id are one item; equal minima
+are one mark, whichever run has them; very long texts are read whole, as one array of words; extra columns of either table are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def _tokenised(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
 
 def item_windows(benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, length, window, mark) for each window of each item."""
-    items = _tokenised(benchmark, text_col, F.col(id_col).cast("string").alias("item"))
+    items = _tokenised(benchmark, text_col, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"))
     out = None
     # posexplode_outer: for the inner form Catalyst infers a filter and evaluates the nested arrays again for each element
     for length in range(1, span + 1):
@@ -146,7 +148,7 @@ doc AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
         FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, doc.n, s, item_id FROM doc JOIN item ON doc.n = item.n AND doc.win = item.win),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS i FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""

@@ -1,8 +1,10 @@
 """Scores under an n-gram language model in an Elias-Fano trie.
 
 Counting: tasks count their n-grams and send them, sorted and compressed, to the shard of the first word; a shard adds them up and
-writes its part of a level to the shared folder.  Level 1 has every word (64-bit hash) with its exact count; deeper levels keep n-grams
-seen ``min_count`` times and more, under contexts that the level above keeps; the query keeps all (``min_count`` 1).  When all shards of
+writes its part of a level to the shared folder.  Level 1 has every word (a 64-bit hash that orders it, and a second one that tells it
+from others) with its exact count; two training words of one first hash make the fit start anew with another base, and a word that only
+agrees in the first hash is unknown.  Deeper levels keep n-grams
+seen ``min_count`` times and more, all of them by default, under contexts that the level above keeps.  When all shards of
 a level are counted its discount is known, and probabilities are written beside each shard.
 
 A level is a file for each shard.  Children of all contexts stand in one sequence; a monotone Elias-Fano sequence of
@@ -14,13 +16,16 @@ Probabilities are interpolated absolute discounts.  A child holds (c - D) / c(co
 one byte of a log scale, rounded down, so probabilities never sum to more than 1.  Counts of words are exact.
 
 The shared folder has to be a mounted path (``file:`` or plain), as files are mapped from it.  Defined cases: null texts are empty and
-have the end token alone; without training tokens every score is the base score of unknown tokens; an empty table gives no rows.
+have the end token alone; equal rows are each counted and get equal scores; a very long text is read whole; without training tokens
+every score is the base score of unknown tokens; an empty table gives no rows; only id and text are read, so extra columns of any name
+change nothing.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from hashlib import blake2b
 from urllib.parse import urlparse
 
 import numpy as np
@@ -49,30 +54,67 @@ def _decode(code: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, as many as were needed so far."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.base = base
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> None:
         if len(self.up) < n:
             n = 1 << max(16, n.bit_length())
-            for name, base in (("up", 0x9E3779B97F4A7C15), ("down", pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 x = np.full(n, base, np.uint64)
                 x[0] = 1
                 setattr(self, name, np.cumprod(x))
 
 
+def _odd(seed: int) -> int:
+    """5 modulo 8, so powers take longest to come back to 1."""
+    return int.from_bytes(blake2b(b"base %d" % seed, digest_size=8).digest(), "little") & ~7 | 5
+
+
+class Hasher:
+    """Two hashes of words: polynomials over the bytes in two bases; of long words, where polynomials modulo 2**64 are weak, a digest."""
+
+    LONG = 256  # the shortest texts known to collide for every base have 1,024 bytes
+
+    def __init__(self, seed: int):
+        self.salt = seed.to_bytes(4, "little")
+        self.powers = [Powers(_odd(2 * seed)), Powers(_odd(2 * seed + 1))]
+
+    def __call__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for powers in self.powers:
+            powers.upto(len(data) + 1)
+            prefix = np.zeros(len(data) + 1, np.uint64)
+            np.multiply(_LOWER[data], powers.up[: len(data)], out=prefix[1:])
+            np.cumsum(prefix[1:], out=prefix[1:])
+            h = (prefix[end] - prefix[begin]) * powers.down[begin]
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x94D049BB133111EB)
+            out.append(h ^ (h >> np.uint64(32)))
+        for i in np.flatnonzero(end - begin >= self.LONG).tolist():
+            told = blake2b(data[begin[i] : end[i]].tobytes().translate(LOWER_BYTES), digest_size=16, salt=self.salt).digest()
+            out[0][i], out[1][i] = (int.from_bytes(told[k : k + 8], "little") for k in (0, 8))
+        return out
+
+
 _LOWER = np.frombuffer(LOWER_BYTES, np.uint8).astype(np.uint64) + np.uint64(1)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: Stands for the end of a text; words hash elsewhere but by chance.
+#: Stands for the end of a text, in both hashes; words hash elsewhere but by chance.
 END = np.uint64(0xE7037ED1A0B428DB)
 
 
-def token_hashes(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words and an end of each text, number of tokens of each text), from the bytes of all texts at once."""
+def hasher(seed: int) -> Hasher:
+    return per_process(f"lm_hasher_{seed}", lambda: Hasher(seed))
+
+
+def token_hashes(texts: pa.Array, hashing: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(both hashes of the words and an end of each text, number of tokens of each text), from the bytes of all texts at once."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    powers.upto(len(data) + 1)
     inside = ~_SPACE[data]
     text_start = np.zeros(len(data) + 1, bool)
     text_start[offsets] = True
@@ -80,24 +122,20 @@ def token_hashes(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarra
     after = np.concatenate([inside[1:], [False]]) if len(data) else inside
     begin = np.flatnonzero(inside & (~before | text_start[:-1]))
     end = np.flatnonzero(inside & (~after | text_start[1:])) + 1
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * powers.up[: len(data)], out=prefix[1:])
-    h = (prefix[end] - prefix[begin]) * powers.down[begin]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(32)
     words = np.diff(np.searchsorted(begin, offsets))
-    out = np.full(len(h) + len(words), END)
-    out[np.arange(len(h)) + np.repeat(np.arange(len(words)), words)] = h
-    return out, words + 1
+    place = np.arange(len(begin)) + np.repeat(np.arange(len(words)), words)
+    out = []
+    for h in hashing(data, begin, end):
+        out.append(np.full(len(h) + len(words), END))
+        out[-1][place] = h
+    return out[0], out[1], words + 1
 
 
 class Model:
     """The levels that exist so far, mapped from ``folder``."""
 
-    def __init__(self, folder: str, bits: int, bases: np.ndarray, total: int, distinct: int, discount: float, order: int):
+    def __init__(self, folder: str, bits: int, bases: np.ndarray, total: int, distinct: int, discount: float, order: int, seed: int):
+        self.seed = seed
         self.folder, self.bits, self.bases, self.total, self.distinct, self.discount, self.order = folder, bits, bases, total, distinct, discount, order
         self.files: dict[tuple[int, int], dict] = {}
 
@@ -126,9 +164,13 @@ class Model:
         for a, b in zip(cut, [*cut[1:], len(s)], strict=True):
             yield int(s[a]), by[a:b]
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(id or -1, shard, count) of each word."""
-        unique, back = np.unique(hashes, return_inverse=True)
+        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        check = checks[first]
+        if (check[back] != checks).any():  # two words of one first hash
+            both, back = np.unique(np.stack([hashes, checks], 1), axis=0, return_inverse=True)
+            unique, check = both.T.copy()
         shard = (unique >> np.uint64(64 - self.bits)).astype(np.int64)
         ids, count = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
         for s, at in self.shards(shard):
@@ -138,7 +180,8 @@ class Model:
             width = np.uint64(level["items"].width)
             rest = unique[at] & np.uint64((1 << (64 - self.bits)) - 1)
             i = level["items"].find((rest >> width).astype(np.int64), rest & ((np.uint64(1) << width) - np.uint64(1)))
-            got = i >= 0
+            got = np.flatnonzero(i >= 0)
+            got = got[level["check"][i[got]] == check[at[got]]]
             ids[at[got]] = self.bases[s] + i[got]
             count[at[got]] = level["values"][level["codes"][i[got]]]
         return ids[back], shard[back], count[back]
@@ -180,12 +223,12 @@ def _scaled(word: np.ndarray, lo: np.ndarray, many: np.ndarray, distinct: int, w
     return lo + wide // distinct, ((wide % distinct).astype(np.uint64) << np.uint64(width)) // np.uint64(distinct)
 
 
-def contexts(model: Model, hashes: np.ndarray, sizes: np.ndarray, upto: int):
+def contexts(model: Model, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, upto: int):
     """ids, counts and, for each level from 2 to ``upto``, (shard, context) of every token; with the probability by the levels met."""
-    ids, shard, count = model.words(hashes)
+    ids, shard, count = model.words(hashes, checks)
     begin = np.zeros(len(ids), bool)
     begin[np.cumsum(sizes) - sizes] = True
-    end_id, end_shard, _ = model.words(np.array([END], np.uint64))
+    end_id, end_shard, _ = model.words(*np.full((2, 1), END))
     context = np.concatenate([[-1], ids[:-1]]) if len(ids) else ids
     at = np.concatenate([[0], shard[:-1]]) if len(ids) else shard
     context, at = np.where(begin, end_id[0], context), np.where(begin, end_shard[0], at)  # a text starts after an end
@@ -201,51 +244,65 @@ def contexts(model: Model, hashes: np.ndarray, sizes: np.ndarray, upto: int):
     return ids, count, at, context, p
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def _pack(keys: np.ndarray, counts: np.ndarray, checks: np.ndarray | None = None) -> bytes:
     d = np.diff(keys, prepend=np.uint64(0))
     planes = d.view(np.uint8).reshape(-1, 8).T.copy() if len(d) else d
-    return zstandard.ZstdCompressor(level=1).compress(len(d).to_bytes(8, "little") + planes.tobytes() + counts.astype("<u4").tobytes())
+    told = b"" if checks is None else checks.astype("<u8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(d).to_bytes(8, "little") + planes.tobytes() + counts.astype("<u4").tobytes() + told)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes, checked: bool = False) -> tuple[np.ndarray, ...]:
     data = zstandard.ZstdDecompressor().decompress(bytes(blob))
     n = int.from_bytes(data[:8], "little")
     d = np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n).T.copy().view("<u8").ravel()
-    return np.cumsum(d, dtype=np.uint64), np.frombuffer(data, "<u4", n, 8 + 8 * n)
+    out = (np.cumsum(d, dtype=np.uint64), np.frombuffer(data, "<u4", n, 8 + 8 * n))
+    return (*out, np.frombuffer(data, "<u8", n, 8 + 12 * n)) if checked else out
 
 
-def _add_up(blobs) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_unpack(b) for b in blobs]
-    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+def _add_up(blobs, checked: bool = False) -> tuple[np.ndarray, ...]:
+    """Keys in order with the sum of their counts; with the check of each if there are any, and whether a key had two."""
+    keys, counts, *checks = (np.concatenate(x) for x in zip(*(_unpack(b, checked) for b in blobs), strict=True))
     by = np.argsort(keys, kind="stable")
     keys, counts = keys[by], counts[by].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    first = np.flatnonzero(new)
+    out = (keys[first], np.add.reduceat(counts, first))
+    if not checked:
+        return out
+    check = checks[0][by]
+    return (*out, check[first], bool((check[1:][~new[1:]] != check[:-1][~new[1:]]).any()))
 
 
-def _send(shard: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+def _send(shard: np.ndarray, key: np.ndarray, check: np.ndarray | None = None) -> pa.RecordBatch:
     by = np.argsort(shard.astype(np.int16), kind="stable")
     shard, key = shard[by], key[by]
+    check = check if check is None else check[by]
     cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
     blobs = []
     for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
-        k = np.sort(key[a:b])
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        blobs.append(_pack(k[first], np.diff(np.append(first, len(k)))))
+        if check is None:
+            k = np.sort(key[a:b])
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            blobs.append(_pack(k[first], np.diff(np.append(first, len(k)))))
+        else:
+            by = np.argsort(key[a:b], kind="stable")
+            k, c = key[a:b][by], check[a:b][by]
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+            blobs.append(_pack(k[first], np.diff(np.append(first, len(k))), c[first]))
     return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int64)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
 
-def _count_words(bits: int, flush: int = 1 << 21):
+def _count_words(bits: int, seed: int, flush: int = 1 << 21):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, n = per_process("lm_powers", Powers), [], 0
+        hashing, held, n = hasher(seed), [], 0
 
         def out() -> pa.RecordBatch:
-            h = np.concatenate(held)
-            return _send((h >> np.uint64(64 - bits)).astype(np.int64), h & np.uint64((1 << (64 - bits)) - 1))
+            h, check = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _send((h >> np.uint64(64 - bits)).astype(np.int64), h & np.uint64((1 << (64 - bits)) - 1), check)
 
         for part in portions(batches, PORTION):
-            held.append(token_hashes(part.column("text"), powers)[0])
-            n += len(held[-1])
+            held.append(token_hashes(part.column("text"), hashing)[:2])
+            n += len(held[-1][0])
             if n >= flush:
                 yield out()
                 held, n = [], 0
@@ -258,22 +315,22 @@ def _count_words(bits: int, flush: int = 1 << 21):
 def _write_words(folder: str, bits: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        keys, counts = _add_up(group["blob"])
+        keys, counts, check, clash = _add_up(group["blob"], checked=True)
         values, codes = np.unique(counts, return_inverse=True)
         width = max(0, 64 - bits - len(keys).bit_length())
         arrays = Sequence.build("items", (keys >> np.uint64(width)).astype(np.int64), keys & np.uint64((1 << width) - 1), width, 1 << (64 - bits - width))
-        size = write_arrays(f"{folder}/1-{shard}", arrays | {"values": values, "codes": codes.astype("<u2" if len(values) < 1 << 16 else "<u4")})
-        return pd.DataFrame([(shard, len(keys), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum()), size)], columns=["shard", "n", "total", "once", "twice", "bytes"])
+        size = write_arrays(f"{folder}/1-{shard}", arrays | {"check": check, "values": values, "codes": codes.astype("<u2" if len(values) < 1 << 16 else "<u4")})
+        return pd.DataFrame([(shard, len(keys), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum()), size, clash)], columns=["shard", "n", "total", "once", "twice", "bytes", "clash"])
 
     return run
 
 
 def _count_grams(model: Model, k: int, flush: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, shards, keys, n = per_process("lm_powers", Powers), [], [], 0
+        hashing, shards, keys, n = hasher(model.seed), [], [], 0
         for part in portions(batches, PORTION):
-            hashes, sizes = token_hashes(part.column("text"), powers)
-            ids, _, at, context, _ = contexts(model, hashes, sizes, k)
+            hashes, checks, sizes = token_hashes(part.column("text"), hashing)
+            ids, _, at, context, _ = contexts(model, hashes, checks, sizes, k)
             of = np.flatnonzero((context >= 0) & (ids >= 0))
             shards.append(at[of])
             keys.append(context[of].astype(np.uint64) * np.uint64(model.distinct) + ids[of].astype(np.uint64))
@@ -344,7 +401,7 @@ def _discount(rows: list) -> float:
 _STATS = "shard long, n long, total long, once long, twice long, bytes long"
 
 
-def fit(docs: DataFrame, order: int = 3, min_count: int = 2, shard_bytes: int = 32 << 20, max_shards: int = 4096, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, order: int = 3, min_count: int = 1, shard_bytes: int = 32 << 20, max_shards: int = 4096, text_col: str = "text", seed: int = 0) -> Model:
     """The model of ``docs``.  The driver gets a row of sums for each shard, never n-grams."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -354,10 +411,12 @@ def fit(docs: DataFrame, order: int = 3, min_count: int = 2, shard_bytes: int =
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(max(int(total // shard_bytes).bit_length(), 2), max_shards.bit_length() - 1)
-    stats = settle(texts.mapInArrow(tidy(_count_words(bits)), "shard long, blob binary").groupBy("shard").applyInPandas(_write_words(place.path, bits), _STATS), "lm-words")
-    rows = {r["shard"]: r for r in stats.collect()}
+    words = texts.mapInArrow(tidy(_count_words(bits, seed)), "shard long, blob binary").groupBy("shard")
+    rows = {r["shard"]: r for r in settle(words.applyInPandas(_write_words(place.path, bits), f"{_STATS}, clash boolean"), "lm-words").collect()}
+    if any(r["clash"] for r in rows.values()):
+        return fit(docs, order, min_count, shard_bytes, max_shards, text_col, seed + 1)
     sizes = np.array([rows[s]["n"] if s in rows else 0 for s in range(1 << bits)], np.int64)
-    model = Model(place.path, bits, np.cumsum(sizes) - sizes, sum(r["total"] for r in rows.values()), int(sizes.sum()), _discount(list(rows.values())), 1)
+    model = Model(place.path, bits, np.cumsum(sizes) - sizes, sum(r["total"] for r in rows.values()), int(sizes.sum()), _discount(list(rows.values())), 1, seed)
     for k in range(2, order + 1):
         if model.total:
             stats = settle(texts.mapInArrow(tidy(_count_grams(model, k)), "shard long, blob binary").groupBy("shard").applyInPandas(_write_grams(model, k, min_count), _STATS), f"lm-{k}-grams")
@@ -372,10 +431,10 @@ def log_scores(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = per_process("lm_powers", Powers)
+        hashing = hasher(model.seed)
         for part in portions(batches, PORTION):
-            hashes, sizes = token_hashes(part.column("text"), powers)
-            _, count, _, _, p = contexts(model, hashes, sizes, model.order + 1)
+            hashes, checks, sizes = token_hashes(part.column("text"), hashing)
+            _, count, _, _, p = contexts(model, hashes, checks, sizes, model.order + 1)
             first = np.cumsum(sizes) - sizes
             base = np.log10((count + 1) / (model.total + model.distinct + 1))
             add = lambda x: np.add.reduceat(x, first)

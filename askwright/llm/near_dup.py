@@ -11,14 +11,20 @@ not listed; their spanning forests give the classes.
 Bands and rows: the most rows a band for which ``recall`` at the threshold needs no more than ``hashes`` MinHashes (30 bands of
 7 for 0.999 at 0.8).  Chained candidates are verified too, so recall is never less than that of the bands.
 
-Defined cases: null and empty texts have no n-grams and no links, each is alone in its class; a null id is smallest; copies
-count as links of each other; rows equal in id and text are two documents.
+Hashes only find candidates: inside a block runs of words are numbered by their words, so a link is one of full n-gram sets, and
+the threshold is compared in whole numbers.
+
+Defined cases: null and empty texts have no n-grams and no links, each is alone in its class; a null id is smallest, and of equal
+least ids the first row stays; copies count as links of each other; rows equal in id and text are two documents; a very long text is
+one set and its block holds it whole; empty tables give no rows; only id and text are read, so extra columns of any name are left as
+they are by ``drop_near_duplicates`` and not read by ``near_duplicates``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from hashlib import blake2b
 
 import numpy as np
@@ -75,6 +81,23 @@ def gram_hashes(words: list[bytes], n: int, cache: WordHashes) -> np.ndarray:
     return x
 
 
+def gram_sets(texts: list[list[bytes]], n: int) -> list[np.ndarray]:
+    """The set of runs of n words of each text, as numbers that two runs share only if their words are equal.
+
+    Words are numbered by their bytes, then runs of two by their pair of numbers, of three by the number of two and the third word, and
+    so on, so nothing is hashed.  A text of fewer words is one run, filled up with the number 0.
+    """
+    numbers: dict[bytes, int] = {}
+    words = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in t] + [0] * (n - len(t) if t else 0), np.int64) for t in texts]
+    runs = [max(0, len(w) - n + 1) for w in words]
+    column = lambda j: np.concatenate([w[j : j + k] for w, k in zip(words, runs, strict=True)])
+    x = column(0)
+    for j in range(1, n):
+        _, x = np.unique(x * (len(numbers) + 1) + column(j), return_inverse=True)
+    end = np.cumsum(runs)
+    return [np.unique(x[e - k : e]) for e, k in zip(end.tolist(), runs, strict=True)]
+
+
 def _signer(n: int, bands: int, rows: int, seed: int = 1):
     rng = np.random.default_rng(seed)
     factors = (rng.integers(0, 1 << 32, bands * rows, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -112,29 +135,32 @@ def _signer(n: int, bands: int, rows: int, seed: int = 1):
 def _verify(n: int, threshold: float):
     """Groups of rows (comp, left, right, node, block, copies, text), in order: links and a spanning forest of each."""
 
+    part = Fraction(str(threshold))
+
     def links(first: list[np.ndarray], second: list[np.ndarray] | None) -> np.ndarray:
-        """Which sets of ``first`` and ``second`` (or of ``first`` alone) are similar enough."""
+        """Which sets of ``first`` and ``second`` (or of ``first`` alone) are similar enough, in whole numbers."""
         sets = first + (second or [])
-        sizes = np.array([len(s) for s in sets], np.float32)
-        values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        values = np.concatenate(sets)
+        times = np.bincount(values)
         shared = times > 1  # the others are in no intersection
         place = np.cumsum(shared) - 1
-        row = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
-        of = shared[inverse]
-        row, col = row[of], place[inverse[of]]
+        row = np.repeat(np.arange(len(sets)), sizes)
+        of = shared[values]
+        row, col = row[of], place[values[of]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
         a = len(first)
-        common = np.zeros((a, len(second) if second else a), np.float32)
-        step = max(64, (1 << 23) // len(sets))
+        common = np.zeros((a, len(second) if second else a), np.int64)
+        step = min(max(64, (1 << 23) // len(sets)), 1 << 23)  # sums of so many ones are exact in float32
         for at in range(0, int(shared.sum()), step):
             lo, hi = np.searchsorted(col, [at, at + step])
             x = np.zeros((len(sets), min(step, int(shared.sum()) - at)), np.float32)
             x[row[lo:hi], col[lo:hi] - at] = 1
-            common += x[:a] @ (x[a:] if second else x).T
+            common += (x[:a] @ (x[a:] if second else x).T).astype(np.int64)
         left, right = sizes[:a], sizes[a:] if second else sizes
-        # counts are whole numbers; the slack keeps a quotient that equals the threshold
-        return common >= (threshold - 1e-6) * (left[:, None] + right[None, :] - common)
+        # common / (left + right - common) >= p / q
+        return common * (part.numerator + part.denominator) >= part.numerator * (left[:, None] + right[None, :])
 
     def forest(hit: np.ndarray, same: bool) -> np.ndarray:
         """Least index each row (and column) is connected to."""
@@ -152,12 +178,12 @@ def _verify(n: int, threshold: float):
                 return label
             label = new
 
-    def one(group: pd.DataFrame, cache: WordHashes) -> pd.DataFrame | None:
+    def one(group: pd.DataFrame) -> pd.DataFrame | None:
         same = group["left"].iloc[0] == group["right"].iloc[0]
         if not same:
             group = group.sort_values("block", kind="stable")
         nodes, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-        sets = [np.unique(gram_hashes(words_of(t), n, cache)) for t in group["text"]]
+        sets = gram_sets([words_of(t) for t in group["text"]], n)
         if same:
             hit = links(sets, None)
             np.fill_diagonal(hit, False)
@@ -175,7 +201,7 @@ def _verify(n: int, threshold: float):
         return pd.DataFrame({"u": nodes[some], "v": nodes[label[some]], "texts": texts[some], "docs": docs[some]}) if some.any() else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, held, of = WordHashes(), [], ["comp", "left", "right"]
+        held, of = [], ["comp", "left", "right"]
         for batch in batches:
             if not len(batch):
                 continue
@@ -184,18 +210,18 @@ def _verify(n: int, threshold: float):
             out = []
             for part in parts:
                 if held and (held[0][of].iloc[0] != part[of].iloc[0]).any():
-                    out.append(one(pd.concat(held), cache) if len(held) > 1 else one(held[0], cache))
+                    out.append(one(pd.concat(held)) if len(held) > 1 else one(held[0]))
                     held = []
                 held.append(part)
             if out := [x for x in out if x is not None]:
                 yield pd.concat(out)
-        if held and (last := one(pd.concat(held), cache)) is not None:
+        if held and (last := one(pd.concat(held))) is not None:
             yield last
 
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, hashes: int = 256, block: int = 2048, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, hashes: int = 256, block: int = 512, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, mark (hash of its text), text_id, class_id, n_copies, n_links, n_text_links, keep.
 
     text_id and class_id are the least ids among equal texts and in the class; n_links counts other documents at or above the

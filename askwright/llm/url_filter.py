@@ -10,8 +10,10 @@ and a batch of URLs is simulated together, byte position by byte position, longe
 drop out.  A pattern is matched when its last bit is set after the last byte.
 
 URLs are judged in canonical form: host with A-Z lower-cased, then the path; what precedes ``://``, the query and
-the fragment are cut.  Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and
-gets the default verdict; empty tables give no rows; very long URLs are read to the end.
+the fragment are cut.  Rules and globs are simulated together in one automaton.  Defined cases: a null URL or one without ``://``
+has an empty host and path, fits no rule and gets the verdict of the globs; of rules of equal length the first listed
+decides; repeated rows are each judged; empty tables give no rows; very long URLs are read to the end; the columns host, path, rule and
+verdict of the result take the place of columns of these names, also where one of them holds the URLs.
 """
 
 from __future__ import annotations
@@ -33,6 +35,21 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
+#: Glob rules of the query, host and path: what no rule names is blocked when one of these matches.  Without a path any path fits.
+BLOCK_GLOBS = (
+    "*casino*",
+    "*free-bets*",
+    "*betting*",
+    "*cheap-pills*",
+    "*ads-track*",
+    "*adserver*",
+    "ads.*",
+    "*/**.exe",
+    "*/**.apk",
+    "*/**.zip",
+    "*/cgi-bin/**",
+    "*/**wp-login**",
+)
 END = 0x00  # ends the host, so that no pattern for a host reaches into the path
 
 
@@ -124,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block
             owner.append(i)
     for glob in block_globs:
         host, slash, path = glob.partition("/")
-        globs.append(host.encode() + bytes([END]) + (slash + path).encode())
+        globs.append(host.encode() + bytes([END]) + ((slash + path).encode() if slash else b"**"))
         owner.append(-1)
     owner_of, verdicts, names = np.array(owner), [v for v, _ in rules], [r for _, r in rules]
     length = np.array([len(r) for r in names])
@@ -143,19 +160,25 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block
             yield pd.DataFrame({"rule": [names[i] if i >= 0 else None for i in best], "verdict": [verdicts[i] if i >= 0 else "block" if b else default for i, b in zip(best, blocked, strict=True)]})
 
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    parts = pages.withColumn("host", ascii_lower(F.regexp_extract(url, pattern, 1))).withColumn("path", F.regexp_extract(url, pattern, 2))
-    return parts.withColumn("__aw", judge("host", "path")).withColumn("rule", F.col("__aw.rule")).withColumn("verdict", F.col("__aw.verdict")).drop("__aw")
+    url = F.coalesce(pages[url_col], F.lit(""))
+    made = ("host", "path", "rule", "verdict")
+    others = [pages[c] for c in pages.columns if c.lower() not in made]
+    host, path = ascii_lower(F.regexp_extract(url, pattern, 1)), F.regexp_extract(url, pattern, 2)
+    parts = pages.select(*others, host.alias("host"), path.alias("path"))
+    return parts.withColumn("__aw", judge("host", "path")).select(*[c.name for c in parts.schema], "__aw.rule", "__aw.verdict")
 
 
 def op5_url_rules(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), block_globs=BLOCK_GLOBS).drop("url")
 
 
 _FITS = " ".join(f"WHEN starts_with(path, '/{r.partition('/')[2]}') AND (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) THEN '{r}'" for _, r in sorted(RULES, key=lambda x: -len(x[1])))
+#: The globs as SQL patterns; none of them holds a question mark, and hosts hold no slash.
+_LIKE = " OR ".join(f"(host LIKE '{h.replace('*', '%')}'" + (f" AND path LIKE '/{p.replace('**', '%').replace('*', '%')}')" if slash else ")") for h, slash, p in (g.partition("/") for g in BLOCK_GLOBS))
+_BLOCKED = ", ".join(f"'{r}'" for v, r in RULES if v == "block")
 ORACLE = {
     "op5_url_rules": f"""
-SELECT page_id, host, path, rule, CASE WHEN rule IN ({", ".join(f"'{r}'" for v, r in RULES if v == "block")}) THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKED}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN {_LIKE} THEN 'block' ELSE 'allow' END AS verdict
 FROM (SELECT *, CASE {_FITS} END AS rule
       FROM (SELECT page_id,
                    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 
 from askwright.llm import exact_dedup, sharding, url_filter
 
+from ..conftest import DATA
+
 ROWS = [(1, "Same Text", "x"), (2, "same text", "y"), (3, None, "z"), (4, "", "z"), (5, "É", "z"), (6, "é", "z"), (7, "long " * 60_000, "z"), (8, "LONG " * 60_000, "z"), (2, "same text", "y"), (None, "lonely", None), (9, "é", "z")]
 SCHEMA = "doc_id long, text string, kept string"
 
@@ -103,3 +106,48 @@ def test_blocking_globs_decide_where_no_rule_fits(spark):
     df = spark.createDataFrame([("http://spam.net/x/y",), ("http://fine.net/x",), ("http://spam.org/x",)], "url string")
     told = {r.url: r.verdict for r in url_filter.judge_urls(df, block_globs=["spam.*/**"]).collect()}
     assert told == {"http://spam.net/x/y": "block", "http://fine.net/x": "allow", "http://spam.org/x": "allow"}
+
+
+def test_url_columns_of_clashing_names(spark):
+    rows = [(1, "http://A.casino-win.net/en/1", "x", "y"), (2, "HTTP://ads.example.org/es/9?q#f", None, "z"), (3, None, "", ""), (4, "http://q.net/a/b.exe?x", "h", "p"), (5, "http://q.net", "h", "p")]
+    df = spark.createDataFrame(rows, "page_id int, url string, path string, Verdict string")
+    want = {1: ("a.casino-win.net", "/en/1", None, "block"), 2: ("ads.example.org", "/es/9", "example.org/es/", "block"), 3: ("", "", None, "allow"), 4: ("q.net", "/a/b.exe", None, "block"), 5: ("q.net", "", None, "allow")}
+    told = url_filter.judge_urls(df, block_globs=url_filter.BLOCK_GLOBS)
+    assert told.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in told.collect()} == want
+    held = url_filter.judge_urls(df.select("page_id", df.url.alias("host")), block_globs=url_filter.BLOCK_GLOBS, url_col="host")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in held.collect()} == want
+
+
+def test_the_query_has_globs_in_several_words():
+    globs = [g for _, r in url_filter.RULES for g in url_filter.rule_globs(r)] + [g.encode() for g in url_filter.BLOCK_GLOBS]
+    assert url_filter.GlobAutomaton(globs).words > 2
+
+
+def plain_place(number, n, seed):
+    """The Feistel network on Python integers."""
+    half = 1
+    while 4**half < n:
+        half += 1
+    x = number
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for i in range(6):
+            y = (right + ((seed + 1) * 0x9E3779B97F4A7C15 + i * 0xD1342543DE82EF95) % 2**64) % 2**64
+            y = ((y ^ y >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+            y = ((y ^ y >> 27) * 0x94D049BB133111EB) % 2**64
+            left, right = right, left ^ ((y ^ y >> 31) & (1 << half) - 1)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_shards_against_plain_integers(spark):
+    """The whole query: every row's size, crc, shard and slot from its place in the order of ids."""
+    told = {r.doc_id: r for r in sharding.op8_feistel_shards(spark, DATA).collect()}
+    docs = sorted((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    assert len(told) == len(docs)
+    for number, (i, data) in enumerate(docs):
+        place = plain_place(number, len(docs), 0)
+        r = told[i]
+        assert (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", place % 8, place // 8, None)

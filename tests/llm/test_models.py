@@ -325,7 +325,7 @@ def plain_scores(rows, train, order_discounts):
 def test_model_counts_and_probabilities(spark):
     df = spark.createDataFrame([(i, t, "e") for i, t in TEXTS], "doc_id long, text string, score string").repartition(2)
     train = [t for i, t in TEXTS if i < 9]
-    model = lm_score.fit(df.where("doc_id < 9"))
+    model = lm_score.fit(df.where("doc_id < 9"), min_count=2)
     told = lm_score.log_scores(model, df).collect()
     c1, n, words = plain_scores(TEXTS, train, None)
     assert (model.total, model.distinct) == (n, len(c1))
@@ -345,7 +345,7 @@ def test_model_counts_and_probabilities(spark):
         ends += 10 ** both[k]
     assert ends < 10**prefix * 40
     assert lm_score.log_scores(model, df.limit(0)).count() == 0
-    empty = lm_score.fit(df.limit(0))
+    empty = lm_score.fit(df.limit(0), min_count=2)
     assert empty.total == 0 and all(r.score == r.base_score == 0 and r.n_known == 0 for r in lm_score.log_scores(empty, df).collect())
 
 
@@ -394,6 +394,43 @@ def test_the_query_keeps_n_grams_seen_once(spark, monkeypatch):
         assert kept == len({g for w in train for g in zip(*([b"\n", *w][i:] for i in range(k)), strict=False)})
 
 
+def thue_morse(n):
+    return bytes(b"ab"[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [128, 255, 256, 1024, 4096])
+def test_words_that_polynomials_confuse_are_told_apart(spark, size):
+    a = thue_morse(size).decode()
+    b = a.translate({97: 98, 98: 97})
+    df = spark.createDataFrame([(1, f"{a} {a} x"), (2, f"{b} x"), (3, f"{a.upper()} {b}")], "doc_id long, text string")
+    model = lm_score.fit(df.where("doc_id < 2"))
+    told = {r.doc_id: r for r in lm_score.log_scores(model, df).collect()}
+    assert (model.total, model.distinct) == (4, 3)
+    assert [told[i].n_known for i in (1, 2, 3)] == [4, 2, 2]
+    want = [math.log10((c + 1) / (4 + 3 + 1)) for c in (2, 0, 1)]
+    assert math.isclose(told[3].base_score, sum(want))
+    assert lm_score.fit(df).distinct == 4
+
+
+def test_a_second_hash_tells_words_of_one_first_hash_apart(spark, monkeypatch):
+    """With a first hash that keeps four bits only, the fit starts anew, and a word that only agrees there is unknown."""
+    whole = lm_score.Hasher.__call__
+
+    def weak(self, data, begin, end):
+        first, second = whole(self, data, begin, end)
+        return [first >> np.uint64(60) << np.uint64(60) if self.salt == bytes(4) else first, second]
+
+    monkeypatch.setattr(lm_score.Hasher, "__call__", weak)
+    hashing = lm_score.Hasher(0)
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(40))]
+    first, second, _ = lm_score.token_hashes(pa.array([t.encode() for t in texts], pa.binary()), hashing)
+    keys, counts, _, clash = lm_score._add_up([lm_score._pack(np.sort(first), np.ones(len(first)), second[np.argsort(first)])], checked=True)
+    assert clash and len(keys) <= 17 and counts.sum() == 41
+    assert not lm_score._add_up([lm_score._pack(np.arange(3, dtype=np.uint64), np.ones(3), np.arange(3, dtype=np.uint64))] * 2, checked=True)[3]
+
+
 def test_held_out_texts_score_above_the_base(spark):
     rows = lm_score.op9_trie_lm(spark, BIG).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -116,6 +116,17 @@ def test_repeats_against_all_windows(spark, options):
     assert told == brute_repeats(rows)
 
 
+def test_repeats_by_ids_of_other_types(spark):
+    base = " ".join(WORDS)
+    rows = [("b", base), ("a", "x " + base), ("c", base + " y"), (None, base[:60]), ("d", "short"), ("b", base)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(2)
+    place = {i: k for k, i in enumerate([None, "a", "b", "c", "d"])}
+    numbered = spark.createDataFrame([(place[i], t) for i, t in rows], "doc_id long, text string")
+    told = sorted((place[r.doc_id], r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect())
+    assert told == sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(numbered).collect())
+    assert sum(n for _, n, _, _ in told) > 300
+
+
 def test_repeats_of_the_fixture_and_of_nothing(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     told = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(d).collect()), key=repr)
