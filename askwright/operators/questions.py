@@ -51,13 +51,18 @@ def rotate(rows: DataFrame, options: str = "options", answer: str = "answer", ke
 
 
 def shuffle_options(rows: DataFrame, seed: str, key: str, options: str = "options", label: str = "label", probs: str | None = None) -> DataFrame:
-    """Options in a drawn order, the label (and each option's probability) moved along."""
+    """Options in a drawn order, the label (and each option's probability) moved along.
+
+    A row with fewer than two options, as those of yes-or-no questions, is left as it is.
+    """
     zipped = F.transform(F.col(options), lambda o, i: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), i.cast("string"))).alias("d"), i.alias("i"), o.alias("o"), *([F.get(F.col(probs), i).alias("p")] if probs else [])))
-    rows = rows.withColumn("__z", F.array_sort(zipped))
-    rows = rows.withColumn(label, (F.array_position(F.transform("__z", lambda z: z["i"]), F.col(label)) - 1).cast("int")).withColumn(options, F.transform("__z", lambda z: z["o"]))
+    some = F.coalesce(F.size(options), F.lit(0)) > 1
+    moved = lambda new, old: F.when(some, new).otherwise(F.col(old))
+    rows = rows.withColumn("__z", F.when(some, F.array_sort(zipped)))
+    told = {label: moved((F.array_position(F.transform("__z", lambda z: z["i"]), F.col(label)) - 1).cast("int"), label), options: moved(F.transform("__z", lambda z: z["o"]), options)}
     if probs:
-        rows = rows.withColumn(probs, F.transform("__z", lambda z: z["p"]))
-    return rows.drop("__z")
+        told[probs] = moved(F.transform("__z", lambda z: z["p"]), probs)
+    return rows.withColumns(told).drop("__z")
 
 
 def prompt(kind: Column, instructions: Column, options: Column, context: Column) -> Column:

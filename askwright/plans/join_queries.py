@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import assembly as A
 from ..operators import joins as J
 from ..operators import questions as Q
 from ..operators import spatial as B
@@ -20,8 +21,9 @@ def contamination_summary(spark, sf_dir):
 
 
 def _images(spark, sf_dir):
+    """Every document: its whole text stands for the image, language and source for the question."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.md5(F.substring("text", 1, 40)).alias("image"), F.regexp_extract("text", r"^\S+", 0).alias("text"), F.when(F.col("doc_id") % 3 == 0, "test").when(F.col("doc_id") % 3 == 1, "train").alias("split"))
+    return d.select(F.col("doc_id").alias("id"), F.md5("text").alias("image"), F.concat_ws(" ", "lang", "source").alias("text"), F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("split"))
 
 
 def overlap_tags(spark, sf_dir):
@@ -50,10 +52,10 @@ def feature_lookup_all_present(spark, sf_dir):
 
 
 def frame_spans(spark, sf_dir):
-    """Frames of each clip's half-open span, by an equi-join on the store and a range on the frame."""
+    """Frames of each clip's half-open span."""
     spans = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi")).withColumn("store", F.col("conv_id") % 8)
     frames = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("store"), F.expr("vec_id div 8").alias("frame"), "vec_id")
-    told = spans.join(frames, "store").where("frame >= lo and frame < hi")
+    told = A.frames_of(spans, frames)
     return told.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
 
 
@@ -206,10 +208,10 @@ def json_nested(spark, sf_dir):
 
 
 def multilabel_absent(spark, sf_dir):
-    """Vocabulary languages that a source has no document in."""
-    d = table(spark, sf_dir, "documents")
+    """Labels (language and number of digits of the length) that a source has no document of."""
+    d = table(spark, sf_dir, "documents").select("source", F.concat(F.col("lang"), F.lit("-"), F.length(F.col("n_chars").cast("string")).cast("string")).alias("lang"))
     vocab = d.agg(F.array_sort(F.collect_set("lang")).alias("vocab"))
-    have = d.where("doc_id % 40 < 4").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("have"))
+    have = d.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("have"))
     return have.crossJoin(F.broadcast(vocab)).select("source", F.array_join(F.array_except("vocab", "have"), "|").alias("absent"))
 
 
@@ -224,8 +226,8 @@ def music_questions(spark, sf_dir):
 
 _LOWER = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 _PAIRS = f"(SELECT doc_id, item_id FROM (SELECT doc_id, ' ' || {_LOWER} || ' ' AS d FROM documents), (SELECT item_id, {_LOWER} AS i FROM benchmark) WHERE i <> '' AND contains(d, ' ' || i || ' '))"
-_IMAGES = r"img AS (SELECT doc_id AS id, md5(substr(text, 1, 40)) AS image, trim(regexp_replace(lower(regexp_extract(text, '^\S+')), '[^a-z0-9]+', ' ', 'g')) AS t, doc_id % 3 AS s FROM documents)"
-_TAGS = f"""WITH {_IMAGES}, tr AS (SELECT * FROM img WHERE s = 1) SELECT id, CASE WHEN EXISTS (SELECT 1 FROM tr WHERE tr.image = e.image AND tr.t = e.t) THEN 'question' ELSE 'image' END AS tag FROM img e WHERE s = 0 AND EXISTS (SELECT 1 FROM tr WHERE tr.image = e.image)"""
+_IMAGES = r"img AS (SELECT doc_id AS id, md5(text) AS image, lang || ' ' || source AS t, doc_id % 3 AS s FROM documents)"
+_TAGS = f"""WITH {_IMAGES}, tr AS (SELECT * FROM img WHERE s > 0) SELECT id, CASE WHEN EXISTS (SELECT 1 FROM tr WHERE tr.image = e.image AND tr.t = e.t) THEN 'question' ELSE 'image' END AS tag FROM img e WHERE s = 0 AND EXISTS (SELECT 1 FROM tr WHERE tr.image = e.image)"""
 _CAPTIONS = r"cap AS (SELECT * FROM (SELECT doc_id AS clip, regexp_replace(regexp_extract(text, '^[^.\n]*'), '\s+', ' ', 'g') AS caption FROM documents WHERE lang = 'en') WHERE caption <> '')"
 _NEG = f"""{_CAPTIONS}, wd AS (SELECT DISTINCT clip, caption, unnest(list_filter(regexp_extract_all(lower(caption), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}))) AS word FROM cap),
 top AS (SELECT word, clip AS k, caption AS t, md5('neg:' || word || ':' || clip) AS d FROM wd QUALIFY row_number() OVER (PARTITION BY word ORDER BY md5('neg:' || word || ':' || clip), clip) <= 2),
@@ -277,7 +279,7 @@ s AS (SELECT *, least(n, greatest(0, 512 - (3 + hk + os) - 1)) AS sk FROM h)
 SELECT doc_id, CAST(hk AS INT) AS head, CAST(os AS INT) AS options, CAST(sk AS INT) AS state, CAST(len(list_filter(range(1, len(kept) + 1), lambda i: 2 + hk + coalesce(list_sum(kept[1:i - 1]), 0) < 512)) AS INT) AS markers, CAST(least(512, 3 + hk + os + sk + 1) AS INT) AS total FROM s""",
     "json_list_choices": "SELECT * FROM (VALUES (1, 'a|b'), (5, 'x')) v(id, options)",
     "json_nested": "SELECT CAST(k // 10 AS BIGINT) AS decade, count(*) AS n, min(k) AS low FROM (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY 1",
-    "multilabel_absent": "SELECT source, array_to_string(list_filter(v, lambda x: NOT list_contains(h, x)), '|') AS absent FROM (SELECT source, list(DISTINCT lang) AS h FROM documents WHERE doc_id % 40 < 4 GROUP BY 1), (SELECT list_sort(list(DISTINCT lang)) AS v FROM documents)",
+    "multilabel_absent": "SELECT source, array_to_string(list_filter(v, lambda x: NOT list_contains(h, x)), '|') AS absent FROM (SELECT source, list(DISTINCT lang || '-' || length(CAST(n_chars AS VARCHAR))) AS h FROM documents GROUP BY 1), (SELECT list_sort(list(DISTINCT lang || '-' || length(CAST(n_chars AS VARCHAR)))) AS v FROM documents)",
     "music_questions": """WITH e AS (SELECT 60 + event_id % 90 AS bpm, event_id * 7 % 100 / 100.0 AS prob, event_id % 2 = 0 AS minor, event_id % 6 AS metre FROM events)
 SELECT kind, label, count(*) AS n FROM (SELECT 'tempo' AS kind, CASE WHEN bpm < 80 THEN 0 WHEN bpm < 120 THEN 1 ELSE 2 END AS label FROM e WHERE least(abs(bpm - 80), abs(bpm - 120)) > 5 UNION ALL SELECT 'mode', CAST(minor AS INT) FROM e WHERE prob > 0.6 UNION ALL SELECT 'metre', CAST(metre = 4 AS INT) FROM e WHERE metre IN (3, 4)) GROUP BY 1, 2""",
 }

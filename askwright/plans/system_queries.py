@@ -17,8 +17,12 @@ from ..streaming import append
 
 
 def _dir(spark) -> str:
-    """A fresh folder all executors see: under the cluster's checkpoint folder, else (tests) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A fresh folder all executors see: under the cluster's checkpoint folder; a local one serves a local master (tests) alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/askwright-core/{uuid.uuid4().hex}"
 
 
@@ -109,7 +113,7 @@ def typed_predictions(spark, sf_dir):
 
 def jsonl_round_trip(spark, sf_dir):
     path = _dir(spark)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("source"), F.when(F.col("doc_id") % 4 > 0, F.lit("train")).alias("split"), F.substring("text", 1, 60).alias("state"), F.struct(F.lit("noul").alias("type"), F.lit("Is it?").alias("instructions"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("criteria")).alias("question"), F.lit(1).alias("label"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("source"), F.when(F.col("doc_id") % 4 > 0, F.lit("train")).alias("split"), F.col("text").alias("state"), F.struct(F.lit("noul").alias("type"), F.lit("Is it?").alias("instructions"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("criteria")).alias("question"), F.lit(1).alias("label"))
     writers.write_rows(d, path)
     back = readers.question_rows(spark, path)
     return back.groupBy("source", "split", "question.type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("state").alias("states"))
@@ -148,7 +152,7 @@ ORACLE = {
 OR (p_partkey % 3 = 2 AND (SELECT count(DISTINCT q.p_type) FROM part q WHERE q.p_partkey % 3 = 2 AND q.p_brand = p.p_brand) >= 4) GROUP BY 1""",
     "typed_predictions": """SELECT n_nationkey AS request_id, 'place' AS qid, CASE WHEN n_nationkey % 2 = 0 THEN 'far' ELSE 'near' END AS choice, round(1 + (p * ln(p) + (1 - p) * ln(1 - p)) / ln(2), 4) AS confidence, NULL AS error FROM nation, (SELECT exp(1) / (1 + exp(1)) AS p)
 UNION ALL SELECT n_nationkey, 'bad', NULL, NULL, 'choice needs criteria' FROM nation WHERE n_nationkey < 5""",
-    "jsonl_round_trip": "SELECT lang AS source, CASE WHEN doc_id % 4 > 0 THEN 'train' ELSE 'test' END AS split, 'noul' AS type, count(*) AS n, count(DISTINCT substr(text, 1, 60)) AS states FROM documents GROUP BY 1, 2",
+    "jsonl_round_trip": "SELECT lang AS source, CASE WHEN doc_id % 4 > 0 THEN 'train' ELSE 'test' END AS split, 'noul' AS type, count(*) AS n, count(DISTINCT text) AS states FROM documents GROUP BY 1, 2",
     "stream_append": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "append_with_resume": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }

@@ -71,8 +71,8 @@ def normalised_texts(spark, sf_dir):
 
 
 def content_words(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(T.content_words(F.col("text"))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    words = table(spark, sf_dir, "documents").select(F.explode(T.content_words(F.col("text"))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_captions(spark, sf_dir):
@@ -190,7 +190,7 @@ ORACLE = {
     "clean_answers": f"SELECT id, {_CLEAN.format('assistant')} AS answer FROM {_USER_TURNS}",
     "question_kinds": f"""SELECT rank, kind, count(*) AS n FROM (SELECT unnest([0, 1, 2]) AS rank, unnest([{_KIND.format('text', 4)}, {_KIND.format('text', 3)}, {_KIND.format('text', 2)}]) AS kind FROM conversations WHERE role = 'user') GROUP BY 1, 2""",
     "normalised_texts": "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents",
-    "content_words": f"""SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})))) AS word FROM documents WHERE lang = 'en') GROUP BY 1 HAVING count(*) >= 20""",
+    "content_words": f"""SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})))) AS word FROM documents) GROUP BY 1""",
     "alternatives": _rows("id, options", "(1, 'blue|gray')", "(2, 'light blue|dark red')", "(3, 'left|right')", "(7, 'man|woman')"),
     "numbers": "SELECT id, CAST(v AS DOUBLE) AS value FROM (VALUES (1, 1234), (2, 7), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, 0.5), (8, NULL)) t(id, v)",
     "number_options": f"SELECT p_partkey, array_to_string(list_transform({_NEAR_SQL}, lambda x: CAST(CAST(round(x, 2) AS DECIMAL(18, 2)) AS VARCHAR)), ' ') AS near FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v FROM part)",
