@@ -380,7 +380,7 @@ def _cut(bits: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_anchors: int = 250_000, chunk_bytes: int = 8 << 20, part_bytes: int = 32 << 20, hot: int = 1 << 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_anchors: int = 250_000, chunk_bytes: int = 8 << 20, hot: int = 1 << 16) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
@@ -396,20 +396,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         chunks += 2  # a prime, so ids in steps are dealt evenly
     order = F.coalesce(F.col("doc_id" if whole else "__place").cast("long"), F.lit(NONE_FIRST))
     chunk = F.pmod("ord", F.lit(chunks))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // part_bytes))  # a task's share does not grow
     texts = texts.select("doc_id", order.alias("ord"), F.xxhash64("text").alias("mark"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     told = exact_duplicates(texts, key=F.col("text"), narrow=["doc_id", "ord", "mark", "n_bytes"], least=True)
     copies = settle(told.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("keep_id", "group_size", "kept"), "copies")
     named = copies.select(F.pmod("ord", F.lit(chunks)).alias("chunk"), F.lit(2).alias("kind"), F.col("mark").alias("bucket"), F.lit(None).cast("binary").alias("blob"), "ord").distinct()
     removed = F.col("n_bytes") >= SPAN
     copies = copies.select("doc_id", "n_bytes", F.when(removed, F.col("n_bytes")).otherwise(F.lit(0)).alias("n_removed"), removed.cast("long").alias("n_spans"), F.when(removed, F.lit(sha256(b"").hexdigest())).otherwise(F.col("text_sha256")).alias("kept_sha256"))
-    chunked = texts.select("doc_id", "ord", "mark", "text", chunk.alias("chunk")).repartition(parts, "chunk").groupBy("chunk")
+    chunked = texts.select("doc_id", "ord", "mark", "text", chunk.alias("chunk")).groupBy("chunk")
     blobs = texts.select("ord", "text").mapInArrow(tidy(_send_anchors(bits)), "bucket long, blob binary")
-    repeated = settle(blobs.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_repeated_anchors(chunks, hot), "chunk long, kind int, bucket long, blob binary"), "anchors")
+    repeated = settle(blobs.groupBy("bucket").applyInPandas(_repeated_anchors(chunks, hot), "chunk long, kind int, bucket long, blob binary"), "anchors")
     repeated = repeated.withColumn("ord", F.lit(None).cast("long")).unionByName(named)
-    runs = chunked.cogroup(repeated.repartition(parts, "chunk").groupBy("chunk")).applyInPandas(_send_runs(bits), "bucket long, chunk long, blob binary")
-    answers = settle(runs.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_sort_bucket, "chunk long, kind int, bucket long, blob binary"), "answers")
-    told = repeated.unionByName(answers.withColumn("ord", F.lit(None).cast("long"))).repartition(parts, "chunk")
+    runs = chunked.cogroup(repeated.groupBy("chunk")).applyInPandas(_send_runs(bits), "bucket long, chunk long, blob binary")
+    answers = settle(runs.groupBy("bucket").applyInPandas(_sort_bucket, "chunk long, kind int, bucket long, blob binary"), "answers")
+    told = repeated.unionByName(answers.withColumn("ord", F.lit(None).cast("long")))
     cut = chunked.cogroup(told.groupBy("chunk")).applyInPandas(_cut(bits), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return cut.unionByName(copies)
 
