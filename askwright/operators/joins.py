@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sampling as S
 from ..functions import text as T
+from .questions import drawn_pool
 
 
 def attach_teacher(rows: DataFrame, teacher: DataFrame, keys: list[str], options: str = "k", order: str = "ord") -> DataFrame:
@@ -92,17 +94,20 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 8, doc_id: s
 
 
 def word_negatives(captions: DataFrame, seed: str, key: str = "clip", text: str = "caption") -> DataFrame:
-    """For each caption another clip's caption that shares a content word: the least by draw among its words' candidates.
+    """For each caption another clip's that shares a content word: the word drawn by the row, then the caption from all of that word.
 
-    Each word keeps its two least captions by draw, of different clips, so one of them is always another clip's: no word,
-    however common, brings more than two candidates.
+    Captions of one text count once and none is drawn that the clip has itself.  Words carry digests; texts are joined at the end.
+    Repeated rows count once; captions that share no word with another have no row, nor have null ones.
     """
-    words = captions.select(F.col(key), F.col(text), F.explode(T.content_words(F.col(text))).alias("word"))
-    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col("word"), F.col(key).cast("string")))
-    one = words.groupBy("word", key).agg(F.min(F.struct(draw.alias("d"), F.col(key).alias("k"), F.col(text).alias("t"))).alias("c"))
-    ranked = one.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy("c"))).where("r <= 2").select("word", "c")
-    told = words.select("word", F.col(key), F.col(text)).join(ranked, "word").where(F.col("c.k") != F.col(key))
-    return told.groupBy(key, text).agg(F.min("c").alias("c")).select(key, text, F.col("c.t").alias("negative"))
+    told = captions.select(F.col(key), F.col(text)).where(F.col(text).isNotNull()).distinct().withColumn("__own", F.md5(F.col(text)))
+    words = told.select(F.col(key), "__own", T.content_words(F.col(text)).alias("__words")).withColumn("__row", F.concat_ws(":", F.col(key).cast("string"), "__own"))
+    pool = words.select(F.explode("__words").alias("kind"), F.col("__own").alias("answer")).distinct()
+    held = words.groupBy(key).agg(F.collect_set("__own").alias("answers"))
+    asked = words.join(held, key).select("__row", "answers", S.shuffled(seed + "-word", F.col("__words"), F.col("__row")).alias("kinds"))
+    drawn = drawn_pool(asked, pool, "__row", seed, 1, 1).select("__row", F.col("wrong")[0].alias("__other"))
+    texts = told.groupBy(F.col("__own").alias("__other")).agg(F.first(text).alias("negative"))
+    rows = words.select(F.col(key), "__own", "__row").join(drawn, "__row").join(texts, "__other")
+    return rows.join(told, [key, "__own"]).select(key, text, "negative")
 
 
 def nearest(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3, block: int = 4096, key: str = "vec_id", vector: str = "embedding", text: str | None = None) -> DataFrame:

@@ -104,40 +104,20 @@ def pools(turns: DataFrame) -> DataFrame:
     return short.select(F.explode(F.array_distinct(T.question_kinds(F.col("question")))).alias("kind"), "answer").distinct()
 
 
-def fallback_pool(questions: DataFrame, pool: DataFrame, key: str, seed: str, least: int = 3, most: int = 3) -> DataFrame:
-    """For each (key, question, answer) up to ``most`` drawn wrong answers of its most specific kind that has ``least``.
-
-    Wrong answers of a kind are ranked once for the pool; the answer itself takes at most one place, so ``most`` + 1 ranked candidates
-    and the kind's size are enough, whatever the size of the pool.  All questions of a kind so share their wrong answers: this is the
-    rule of the SQL of ``pool_fallback``; the cascade and the converters use ``drawn_pool``.
-    """
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("kind").orderBy(S.draw(seed, "kind", "answer"), "answer")
-    ranked = pool.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most + 1)
-    sized = pool.groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
-    best = ranked.join(sized, "kind").groupBy("kind", "size").agg(F.array_sort(F.collect_list(F.struct("place", F.col("answer").alias("wrong")))).alias("candidates"))
-    asked = questions.select(key, "answer", F.posexplode(T.question_kinds(F.col("question"))).alias("rank", "kind"))
-    own = asked.join(pool.withColumn("own", F.lit(1)), ["kind", "answer"], "left").join(best, "kind")
-    own = own.where(F.col("size") - F.coalesce("own", F.lit(0)) >= least)
-    told = own.withColumn("wrong", F.slice(F.filter(F.transform("candidates", lambda c: c["wrong"]), lambda w: w != F.col("answer")), 1, most))
-    return told.groupBy(key).agg(F.min_by(F.struct("kind", "wrong"), "rank").alias("__b")).select(key, "__b.kind", "__b.wrong")
-
-
 def drawn_pool(asked: DataFrame, pool: DataFrame, key: str, seed: str, least: int = 3, most: int = 3, buckets: int = 64) -> DataFrame:
     """(key, kind, wrong): ``most`` answers drawn by the key from all others of the first of its ``kinds`` that has ``least``.
 
     ``asked`` has the key, ``kinds`` and ``answer`` (or distinct ``answers``, none of which is drawn); ``pool`` has each (kind, answer) once
     and may have the text to show.  Answers are
-    numbered in hashed buckets of their kind, so a common kind is not one task's; places are drawn without replacement from the
-    kind's size and joined, so no answer is left out and no kind is ever an array.
+    numbered in buckets of their kind by md5, so a common kind is not one task's and SQL can repeat the numbers; places are drawn
+    without replacement from the kind's size and joined, so no answer is left out and no kind is ever an array.
     """
     from pyspark.sql import Window
 
     assert most <= least
     pool = pool if "shown" in pool.columns else pool.withColumn("shown", F.col("answer"))
     by = Window.partitionBy("kind", "bucket").orderBy("answer")
-    numbered = pool.withColumn("bucket", F.pmod(F.xxhash64("answer"), F.lit(buckets)).cast("int")).withColumn("nth", F.row_number().over(by) - 1)
+    numbered = pool.withColumn("bucket", (F.conv(F.substring(F.md5("answer"), 1, 4), 16, 10).cast("int") % buckets)).withColumn("nth", F.row_number().over(by) - 1)
     sized = pool.groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
     filled = numbered.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("filled"))
     several = "answers" in asked.columns

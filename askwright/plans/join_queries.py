@@ -93,8 +93,8 @@ def knn_hard_negatives(spark, sf_dir):
 
 
 def _captions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return d.select(F.col("doc_id").alias("clip"), F.regexp_replace(F.regexp_extract("text", r"^[^.\n]*", 0), r"\s+", " ").alias("caption")).where("caption <> ''")
+    """Every document: its whole text is the caption of its id."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip"), F.col("text").alias("caption"))
 
 
 def caption_negatives(spark, sf_dir):
@@ -104,10 +104,10 @@ def caption_negatives(spark, sf_dir):
 def caption_match_pick(spark, sf_dir):
     """A match question and a pick question for each caption with a mined negative."""
     rows = caption_negatives(spark, sf_dir).withColumn("coin", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("coin"), F.col("clip").cast("string"))), 1, 1), 16, 10).cast("int") < 8)
-    options = F.array_distinct(F.array("negative", "caption"))
-    match = F.struct(F.lit("match").alias("kind"), F.when(F.col("coin"), F.col("caption")).otherwise(F.col("negative")).alias("shown"), (F.col("coin") | (F.col("negative") == F.col("caption"))).cast("int").alias("label"))
-    pick = F.when(F.size(options) > 1, F.struct(F.lit("pick").alias("kind"), F.array_join(options, "|").alias("shown"), (F.array_position(options, F.col("caption")) - 1).cast("int").alias("label")))
-    return rows.select("clip", F.inline(F.array_compact(F.array(match, pick))))
+    options = F.array("negative", "caption")
+    match = F.struct(F.lit("match").alias("kind"), F.when(F.col("coin"), F.col("caption")).otherwise(F.col("negative")).alias("shown"), F.col("coin").cast("int").alias("label"))
+    pick = F.struct(F.lit("pick").alias("kind"), F.array_join(options, "|").alias("shown"), F.lit(1).alias("label"))
+    return rows.select("clip", F.inline(F.array(match, pick)))
 
 
 def _boxes(spark, sf_dir):
@@ -228,10 +228,13 @@ _LOWER = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 _PAIRS = f"(SELECT doc_id, item_id FROM (SELECT doc_id, ' ' || {_LOWER} || ' ' AS d FROM documents), (SELECT item_id, {_LOWER} AS i FROM benchmark) WHERE i <> '' AND contains(d, ' ' || i || ' '))"
 _IMAGES = r"img AS (SELECT doc_id AS id, md5(text) AS image, lang || ' ' || source AS t, doc_id % 3 AS s FROM documents)"
 _TAGS = f"""WITH {_IMAGES}, tr AS (SELECT * FROM img WHERE s > 0) SELECT id, CASE WHEN EXISTS (SELECT 1 FROM tr WHERE tr.image = e.image AND tr.t = e.t) THEN 'question' ELSE 'image' END AS tag FROM img e WHERE s = 0 AND EXISTS (SELECT 1 FROM tr WHERE tr.image = e.image)"""
-_CAPTIONS = r"cap AS (SELECT * FROM (SELECT doc_id AS clip, regexp_replace(regexp_extract(text, '^[^.\n]*'), '\s+', ' ', 'g') AS caption FROM documents WHERE lang = 'en') WHERE caption <> '')"
-_NEG = f"""{_CAPTIONS}, wd AS (SELECT DISTINCT clip, caption, unnest(list_filter(regexp_extract_all(lower(caption), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}))) AS word FROM cap),
-top AS (SELECT word, clip AS k, caption AS t, md5('neg:' || word || ':' || clip) AS d FROM wd QUALIFY row_number() OVER (PARTITION BY word ORDER BY md5('neg:' || word || ':' || clip), clip) <= 2),
-neg AS (SELECT w.clip, w.caption, arg_min(t, (d, k)) AS negative FROM wd w JOIN top USING (word) WHERE k <> w.clip GROUP BY 1, 2)"""
+_NEG = f"""cap AS (SELECT DISTINCT doc_id AS clip, text AS caption, md5(text) AS own FROM documents WHERE text IS NOT NULL),
+wd AS (SELECT DISTINCT clip, own, unnest(list_filter(regexp_extract_all(lower(caption), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}))) AS word FROM cap),
+pool AS (SELECT word, own, row_number() OVER (PARTITION BY word ORDER BY CAST('0x' || substr(md5(own), 1, 4) AS INT) % 64, own) - 1 AS place, count(*) OVER (PARTITION BY word) - 1 AS size FROM (SELECT DISTINCT word, own FROM wd)),
+pick AS (SELECT clip, own, word, place, CAST('0x' || substr(md5('neg:0:' || clip || ':' || own), 1, 12) AS BIGINT) % size AS free FROM wd JOIN pool USING (word, own) WHERE size >= 1
+QUALIFY row_number() OVER (PARTITION BY clip, own ORDER BY md5('neg-word:' || clip || ':' || own || ':' || word), word) = 1),
+txt AS (SELECT own AS other, min(caption) AS negative FROM cap GROUP BY 1),
+neg AS (SELECT p.clip, c.caption, t.negative FROM pick p JOIN pool o ON o.word = p.word AND o.place = p.free + CAST(p.place <= p.free AS INT) JOIN txt t ON t.other = o.own JOIN cap c ON c.clip = p.clip AND c.own = p.own)"""
 _BOXES = """bx AS (SELECT event_id // 6 AS image_id, 'object ' || (event_id * 7 % 13) AS name, CAST(event_id * 37 % 500 AS DOUBLE) AS x, CAST(event_id * 53 % 400 AS DOUBLE) AS y, 20 + CAST(event_id * 29 % 120 AS DOUBLE) AS w, 20 + CAST(event_id * 31 % 90 AS DOUBLE) AS h, event_id % 17 = 0 AS crowd FROM events),
 sg AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY image_id, name) AS n FROM bx WHERE NOT crowd) WHERE n = 1 AND w * h >= 0.01 * 640 * 480)"""
 _CRIT = "(SELECT r_name, list(n_name ORDER BY n_name) AS k, list(CASE WHEN n_nationkey % 2 = 0 THEN 'nation ' || n_nationkey END ORDER BY n_name) AS v FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"
@@ -254,7 +257,7 @@ SELECT conv_id, CAST(coalesce(len(m), 0) AS INT) AS n FROM c WHERE NOT EXISTS (S
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) <= 15), u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS rank FROM t WHERE other <> vec_id AND sim < 0.35) SELECT vec_id, CAST(rank AS INT) AS rank, other, sim FROM u WHERE rank <= 5""",
     "caption_negatives": f"WITH {_NEG} SELECT * FROM neg",
     "caption_match_pick": f"""WITH {_NEG}, c AS (SELECT *, substr(md5('coin:' || clip), 1, 1) < '8' AS coin FROM neg)
-SELECT clip, 'match' AS kind, CASE WHEN coin THEN caption ELSE negative END AS shown, CAST(coin OR negative = caption AS INT) AS label FROM c UNION ALL SELECT clip, 'pick', negative || '|' || caption, 1 FROM c WHERE negative <> caption""",
+SELECT clip, 'match' AS kind, CASE WHEN coin THEN caption ELSE negative END AS shown, CAST(coin AS INT) AS label FROM c UNION ALL SELECT clip, 'pick', negative || '|' || caption, 1 FROM c""",
     "spatial_cells": f"""WITH {_BOXES} SELECT image_id, name, ['top left', 'top', 'top right', 'left', 'center', 'right', 'bottom left', 'bottom', 'bottom right'][CAST(least(2, floor((y + h / 2) / 480 * 3)) * 3 + least(2, floor((x + w / 2) / 640 * 3)) AS INT) + 1] AS cell FROM sg""",
     "spatial_pairs": f"""WITH {_BOXES}, pr AS (SELECT p.image_id, p.name AS p, q.name AS q, ((p.x + p.w / 2) - (q.x + q.w / 2)) / 640 AS dx, ((p.y + p.h / 2) - (q.y + q.h / 2)) / 480 AS dy, p.w * p.h / greatest(1, q.w * q.h) AS ratio,
 p.x + p.w < q.x OR q.x + q.w < p.x AS ax, p.y + p.h < q.y OR q.y + q.h < p.y AS ay FROM sg p JOIN sg q ON p.image_id = q.image_id AND p.name < q.name QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY md5('pairs:' || p.image_id || ':' || p.name || ':' || q.name)) <= 3)

@@ -132,8 +132,9 @@ def pool_collect(spark, sf_dir):
 
 def pool_fallback(spark, sf_dir):
     q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lit("what is"), F.regexp_replace("p_type", "[0-9]+", "")).alias("question"), F.col("p_name").alias("answer"))
-    pool = q.select(F.explode(F.array_distinct(T.question_kinds(F.col("question")))).alias("kind"), "answer").distinct()
-    return Q.fallback_pool(q, pool, "id", "pool").select("id", "kind", F.array_join("wrong", "|").alias("wrong"))
+    q = q.withColumn("kinds", T.question_kinds(F.col("question")))
+    pool = q.select(F.explode(F.array_distinct("kinds")).alias("kind"), "answer").distinct()
+    return Q.drawn_pool(q.select("id", "answer", "kinds"), pool, "id", "pool").select("id", "kind", F.array_join("wrong", "|").alias("wrong"))
 
 
 def finetune_rows(spark, sf_dir):
@@ -209,10 +210,14 @@ ORACLE = {
     "finetune_rows": """SELECT file, media, 'Which language?' AS instructions, CASE media WHEN 'image' THEN 'Image.' ELSE 'Audio clip.' END AS state, 'choice' AS type, CAST(list_position(labels, lang) - 1 AS INT) AS label
 FROM (SELECT 'clips/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.WAV' WHEN 1 THEN '.jpg' ELSE '.txt' END AS file, CASE doc_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'image' END AS media, lang FROM documents), (SELECT list_sort(list(DISTINCT lang)) AS labels FROM documents) WHERE media IS NOT NULL""",
     "pool_fallback": f"""WITH q AS (SELECT p_partkey AS id, 'what is ' || regexp_replace(p_type, '[0-9]+', '', 'g') AS question, p_name AS answer FROM part),
-k AS (SELECT id, answer, unnest([0, 1, 2]) AS rank, unnest([{_KIND.format('question', 4)}, {_KIND.format('question', 3)}, {_KIND.format('question', 2)}]) AS kind FROM q), pool AS (SELECT DISTINCT kind, answer FROM k),
-s AS (SELECT k.id, k.kind, k.rank, p.answer AS wrong, md5('pool:' || k.kind || ':' || p.answer) AS d FROM k JOIN pool p ON p.kind = k.kind AND p.answer <> k.answer),
-r AS (SELECT *, count(*) OVER (PARTITION BY id, rank) AS c, row_number() OVER (PARTITION BY id, rank ORDER BY d, wrong) AS place FROM s)
-SELECT id, kind, string_agg(wrong, '|' ORDER BY place) AS wrong FROM r WHERE c >= 3 AND place <= 3 AND rank = (SELECT min(rank) FROM r x WHERE x.id = r.id AND x.c >= 3) GROUP BY id, kind""",
+k AS (SELECT id, answer, unnest([0, 1, 2]) AS rank, unnest([{_KIND.format('question', 4)}, {_KIND.format('question', 3)}, {_KIND.format('question', 2)}]) AS kind FROM q),
+pool AS (SELECT kind, answer, row_number() OVER (PARTITION BY kind ORDER BY CAST('0x' || substr(md5(answer), 1, 4) AS INT) % 64, answer) - 1 AS place, count(*) OVER (PARTITION BY kind) - 1 AS size FROM (SELECT DISTINCT kind, answer FROM k)),
+own AS (SELECT id, kind, place AS p, size FROM k JOIN pool USING (kind, answer) WHERE size >= 3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) = 1),
+f AS (SELECT *, {", ".join(f"CAST('0x' || substr(md5('pool:{i}:' || id), 1, 12) AS BIGINT) % (size - {i}) AS f{i}" for i in range(3))} FROM own),
+a AS (SELECT *, f0 + CAST(p <= f0 AS INT) AS a0 FROM f), b AS (SELECT *, f1 + CAST(least(p, a0) <= f1 AS INT) AS m1 FROM a), c AS (SELECT *, m1 + CAST(greatest(p, a0) <= m1 AS INT) AS a1 FROM b),
+d AS (SELECT *, list_sort([p, a0, a1]) AS t, f2 + CAST(list_sort([p, a0, a1])[1] <= f2 AS INT) AS m2 FROM c), e AS (SELECT *, m2 + CAST(t[2] <= m2 AS INT) AS m3 FROM d),
+g AS (SELECT id, kind, unnest([0, 1, 2]) AS draw, unnest([a0, a1, m3 + CAST(t[3] <= m3 AS INT)]) AS place FROM e)
+SELECT id, kind, string_agg(answer, '|' ORDER BY draw) AS wrong FROM g JOIN pool USING (kind, place) GROUP BY id, kind""",
 }
 _FUNCTIONS = [parse_lettered, parse_listed, split_context, strip_hints, clean_answers, question_kinds, normalised_texts, content_words, split_captions, alternatives, numbers, number_options, null_like_filter, humanised_labels, answer_requests, path_parts, turn_cascade, turn_cascade_pairs, pool_collect, pool_fallback, finetune_rows]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
