@@ -102,5 +102,19 @@ def op8_feistel_shards(spark, sf_dir: str) -> DataFrame:
     return shuffle_shards(table(spark, sf_dir, "documents"))
 
 
-ORACLE: dict[str, str] = {}
+# CRC-32 a byte at a time, and the network a round at a time in numbers modulo 2^64; a number is done when it is inside after a whole pass
+_WIDE = lambda x, by: f"CAST(CAST({x} AS UHUGEINT) * {by} % 18446744073709551616 AS UBIGINT)"
+ORACLE: dict[str, str] = {
+    "op8_feistel_shards": f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+raw AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, CASE WHEN h = '' THEN 0 ELSE xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) END AS text_crc32 FROM raw, crc),
+docs AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS number FROM sized),
+net AS (SELECT count(*) AS n, greatest(1, CAST(ceil(log2(greatest(1, count(*))) / 2) AS INT)) AS half, {[_round_key(0, i) for i in range(ROUNDS)]}::UBIGINT[] AS keys FROM docs),
+walk(number, l, r, i, n, half, keys) AS (SELECT number, CAST(number >> half AS UBIGINT), CAST(number & ((1 << half) - 1) AS UBIGINT), 0, n, half, keys FROM docs, net
+UNION ALL SELECT number, r, xor(l, xor(z, z >> 31) & CAST((1 << half) - 1 AS UBIGINT)), i + 1, n, half, keys
+FROM (SELECT *, {_WIDE('xor(y, y >> 27)', 0x94D049BB133111EB)} AS z FROM (SELECT *, {_WIDE('xor(x, x >> 30)', 0xBF58476D1CE4E5B9)} AS y
+FROM (SELECT *, CAST((CAST(r AS UHUGEINT) + keys[i % {ROUNDS} + 1]) % 18446744073709551616 AS UBIGINT) AS x FROM walk WHERE i = 0 OR i % {ROUNDS} > 0 OR l * CAST(1 << half AS UBIGINT) + r >= n)))),
+placed AS (SELECT number, CAST(l * CAST(1 << half AS UBIGINT) + r AS BIGINT) AS place FROM walk WHERE i > 0 AND i % {ROUNDS} = 0 AND l * CAST(1 << half AS UBIGINT) + r < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % 8 AS INT) AS shard, place // 8 AS slot, CAST(NULL AS INT) AS grown_shard FROM docs JOIN placed USING (number)""",
+}
 QUERIES = {"op8_feistel_shards": op8_feistel_shards}
