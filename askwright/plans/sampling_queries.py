@@ -121,7 +121,11 @@ def _u(text: str) -> str:
 _DIGIT = "(instr('0123456789abcdef', substr(h, i, 1)) - 1)"
 _MOD20 = f"(SELECT doc_id, ((instr('0123456789abcdef', substr(h, 32, 1)) - 1) + 16 * list_sum(list_transform(range(1, 32), lambda i: {_DIGIT}))) % 20 AS bucket FROM (SELECT doc_id, md5(text) AS h FROM documents))"
 _SHUF = "list_transform(list_sort(list_transform(range(1, len({o}) + 1), lambda i: [md5('{seed}:' || {key} || ':' || (i - 1)), CAST(i AS VARCHAR)])), lambda s: CAST(s[2] AS INT))"
+# CRC-32 of the digits of doc_id: the table of the reflected polynomial, then a byte at a time
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+_CRC = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"
 ORACLE = {
+    "split_crc32_mod10": f"SELECT doc_id, CASE WHEN {_CRC} % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents, (SELECT {_CRC_TABLE} AS t)",
     "split_md5_mod20": f"SELECT doc_id, CAST(bucket AS INT) AS bucket, CASE WHEN bucket = 0 THEN 'test' ELSE 'train' END AS split FROM {_MOD20}",
     "split_stratified": "SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY md5('split:' || doc_id), doc_id) <= greatest(1, round_even(count(*) OVER (PARTITION BY quality) * 0.2, 0)) THEN 'test' ELSE 'train' END AS split FROM labels",
     "even_odd_halves": "SELECT vec_id, label, CASE WHEN (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 2 = 0 THEN 'even' ELSE 'odd' END AS half FROM embeddings",
