@@ -8,17 +8,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that start a line about the answer's format, and words that give such a line away anywhere.
-HINT_STARTS = ["answer", "respond", "reply", "keep it", "be (brief|succinct|concise)", "short answer", "concise", "brief", "quick", "write", "use", "pick", "select", "choose", "make your selection", "give", "provide", "offer", "state", "answer the question", "a (short|brief|very short)", "one word", "single word", "very brief", "with a"]
-HINT_WORDS = ["choices?", "options?", "answers?", "rationale", "respon(se|d)", "explain"]
+# A line that tells how to answer, by its start or by a word anywhere.
+HINT_LINE = r"(?i)^\W*(answer|respond|reply|keep it|be (brief|succinct|concise)|short answer|concise|brief|quick|write|use|pick|select|choose|make your selection|give|provide|offer|state|answer the question|a (short|brief|very short)|one word|single word|very brief|with a)\b"
+HINT_ANYWHERE = r"(?i)\b(choices?|options?|answers?|rationale|respon(se|d)|explain)\b"
+# The parts of a question that lists its options, and of its answer.
+QUESTION_MARK = r"(?:^|\n)Question:\s*"
+CONTEXT_MARK = r"\n(Hint|Context):"
+CHOICES_MARK = r"\nChoices:\s*\n"
+CHOICE_LINE = r"^([A-Z])\.\s*(.+)$"
+CHOICE_ANSWER = r"(?i)^(?:answer:\s*)?([A-Z])\b"
+OPTIONS_MARK = r"(?s)\nOptions:\s*(.+?)\.?\s*$"
+# Wrong years by offset, other wrong numbers by scale.
+YEAR_OFFSETS = [-5, -3, -2, -1, 1, 2, 3, 5]
+SCALES = [0.5, 0.75, 0.9, 1.1, 1.25, 1.5, 2.0]
 # Words that carry no content in a caption.
 STOP_WORDS = "a an the and or of to in on at by for with from into onto is are was were be being been it its this that there their then than while as some someone something people person sound sounds noise noises".split()
 # Adjectives that belong to the colour after them.
 MODIFIERS = ["light", "dark", "bright", "pale", "deep"]
 
-HINT_LINE = r"(?i)^\W*(" + "|".join(HINT_STARTS) + r")\b"
-HINT_ANYWHERE = r"(?i)\b(" + "|".join(HINT_WORDS) + r")\b"
-
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
@@ -54,10 +61,10 @@ def _match(c: Column, pattern: str) -> tuple[Column, Column]:
 
 def context_and_question(c: Column) -> Column:
     """struct(background, question): what stands before `Question:`, and a hint or context after it, is background."""
-    start, end = _match(c, r"(?:^|\n)Question:\s*")
+    start, end = _match(c, QUESTION_MARK)
     before = F.when(start > 0, strip(F.substring(c, F.lit(1), start - 1))).otherwise("")
     question = F.when(start > 0, F.substring(c, end, F.length(c))).otherwise(c)
-    hint, _ = _match(question, r"\n(Hint|Context):")
+    hint, _ = _match(question, CONTEXT_MARK)
     tail = F.when(hint > 0, strip(F.substring(question, hint, F.length(question)))).otherwise("")
     background = F.array_join(F.filter(F.array(tail, before), lambda x: x != ""), "\n")
     return F.struct(background.alias("background"), strip(F.when(hint > 0, F.substring(question, F.lit(1), hint - 1)).otherwise(question)).alias("question"))
@@ -65,12 +72,12 @@ def context_and_question(c: Column) -> Column:
 
 def lettered(user: Column, answer: Column) -> Column:
     """struct(background, question, options, index) of choices listed as `A. text` lines; null if they are not."""
-    start, end = _match(user, r"\nChoices:\s*\n")
+    start, end = _match(user, CHOICES_MARK)
     lines = F.transform(F.split(F.substring(user, end, F.length(user)), "\n"), strip)
-    misses = F.array_position(F.transform(lines, lambda x: x.rlike(r"^([A-Z])\.\s*(.+)$")), F.lit(False)).cast("int")
+    misses = F.array_position(F.transform(lines, lambda x: x.rlike(CHOICE_LINE)), F.lit(False)).cast("int")
     listed_lines = F.when(misses > 0, F.slice(lines, F.lit(1), misses - 1)).otherwise(lines)
-    options = F.transform(listed_lines, lambda x: F.regexp_replace(strip(F.regexp_extract(x, r"^([A-Z])\.\s*(.+)$", 2)), r"\.+$", ""))
-    letter = F.regexp_extract(strip(answer), r"(?i)^(?:answer:\s*)?([A-Z])\b", 1)
+    options = F.transform(listed_lines, lambda x: F.regexp_replace(strip(F.regexp_extract(x, CHOICE_LINE, 2)), r"\.+$", ""))
+    letter = F.regexp_extract(strip(answer), CHOICE_ANSWER, 1)
     index = F.ascii(F.upper(letter)) - 65
     parts = context_and_question(F.substring(user, F.lit(1), start - 1))
     good = (start > 0) & (letter != "") & (index < F.size(options)) & (F.size(F.array_distinct(options)) == F.size(options))
@@ -79,9 +86,8 @@ def lettered(user: Column, answer: Column) -> Column:
 
 def listed(user: Column, answer: Column) -> Column:
     """The same struct for `Options: a, b, c.` with the answer given as text."""
-    pattern = r"(?s)\nOptions:\s*(.+?)\.?\s*$"
-    start, _ = _match(user, pattern)
-    options = F.filter(F.transform(F.split(F.regexp_extract(user, pattern, 1), ","), strip), lambda x: x != "")
+    start, _ = _match(user, OPTIONS_MARK)
+    options = F.filter(F.transform(F.split(F.regexp_extract(user, OPTIONS_MARK, 1), ","), strip), lambda x: x != "")
     lowered = F.transform(options, F.lower)
     index = F.array_position(lowered, F.lower(clean_answer(answer))).cast("int") - 1
     good = (start > 0) & (index >= 0) & (F.size(F.array_distinct(lowered)) == F.size(lowered))
@@ -102,8 +108,8 @@ def near_numbers(v: Column) -> Column:
     """Plausible wrong numbers: neighbours of small ones, other years of years, multiples of the rest."""
     whole_number = v == F.floor(v)
     small = F.filter(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda d: v + d), lambda x: (x != v) & (x >= 0))
-    years = F.transform(F.array(*[F.lit(d) for d in (-5, -3, -2, -1, 1, 2, 3, 5)]), lambda d: v + d)
-    scaled = F.transform(F.array(*[F.lit(s) for s in (0.5, 0.75, 0.9, 1.1, 1.25, 1.5, 2.0)]), lambda s: F.when(whole_number, F.round(v * s, 0)).otherwise(F.round(v * s, 2)))
+    years = F.transform(F.array(*[F.lit(d) for d in YEAR_OFFSETS]), lambda d: v + d)
+    scaled = F.transform(F.array(*[F.lit(s) for s in SCALES]), lambda s: F.when(whole_number, F.round(v * s, 0)).otherwise(F.round(v * s, 2)))
     scaled = F.filter(F.array_sort(F.array_distinct(scaled)), lambda x: x != v)
     return F.when(whole_number & (F.abs(v) <= 20), small).when(whole_number & (v >= 1900) & (v <= 2100), years).otherwise(scaled)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import sampling as S
+from ..functions import text as T
 from .questions import shuffle_options
 
 # How a description says that a clip has no speech or no music, and the twelve keys.
@@ -121,6 +122,19 @@ def phrased(rows: DataFrame, asks: list[str], sets: list[list[str]], seed: str,
     return shuffle_options(rows, seed, key)
 
 
+def similar_and_other(label: Column, vocabulary: Column, k: int = 3, seeds: tuple[str, str] = ("near", "far")) -> Column:
+    """struct(n_near, wrong): k wrong labels of an array of distinct ones, without replacement.
+
+    A coin for each says whether it comes from the labels that share a word with the right one or from the others; where too few
+    share one, others take their place.  The vocabulary is that of a label set's classes and small.
+    """
+    near = F.filter(vocabulary, lambda x: (x != label) & F.arrays_overlap(T.words(x), T.words(label)))
+    far = F.filter(vocabulary, lambda x: (x != label) & ~F.arrays_overlap(T.words(x), T.words(label)))
+    heads = [F.when(S.uniform(seeds[0], label, F.lit(i)) < 0.5, 1).otherwise(0) for i in range(1, k + 1)]
+    n = F.least(F.size(near), sum(heads[1:], heads[0]))
+    return F.struct(n.alias("n_near"), F.concat(S.pick(seeds[0], near, label, n), S.pick(seeds[1], far, label, F.lit(k) - n)).alias("wrong"))
+
+
 def rank_batches(rows: DataFrame, group: str, order: str, batch: int, world: int) -> DataFrame:
     """Batches of a group's rows dealt to ranks in turn, the same number to each; what does not fill a round is left out."""
     at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1

@@ -80,6 +80,17 @@ def by_category(results: DataFrame, by: str = "set") -> DataFrame:
     return told.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy(by))).where("__c > 1").drop("__c")
 
 
+def distilled_loss(rows: DataFrame, weight: float = 0.5, logits: str = "logits", label: str = "label", probs: str = "probs") -> DataFrame:
+    """n, agreeing, ce and loss: the mean cross-entropy plus ``weight`` times the teacher's divergence over all rows.
+
+    The divergence counts only where the teacher's likeliest option is the label; rows without ``probs`` have none.
+    """
+    p, agree = A.softmax(F.col(logits)), F.coalesce(A.argmax(F.col(probs)) == F.col(label), F.lit(False))
+    apart = F.when(agree, A.kl(F.col(probs), F.col("__p"))).otherwise(0.0)
+    told = rows.withColumn("__p", p).agg(F.count(F.lit(1)).alias("n"), F.count_if(agree).alias("agreeing"), F.avg(A.nll(F.col("__p"), F.col(label))).alias("ce"), F.sum(apart).alias("kl"))
+    return told.select("n", "agreeing", F.round("ce", 4).alias("ce"), F.round(F.col("ce") + weight * F.col("kl") / F.col("n"), 4).alias("loss"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows, largest absolute and relative difference of logits, rows with the same decision."""
     both = a.select(key, F.col("logits").alias("x")).join(b.select(key, F.col("logits").alias("y")), key)

@@ -68,3 +68,13 @@ def tiles(images: DataFrame, grid: int) -> DataFrame:
     edge = lambda size, i: F.floor(F.col(size) * i / grid).cast("int")
     first = F.col("tile") == 0
     return rows.withColumns({"left": F.when(first, 0).otherwise(edge("width", c)), "top": F.when(first, 0).otherwise(edge("height", r)), "right": F.when(first, F.col("width")).otherwise(edge("width", c + 1)), "bottom": F.when(first, F.col("height")).otherwise(edge("height", r + 1))})
+
+
+def pooled_grid(cells: Column, side: int, target: int) -> Column:
+    """A square grid, row by row, averaged over square blocks to ``target`` x ``target``; null for another number of cells."""
+    if side % target:
+        raise ValueError("the target side must divide the side")
+    k = side // target
+    block = lambda i: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda r: F.slice(cells, (F.floor(i / target) * k + r).cast("int") * side + (i % target) * k + 1, F.lit(k))))
+    mean = F.transform(F.sequence(F.lit(0), F.lit(target * target - 1)), lambda i: F.aggregate(block(i), F.lit(0.0), lambda a, x: a + x.cast("double")) / (k * k))
+    return F.when(F.size(cells) == side * side, mean)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.sampling import halves
 from ..operators import metrics as M
+from ..operators import spatial as B
 from ..session import table
 
 
@@ -109,10 +110,7 @@ def head_features(spark, sf_dir):
 def distill_kl(spark, sf_dir, weight: float = 0.5):
     """Cross-entropy and the teacher's divergence, where the teacher agrees with the label."""
     teacher = plain(spark, sf_dir).select("vec_id", A.softmax(F.col("logits")).alias("probs"))
-    rows = scored(spark, sf_dir).join(teacher, "vec_id", "left").withColumn("p", A.softmax(F.col("logits")))
-    agree = A.argmax(F.col("probs")) == F.col("label")
-    told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(agree).alias("agreeing"), F.avg(A.nll(F.col("p"), F.col("label"))).alias("ce"), F.sum(F.when(agree, A.kl(F.col("probs"), F.col("p"))).otherwise(0.0)).alias("kl"))
-    return told.select("n", "agreeing", F.round("ce", 4).alias("ce"), F.round(F.col("ce") + weight * F.col("kl") / F.col("n"), 4).alias("loss"))
+    return M.distilled_loss(scored(spark, sf_dir).join(teacher, "vec_id", "left"), weight)
 
 
 def results(spark, sf_dir):
@@ -148,9 +146,8 @@ def lr_schedule(spark, sf_dir):
 
 def pool_tokens_grid(spark, sf_dir):
     """64 components as an 8 x 8 grid, averaged over 2 x 2 blocks."""
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x"))
-    row, col = F.expr("at div 8 div 2"), F.expr("at % 8 div 2")
-    return cells.groupBy("vec_id", row.alias("r"), col.alias("c")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("x"))
+    pooled = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(B.pooled_grid(F.col("embedding"), 8, 4)).alias("at", "x"))
+    return pooled.select("vec_id", F.expr("at div 4").alias("r"), (F.col("at") % 4).alias("c"), F.round("x", 5).alias("x"))
 
 
 def audio_lengths(spark, sf_dir):

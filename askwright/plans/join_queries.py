@@ -9,6 +9,7 @@ from ..operators import assembly as A
 from ..operators import joins as J
 from ..operators import questions as Q
 from ..operators import spatial as B
+from ..sources import writers as W
 from ..session import table
 
 
@@ -84,8 +85,8 @@ def last_wins_merge(spark, sf_dir):
 
 
 def media_dedupe_content_hash(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.concat(F.substring(F.sha1("text"), 1, 16), F.lit(".txt")).alias("file"), "doc_id")
-    return d.groupBy("file").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("data"), F.lit(".txt").alias("ext"), "doc_id")
+    return W.media_by_content(d, order="doc_id").select("file", "first", "n")
 
 
 def knn_hard_negatives(spark, sf_dir):

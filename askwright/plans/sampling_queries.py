@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import sampling as S
-from ..functions import text as T
+from ..operators import assembly as B
 from ..operators import questions as Q
 from ..session import table
 
@@ -37,11 +36,7 @@ def mix_capped_weighted(spark, sf_dir):
 def rank_shards(spark, sf_dir, batch: int = 4, world: int = 3):
     """Batches dealt to ranks in turn; what does not fill a round for all is left out."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    by = Window.partitionBy("lang").orderBy("doc_id")
-    d = d.withColumn("at", F.row_number().over(by) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("lang")))
-    whole = F.floor(F.col("n") / (batch * world)) * world
-    at = F.floor(F.col("at") / batch)
-    return d.where(at < whole).select("doc_id", "lang", at.cast("int").alias("batch"), F.pmod(at, F.lit(world)).cast("int").alias("rank"))
+    return B.rank_batches(d, "lang", "doc_id", batch, world)
 
 
 def shuffle_options(spark, sf_dir):
@@ -82,13 +77,8 @@ def similar_labels(spark, sf_dir, k: int = 3):
     """Wrong labels, half by coin from those that share a word, drawn without replacement within each pool."""
     p = table(spark, sf_dir, "part").select(F.col("p_type").alias("label")).distinct()
     vocab = p.agg(F.array_sort(F.collect_set("label")).alias("all"))
-    words = lambda c: T.words(c)
-    told = p.crossJoin(F.broadcast(vocab)).withColumn("near", F.filter("all", lambda x: (x != F.col("label")) & F.arrays_overlap(words(x), words(F.col("label")))))
-    told = told.withColumn("far", F.filter("all", lambda x: (x != F.col("label")) & ~F.array_contains("near", x)))
-    coins = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.when(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("near"), F.col("label"), i.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0 < 0.5, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    told = told.withColumn("n_near", F.least(F.size("near"), coins))
-    told = told.withColumn("wrong", F.concat(S.pick("near", F.col("near"), F.col("label"), F.col("n_near")), S.pick("far", F.col("far"), F.col("label"), F.lit(k) - F.col("n_near"))))
-    return told.select("label", "n_near", F.array_join("wrong", "|").alias("wrong"))
+    told = p.crossJoin(F.broadcast(vocab)).withColumn("s", B.similar_and_other(F.col("label"), F.col("all"), k))
+    return told.select("label", "s.n_near", F.array_join("s.wrong", "|").alias("wrong"))
 
 
 def game_phrasing(spark, sf_dir):

@@ -22,10 +22,14 @@ def write_by_kind(rows: DataFrame, path: str, kind: str = "kind") -> None:
     rows.write.partitionBy(kind).json(path)
 
 
-def media_by_content(media: DataFrame, data: str = "data", ext: str = "ext") -> DataFrame:
-    """Each distinct content once, named by the first 16 digits of its SHA-1."""
+def media_by_content(media: DataFrame, data: str = "data", ext: str = "ext", order: str | None = None) -> DataFrame:
+    """Each distinct content once, named by the first 16 digits of its SHA-1, with its number of rows and the least ``order`` of them.
+
+    Rows of one name are merged within each task before they are shuffled.
+    """
     named = media.withColumn("file", F.concat(F.substring(F.sha1(data), 1, 16), F.col(ext)))
-    return named.groupBy("file").agg(F.first(data).alias(data))
+    first = [F.min(order).alias("first")] if order else []
+    return named.groupBy("file").agg(F.first(data).alias(data), *first, F.count(F.lit(1)).alias("n"))
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
