@@ -92,6 +92,11 @@ def frames_of(spans: DataFrame, frames: DataFrame, store: str = "store", low: st
     return wide.join(frames.withColumn(frame, F.col(frame).cast("long")), [store, frame])
 
 
+def with_media(rows: DataFrame, source: DataFrame, key: str, media: list[str]) -> DataFrame:
+    """Rows with the media columns of their source, read in a second scan, after questions and pools were made of the text columns alone."""
+    return rows.join(source.select(key, *media), key, "left")
+
+
 def clip_files(rows: DataFrame, key: str, samples: str, rate: int, seconds: int = 0, ext: str = "flac") -> DataFrame:
     """Rows of usable clips with the file of the clip and the samples that are kept of it.
 

@@ -86,6 +86,14 @@ def clip_names_and_crops(spark, sf_dir):
     return A.clip_files(d, "clip", "n", 16_000, 3).select("doc_id", "file", "start", "n_kept")
 
 
+def media_second_pass(spark, sf_dir):
+    """Each language's pool from ids and languages alone; the texts join the rows in a second scan."""
+    d = table(spark, sf_dir, "documents")
+    pools = d.groupBy("lang").agg(F.count(F.lit(1)).alias("pool"))
+    rows = d.select("doc_id", "lang").join(pools, "lang")
+    return A.with_media(rows, d, "doc_id", ["text"]).select("doc_id", "lang", "pool", F.md5("text").alias("media"))
+
+
 def teacher_progress(spark, sf_dir):
     """Labelled and failed rows and the teacher's accuracy, by language."""
     l = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"), F.when(F.col("doc_id") % 9 > 0, F.array((F.col("doc_id") % 10) / 10.0, (F.lit(9) - F.col("doc_id") % 10) / 10.0)).alias("probs"))
@@ -171,6 +179,7 @@ SELECT 'hears' AS model, source, count(*) AS n FROM k GROUP BY 2 UNION ALL SELEC
     "members_by_suffix": "WITH p AS (SELECT page_id, regexp_extract(url, '//([^/]*)/', 1) || '/' || page_id % 5 AS location FROM pages) SELECT page_id, location FROM p WHERE location IN (SELECT location FROM p WHERE page_id % 2 = 0)",
     "clip_names_and_crops": """WITH d AS (SELECT doc_id, sha1(text) AS clip, CAST(n_chars * 40 AS BIGINT) AS n FROM documents), c AS (SELECT clip, min(n) AS n FROM d GROUP BY 1)
 SELECT doc_id, substr(sha1(clip), 1, 16) || '.flac' AS file, (c.n - least(c.n, 48000)) // 2 AS start, least(c.n, 48000) AS n_kept FROM d JOIN c USING (clip) WHERE c.n >= 1600""",
+    "media_second_pass": "SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS pool, md5(text) AS media FROM documents",
     "teacher_progress": """SELECT CAST(doc_id % 2 AS INT) AS half, count(*) FILTER (WHERE doc_id % 9 > 0) AS labelled, count(*) FILTER (WHERE doc_id % 9 = 0) AS failed,
 round(count(*) FILTER (WHERE doc_id % 9 > 0 AND CAST(doc_id % 10 < 5 AS INT) = toxic) / greatest(1, count(*) FILTER (WHERE doc_id % 9 > 0)), 6) AS accuracy FROM labels GROUP BY 1""",
     "yes_no_keep_their_order": f"""WITH n AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS o FROM nation GROUP BY 1), z AS (SELECT n_regionkey, {_OPTIONS.format(o="o", seed="keep", key="n_regionkey")} AS z FROM n WHERE n_regionkey % 2 = 1)
@@ -195,5 +204,5 @@ SELECT event_id, 'tempo' AS kind, 'slow|moderate|fast' AS options, CASE WHEN bpm
 UNION ALL SELECT event_id, 'metre', 'three|four', CAST(metre = 4 AS INT) FROM e WHERE metre IN (3, 4) UNION ALL SELECT event_id, 'key', array_to_string(o, '|'), CAST(list_position(o, root) - 1 AS INT) FROM o""",
 }
 _FUNCTIONS = [modality_filter, speech_and_music, mask_neutralised, serialised_states, rebased_paths, first_rows_of_sets, sets_without_sound, example_gallery, holdout_sets, clip_answers, members_by_suffix]
-_FUNCTIONS += [clip_names_and_crops, teacher_progress, yes_no_keep_their_order, frame_questions, batches_of_ranks, token_splice, padded_batches, inverted_lookup, perceptual_hashes, music_facts]
+_FUNCTIONS += [clip_names_and_crops, media_second_pass, teacher_progress, yes_no_keep_their_order, frame_questions, batches_of_ranks, token_splice, padded_batches, inverted_lookup, perceptual_hashes, music_facts]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

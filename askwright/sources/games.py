@@ -13,6 +13,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.assembly import phrased
 
 # Moves of the snake in the order of their labels.
 MOVES = {"up": (0, -1), "down": (0, 1), "left": (-1, 0), "right": (1, 0)}
@@ -284,3 +287,15 @@ def rollouts(spark: SparkSession, game: str, seeds: int, most: int = 600, stray:
                 yield pd.DataFrame(rows, columns=["game", "seed", "tick", "label", "state", "split"])
 
     return spark.range(seeds).mapInPandas(run, "game string, seed long, tick int, label int, state string, split string")
+
+
+def game_questions(spark: SparkSession, folder: str, game: str, split: str, seed: str = "game", augment: bool = True) -> DataFrame:
+    """Questions about the frames of a game: each row of `<game>.jsonl` (image, label, split) asked as `questions.json` has it.
+
+    With ``augment`` a row draws its phrasing, label set and order of options; without, it takes the first of each as they are.
+    """
+    spec = json.loads(spark.read.text(f"{folder}/questions.json", wholetext=True).first()[0])
+    told = spec["questions"][game]
+    frames = spark.read.schema("image string, label int, split string").json(f"{folder}/{game}.jsonl").where(F.col("split") == split)
+    rows = frames.withColumns({"source": F.lit(f"game:{game}"), "state": F.lit(spec["state"]), "type": F.lit("choice")})
+    return phrased(rows, told["instructions"], told["labels"], seed, "image", augment)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import tarfile
 from collections.abc import Iterator
 
@@ -14,12 +16,36 @@ from pyspark.sql import functions as F
 from ..session import TQ_ROW
 
 
-def parquet_tree(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """All parquet files below ``path``, with the split their names tell (val and test are test)."""
+def parquet_tree(spark: SparkSession, path: str, columns: list[str] | None = None, position: bool = False) -> DataFrame:
+    """All parquet files below ``path``, with the split their names tell (val and test are test).
+
+    ``position`` adds the columns file and row: rows sorted by them are those of a reader that goes through the sorted paths.
+    """
     df = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    name = F.col("_metadata.file_name")
-    df = df.withColumn("split", F.when(name.rlike("(val|test)"), "test").otherwise("train"))
-    return df.select(*columns, "split") if columns else df
+    split = F.when(F.col("_metadata.file_name").rlike("(val|test)"), "test").otherwise("train").alias("split")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if position else []
+    return df.select(*(columns or df.columns), split, *place)
+
+
+def footer_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    """Key-value metadata in the footer of the first parquet file (by path) below ``path``; no rows are read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles()
+    if not files:
+        return {}
+    parquet = jvm.org.apache.parquet.hadoop
+    first = parquet.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(min(files))), conf)
+    reader = parquet.ParquetFileReader.open(first)
+    try:
+        return dict(reader.getFooter().getFileMetaData().getKeyValueMetaData())
+    finally:
+        reader.close()
+
+
+def class_names(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Names of a column's classes, in the order of their numbers, as the footer's data-set card has them; none without a card."""
+    card = json.loads(footer_metadata(spark, path).get("huggingface", "{}"))
+    return card.get("info", {}).get("features", {}).get(column, {}).get("names", [])
 
 
 def question_rows(spark: SparkSession, path: str, split: str | None = None, default: str | None = "train") -> DataFrame:
@@ -57,25 +83,38 @@ def label_folders(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("path").alias("file"), F.get(F.split(below, "/"), 0).alias("label"))
 
 
-def tar_members(spark: SparkSession, path: str, pattern: str = ".*", limit_bytes: int = 64 << 20) -> DataFrame:
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of files; content is null where the path is a mounted one, which a task opens itself and reads as a stream."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    mounted = where.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    content = F.lit(None).cast("binary") if mounted else F.col("content")
+    return spark.read.format("binaryFile").load(path).select("path", content.alias("content"))
+
+
+def _mounted(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def tar_members(spark: SparkSession, path: str, pattern: str = ".*", limit_bytes: int | None = None) -> DataFrame:
     """(shard, at, member, data) of tar files, compressed or not, in archive order; one task reads one shard as a stream.
 
-    Members that do not match or are larger than ``limit_bytes`` are passed over.
+    Members that do not match are passed over, and so are those larger than ``limit_bytes`` where that is given.  Without it a member
+    that no cell can hold (2 GB) is an error.  A shard on a mounted path may be of any size; one elsewhere comes as one cell.
     """
-    import re
-
-    shards = spark.read.format("binaryFile").load(path).select("path", "content")
     wanted = re.compile(pattern)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, content in zip(batch["path"], batch["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
+                with open(_mounted(shard), "rb") if content is None else io.BytesIO(content) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
                     for at, m in enumerate(tar):
-                        if m.isfile() and m.size <= limit_bytes and wanted.search(m.name):
-                            yield pd.DataFrame({"shard": [shard], "at": [at], "member": [m.name], "data": [tar.extractfile(m).read()]})
+                        if not m.isfile() or not wanted.search(m.name) or (limit_bytes is not None and m.size > limit_bytes):
+                            continue
+                        if m.size >= 1 << 31:
+                            raise ValueError(f"{m.name} in {shard} has {m.size} bytes, more than a cell holds")
+                        yield pd.DataFrame({"shard": [shard], "at": [at], "member": [m.name], "data": [tar.extractfile(m).read()]})
 
-    return shards.mapInPandas(run, "shard string, at int, member string, data binary")
+    return _files(spark, path).mapInPandas(run, "shard string, at int, member string, data binary")
 
 
 def paired_members(members: DataFrame, left: str = "jpg", right: str = "txt") -> DataFrame:
@@ -87,16 +126,16 @@ def paired_members(members: DataFrame, left: str = "jpg", right: str = "txt") ->
 
 
 def arrow_streams(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of Arrow IPC stream files; a file is a task."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """Rows of Arrow IPC stream files; a file is a task, and one on a mounted path is memory-mapped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                with pa.ipc.open_stream(content.as_buffer()) as stream:
+            for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                source = content.as_buffer() if content.is_valid else pa.memory_map(_mounted(file.as_py()))
+                with pa.ipc.open_stream(source) as stream:
                     yield from stream
 
-    return files.mapInArrow(run, schema)
+    return _files(spark, path).mapInArrow(run, schema)
 
 
 def feature_frames(spark: SparkSession, path: str, stores: list[str]) -> DataFrame:
