@@ -6,9 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling as S
+from .questions import shuffle_options
 
 # Names of the cells of a 3 x 3 grid, row by row.
 CELLS = ["top left", "top", "top right", "left", "center", "right", "bottom left", "bottom", "bottom right"]
+# How each kind of question is asked.
+ASKS = {
+    "location": ("Where is the {a} in the image?", "Where in the picture is the {a}?", "In which part of the image is the {a}?"),
+    "side": ("Is the {a} to the left or to the right of the {b}?", "Where is the {a} relative to the {b}?"),
+    "left": ("Is the {a} to the left of the {b}?", "Is the {a} on the left side of the {b}?"),
+    "above": ("Is the {a} above the {b}?", "Is the {a} higher up in the image than the {b}?"),
+    "seen": ("Which of these can be seen in the image?", "Which object appears in this picture?"),
+    "not_shown": ("Which of these is not in the image?", "Which object does not appear in this picture?"),
+    "bigger": ("Which looks bigger in the image, the {a} or the {b}?", "Which takes up more of the picture?"),
+}
+SIDES = ("to the left", "to the right")
 
 
 def cell(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -46,9 +58,15 @@ def relations(both: DataFrame) -> DataFrame:
     return both.select("image_id", F.col("p_name").alias("p"), F.col("q_name").alias("q"), F.inline(found))
 
 
+def _present(boxes: DataFrame, min_area: float) -> DataFrame:
+    """(image_id, name, visible): names in an image, crowds aside, and whether one is large enough to see."""
+    large = F.col("area") >= min_area * F.col("width") * F.col("height")
+    return boxes.where("not iscrowd").groupBy("image_id", "name").agg(F.max(large).alias("visible"))
+
+
 def identity(boxes: DataFrame, categories: DataFrame, min_area: float = 0.01, seed: str = "identity") -> DataFrame:
     """(image_id, seen, wrong): a visible name and three absent ones, those of its supercategory first."""
-    present = boxes.where("not iscrowd").groupBy("image_id", "name").agg(F.max(F.col("area") >= min_area * F.col("width") * F.col("height")).alias("visible"))
+    present = _present(boxes, min_area)
     by = Window.partitionBy("image_id").orderBy(S.draw(seed, "image_id", "name"))
     seen = present.where("visible").withColumn("__n", F.row_number().over(by)).where("__n = 1").select("image_id", F.col("name").alias("seen"))
     # the vocabulary of names is a fixed list, so the cross join adds a bounded factor
@@ -60,6 +78,57 @@ def identity(boxes: DataFrame, categories: DataFrame, min_area: float = 0.01, se
     return three.groupBy("image_id", "seen").agg(F.array_sort(F.collect_list("name")).alias("wrong")).where(F.size("wrong") == 3)
 
 
+def not_shown(boxes: DataFrame, told: DataFrame, min_area: float = 0.01, seed: str = "missing") -> DataFrame:
+    """(image_id, shown, missing): three visible names of an image that has as many, and one of the absent names in ``identity``'s rows."""
+    by = Window.partitionBy("image_id").orderBy(S.draw(seed, "image_id", "name"))
+    three = _present(boxes, min_area).where("visible").withColumn("__n", F.row_number().over(by)).where("__n <= 3")
+    shown = three.groupBy("image_id").agg(F.array_sort(F.collect_list("name")).alias("shown")).where(F.size("shown") == 3)
+    return shown.join(told, "image_id").select("image_id", "shown", F.get("wrong", S.whole(seed, 3, "image_id")).alias("missing"))
+
+
+def questions(boxes: DataFrame, categories: DataFrame, min_area: float = 0.01, test: float = 0.02, most: int = 10_000, seed: str = "boxes") -> DataFrame:
+    """Questions about annotated boxes: (image_id, key, kind, type, instructions, options, label, split).
+
+    Kinds are location (at most ``most`` an answer, since most objects are in the centre), side or left, above, bigger, seen and
+    not_shown; left and above are yes-or-no questions without options.  The two objects of a pair change places by a coin, and
+    another decides between side and left.  A share ``test`` of the images is the test split.
+    """
+    single = single_objects(boxes, min_area)
+    none = F.lit(None).cast("string")
+    key = F.concat_ws(":", F.col("image_id").cast("string"), "about", "p", "q")
+    columns = ["image_id", "key", "kind", "a", "b", "options", "label"]
+
+    box = [F.col(c) for c in ("x", "y", "w", "h", "width", "height")]
+    where = single.select("image_id", F.lit("location").alias("about"), F.col("name").alias("p"), none.alias("q"), cell(*box).alias("right"))
+    where = where.withColumns({"key": key, "kind": F.lit("location"), "a": F.col("p"), "b": none, "label": F.lit(0)})
+    where = S.cap_each(where, "right", most, f"{seed}-location", "key")
+    others = F.array_remove(F.array(*map(F.lit, CELLS)), F.col("right"))
+    where = where.withColumn("options", F.concat(F.array("right"), S.pick(f"{seed}-cells", others, F.col("key"), 3)))
+
+    pair = relations(pairs(single)).withColumn("about", F.col("kind"))
+    swapped = S.uniform(f"{seed}-swap", "image_id", "p", "q") < 0.5
+    pair = pair.withColumns({"key": key, "a": F.when(swapped, F.col("q")).otherwise(F.col("p")), "b": F.when(swapped, F.col("p")).otherwise(F.col("q")), "label": F.when(swapped, 1 - F.col("label")).otherwise(F.col("label"))})
+    side = (F.col("about") == "left") & (S.uniform(f"{seed}-side", "key") < 0.5)
+    options = F.when(side, F.array(*map(F.lit, SIDES))).when(F.col("about") == "bigger", F.array("a", "b"))
+    pair = pair.withColumns({"kind": F.when(side, "side").otherwise(F.col("about")), "options": options, "label": F.when(side, 1 - F.col("label")).otherwise(F.col("label"))})
+
+    told = identity(boxes, categories, min_area)
+    missing = not_shown(boxes, told, min_area)
+    named = told.select("image_id", F.lit("seen").alias("about"), F.concat(F.array("seen"), "wrong").alias("options"))
+    named = named.unionByName(missing.select("image_id", F.lit("not_shown").alias("about"), F.concat(F.array("missing"), "shown").alias("options")))
+    named = named.withColumns({"p": none, "q": none, "a": none, "b": none, "kind": F.col("about"), "label": F.lit(0)}).withColumn("key", key)
+
+    rows = where.select(columns).unionByName(pair.select(columns)).unionByName(named.select(columns))
+    asked = F.lit(None).cast("string")
+    for kind, asks in ASKS.items():
+        asked = F.when(F.col("kind") == kind, F.get(F.array(*map(F.lit, asks)), S.whole(f"{seed}-ask", len(asks), "key"))).otherwise(asked)
+    name = lambda text, slot, c: F.replace(text, F.lit(slot), F.coalesce(F.col(c), F.lit("")))
+    kind = F.when(F.col("options").isNull(), "noul").otherwise("choice")
+    split = F.when(S.uniform(f"{seed}-split", "image_id") < test, "test").otherwise("train")
+    rows = rows.withColumns({"type": kind, "instructions": name(name(asked, "{a}", "a"), "{b}", "b"), "split": split})
+    return shuffle_options(rows, f"{seed}-order", "key").select("image_id", "key", "kind", "type", "instructions", "options", "label", "split")
+
+
 def tiles(images: DataFrame, grid: int) -> DataFrame:
     """The whole image and grid x grid crops in reading order, as boxes of whole pixels."""
     at = F.explode(F.sequence(F.lit(0), F.lit(grid * grid if grid > 1 else 0)))

@@ -126,9 +126,23 @@ def spatial_pairs(spark, sf_dir):
     return B.relations(B.pairs(B.single_objects(_boxes(spark, sf_dir))))
 
 
+def _categories(spark):
+    return spark.range(13).select(F.concat(F.lit("object "), F.col("id").cast("string")).alias("name"), F.concat(F.lit("group "), (F.col("id") % 3).cast("string")).alias("supercategory"))
+
+
 def spatial_identity(spark, sf_dir):
-    categories = spark.range(13).select(F.concat(F.lit("object "), F.col("id").cast("string")).alias("name"), F.concat(F.lit("group "), (F.col("id") % 3).cast("string")).alias("supercategory"))
-    return B.identity(_boxes(spark, sf_dir), categories).select("image_id", "seen", F.array_join("wrong", "|").alias("wrong"))
+    return B.identity(_boxes(spark, sf_dir), _categories(spark)).select("image_id", "seen", F.array_join("wrong", "|").alias("wrong"))
+
+
+def spatial_not_shown(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    return B.not_shown(boxes, B.identity(boxes, _categories(spark))).select("image_id", F.array_join("shown", "|").alias("shown"), "missing")
+
+
+def spatial_questions(spark, sf_dir):
+    """Every kind of question about the boxes, its options in their drawn order."""
+    rows = B.questions(_boxes(spark, sf_dir), _categories(spark), test=0.1, most=200)
+    return rows.withColumns({"options": F.array_join("options", "|"), "label": F.col("label").cast("int")})
 
 
 def tile_boxes(spark, sf_dir):
@@ -238,6 +252,12 @@ txt AS (SELECT own AS other, min(caption) AS negative FROM cap GROUP BY 1),
 neg AS (SELECT p.clip, c.caption, t.negative FROM pick p JOIN pool o ON o.word = p.word AND o.place = p.free + CAST(p.place <= p.free AS INT) JOIN txt t ON t.other = o.own JOIN cap c ON c.clip = p.clip AND c.own = p.own)"""
 _BOXES = """bx AS (SELECT event_id // 6 AS image_id, 'object ' || (event_id * 7 % 13) AS name, CAST(event_id * 37 % 500 AS DOUBLE) AS x, CAST(event_id * 53 % 400 AS DOUBLE) AS y, 20 + CAST(event_id * 29 % 120 AS DOUBLE) AS w, 20 + CAST(event_id * 31 % 90 AS DOUBLE) AS h, event_id % 17 = 0 AS crowd FROM events),
 sg AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY image_id, name) AS n FROM bx WHERE NOT crowd) WHERE n = 1 AND w * h >= 0.01 * 640 * 480)"""
+_IDENTITY = """pres AS (SELECT image_id, name, max(w * h >= 0.01 * 640 * 480) AS vis FROM bx WHERE NOT crowd GROUP BY 1, 2), seen AS (SELECT image_id, name AS seen FROM pres WHERE vis QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('identity:' || image_id || ':' || name)) = 1),
+cat AS (SELECT 'object ' || i AS name, i % 3 AS g FROM range(13) r(i)), ab AS (SELECT s.image_id, s.seen, c.name FROM seen s JOIN cat o ON o.name = s.seen, cat c WHERE NOT EXISTS (SELECT 1 FROM pres p WHERE p.image_id = s.image_id AND p.name = c.name)
+QUALIFY row_number() OVER (PARTITION BY s.image_id ORDER BY c.g <> o.g, md5('identity:' || s.image_id || ':' || c.name)) <= 3),
+idt AS (SELECT image_id, seen, list(name ORDER BY name) AS wrong FROM ab GROUP BY 1, 2 HAVING count(*) = 3)"""
+_NOT_SHOWN = """nsh AS (SELECT image_id, shown, wrong[CAST('0x' || substr(md5('missing:' || image_id), 1, 8) AS BIGINT) % 3 + 1] AS missing FROM idt JOIN (
+SELECT image_id, list(name ORDER BY name) AS shown FROM (SELECT image_id, name FROM pres WHERE vis QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('missing:' || image_id || ':' || name)) <= 3) GROUP BY 1 HAVING count(*) = 3) USING (image_id))"""
 _CRIT = "(SELECT r_name, list(n_name ORDER BY n_name) AS k, list(CASE WHEN n_nationkey % 2 = 0 THEN 'nation ' || n_nationkey END ORDER BY n_name) AS v FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"
 ORACLE = {
     "contamination": f"SELECT DISTINCT doc_id, item_id FROM {_PAIRS}",
@@ -264,9 +284,8 @@ SELECT clip, 'match' AS kind, CASE WHEN coin THEN caption ELSE negative END AS s
 p.x + p.w < q.x OR q.x + q.w < p.x AS ax, p.y + p.h < q.y OR q.y + q.h < p.y AS ay FROM sg p JOIN sg q ON p.image_id = q.image_id AND p.name < q.name QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY md5('pairs:' || p.image_id || ':' || p.name || ':' || q.name)) <= 3)
 SELECT image_id, p, q, 'left' AS kind, CAST(dx < 0 AS INT) AS label FROM pr WHERE abs(dx) > 0.2 AND ax UNION ALL SELECT image_id, p, q, 'above', CAST(dy < 0 AS INT) FROM pr WHERE NOT (abs(dx) > 0.2 AND ax) AND abs(dy) > 0.2 AND ay
 UNION ALL SELECT image_id, p, q, 'bigger', CAST(ratio <= 1 AS INT) FROM pr WHERE ratio > 2 OR ratio < 0.5""",
-    "spatial_identity": f"""WITH {_BOXES}, pres AS (SELECT image_id, name, max(w * h >= 0.01 * 640 * 480) AS vis FROM bx WHERE NOT crowd GROUP BY 1, 2), seen AS (SELECT image_id, name AS seen FROM pres WHERE vis QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('identity:' || image_id || ':' || name)) = 1),
-cat AS (SELECT 'object ' || i AS name, i % 3 AS g FROM range(13) r(i)), ab AS (SELECT s.image_id, s.seen, c.name FROM seen s JOIN cat o ON o.name = s.seen, cat c WHERE NOT EXISTS (SELECT 1 FROM pres p WHERE p.image_id = s.image_id AND p.name = c.name)
-QUALIFY row_number() OVER (PARTITION BY s.image_id ORDER BY c.g <> o.g, md5('identity:' || s.image_id || ':' || c.name)) <= 3) SELECT image_id, seen, string_agg(name, '|' ORDER BY name) AS wrong FROM ab GROUP BY 1, 2 HAVING count(*) = 3""",
+    "spatial_identity": f"WITH {_BOXES}, {_IDENTITY} SELECT image_id, seen, array_to_string(wrong, '|') AS wrong FROM idt",
+    "spatial_not_shown": f"WITH {_BOXES}, {_IDENTITY}, {_NOT_SHOWN} SELECT image_id, array_to_string(shown, '|') AS shown, missing FROM nsh",
     "tile_boxes": """SELECT n_nationkey, CAST(t AS INT) AS tile, CAST(CASE WHEN t = 0 THEN 0 ELSE (t - 1) % 2 * w // 2 END AS INT) AS "left", CAST(CASE WHEN t = 0 THEN 0 ELSE (t - 1) // 2 * h // 2 END AS INT) AS top, CAST(CASE WHEN t = 0 THEN w ELSE ((t - 1) % 2 + 1) * w // 2 END AS INT) AS "right", CAST(CASE WHEN t = 0 THEN h ELSE ((t - 1) // 2 + 1) * h // 2 END AS INT) AS bottom
 FROM (SELECT n_nationkey, 100 + n_nationkey * 7 AS w, 60 + n_nationkey * 5 AS h FROM nation), range(5) r(t)""",
     "options_render_choice": f"SELECT r_name, array_to_string(list_transform(range(1, len(k) + 1), lambda i: k[i] || coalesce(': ' || v[i], '')), '|') AS options FROM {_CRIT}",
@@ -287,5 +306,5 @@ SELECT doc_id, CAST(hk AS INT) AS head, CAST(os AS INT) AS options, CAST(sk AS I
     "music_questions": """WITH e AS (SELECT 60 + event_id % 90 AS bpm, event_id * 7 % 100 / 100.0 AS prob, event_id % 2 = 0 AS minor, event_id % 6 AS metre FROM events)
 SELECT kind, label, count(*) AS n FROM (SELECT 'tempo' AS kind, CASE WHEN bpm < 80 THEN 0 WHEN bpm < 120 THEN 1 ELSE 2 END AS label FROM e WHERE least(abs(bpm - 80), abs(bpm - 120)) > 5 UNION ALL SELECT 'mode', CAST(minor AS INT) FROM e WHERE prob > 0.6 UNION ALL SELECT 'metre', CAST(metre = 4 AS INT) FROM e WHERE metre IN (3, 4)) GROUP BY 1, 2""",
 }
-_FUNCTIONS = [contamination, contamination_summary, overlap_tags, overlap_summary, teacher_left_join, feature_lookup_all_present, frame_spans, anti_join_base_ids, resume_anti_join, first_wins_dedupe, last_wins_merge, media_dedupe_content_hash, knn_hard_negatives, caption_negatives, caption_match_pick, spatial_cells, spatial_pairs, spatial_identity, tile_boxes, options_render_choice, options_render_score, options_render_noul, question_validate, chat_prompt, state_texts, circular_rotations, option_probs, prompt_budget, json_list_choices, json_nested, multilabel_absent, music_questions]
+_FUNCTIONS = [contamination, contamination_summary, overlap_tags, overlap_summary, teacher_left_join, feature_lookup_all_present, frame_spans, anti_join_base_ids, resume_anti_join, first_wins_dedupe, last_wins_merge, media_dedupe_content_hash, knn_hard_negatives, caption_negatives, caption_match_pick, spatial_cells, spatial_pairs, spatial_identity, spatial_not_shown, spatial_questions, tile_boxes, options_render_choice, options_render_score, options_render_noul, question_validate, chat_prompt, state_texts, circular_rotations, option_probs, prompt_budget, json_list_choices, json_nested, multilabel_absent, music_questions]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
