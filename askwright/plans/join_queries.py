@@ -258,6 +258,12 @@ QUALIFY row_number() OVER (PARTITION BY s.image_id ORDER BY c.g <> o.g, md5('ide
 idt AS (SELECT image_id, seen, list(name ORDER BY name) AS wrong FROM ab GROUP BY 1, 2 HAVING count(*) = 3)"""
 _NOT_SHOWN = """nsh AS (SELECT image_id, shown, wrong[CAST('0x' || substr(md5('missing:' || image_id), 1, 8) AS BIGINT) % 3 + 1] AS missing FROM idt JOIN (
 SELECT image_id, list(name ORDER BY name) AS shown FROM (SELECT image_id, name FROM pres WHERE vis QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('missing:' || image_id || ':' || name)) <= 3) GROUP BY 1 HAVING count(*) = 3) USING (image_id))"""
+_PAIRS = """pr AS (SELECT p.image_id, p.name AS p, q.name AS q, ((p.x + p.w / 2) - (q.x + q.w / 2)) / 640 AS dx, ((p.y + p.h / 2) - (q.y + q.h / 2)) / 480 AS dy, p.w * p.h / greatest(1, q.w * q.h) AS ratio,
+p.x + p.w < q.x OR q.x + q.w < p.x AS ax, p.y + p.h < q.y OR q.y + q.h < p.y AS ay FROM sg p JOIN sg q ON p.image_id = q.image_id AND p.name < q.name QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY md5('pairs:' || p.image_id || ':' || p.name || ':' || q.name)) <= 3),
+rel AS (SELECT image_id, p, q, 'left' AS kind, CAST(dx < 0 AS INT) AS label FROM pr WHERE abs(dx) > 0.2 AND ax UNION ALL SELECT image_id, p, q, 'above', CAST(dy < 0 AS INT) FROM pr WHERE NOT (abs(dx) > 0.2 AND ax) AND abs(dy) > 0.2 AND ay
+UNION ALL SELECT image_id, p, q, 'bigger', CAST(ratio <= 1 AS INT) FROM pr WHERE ratio > 2 OR ratio < 0.5)"""
+_CELLS = "[" + ", ".join(f"'{c}'" for c in B.CELLS) + "]"
+_ASKS = ", ".join(f"('{kind}', {list(asks)})" for kind, asks in B.ASKS.items())
 _CRIT = "(SELECT r_name, list(n_name ORDER BY n_name) AS k, list(CASE WHEN n_nationkey % 2 = 0 THEN 'nation ' || n_nationkey END ORDER BY n_name) AS v FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"
 ORACLE = {
     "contamination": f"SELECT DISTINCT doc_id, item_id FROM {_PAIRS}",
@@ -280,10 +286,21 @@ t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY si
     "caption_match_pick": f"""WITH {_NEG}, c AS (SELECT *, substr(md5('coin:' || clip), 1, 1) < '8' AS coin FROM neg)
 SELECT clip, 'match' AS kind, CASE WHEN coin THEN caption ELSE negative END AS shown, CAST(coin AS INT) AS label FROM c UNION ALL SELECT clip, 'pick', negative || '|' || caption, 1 FROM c""",
     "spatial_cells": f"""WITH {_BOXES} SELECT image_id, name, ['top left', 'top', 'top right', 'left', 'center', 'right', 'bottom left', 'bottom', 'bottom right'][CAST(least(2, floor((y + h / 2) / 480 * 3)) * 3 + least(2, floor((x + w / 2) / 640 * 3)) AS INT) + 1] AS cell FROM sg""",
-    "spatial_pairs": f"""WITH {_BOXES}, pr AS (SELECT p.image_id, p.name AS p, q.name AS q, ((p.x + p.w / 2) - (q.x + q.w / 2)) / 640 AS dx, ((p.y + p.h / 2) - (q.y + q.h / 2)) / 480 AS dy, p.w * p.h / greatest(1, q.w * q.h) AS ratio,
-p.x + p.w < q.x OR q.x + q.w < p.x AS ax, p.y + p.h < q.y OR q.y + q.h < p.y AS ay FROM sg p JOIN sg q ON p.image_id = q.image_id AND p.name < q.name QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY md5('pairs:' || p.image_id || ':' || p.name || ':' || q.name)) <= 3)
-SELECT image_id, p, q, 'left' AS kind, CAST(dx < 0 AS INT) AS label FROM pr WHERE abs(dx) > 0.2 AND ax UNION ALL SELECT image_id, p, q, 'above', CAST(dy < 0 AS INT) FROM pr WHERE NOT (abs(dx) > 0.2 AND ax) AND abs(dy) > 0.2 AND ay
-UNION ALL SELECT image_id, p, q, 'bigger', CAST(ratio <= 1 AS INT) FROM pr WHERE ratio > 2 OR ratio < 0.5""",
+    "spatial_pairs": f"WITH {_BOXES}, {_PAIRS} SELECT * FROM rel",
+    "spatial_questions": f"""WITH {_BOXES}, {_IDENTITY}, {_NOT_SHOWN}, {_PAIRS}, asks AS (SELECT * FROM (VALUES {_ASKS}) t(kind, said)),
+lc AS (SELECT image_id, image_id || ':location:' || name AS key, name, {_CELLS}[CAST(least(2, floor((y + h / 2) / 480 * 3)) * 3 + least(2, floor((x + w / 2) / 640 * 3)) AS INT) + 1] AS answer FROM sg),
+lo AS (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY answer ORDER BY md5('boxes-location:' || key), key) <= 200),
+lw AS (SELECT *, list_sort(list_transform(list_filter({_CELLS}, lambda c: c <> answer), lambda c: {{'d': md5('boxes-cells:' || key || ':' || c), 'c': c}})) AS w FROM lo),
+rk AS (SELECT *, image_id || ':' || kind || ':' || p || ':' || q AS key, CAST('0x' || substr(md5('boxes-swap:' || image_id || ':' || p || ':' || q), 1, 8) AS BIGINT) < 2147483648 AS swap FROM rel),
+rs AS (SELECT image_id, key, kind, if(swap, q, p) AS a, if(swap, p, q) AS b, if(swap, 1 - label, label) AS label, kind = 'left' AND CAST('0x' || substr(md5('boxes-side:' || key), 1, 8) AS BIGINT) < 2147483648 AS side FROM rk),
+al AS (SELECT image_id, key, 'location' AS kind, name AS a, '' AS b, list_concat([answer], list_transform(w[1:3], lambda v: v.c)) AS o, 0 AS label FROM lw
+UNION ALL SELECT image_id, key, if(side, 'side', kind), a, b, CASE WHEN side THEN ['to the left', 'to the right'] WHEN kind = 'bigger' THEN [a, b] END, if(side, 1 - label, label) FROM rs
+UNION ALL SELECT image_id, image_id || ':seen', 'seen', '', '', list_concat([seen], wrong), 0 FROM idt
+UNION ALL SELECT image_id, image_id || ':not_shown', 'not_shown', '', '', list_concat([missing], shown), 0 FROM nsh),
+z AS (SELECT *, list_sort(list_transform(o, lambda x, i: {{'d': md5('boxes-order:' || key || ':' || (i - 1)), 'i': i - 1, 'o': x}})) AS z FROM al JOIN asks USING (kind))
+SELECT image_id, key, kind, if(o IS NULL, 'noul', 'choice') AS type, replace(replace(said[CAST('0x' || substr(md5('boxes-ask:' || key), 1, 8) AS BIGINT) % len(said) + 1], '{{a}}', a), '{{b}}', b) AS instructions,
+array_to_string(list_transform(z, lambda v: v.o), '|') AS options, CAST(if(o IS NULL, label, list_position(list_transform(z, lambda v: v.i), label) - 1) AS INT) AS label,
+if(CAST('0x' || substr(md5('boxes-split:' || image_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1, 'test', 'train') AS split FROM z""",
     "spatial_identity": f"WITH {_BOXES}, {_IDENTITY} SELECT image_id, seen, array_to_string(wrong, '|') AS wrong FROM idt",
     "spatial_not_shown": f"WITH {_BOXES}, {_IDENTITY}, {_NOT_SHOWN} SELECT image_id, array_to_string(shown, '|') AS shown, missing FROM nsh",
     "tile_boxes": """SELECT n_nationkey, CAST(t AS INT) AS tile, CAST(CASE WHEN t = 0 THEN 0 ELSE (t - 1) % 2 * w // 2 END AS INT) AS "left", CAST(CASE WHEN t = 0 THEN 0 ELSE (t - 1) // 2 * h // 2 END AS INT) AS top, CAST(CASE WHEN t = 0 THEN w ELSE ((t - 1) % 2 + 1) * w // 2 END AS INT) AS "right", CAST(CASE WHEN t = 0 THEN h ELSE ((t - 1) // 2 + 1) * h // 2 END AS INT) AS bottom
