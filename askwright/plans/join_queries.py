@@ -258,7 +258,7 @@ QUALIFY row_number() OVER (PARTITION BY s.image_id ORDER BY c.g <> o.g, md5('ide
 idt AS (SELECT image_id, seen, list(name ORDER BY name) AS wrong FROM ab GROUP BY 1, 2 HAVING count(*) = 3)"""
 _NOT_SHOWN = """nsh AS (SELECT image_id, shown, wrong[CAST('0x' || substr(md5('missing:' || image_id), 1, 8) AS BIGINT) % 3 + 1] AS missing FROM idt JOIN (
 SELECT image_id, list(name ORDER BY name) AS shown FROM (SELECT image_id, name FROM pres WHERE vis QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('missing:' || image_id || ':' || name)) <= 3) GROUP BY 1 HAVING count(*) = 3) USING (image_id))"""
-_PAIRS = """pr AS (SELECT p.image_id, p.name AS p, q.name AS q, ((p.x + p.w / 2) - (q.x + q.w / 2)) / 640 AS dx, ((p.y + p.h / 2) - (q.y + q.h / 2)) / 480 AS dy, p.w * p.h / greatest(1, q.w * q.h) AS ratio,
+_BOX_PAIRS = """pr AS (SELECT p.image_id, p.name AS p, q.name AS q, ((p.x + p.w / 2) - (q.x + q.w / 2)) / 640 AS dx, ((p.y + p.h / 2) - (q.y + q.h / 2)) / 480 AS dy, p.w * p.h / greatest(1, q.w * q.h) AS ratio,
 p.x + p.w < q.x OR q.x + q.w < p.x AS ax, p.y + p.h < q.y OR q.y + q.h < p.y AS ay FROM sg p JOIN sg q ON p.image_id = q.image_id AND p.name < q.name QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY md5('pairs:' || p.image_id || ':' || p.name || ':' || q.name)) <= 3),
 rel AS (SELECT image_id, p, q, 'left' AS kind, CAST(dx < 0 AS INT) AS label FROM pr WHERE abs(dx) > 0.2 AND ax UNION ALL SELECT image_id, p, q, 'above', CAST(dy < 0 AS INT) FROM pr WHERE NOT (abs(dx) > 0.2 AND ax) AND abs(dy) > 0.2 AND ay
 UNION ALL SELECT image_id, p, q, 'bigger', CAST(ratio <= 1 AS INT) FROM pr WHERE ratio > 2 OR ratio < 0.5)"""
@@ -286,8 +286,8 @@ t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY si
     "caption_match_pick": f"""WITH {_NEG}, c AS (SELECT *, substr(md5('coin:' || clip), 1, 1) < '8' AS coin FROM neg)
 SELECT clip, 'match' AS kind, CASE WHEN coin THEN caption ELSE negative END AS shown, CAST(coin AS INT) AS label FROM c UNION ALL SELECT clip, 'pick', negative || '|' || caption, 1 FROM c""",
     "spatial_cells": f"""WITH {_BOXES} SELECT image_id, name, ['top left', 'top', 'top right', 'left', 'center', 'right', 'bottom left', 'bottom', 'bottom right'][CAST(least(2, floor((y + h / 2) / 480 * 3)) * 3 + least(2, floor((x + w / 2) / 640 * 3)) AS INT) + 1] AS cell FROM sg""",
-    "spatial_pairs": f"WITH {_BOXES}, {_PAIRS} SELECT * FROM rel",
-    "spatial_questions": f"""WITH {_BOXES}, {_IDENTITY}, {_NOT_SHOWN}, {_PAIRS}, asks AS (SELECT * FROM (VALUES {_ASKS}) t(kind, said)),
+    "spatial_pairs": f"WITH {_BOXES}, {_BOX_PAIRS} SELECT * FROM rel",
+    "spatial_questions": f"""WITH {_BOXES}, {_IDENTITY}, {_NOT_SHOWN}, {_BOX_PAIRS}, asks AS (SELECT * FROM (VALUES {_ASKS}) t(kind, said)),
 lc AS (SELECT image_id, image_id || ':location:' || name AS key, name, {_CELLS}[CAST(least(2, floor((y + h / 2) / 480 * 3)) * 3 + least(2, floor((x + w / 2) / 640 * 3)) AS INT) + 1] AS answer FROM sg),
 lo AS (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY answer ORDER BY md5('boxes-location:' || key), key) <= 200),
 lw AS (SELECT *, list_sort(list_transform(list_filter({_CELLS}, lambda c: c <> answer), lambda c: {{'d': md5('boxes-cells:' || key || ':' || c), 'c': c}})) AS w FROM lo),
