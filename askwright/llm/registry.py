@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup", "sharding", "url_filter", "decontaminate", "quality", "toxicity", "packing", "near_dup", "suffix_dedup", "lm_score", "divergence", "resample")
+MODULES = ("exact_dedup", "sharding", "url_filter", "decontaminate", "quality", "toxicity", "packing", "near_dup", "suffix_dedup", "lm_score", "divergence", "resample", "pii")
 
 
 def queries() -> dict:
