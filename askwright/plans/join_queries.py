@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import assembly as A
 from ..operators import joins as J
+from ..operators import neighbours as N
 from ..operators import questions as Q
 from ..operators import spatial as B
 from ..sources import writers as W
@@ -90,7 +91,14 @@ def media_dedupe_content_hash(spark, sf_dir):
 
 
 def knn_hard_negatives(spark, sf_dir):
-    return J.nearest(table(spark, sf_dir, "embeddings"), k=5, max_sim=0.35)
+    """By the index; on no more vectors than a cell holds, as at the scale of the SQL check, it is exact."""
+    return N.similar(table(spark, sf_dir, "embeddings"), k=5, max_sim=0.35)
+
+
+def vector_search(spark, sf_dir):
+    """The ten most similar of all vectors for each whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return N.similar(vectors, k=10, max_sim=2.0, wide=2, asks=vectors.where("vec_id % 100 = 0"))
 
 
 def _captions(spark, sf_dir):
@@ -282,6 +290,9 @@ SELECT conv_id, CAST(coalesce(len(m), 0) AS INT) AS n FROM c WHERE NOT EXISTS (S
     "media_dedupe_content_hash": "SELECT substr(sha1(text), 1, 16) || '.txt' AS file, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1",
     "knn_hard_negatives": """WITH s AS (SELECT a.vec_id, b.vec_id AS other, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 6) AS sim FROM embeddings a, embeddings b),
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) <= 15), u AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS rank FROM t WHERE other <> vec_id AND sim < 0.35) SELECT vec_id, CAST(rank AS INT) AS rank, other, sim FROM u WHERE rank <= 5""",
+    "vector_search": """WITH s AS (SELECT a.vec_id, b.vec_id AS other, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 6) AS sim
+FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS INT) AS rank, other, sim FROM s WHERE other <> vec_id QUALIFY rank <= 10""",
     "caption_negatives": f"WITH {_NEG} SELECT * FROM neg",
     "caption_match_pick": f"""WITH {_NEG}, c AS (SELECT *, substr(md5('coin:' || clip), 1, 1) < '8' AS coin FROM neg)
 SELECT clip, 'match' AS kind, CASE WHEN coin THEN caption ELSE negative END AS shown, CAST(coin AS INT) AS label FROM c UNION ALL SELECT clip, 'pick', negative || '|' || caption, 1 FROM c""",
@@ -323,5 +334,5 @@ SELECT doc_id, CAST(hk AS INT) AS head, CAST(os AS INT) AS options, CAST(sk AS I
     "music_questions": """WITH e AS (SELECT 60 + event_id % 90 AS bpm, event_id * 7 % 100 / 100.0 AS prob, event_id % 2 = 0 AS minor, event_id % 6 AS metre FROM events)
 SELECT kind, label, count(*) AS n FROM (SELECT 'tempo' AS kind, CASE WHEN bpm < 80 THEN 0 WHEN bpm < 120 THEN 1 ELSE 2 END AS label FROM e WHERE least(abs(bpm - 80), abs(bpm - 120)) > 5 UNION ALL SELECT 'mode', CAST(minor AS INT) FROM e WHERE prob > 0.6 UNION ALL SELECT 'metre', CAST(metre = 4 AS INT) FROM e WHERE metre IN (3, 4)) GROUP BY 1, 2""",
 }
-_FUNCTIONS = [contamination, contamination_summary, overlap_tags, overlap_summary, teacher_left_join, feature_lookup_all_present, frame_spans, anti_join_base_ids, resume_anti_join, first_wins_dedupe, last_wins_merge, media_dedupe_content_hash, knn_hard_negatives, caption_negatives, caption_match_pick, spatial_cells, spatial_pairs, spatial_identity, spatial_not_shown, spatial_questions, tile_boxes, options_render_choice, options_render_score, options_render_noul, question_validate, chat_prompt, state_texts, circular_rotations, option_probs, prompt_budget, json_list_choices, json_nested, multilabel_absent, music_questions]
+_FUNCTIONS = [contamination, contamination_summary, overlap_tags, overlap_summary, teacher_left_join, feature_lookup_all_present, frame_spans, anti_join_base_ids, resume_anti_join, first_wins_dedupe, last_wins_merge, media_dedupe_content_hash, knn_hard_negatives, vector_search, caption_negatives, caption_match_pick, spatial_cells, spatial_pairs, spatial_identity, spatial_not_shown, spatial_questions, tile_boxes, options_render_choice, options_render_score, options_render_noul, question_validate, chat_prompt, state_texts, circular_rotations, option_probs, prompt_budget, json_list_choices, json_nested, multilabel_absent, music_questions]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
