@@ -44,7 +44,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     if chosen:
         ids = found.sparkSession.createDataFrame(chosen, found.select("__id", F.xxhash64("__text").alias("__mark")).schema)
         kept = found.withColumn("__mark", F.xxhash64("__text")).join(F.broadcast(ids), ["__id", "__mark"])
-        rows = {(r[0], r[1]): (r[2], r[3]) for r in kept.select("__id", "__mark", "__text", "__label").collect()}
+        # repeated rows go before the collect: what comes here is a row for each chosen text
+        rows = {(r[0], r[1]): (r[2], r[3]) for r in kept.groupBy("__id", "__mark").agg(F.min("__text"), F.min("__label")).collect()}
     got = [rows[k] for k in chosen if k in rows]
     return Sample([t for t, _ in got], np.array([y for _, y in got], np.int64), (counts.get(0, 0), counts.get(1, 0)))
 

@@ -331,7 +331,7 @@ def op13_pii(spark, sf_dir: str) -> DataFrame:
     """The counts and base_sha256 are of the strict spans; spans holds those that the method adds too."""
     told = personal_spans(table(spark, sf_dir, "documents"))
     strict = F.filter("spans", lambda x: x["strict"])
-    counts = [F.size(F.filter("spans", lambda x, i=i: x["strict"] & (x["kind"] == i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.expr(f"size(filter(spans, x -> x.strict and x.kind = {i}))").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return told.select("doc_id", *counts, F.sha2(_listed(strict).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
