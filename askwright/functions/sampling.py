@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import places
+
 
 def draw(seed: str, *keys: Column | str) -> Column:
     """32 hex digits."""
@@ -45,16 +47,15 @@ def md5_mod20(hex_digest: Column) -> Column:
 
 def stratified_split(rows: DataFrame, label: str, fraction: float, seed: str, key: str, out: str = "split") -> DataFrame:
     """At least one and a rounded (half to even) ``fraction`` of each label to test."""
-    by = Window.partitionBy(label).orderBy(draw(seed, key), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    want = F.greatest(F.lit(1), F.bround(n * fraction).cast("int"))
-    return rows.withColumn(out, F.when(F.row_number().over(by) <= want, "test").otherwise("train"))
+    told = places(rows, [label], [draw(seed, key), key], "__at", "__of")
+    want = F.greatest(F.lit(1), F.bround(F.col("__of") * fraction).cast("int"))
+    return told.withColumn(out, F.when(F.col("__at") < want, "test").otherwise("train")).drop("__at", "__of")
 
 
 def halves(rows: DataFrame, group: list[str], order: list[str], out: str = "half") -> DataFrame:
     """Even and odd positions in each group."""
-    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return rows.withColumn(out, F.when(at % 2 == 0, "even").otherwise("odd"))
+    told = places(rows, group, order, "__at", "__of")
+    return told.withColumn(out, F.when(F.col("__at") % 2 == 0, "even").otherwise("odd")).drop("__at", "__of")
 
 
 def cap_each(rows: DataFrame, group: str, cap: int, seed: str, key: str) -> DataFrame:
@@ -73,10 +74,9 @@ def mix(rows: DataFrame, source: str, key: str, weights: dict[str, float], cap:
         w = F.when(F.col(source) == name, F.lit(float(value))).otherwise(w)
     passes = F.greatest(F.lit(1), F.floor(w + 0.999).cast("int"))
     drawn = rows.withColumn("weight", w).withColumn("passes", passes).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes"))))
-    n = F.count(F.lit(1)).over(Window.partitionBy(source))
-    want = F.floor(n / F.col("passes") * F.col("weight"))
+    drawn = places(drawn, [source], [draw(seed, key, "pass"), key], "__at", "__of")
+    want = F.floor(F.col("__of") / F.col("passes") * F.col("weight"))
     if cap is not None:
         want = F.least(want, F.floor(F.lit(cap) * F.col("weight")))
-    chance = draw(seed, key, "pass")
-    drawn = drawn.withColumn("__want", want).withColumn("__rank", F.row_number().over(Window.partitionBy(source).orderBy(chance, key)))
-    return drawn.where(F.col("__rank") <= F.col("__want")).withColumn("order_key", draw(seed + "-order", key, "pass")).drop("__rank", "__want", "passes", "weight")
+    drawn = drawn.where(F.col("__at") < want)
+    return drawn.withColumn("order_key", draw(seed + "-order", key, "pass")).drop("__at", "__of", "passes", "weight")

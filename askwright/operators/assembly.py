@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import sampling as S
 from ..functions import text as T
+from ..functions.ranks import places
 from .questions import shuffle_options
 
 # How a description says that a clip has no speech or no music, and the twelve keys.
@@ -87,9 +88,19 @@ def by_suffix(members: DataFrame, metadata: DataFrame, member: str = "member", l
 
 
 def frames_of(spans: DataFrame, frames: DataFrame, store: str = "store", low: str = "lo", high: str = "hi", frame: str = "frame") -> DataFrame:
-    """Frames of half-open spans [low, high), by an equi-join on store and frame: a store of any size is many join keys."""
-    wide = spans.where(F.col(low) < F.col(high)).withColumn(frame, F.explode(F.sequence(F.col(low).cast("long"), F.col(high).cast("long") - 1)))
-    return wide.join(frames.withColumn(frame, F.col(frame).cast("long")), [store, frame])
+    """Frames of half-open spans [low, high): both sides meet in bins of a store, and the ends are compared there.
+
+    A span's bins are as wide as the greatest power of 16 that it holds, so it is cut in at most 17, whatever its length, and the frames it
+    meets are at most three times its own.  A frame is a row for each width that occurs (16 at most).  Empty spans and nulls meet none.
+    """
+    first, last = F.col(low).cast("long"), F.col(high).cast("long") - 1
+    level = sum((F.when(last - first + 1 >= 16**i, 1).otherwise(0) for i in range(1, 16)), F.lit(0))
+    cut = spans.where(first <= last).withColumn("__level", level)
+    levels = [r[0] for r in cut.select("__level").distinct().collect()]  # at most 16 numbers
+    cut = cut.withColumn("__bin", F.explode(F.sequence(F.expr(f"shiftright(cast({low} as bigint), 4 * __level)"), F.expr(f"shiftright(cast({high} as bigint) - 1, 4 * __level)"))))
+    binned = frames.withColumn(frame, F.col(frame).cast("long")).withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    binned = binned.withColumn("__bin", F.expr(f"shiftright({frame}, 4 * __level)"))
+    return cut.join(binned, [store, "__level", "__bin"]).where((F.col(frame) >= first) & (F.col(frame) <= last)).drop("__level", "__bin")
 
 
 def with_media(rows: DataFrame, source: DataFrame, key: str, media: list[str]) -> DataFrame:
@@ -142,11 +153,10 @@ def similar_and_other(label: Column, vocabulary: Column, k: int = 3, seeds: tupl
 
 def rank_batches(rows: DataFrame, group: str, order: str, batch: int, world: int) -> DataFrame:
     """Batches of a group's rows dealt to ranks in turn, the same number to each; what does not fill a round is left out."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    sized = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    rows = rows.withColumn("__at", F.floor(at / batch)).join(sized, group)
-    rows = rows.where(F.col("__at") < F.floor(F.col("__n") / (batch * world)) * world)
-    return rows.withColumns({"batch": F.col("__at").cast("int"), "rank": F.pmod("__at", F.lit(world)).cast("int")}).drop("__at", "__n")
+    rows = places(rows, [group], [order], "__at", "__of")
+    rows = rows.withColumn("__at", F.floor(F.col("__at") / batch))
+    rows = rows.where(F.col("__at") < F.floor(F.col("__of") / (batch * world)) * world)
+    return rows.withColumns({"batch": F.col("__at").cast("int"), "rank": F.pmod("__at", F.lit(world)).cast("int")}).drop("__at", "__of")
 
 
 def splice_order(valid: Column, texts: Column) -> Column:

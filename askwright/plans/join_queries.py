@@ -61,6 +61,15 @@ def frame_spans(spark, sf_dir):
     return told.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
 
 
+def frames_in_spans(spark, sf_dir):
+    """For the span of each document, of none to 699 frames, its frames: how many, first, last and sum."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("store"), (F.col("doc_id") % 97 - 20).alias("lo"))
+    spans = d.withColumn("hi", F.col("lo") + F.when(F.col("doc_id") % 50 == 0, F.col("doc_id") % 700).otherwise(F.col("doc_id") % 23))
+    frames = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("store"), F.expr("vec_id div 8").alias("frame"), "vec_id")
+    told = A.frames_of(spans, frames)
+    return told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.sum("frame").alias("sum"))
+
+
 def anti_join_base_ids(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", r"//([^/]*)/", 1), F.lit("_"), (F.col("page_id") % 3).cast("string")).alias("loc"))
     test = p.where("page_id % 10 = 0").withColumn("loc", F.regexp_replace("loc", r"_\d+$", ""))
@@ -282,6 +291,8 @@ ORACLE = {
 SELECT doc_id, CASE WHEN t.k2 IS NOT NULL AND doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_probs FROM k JOIN labels USING (doc_id) LEFT JOIN t ON t.k1 IS NOT DISTINCT FROM k.k1 AND t.k2 = k.k2""",
     "feature_lookup_all_present": """WITH c AS (SELECT conv_id, CASE WHEN conv_id % 5 > 0 THEN list(turn + conv_id) END AS m FROM conversations GROUP BY 1), f AS (SELECT vec_id FROM embeddings WHERE vec_id % 11 <> 3)
 SELECT conv_id, CAST(coalesce(len(m), 0) AS INT) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(m) AS p) WHERE p NOT IN (SELECT vec_id FROM f))""",
+    "frames_in_spans": """WITH s AS (SELECT doc_id, doc_id % 8 AS store, doc_id % 97 - 20 AS lo, CASE WHEN doc_id % 50 = 0 THEN doc_id % 700 ELSE doc_id % 23 END AS n FROM documents)
+SELECT doc_id, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last, CAST(sum(vec_id // 8) AS BIGINT) AS sum FROM s JOIN embeddings ON vec_id % 8 = store AND vec_id // 8 >= lo AND vec_id // 8 < lo + s.n GROUP BY doc_id""",
     "frame_spans": "SELECT conv_id, count(*) AS n, min(vec_id) AS first FROM (SELECT conv_id, min(turn) AS lo, max(turn) AS hi FROM conversations GROUP BY 1) JOIN embeddings ON conv_id % 8 = vec_id % 8 AND vec_id // 8 >= lo AND vec_id // 8 < hi GROUP BY 1",
     "anti_join_base_ids": """WITH p AS (SELECT page_id, regexp_extract(url, '//([^/]*)/', 1) AS base, page_id % 3 AS k FROM pages) SELECT page_id, base || '_' || k AS loc FROM p WHERE page_id % 10 <> 0 AND regexp_replace(base || '_' || k, '_[0-9]+$', '') NOT IN (SELECT regexp_replace(regexp_replace(base || '_' || k, '_[0-9]+$', ''), '_[0-9]+$', '') FROM p WHERE page_id % 10 = 0)""",
     "resume_anti_join": """WITH e AS (SELECT *, CASE WHEN user_id % 3 > 0 THEN event_type END AS tag FROM events) SELECT event_id, user_id FROM e WHERE NOT EXISTS (SELECT 1 FROM e d WHERE d.event_id % 4 = 1 AND d.user_id IS NOT DISTINCT FROM e.user_id AND d.tag IS NOT DISTINCT FROM e.tag AND d.props IS NOT DISTINCT FROM e.props)""",
@@ -334,5 +345,5 @@ SELECT doc_id, CAST(hk AS INT) AS head, CAST(os AS INT) AS options, CAST(sk AS I
     "music_questions": """WITH e AS (SELECT 60 + event_id % 90 AS bpm, event_id * 7 % 100 / 100.0 AS prob, event_id % 2 = 0 AS minor, event_id % 6 AS metre FROM events)
 SELECT kind, label, count(*) AS n FROM (SELECT 'tempo' AS kind, CASE WHEN bpm < 80 THEN 0 WHEN bpm < 120 THEN 1 ELSE 2 END AS label FROM e WHERE least(abs(bpm - 80), abs(bpm - 120)) > 5 UNION ALL SELECT 'mode', CAST(minor AS INT) FROM e WHERE prob > 0.6 UNION ALL SELECT 'metre', CAST(metre = 4 AS INT) FROM e WHERE metre IN (3, 4)) GROUP BY 1, 2""",
 }
-_FUNCTIONS = [contamination, contamination_summary, overlap_tags, overlap_summary, teacher_left_join, feature_lookup_all_present, frame_spans, anti_join_base_ids, resume_anti_join, first_wins_dedupe, last_wins_merge, media_dedupe_content_hash, knn_hard_negatives, vector_search, caption_negatives, caption_match_pick, spatial_cells, spatial_pairs, spatial_identity, spatial_not_shown, spatial_questions, tile_boxes, options_render_choice, options_render_score, options_render_noul, question_validate, chat_prompt, state_texts, circular_rotations, option_probs, prompt_budget, json_list_choices, json_nested, multilabel_absent, music_questions]
+_FUNCTIONS = [contamination, contamination_summary, overlap_tags, overlap_summary, teacher_left_join, feature_lookup_all_present, frame_spans, frames_in_spans, anti_join_base_ids, resume_anti_join, first_wins_dedupe, last_wins_merge, media_dedupe_content_hash, knn_hard_negatives, vector_search, caption_negatives, caption_match_pick, spatial_cells, spatial_pairs, spatial_identity, spatial_not_shown, spatial_questions, tile_boxes, options_render_choice, options_render_score, options_render_noul, question_validate, chat_prompt, state_texts, circular_rotations, option_probs, prompt_budget, json_list_choices, json_nested, multilabel_absent, music_questions]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
