@@ -55,20 +55,30 @@ def probes_for(sample: np.ndarray, cells: np.ndarray, k: int, recall: float, ask
 
 
 def best_of_block(asks: np.ndarray, base: np.ndarray, ids: np.ndarray, best: int) -> tuple[list, list]:
-    """For each row of ``asks`` the ``best`` most similar of ``base`` by (similarity to six places, id): lists of ids and of similarities."""
+    """For each row of ``asks`` the ``best`` most similar of ``base`` by (similarity to six places, id): lists of ids and of similarities.
+
+    Single precision finds those that can be among them, with a margin above its error; they are computed anew in double precision.
+    """
     got_ids, got_sims = [], []
     by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    short = base.astype(np.float32)
+    longest = float(np.sqrt((base * base).sum(1).max()))
     for at in range(0, len(asks), 1024):
-        sims = np.round(asks[at : at + 1024] @ base.T, 6)
-        least = np.partition(sims, sims.shape[1] - best, axis=1)[:, sims.shape[1] - best] if sims.shape[1] > best else np.full(len(sims), -np.inf)
-        rows, cols = np.nonzero(sims >= least[:, None])
-        order = np.lexsort((by_id[cols], -sims[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        first = np.searchsorted(rows, np.arange(len(sims)))
-        for i, a in enumerate(first):
-            mine = cols[a : (first[i + 1] if i + 1 < len(first) else len(rows))][:best]
-            got_ids.append(ids[mine])
-            got_sims.append(sims[i, mine])
+        part = asks[at : at + 1024]
+        near = part.astype(np.float32) @ short.T
+        if near.shape[1] > best:
+            least = np.partition(near, near.shape[1] - best, axis=1)[:, near.shape[1] - best]
+            margin = 4e-6 + 2.0**-22 * base.shape[1] * longest * np.sqrt((part * part).sum(1))
+            rows, cols = np.nonzero(near >= (least - margin)[:, None])
+        else:
+            rows, cols = np.nonzero(np.ones(near.shape, bool))
+        sims = np.round(np.einsum("ij,ij->i", part[rows], base[cols]), 6)
+        order = np.lexsort((by_id[cols], -sims, rows))
+        first = np.searchsorted(rows, np.arange(len(part) + 1))  # rows ascend already
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            mine = order[a : min(b, a + best)]
+            got_ids.append(ids[cols[mine]])
+            got_sims.append(sims[mine])
     return got_ids, got_sims
 
 
@@ -85,7 +95,8 @@ def similar(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
     """
     kind = vectors.schema[key].dataType.simpleString()
     best = wide * k
-    wanted = lambda df: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"  # shuffled as they are
+    wanted = lambda df: df.select(F.col(key).alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v")).where("id is not null and v is not null")
     rows = wanted(vectors)
     first = Window.partitionBy("h1", "h2").orderBy("id")
     base = rows.select("id", "v", *_key(F.col("v"))).distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= best)
@@ -99,7 +110,7 @@ def similar(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
     if cells == 1:
         found, probes = None, 1
     else:
-        drawn = np.array([r[0] for r in base.select("v", "h1", "h2").orderBy("h1", "h2").limit(sample).collect()])
+        drawn = np.array([r[0] for r in base.select("v", "h1", "h2").orderBy("h1", "h2").limit(sample).collect()], float)
         found = centroids(drawn, cells)
         probes = probes_for(drawn, found, best, recall)
 
@@ -108,7 +119,7 @@ def similar(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
         def of(v: pd.Series) -> pd.Series:
             out = []
             for at in range(0, len(v), 1024):
-                near = np.stack(v[at : at + 1024]) @ found.T
+                near = np.stack(v[at : at + 1024]).astype(float) @ found.T
                 near = near.argmax(1)[:, None] if count == 1 else np.argpartition(-near, count - 1, axis=1)[:, :count] if count < near.shape[1] else np.broadcast_to(np.arange(near.shape[1]), near.shape)
                 out += list(near.astype(np.int32))
             return pd.Series(out)
@@ -130,7 +141,7 @@ def similar(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
         a, b = group[group["asks"]], group[~group["asks"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"h1": [], "h2": [], "others": [], "sims": []})
-        ids, sims = best_of_block(np.stack(a["v"]), np.stack(b["v"]), b["id"].to_numpy(), best)
+        ids, sims = best_of_block(np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), b["id"].to_numpy(), best)
         return pd.DataFrame({"h1": a["h1"].to_numpy(), "h2": a["h2"].to_numpy(), "others": ids, "sims": sims})
 
     told = left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(search, f"h1 long, h2 long, others array<{kind}>, sims array<double>")
