@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..session import settled
@@ -54,32 +57,35 @@ def probes_for(sample: np.ndarray, cells: np.ndarray, k: int, recall: float, ask
     return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
 
 
-def best_of_block(asks: np.ndarray, base: np.ndarray, ids: np.ndarray, best: int) -> tuple[list, list]:
-    """For each row of ``asks`` the ``best`` most similar of ``base`` by (similarity to six places, id): lists of ids and of similarities.
+def best_of_block(asks: np.ndarray, base: np.ndarray, order: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``asks`` the ``best`` most similar of ``base`` by (similarity to six places, ``order``), one row's after the other's:
+    how many each has, their places in ``base``, their similarities.
 
     Single precision finds those that can be among them, with a margin above its error; they are computed anew in double precision.
     """
-    got_ids, got_sims = [], []
-    by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    counts, places, similarities = [], [], []
     short = base.astype(np.float32)
-    longest = float(np.sqrt((base * base).sum(1).max()))
+    n, longest = len(base), float(np.sqrt((base * base).sum(1).max()))
     for at in range(0, len(asks), 1024):
         part = asks[at : at + 1024]
         near = part.astype(np.float32) @ short.T
-        if near.shape[1] > best:
-            least = np.partition(near, near.shape[1] - best, axis=1)[:, near.shape[1] - best]
+        if n > best:
+            tops = near
+            if (wide := n // 16) >= 2 * best:  # the best of 16th parts: their best-th bounds that of all from below
+                tops = near[:, : 16 * wide].reshape(len(near), 16, wide).max(axis=1)
+            least = np.partition(tops, tops.shape[1] - best, axis=1)[:, tops.shape[1] - best]
             margin = 4e-6 + 2.0**-22 * base.shape[1] * longest * np.sqrt((part * part).sum(1))
-            rows, cols = np.nonzero(near >= (least - margin)[:, None])
+            rows, cols = np.divmod(np.flatnonzero(near >= (least - margin)[:, None].astype(np.float32)), n)
         else:
-            rows, cols = np.nonzero(np.ones(near.shape, bool))
+            rows, cols = np.divmod(np.arange(near.size), n)
         sims = np.round(np.einsum("ij,ij->i", part[rows], base[cols]), 6)
-        order = np.lexsort((by_id[cols], -sims, rows))
-        first = np.searchsorted(rows, np.arange(len(part) + 1))  # rows ascend already
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            mine = order[a : min(b, a + best)]
-            got_ids.append(ids[cols[mine]])
-            got_sims.append(sims[mine])
-    return got_ids, got_sims
+        by = np.lexsort((order[cols], -sims, rows))
+        first = np.searchsorted(rows, np.arange(len(part)))  # rows ascend already
+        kept = by[np.arange(len(by)) - first[rows] < best]
+        counts.append(np.bincount(rows[kept], minlength=len(part)))
+        places.append(cols[kept])
+        similarities.append(sims[kept])
+    return np.concatenate(counts), np.concatenate(places), np.concatenate(similarities)
 
 
 def _key(vector: Column) -> list[Column]:
@@ -137,14 +143,23 @@ def similar(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
     left = once.select("cell", part("asks", "h1", "h2").alias("i"), every("asked").alias("j"), F.lit(True).alias("asks"), "h1", "h2", F.lit("0").cast(kind).alias("id"), "v")
     right = base.select("cell", every("asks").alias("i"), part("asked", "id").alias("j"), F.lit(False).alias("asks"), zero.alias("h1"), zero.alias("h2"), "id", "v")
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["asks"]], group[~group["asks"]]
+    def search(group: pa.Table) -> pa.Table:
+        side = group["asks"].to_numpy()
+        a, b = group.filter(pa.array(side)), group.filter(pa.array(~side))
         if not len(a) or not len(b):
-            return pd.DataFrame({"h1": [], "h2": [], "others": [], "sims": []})
-        ids, sims = best_of_block(np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), b["id"].to_numpy(), best)
-        return pd.DataFrame({"h1": a["h1"].to_numpy(), "h2": a["h2"].to_numpy(), "others": ids, "sims": sims})
-
-    told = left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(search, f"h1 long, h2 long, others array<{kind}>, sims array<double>")
+            return none
+        matrix = lambda t: (v := t["v"].combine_chunks()).flatten().to_numpy().astype(float).reshape(len(v), -1)
+        ids = b["id"].combine_chunks()
+        by_id = np.empty(len(ids), np.int64)
+        by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        counts, places, sims = best_of_block(matrix(a), matrix(b), by_id, best)
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (ids.take(pa.array(places)), pa.array(sims))]
+        return pa.Table.from_arrays([a["h1"], a["h2"], *lists], ["h1", "h2", "others", "sims"])
+
+    arrow = to_arrow_type(vectors.schema[key].dataType)
+    none = pa.table({"h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), "others": pa.array([], pa.list_(arrow)), "sims": pa.array([], pa.list_(pa.float64()))})
+    told = left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(search, f"h1 long, h2 long, others array<{kind}>, sims array<double>")
     pairs = F.arrays_zip(F.transform("sims", lambda s: -s).alias("less"), F.col("others").alias("other"))
     merged = F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, best)  # no more than a row for each block that was looked at
     told = told.groupBy("h1", "h2").agg(merged.alias("found"))
