@@ -1,8 +1,9 @@
 """Packing token sequences by bin completion.
 
 Pieces of equal length are interchangeable, so the search runs on a histogram of lengths: at most ``capacity`` entries, whatever
-the number of documents.  The best-fit-decreasing plan is the first incumbent, so no plan is worse than that.  Branch and bound then
-looks for one with fewer sequences: the largest piece left opens a sequence, and its completions, sets of smaller pieces, are
+the number of documents.  The best-fit-decreasing plan is the first incumbent, so no plan is worse than that.  Where it is above the lower
+bound, walks through the same fillings without steps back follow, which differ in the length up to which a piece takes the filling
+of least waste and not the one of fewest pieces; the best is the next incumbent.  Branch and bound then looks for one with fewer sequences: the largest piece left opens a sequence, and its completions, sets of smaller pieces, are
 enumerated with the least waste first.  A filling in which a piece could be swapped for a longer one that fits is dominated and left
 out; so is one that wastes more than a plan better than the incumbent can afford.  A filling is used as often as its pieces last,
 which uses up at least one length.  The search ends at a lower bound or after ``nodes`` steps, with the incumbent.
@@ -114,7 +115,32 @@ def least_sequences(counts: dict[int, int], capacity: int) -> int:
     between = pieces[alone] - pieces[half]
     over = size[half] - size[np.searchsorted(x, least)] - (between * capacity - size[alone] + size[half])
     found = pieces[-1] - pieces[alone] + between + np.maximum(0, -(-over // capacity))
-    return int(max(-(-size[-1] // capacity), pieces[-1] - pieces[half], found.max(initial=0)))
+    return int(max(-(-size[-1] // capacity), pieces[-1] - pieces[half], found.max(initial=0), by_number(x, n, capacity)))
+
+
+def by_number(x: np.ndarray, n: np.ndarray, capacity: int) -> int:
+    """No plan has fewer, by how many pieces a sequence can hold: of the pieces from some length on at most K fit in one, and no more than T
+    sequences can hold K of them (their K * T shortest must fit in T sequences), so all but T hold K - 1."""
+    found = 0
+    for i in range(len(x)):
+        count, held = np.concatenate([[0], np.cumsum(n[i:])]), np.concatenate([[0], np.cumsum(n[i:] * x[i:])])
+
+        def shortest(m: int, count=count, held=held, i=i) -> int:
+            j = min(int(np.searchsorted(count, m, side="right")) - 1, len(x) - i - 1)
+            return int(held[j]) + (m - int(count[j])) * int(x[i + j])
+
+        total, k = int(count[-1]), 1
+        while k < total and k < 64 and shortest(k + 1) <= capacity:
+            k += 1
+        if k == 1 or k >= 64:
+            found = max(found, total if k == 1 and total else 0)
+            continue
+        low, high = 0, total // k
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if shortest(k * mid) <= capacity * mid else (low, mid - 1)
+        found = max(found, -(-(total - low) // (k - 1)))
+    return found
 
 
 def completions(h: Histogram, room: int, allowed: int, effort: int, spent: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
@@ -170,8 +196,52 @@ def completions(h: Histogram, room: int, allowed: int, effort: int, spent: list[
             yield rest, chosen
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 100_000, effort: int = 400) -> list[tuple[Pattern, int]]:
-    """[(pattern, times)]: best fit decreasing, or what the search finds that takes fewer sequences.
+def walk(counts: dict[int, int], capacity: int, cut: int, effort: int, spent: list[int], most: int) -> list[tuple[Pattern, int]] | None:
+    """One walk without steps back: a piece longer than ``cut`` is completed with the longest pieces that fit, so by few, and one up to it with
+    the least waste.  On dense lengths the long ones would else use up the short pieces of sequences that could hold one piece more.
+    None where it takes more than ``most`` steps.
+    """
+    h, made = Histogram(counts), []
+    while h.lengths:
+        big = h.lengths[-1]
+        h.counts[big] -= 1
+        if big <= cut:
+            _, chosen = next(completions(h, capacity - big, capacity, effort, spent))
+        else:
+            chosen, rest = (), capacity - big
+            for x in h.lengths[bisect_right(h.lengths, rest) - 1 :: -1] if h.lengths[0] <= rest else ():
+                many = min(rest // x, h.counts[x])
+                chosen, rest = chosen + (x,) * many, rest - many * x
+        h.counts[big] += 1
+        pattern = tuple(sorted(Counter((big, *chosen)).items(), reverse=True))
+        times = min(h.counts[x] // m for x, m in pattern)
+        h.take(pattern, times)
+        made.append((pattern, times))
+        spent[0] += 1
+        if spent[0] > most:
+            return None
+    return made
+
+
+def walks(counts: dict[int, int], capacity: int, effort: int, most: int) -> list[tuple[Pattern, int]] | None:
+    """The best of walks with cuts at evenly spaced lengths, then ever nearer to the best of those."""
+    lengths, spent, told = sorted(counts), [0], {}
+
+    def at(i: int) -> int:
+        if i not in told:
+            told[i] = walk(counts, capacity, lengths[i], effort, spent, most)
+        return sum(t for _, t in told[i]) if told[i] is not None else 1 << 62
+
+    step = max(1, len(lengths) // 12)
+    best = min(range(len(lengths) - 1, -1, -step), key=at)
+    while step > 1:
+        step = -(-step // 2) if step > 2 else 1
+        best = min((i for i in (best, best - step, best + step) if 0 <= i < len(lengths)), key=at)
+    return told[best]
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int = 100_000, effort: int = 400, walk_steps: int = 3_000_000) -> list[tuple[Pattern, int]]:
+    """[(pattern, times)]: best fit decreasing, or a walk or what the search finds that takes fewer sequences.
 
     Depth-first branch and bound.  To beat an incumbent of F sequences a plan may waste (F - 1) * capacity less all pieces; each
     pattern takes its waste from that, and a filling that takes more is not enumerated.  A filling is tried as often as
@@ -183,6 +253,8 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = 100_000, effort: in
     h = Histogram(counts)
     total = h.total
     lower = least_sequences(counts, capacity)
+    if fewest > lower and (other := walks(counts, capacity, effort, walk_steps)) and sum(t for _, t in other) < fewest:
+        best, fewest = other, sum(t for _, t in other)
     stack: list[list] = []  # [fillings, their largest piece, pattern, times, waste of the pattern, tried once]
     wasted, spent = 0, [0]
 

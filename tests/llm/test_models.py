@@ -442,3 +442,45 @@ def test_files_are_whole(tmp_path):
     assert os.listdir(tmp_path) == ["x"]
     back = elias_fano.map_arrays(str(tmp_path / "x"))
     assert all((back[k] == v).all() and back[k].dtype == v.dtype for k, v in arrays.items())
+
+
+def by_trying_all(items, capacity):
+    """The least number of sequences, by trying everything."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for room in {b for b in bins if b + items[i] <= capacity}:
+            j = bins.index(room)
+            bins[j] += items[i]
+            go(i + 1, bins)
+            bins[j] -= items[i]
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plans_of_few_pieces_are_optimal_and_bounds_hold():
+    rng = random.Random(9)
+    for _ in range(300):
+        capacity = rng.choice([10, 20, 41])
+        items = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(max(1, capacity // 3 - 2), capacity // 3 + 3) for _ in range(rng.randint(1, 9))]
+        least = by_trying_all(items, capacity)
+        assert packing.least_sequences(Counter(items), capacity) <= least
+        assert sequences(packing.plan(Counter(items), capacity), items, capacity) == least
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dense_lengths_take_fewer_sequences_than_best_fit(seed):
+    """Two or three pieces a sequence: best fit uses up the short ones beside long ones."""
+    rng = random.Random(seed)
+    items = [rng.randint(1300, 1500) for _ in range(3000)]
+    counts = Counter(items)
+    told = sequences(packing.plan(counts, 4096), items, 4096)
+    assert told <= 1210 and told <= 1.02 * packing.least_sequences(counts, 4096)
+    assert told < sum(t for _, t in packing.best_fit(counts, 4096))
