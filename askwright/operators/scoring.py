@@ -87,7 +87,11 @@ def score_in_batches(rows: DataFrame, name: str | Scorer, inputs: list[str], cos
     beside it keep theirs.  Answers do not depend on the budget, as a scorer's rows do not depend on each other.
     """
     f = SCORERS[name] if isinstance(name, str) else name
-    distinct = rows.select(*inputs, F.greatest(F.lit(1), F.coalesce(cost.cast("long"), F.lit(1))).alias("__cost")).distinct().sortWithinPartitions("__cost")
+    # inputs are known by 128 bits of hash, which say where nulls are: long texts are shuffled once, and not joined on
+    there = [F.when(F.col(c).isNull(), 1).otherwise(0) for c in inputs]
+    keyed = rows.withColumns({"__h1": F.xxhash64(*there, *inputs), "__h2": F.xxhash64(F.lit(1), *there, *inputs)})
+    costs = F.greatest(F.lit(1), F.coalesce(cost.cast("long"), F.lit(1))).alias("__cost")
+    distinct = keyed.select("__h1", "__h2", *inputs, costs).dropDuplicates(["__h1", "__h2"]).sortWithinPartitions("__cost")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _padded_batches(frames, budget, most):
@@ -95,12 +99,11 @@ def score_in_batches(rows: DataFrame, name: str | Scorer, inputs: list[str], cos
             if len(told) != len(batch):
                 raise ValueError(f"the scorer gave {len(told)} rows for {len(batch)}")
             ok = [z is not None and len(z) > 0 and bool(np.isfinite(np.asarray(z, float)).all()) for z in told]
-            yield batch.assign(__logits=[z if good else None for z, good in zip(told, ok, strict=True)], __failure=[None if good else "logits are not finite" for good in ok], __padded=int(batch["__cost"].max()))
+            failure = [None if good else "logits are not finite" for good in ok]
+            yield pd.DataFrame({"h1": batch["__h1"].to_numpy(), "h2": batch["__h2"].to_numpy(), out: [z if good else None for z, good in zip(told, ok, strict=True)], "failure": failure, "cost": batch["__cost"].to_numpy(), "padded": int(batch["__cost"].max())})
 
-    fields = [x for x in distinct.schema if x.name != "__cost"]
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in fields) + ", __cost long, __logits array<double>, __failure string, __padded long"
-    told = distinct.mapInPandas(run, schema).select(*[F.col(c).alias(f"__{c}") for c in inputs], F.col("__logits").alias(out), F.col("__failure").alias("failure"), F.col("__cost").alias("cost"), F.col("__padded").alias("padded"))
-    joined = rows.join(told, [rows[c].eqNullSafe(F.col(f"__{c}")) for c in inputs], "left")
+    told = distinct.mapInPandas(run, f"h1 long, h2 long, `{out}` array<double>, failure string, cost long, padded long")
+    joined = keyed.join(told, (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2")), "left")
     return joined.select(*rows.columns, out, "failure", "cost", "padded")
 
 
