@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sampling as S
 from ..functions import text as T
+from ..session import settled
 from .questions import drawn_pool
 
 
@@ -93,21 +94,57 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 8, doc_id: s
     return found.where(F.contains(F.concat(F.lit(" "), F.col("doc"), F.lit(" ")), F.concat(F.lit(" "), F.col("item"), F.lit(" ")))).select(doc_id, item_id).distinct()
 
 
-def word_negatives(captions: DataFrame, seed: str, key: str = "clip", text: str = "caption") -> DataFrame:
+def word_negatives(captions: DataFrame, seed: str, key: str = "clip", text: str = "caption", first: int = 4) -> DataFrame:
     """For each caption another clip's that shares a content word: the word drawn by the row, then the caption from all of that word.
 
-    Captions of one text count once and none is drawn that the clip has itself.  Words carry digests; texts are joined at the end.
-    Repeated rows count once; captions that share no word with another have no row, nor have null ones.
+    Captions of one text count once and none is drawn that the clip has itself.  Repeated rows count once; captions that share no word with
+    another have no row, nor have null ones or those of a null clip.
+
+    Words are kept once for each text.  A row first tries the ``first`` words that it draws, and only rows none of whose words another text
+    has try all.  The drawn place of a word's captions (numbered in 64 buckets by md5) and the one after it are looked up: of the two the caption
+    is the one that does not count the row's own.  Clips with several captions go through ``drawn_pool``.
     """
-    told = captions.select(F.col(key), F.col(text)).where(F.col(text).isNotNull()).distinct().withColumn("__own", F.md5(F.col(text)))
-    words = told.select(F.col(key), "__own", T.content_words(F.col(text)).alias("__words")).withColumn("__row", F.concat_ws(":", F.col(key).cast("string"), "__own"))
-    pool = words.select(F.explode("__words").alias("kind"), F.col("__own").alias("answer")).distinct()
-    held = words.groupBy(key).agg(F.collect_set("__own").alias("answers"))
-    asked = words.join(held, key).select("__row", "answers", S.shuffled(seed + "-word", F.col("__words"), F.col("__row")).alias("kinds"))
-    drawn = drawn_pool(asked, pool, "__row", seed, 1, 1).select("__row", F.col("wrong")[0].alias("__other"))
-    texts = told.groupBy(F.col("__own").alias("__other")).agg(F.first(text).alias("negative"))
-    rows = words.select(F.col(key), "__own", "__row").join(drawn, "__row").join(texts, "__other")
-    return rows.join(told, [key, "__own"]).select(key, text, "negative")
+    base = captions.select(F.col(key), F.col(text), F.md5(F.col(text)).alias("__own")).where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    once = base.select("__own", text).dropDuplicates(["__own"])
+    texts = settled(once.select("__own", T.content_words(F.col(text)).alias("__words")), "caption-words")  # after the shuffle, which deals out large files
+    rows = settled(base.select(key, "__own").distinct(), "captions")
+    bucket = lambda own: F.conv(F.substring(F.md5(own), 1, 4), 16, 10).cast("int") % 64
+    pool = texts.select("__own", bucket(F.col("__own")).alias("bucket"), F.explode("__words").alias("word"))
+    filled = settled(pool.groupBy("word", "bucket").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    sizes = filled.groupBy("word").agg(F.sum("n").alias("size")).where("size > 1")
+    several = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "clips")
+
+    row = F.concat_ws(":", F.col(key).cast("string"), "__own")
+    chance = lambda w: F.md5(F.concat_ws(":", F.lit(seed + "-word"), row, w))
+    single = rows.join(several, key, "left_anti").join(texts, "__own")
+    drawn = lambda words: single.select(key, "__own", F.explode(words).alias("x")).select(key, "__own", "x.*").join(sizes, "word").groupBy(key, "__own").agg(F.min(F.struct("d", "word", "size")).alias("x")).select(key, "__own", "x.word", "x.size")
+    chances = F.transform("__words", lambda w: F.struct(chance(w).alias("d"), w.alias("word")))
+    some = settled(drawn(F.slice(F.sort_array(chances), 1, first)), "drawn-words")
+    single = single.join(some.select(key, "__own"), [key, "__own"], "left_anti")
+    picks = settled(some.unionByName(drawn(chances)), "drawn-words")
+
+    free = F.pmod(F.conv(F.substring(S.draw(seed, F.lit(0), row), 1, 12), 16, 10).cast("long"), F.col("size") - 1)
+    of_word = filled.join(picks.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("filled"))
+    start = F.struct(F.col("at").alias("left"), F.lit(None).cast("int").alias("bucket"))
+    met = F.aggregate("filled", start, lambda s, b: F.when(s["bucket"].isNotNull(), s).when(s["left"] < b["n"], F.struct(s["left"].alias("left"), b["bucket"].alias("bucket"))).otherwise(F.struct((s["left"] - b["n"]).alias("left"), s["bucket"].alias("bucket"))))
+    asked = picks.join(of_word, "word").select(key, "__own", "word", "filled", F.posexplode(F.array(free, free + 1)).alias("which", "at"))
+    asked = asked.withColumn("m", met).select(key, "__own", "word", "which", F.col("m.bucket").alias("bucket"), F.col("m.left").alias("nth")).where("bucket is not null")
+    asked = settled(asked, "drawn-places")
+    by = Window.partitionBy("word", "bucket").orderBy("__own")
+    numbered = pool.join(asked.select("word", "bucket").distinct(), ["word", "bucket"], "left_semi").select("word", "bucket", F.col("__own").alias("__other"), (F.row_number().over(by) - 1).cast("long").alias("nth"))
+    met = asked.join(numbered, ["word", "bucket", "nth"]).groupBy(key, "__own").agg(*[F.max(F.when(F.col("which") == i, F.struct("bucket", "__other"))).alias(f"__{i}") for i in (0, 1)])
+    before = F.struct(bucket(F.col("__own")).alias("bucket"), F.col("__own").alias("__other")) <= F.col("__0")
+    told = met.select(key, "__own", F.when(before, F.col("__1.__other")).otherwise(F.col("__0.__other")).alias("__other"))
+
+    if not several.isEmpty():
+        many = rows.join(several, key, "left_semi")
+        held = many.groupBy(key).agg(F.collect_set("__own").alias("answers"))
+        own = many.join(texts, "__own").withColumn("__row", row)
+        by_row = own.join(held, key).select("__row", "answers", S.shuffled(seed + "-word", F.col("__words"), F.col("__row")).alias("kinds"))
+        other = drawn_pool(by_row, pool.select(F.col("word").alias("kind"), F.col("__own").alias("answer")), "__row", seed, 1, 1).select("__row", F.col("wrong")[0].alias("__other"))
+        told = told.unionByName(own.select(key, "__own", "__row").join(other, "__row").drop("__row"))
+    told = told.join(once, "__own").select(key, F.col(text), "__other")
+    return told.join(once.select(F.col("__own").alias("__other"), F.col(text).alias("negative")), "__other").select(key, text, "negative")
 
 
 def nearest(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3, block: int = 4096, key: str = "vec_id", vector: str = "embedding", text: str | None = None) -> DataFrame:
