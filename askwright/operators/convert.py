@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import sampling as S
 from ..functions import text as T
 from . import questions as Q
-from .joins import held_out_bases, nearest
+from . import assembly as A
+from .joins import held_out_bases
+from .labels import wrong_labels
+from .neighbours import similar
 
 CONVERTERS: dict[str, Callable[..., DataFrame]] = {}
 IMAGE, AUDIO, BOTH = Q.STATES["image"], Q.STATES["audio"], Q.STATES["image+audio"]
@@ -168,7 +171,7 @@ def gqa(df, images=None):
 
 @converter
 def cc3m(df, vectors=None, k: int = 30, max_sim: float = 0.9):
-    """id, caption, split: captions of three words and more; with ``vectors`` (id, embedding) a negative is one of the nearest by ``nearest``
+    """id, caption, split: captions of three words and more; with ``vectors`` (id, embedding) a negative is one of the nearest by ``similar``
 
     As in the reference the four nearest are passed over where there are more, and neighbours are of the same split.
     """
@@ -178,7 +181,7 @@ def cc3m(df, vectors=None, k: int = 30, max_sim: float = 0.9):
     near = None
     for r in df.select("split").distinct().collect():
         own = df.where(F.col("split") == r["split"]).select("id", "caption")
-        found = nearest(own.join(vectors.select("id", "embedding"), "id"), k, max_sim, key="id", text="caption")
+        found = similar(own.join(vectors.select("id", "embedding"), "id"), k, max_sim, key="id", text="caption")
         near = found if near is None else near.unionByName(found)
     if near is None:
         return captioned(df, IMAGE, "split", "cc3m")
@@ -204,16 +207,65 @@ def esc50(df):
     return labelled(df, "category", "Which sound is this?", "Is this the sound of {}?", AUDIO, F.when(F.col("fold").cast("int") == 5, "test").otherwise("train"), "esc50", name=T.humanise)
 
 
+# Emotions and vocal sounds by their keys, as they are said in English and Chinese, and the two answers about a voice.
+EMOTIONS = {"angry": ("angry", "生气"), "sad": ("sad", "悲伤"), "disgust": ("disgusted", "厌恶"), "fear": ("afraid", "害怕"), "neutral": ("neutral", "平静"), "happy": ("happy", "开心")}
+VOCAL_SOUNDS = {"Laughter": ("laughter", "笑声"), "Sigh": ("a sigh", "叹气"), "Cough": ("a cough", "咳嗽"), "Throat clearing": ("throat clearing", "清嗓子"), "Sneeze": ("a sneeze", "打喷嚏"), "Sniff": ("a sniff", "吸鼻子")}
+VOICES = (("man", "woman"), ("男声", "女声"))
+SECOND = 0.3  # share of questions in the second language, and of clips that are asked about the voice
+
+
+def _said(names: dict[str, tuple[str, str]], keys: Column, second: Column) -> Column:
+    """Keys as they are said in the first or the second language."""
+    of = [F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v[i])]) for i in (0, 1)]
+    return F.transform(keys, lambda k: F.when(second, F.element_at(of[1], k)).otherwise(F.element_at(of[0], k)))
+
+
+def named(rows: DataFrame, label: str, names: dict[str, tuple[str, str]], which: tuple[str, str], is_it: str, split: Column, seed: str, most: int, *more: Column) -> DataFrame:
+    """Clips of a fixed set of labels: which of these, in either language, and is it this one.  Other labels are left out."""
+    key = F.col("id")
+    rows = rows.where(F.col(label).isin(*names)).withColumn("__w", F.array_remove(F.array(*map(F.lit, names)), F.col(label)))
+    second = S.uniform(seed + "-language", key) < SECOND
+    options = _ordered(seed, key, F.concat(S.pick(seed, F.col("__w"), key, S.whole(seed + "-many", most, key) + 1), F.array(label)))
+    rows = rows.withColumn("__o", options).withColumn("__s", F.when(S.uniform(seed + "-coin", key) < 0.5, F.col(label)).otherwise(F.get(S.pick(seed + "-other", F.col("__w"), key, 1), 0)))
+    ask = F.when(second, F.lit(which[1])).otherwise(F.lit(which[0]))
+    out = rows.select(*_row(key, AUDIO, "choice", ask, _said(names, F.col("__o"), second), F.array_position("__o", F.col(label)) - 1, split, *more))
+    one = _said(names, F.array("__s"), F.lit(False))[0]
+    return out.unionByName(rows.select(*_row(key, AUDIO, "noul", F.replace(F.lit(is_it), F.lit("{}"), one), None, F.col("__s") == F.col(label), split, *more)))
+
+
+def voices(rows: DataFrame, woman: Column, split: Column, seed: str, *more: Column) -> DataFrame:
+    """Whether a man or a woman speaks, for a drawn share of the clips where that is known (``woman`` is not null)."""
+    key = F.col("id")
+    some = rows.where(woman.isNotNull() & (S.uniform(seed + "-voice", key) < SECOND))
+    first = S.uniform(seed + "-voice-language", key) < 0.5
+    pair = lambda i: F.array(*map(F.lit, VOICES[i]))
+    return some.select(*_row(key, AUDIO, "choice", F.when(first, "Is the speaker a man or a woman?").otherwise("说话的是男声还是女声？"), F.when(first, pair(0)).otherwise(pair(1)), woman, split, *more))
+
+
 @converter
 def cremad(df):
-    """id (actor_...), emotion"""
-    return labelled(df, "emotion", "Which emotion does the speaker express?", "Does the speaker sound {}?", AUDIO, _mod_split(F.regexp_extract("id", r"^(\d+)_", 1), 10), "cremad")
+    """id (actor_...), emotion, gender?, and how many heard each emotion (a column named by its key)?  Votes ride along as a map."""
+    split = _mod_split(F.regexp_extract("id", r"^(\d+)_", 1), 10)
+    heard = [c for c in EMOTIONS if c in df.columns]
+    votes = F.map_filter(F.create_map(*[x for c in heard for x in (F.lit(c), F.col(c).cast("double"))]), lambda k, v: v.isNotNull()) if heard else F.lit(None)
+    df = df.withColumn("emotion", F.lower("emotion"))
+    votes = votes.cast("map<string,double>").alias("votes")
+    out = named(df, "emotion", EMOTIONS, ("How does the speaker sound?", "说话人是什么情绪？"), "Does the speaker sound {}?", split, "cremad", 5, votes)
+    if "gender" not in df.columns:
+        return out
+    gender = F.lower("gender")
+    woman = F.when(gender.isin("male", "female"), gender == "female")
+    return out.unionByName(voices(df.where(F.col("emotion").isin(*EMOTIONS)), woman, split, "cremad", votes))
 
 
 @converter
 def vocalsound(df):
-    """id, label, split"""
-    return labelled(df, "label", "Which human sound is this?", "Is this {}?", AUDIO, F.col("split"), "vocalsound", name=T.humanise)
+    """id, label, split, speaker? (f... or m...)"""
+    out = named(df, "label", VOCAL_SOUNDS, ("Which vocal sound is this?", "这是哪种人声？"), "Is this {}?", F.col("split"), "vocalsound", 5)
+    if "speaker" not in df.columns:
+        return out
+    first = F.substring("speaker", 1, 1)
+    return out.unionByName(voices(df.where(F.col("label").isin(*VOCAL_SOUNDS)), F.when(first.isin("f", "m"), first == "f"), F.col("split"), "vocalsound"))
 
 
 @converter
@@ -242,32 +294,77 @@ def clothoaqa(df):
     return yes_no(df, F.col("answer"), AUDIO, F.col("question"), F.col("split"))
 
 
+MUSIC_ASKS = {"tempo": "How fast is this music?", "mode": "Is this in a major or a minor key?", "key": "What key is this music in?", "metre": "Does the beat count to three or to four?"}
+
+
 @converter
-def musicbench(train, test):
-    """location, alt_caption, bpm of both parts; train rows that are augmented copies of test clips are left out"""
-    rows = held_out_bases(train, test, "location").withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test"))).withColumn("id", F.col("location"))
+def musicbench(train, test, members=None):
+    """location, alt_caption, bpm, and root, mode, keyprob, metre where they are known, of both parts; train rows that are augmented copies
+    of test clips are left out, and so are clips that are no member of an archive where ``members`` (member) is given."""
+    rows = held_out_bases(train, test, "location").withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    if members is not None:
+        rows = A.by_suffix(members.select("member"), rows)
+    rows = rows.withColumn("id", F.col("location"))
     out = captioned(rows.withColumn("caption", F.coalesce(T.strip(F.col("alt_caption")), F.lit(""))), AUDIO, "split", "music")
-    far = F.least(F.abs(F.col("bpm") - 80), F.abs(F.col("bpm") - 120)) > 5
-    tempo = F.when(F.col("bpm") < 80, 0).when(F.col("bpm") < 120, 1).otherwise(2)
-    return out.unionByName(rows.where(far).select(*_row(F.col("id"), AUDIO, "choice", "How fast is this music?", F.array(*[F.lit(x) for x in ("slow", "moderate", "fast")]), tempo, F.col("split"))))
+    known = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    facts = A.music_facts(F.col("bpm").cast("double"), known("root", "string"), known("mode", "string"), known("keyprob", "double"), known("metre", "int"), F.col("id"))
+    facts = rows.select("id", "split", F.inline(facts))
+    ask = F.element_at(F.create_map(*[F.lit(x) for kv in MUSIC_ASKS.items() for x in kv]), F.col("kind"))
+    return out.unionByName(facts.select(*_row(F.col("id"), AUDIO, "choice", ask, F.col("options"), F.col("label"), F.col("split"))))
 
 
 @converter
 def minds14(df):
-    """id, intent"""
-    return labelled(df, "intent", "What does the caller want?", "Does the caller want {}?", AUDIO, _crc_split(F.col("id")), "minds14", name=T.humanise)
+    """id, intent, lang?: the language rides along"""
+    rows = labelled(df, "intent", "What does the caller want?", "Does the caller want {}?", AUDIO, _crc_split(F.col("id")), "minds14", name=T.humanise)
+    if "lang" not in df.columns:
+        return rows
+    langs = df.select(F.col("id").cast("string").alias("id"), "lang").distinct()
+    return rows.join(langs, "id", "left")
+
+
+def _of_set(rows: DataFrame, wrong: DataFrame, other: DataFrame, label: str, which: str, is_it: str | None, seed: str, name: Callable[[Column], Column]) -> DataFrame:
+    """Which of 1 to 3 wrong labels and the right one, and is it this one, from labels that were drawn by number."""
+    key = F.col("id")
+    rows = rows.join(wrong.select("id", F.col("wrong").alias("__w")), "id")
+    options = _ordered(seed, key, F.concat(F.slice("__w", F.lit(1), S.whole(seed + "-many", 3, key) + 1), F.array(label)))
+    rows = rows.withColumn("__o", options)
+    out = rows.select(*_row(key, AUDIO, "choice", which, F.transform("__o", name), F.array_position("__o", F.col(label)) - 1, F.col("split")))
+    if is_it is None:
+        return out
+    rows = rows.join(other.select("id", F.get("wrong", F.lit(0)).alias("__other")), "id")
+    rows = rows.withColumn("__s", F.when(S.uniform(seed + "-coin", key) < 0.5, F.col(label)).otherwise(F.col("__other")))
+    return out.unionByName(rows.select(*_row(key, AUDIO, "noul", F.replace(F.lit(is_it), F.lit("{}"), name(F.col("__s"))), None, F.col("__s") == F.col(label), F.col("split"))))
 
 
 @converter
-def vggsound(df):
-    """id, label, split"""
-    return labelled(df, "label", "What can be heard?", "Can you hear {}?", AUDIO, F.col("split"), "vggsound")
+def vggsound(df, answers=None):
+    """id, label, split; ``answers`` (id, answer_1 .. answer_3): what is heard, whether there is speech, whether there is music.
+
+    Wrong labels are half from those that share a word, by number.  Train clips with answers are asked whether their description fits, and
+    about speech and music.
+    """
+    rows = df.select("id", "label", "split").where("label is not null")
+    wrong, other = (wrong_labels(rows, rows, "id", "label", k, f"vggsound-{k}") for k in (3, 1))
+    out = _of_set(rows, wrong, other, "label", "What can be heard?", "Can you hear {}?", "vggsound", lambda c: c)
+    if answers is None:
+        return out
+    told = A.with_answers(rows.select("id", "split"), answers, "id").where("split = 'train'")
+    said = F.regexp_replace(T.strip(F.col("answer_1")), r"[.]+$", "")
+    out = out.unionByName(captioned(told.withColumn("caption", F.coalesce(said, F.lit(""))), AUDIO, "split", "vggsound"))
+    for column, ask, there in (("answer_2", "Is anyone speaking in this clip?", A.has_speech), ("answer_3", "Is there music in this clip?", A.has_music)):
+        some = told.where(F.coalesce(F.col(column), F.lit("")) != "")
+        out = out.unionByName(some.select(*_row(F.col("id"), AUDIO, "noul", ask, None, there(F.col(column)), F.col("split"))))
+    return out
 
 
 @converter
 def slurp(df):
-    """id, intent, split"""
-    return labelled(df, "intent", "What does the user ask for?", "Does the user ask for {}?", AUDIO, F.col("split"), "slurp", name=T.humanise)
+    """id, intent (scenario_action), split: wrong intents are half of the same scenario"""
+    rows = df.select("id", "intent", "split").where("intent is not null")
+    wrong = wrong_labels(rows, rows, "id", "intent", 3, "slurp", parts=lambda c: F.slice(F.split(c, "_"), 1, 1))
+    human = lambda c: F.replace(F.replace(T.humanise(c), F.lit("iot"), F.lit("smart home")), F.lit("qa"), F.lit("question"))
+    return _of_set(rows, wrong, wrong, "intent", "What does the user want?", None, "slurp", human)
 
 
 @converter

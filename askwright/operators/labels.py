@@ -5,7 +5,9 @@ No row sees the label set: what is joined to a row is its own label's words and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sampling as S
@@ -14,14 +16,14 @@ from ..functions.ranks import places
 from ..session import settled
 
 
-def label_index(labels: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(label, at, of) with the places of the distinct labels, and (word, label, at, of) with those of the labels of each word."""
+def label_index(labels: DataFrame, label: str = "label", parts: Callable[[Column], Column] = T.words) -> tuple[DataFrame, DataFrame]:
+    """(label, at, of) with the places of the distinct labels, and (word, label, at, of) with those of the labels of each word (``parts``)."""
     once = labels.select(F.col(label).alias("label")).where("label is not null").distinct()
-    words = once.select(F.explode(F.array_distinct(T.words(F.col("label")))).alias("word"), "label").where("word <> ''")
+    words = once.select(F.explode(F.array_distinct(parts(F.col("label")))).alias("word"), "label").where("word <> ''")
     return places(once, [], ["label"]), places(words, ["word"], ["label"])
 
 
-def wrong_labels(rows: DataFrame, labels: DataFrame, key: str, label: str, k: int = 3, seed: str = "near", spare: int = 3) -> DataFrame:
+def wrong_labels(rows: DataFrame, labels: DataFrame, key: str, label: str, k: int = 3, seed: str = "near", spare: int = 3, parts: Callable[[Column], Column] = T.words) -> DataFrame:
     """(key, n_near, wrong): ``k`` distinct wrong labels for each row, by a coin each from those that share a word with its own or from the rest.
 
     Labels that share a word: a row draws a word of its label for each, then a place among the word's other labels.  The rest: places among
@@ -29,7 +31,7 @@ def wrong_labels(rows: DataFrame, labels: DataFrame, key: str, label: str, k: in
     one side has too few the other fills up.  Fewer than ``k`` there are only where there are fewer other labels.  Keys are unique; a row
     whose label is null or not among ``labels`` has no row here.
     """
-    numbered, of_words = label_index(labels, label)
+    numbered, of_words = label_index(labels, label, parts)
     numbered, of_words = settled(numbered, "labels"), settled(of_words, "label-words")
     own = settled(rows.select(F.col(key).alias("key"), F.col(label).alias("label")).join(numbered, "label"), "own-labels")
     number = lambda kind, i, n: F.pmod(F.conv(F.substring(S.draw(f"{seed}-{kind}", F.lit(i), "key"), 1, 12), 16, 10).cast("long"), n)
@@ -51,7 +53,7 @@ def wrong_labels(rows: DataFrame, labels: DataFrame, key: str, label: str, k: in
     near = near.withColumn("place", skipped(number("near", F.col("i"), F.col("of") - 1)))
     near = near.join(of_words.select("word", F.col("at").alias("place"), F.col("label").alias("other")), ["word", "place"]).select("key", "label", "i", "other", F.lit(True).alias("near"))
 
-    drawn = far.unionByName(near).withColumn("near", F.arrays_overlap(T.words(F.col("label")), T.words(F.col("other"))))
+    drawn = far.unionByName(near).withColumn("near", F.arrays_overlap(parts(F.col("label")), parts(F.col("other"))))
     told = drawn.groupBy("key", "label", "other").agg(F.min("i").alias("i"), F.first("near").alias("near"))
     told = told.groupBy("key").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("near") == side, F.struct("i", "other")))), lambda x: x["other"]).alias(name) for side, name in ((True, "close"), (False, "others"))])
     heads = sum((F.when(S.uniform(f"{seed}-coin", "key", F.lit(i)) < 0.5, 1).otherwise(0) for i in range(1, k)), F.when(S.uniform(f"{seed}-coin", "key", F.lit(0)) < 0.5, 1).otherwise(0))

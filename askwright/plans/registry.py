@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("evaluation", "text_queries", "sampling_queries", "join_queries", "system_queries", "assembly_queries", "serving_queries")
+MODULES = ("evaluation", "text_queries", "sampling_queries", "join_queries", "system_queries", "assembly_queries", "serving_queries", "converter_queries")
 
 
 def queries() -> dict:
