@@ -79,11 +79,14 @@ def calib_before_after(spark, sf_dir):
 
 
 def temperature_resolution(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "image", "choice", "choice:2"), (2, "image", "choice", "choice:11+"), (3, "audio", "score", "score:3-5"), (4, "text", "noul", "noul:2"), (5, "image", "noul", "noul:2")], "id int, modality string, type string, bucket string")
+    """The temperature of a question about each document, by modality and number of options, by options, or by type."""
+    n = F.col("doc_id") % 5
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (n + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", pick("image", "image", "audio", "text", "image").alias("modality"), pick("choice", "choice", "score", "noul", "noul").alias("type"), pick("choice:2", "choice:11+", "score:3-5", "noul:2", "noul:2").alias("bucket"))
     modal = spark.createDataFrame([("image", "choice:2", "0.2"), ("image", "noul:2", "nan")], "modality string, bucket string, temperature string")
     options = spark.createDataFrame([("choice:11+", "9"), ("noul:2", "1.5")], "bucket string, temperature string")
     kinds = spark.createDataFrame([("choice", "1.1"), ("score", "oops"), ("noul", "1.3")], "type string, temperature string")
-    return M.resolve_temperature(rows, modal, options, kinds).select("id", "temperature")
+    return M.resolve_temperature(rows, modal, options, kinds).select("doc_id", "temperature")
 
 
 def _typed(spark, sf_dir, kind, k):
@@ -141,7 +144,9 @@ def run_parity(spark, sf_dir):
 
 
 def lr_schedule(spark, sf_dir):
-    return spark.range(100).select(F.col("id").cast("int").alias("step"), F.round(A.warmup_cosine(F.col("id"), 10, 100), 6).alias("rate"))
+    """The rate at the step of each batch of sixteen documents, in their order."""
+    step = F.expr("doc_id div 16")
+    return table(spark, sf_dir, "documents").select(step.alias("step")).distinct().select("step", F.round(A.warmup_cosine(F.col("step"), 10, 100), 6).alias("rate"))
 
 
 def pool_tokens_grid(spark, sf_dir):
@@ -220,7 +225,7 @@ e AS (SELECT epoch, round(avg(nll), 6) AS mean_nll FROM m GROUP BY epoch) SELECT
     "calib_fit_temperature": f"WITH {_FITTED} SELECT * FROM fitted",
     "calib_before_after": f"""WITH {_FITTED}, odd AS (SELECT b.*, coalesce(temperature, 1.0) AS t FROM bucketed b LEFT JOIN fitted USING (bucket) WHERE half = 'odd')
 SELECT *, 'before' AS run FROM ({_metrics('odd', 'bucket')}) UNION ALL SELECT *, 'after' AS run FROM ({_metrics('odd', 'bucket', 't')})""",
-    "temperature_resolution": "SELECT id, CAST(t AS DOUBLE) AS temperature FROM (VALUES (1, 0.5), (2, 5.0), (3, 1.0), (4, 1.5), (5, 1.0)) v(id, t)",
+    "temperature_resolution": "SELECT doc_id, [0.5::DOUBLE, 5.0, 1.0, 1.5, 1.0][doc_id % 5 + 1] AS temperature FROM documents",
     "answer_choice": _typed_sql(5, f"'option ' || (list_position(p, list_max(p)) - 1) AS choice, {_confidence(5)} AS confidence"),
     "answer_score": _typed_sql(4, f"round(list_sum(list_transform(range(1, 5), lambda i: p[i] * (i - 1))), 4) AS score, {_confidence(4)} AS confidence"),
     "answer_noul": _typed_sql(2, "round(p[2], 4) AS noul, round(greatest(p[2], 1 - p[2]), 4) AS confidence"),
@@ -235,7 +240,7 @@ SELECT count(*) AS n, count(*) FILTER (WHERE agree) AS agreeing, round(avg(ce),
     "latency_summary": "SELECT event_type AS category, round(avg(value), 1) AS ms_mean, round(median(value), 1) AS ms_p50, round(quantile_cont(value, 0.9), 1) AS ms_p90 FROM events GROUP BY 1",
     "run_parity": f"""WITH {_SCORED}, b AS (SELECT z AS x, list_transform(z, lambda v: round(v, 2)) AS y FROM scored), d AS (SELECT x, y, list_max(list_transform(range(1, 11), lambda i: abs(x[i] - y[i]))) AS m FROM b)
 SELECT count(*) AS n, round(max(m), 6) AS max_abs, round(max(m / greatest(list_max(list_transform(y, lambda v: abs(v))), 1e-9)), 6) AS max_rel, count(*) FILTER (WHERE list_position(x, list_max(x)) = list_position(y, list_max(y))) AS same FROM d""",
-    "lr_schedule": "SELECT CAST(i AS INT) AS step, round(CASE WHEN i < 10 THEN (i + 1) / 10.0 ELSE 0.5 * (1 + cos(pi() * least(1.0, (i - 10) / 90.0))) END, 6) AS rate FROM range(100) r(i)",
+    "lr_schedule": "SELECT DISTINCT i AS step, round(CASE WHEN i < 10 THEN (i + 1) / 10.0 ELSE 0.5 * (1 + cos(pi() * least(1.0, (i - 10) / 90.0))) END, 6) AS rate FROM (SELECT doc_id // 16 AS i FROM documents)",
     "pool_tokens_grid": "SELECT vec_id, (i - 1) // 8 // 2 AS r, (i - 1) % 8 // 2 AS c, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS x FROM embeddings, range(1, 65) g(i) GROUP BY 1, 2, 3",
     "audio_lengths": f"""SELECT conv_id, turn, CAST(sum({_thrice("m")}) AS BIGINT) AS frames FROM (SELECT conv_id, turn, {_thrice("l")} AS m FROM (SELECT conv_id, turn, {_thrice("n")} AS l
 FROM (SELECT conv_id, turn, least(100, length(text) - 100 * unnest(range((greatest(length(text), 1) - 1) // 100 + 1))) AS n FROM conversations))) GROUP BY 1, 2""",

@@ -193,10 +193,12 @@ def options_render_noul(spark, sf_dir):
 
 
 def question_validate(spark, sf_dir):
-    rows = [(1, "choice", "Which?", ["a", "b"]), (2, "choice", "Which?", []), (3, "score", "How?", None), (4, "noul", "Is it?", None), (5, "other", "What?", ["a"]), (6, "noul", None, None), (7, None, "What?", None)]
-    q = spark.createDataFrame(rows, "id int, type string, instructions string, c array<string>")
-    q = q.withColumn("criteria", F.transform("c", lambda x: F.struct(x.alias("key"), F.lit(None).cast("string").alias("value"))))
-    return q.select("id", Q.problem(_question(F.col("type"), F.col("instructions"), F.col("criteria"))).alias("error"))
+    """A question about each document, some without what their type needs."""
+    n = F.col("doc_id") % 7
+    some = F.array(F.struct(F.col("lang").alias("key"), F.lit(None).cast("string").alias("value")))
+    kind = F.element_at(F.array(*map(F.lit, ("choice", "choice", "score", "noul", "other", "noul"))), (n + 1).cast("int"))
+    q = table(spark, sf_dir, "documents").select("doc_id", F.when(n < 6, kind).alias("type"), F.when(n != 5, F.concat(F.lit("What of "), F.col("source"), F.lit("?"))).alias("instructions"), F.when(n.isin(0, 4), some).when(n == 1, F.slice(some, 1, 0)).alias("criteria"))
+    return q.select("doc_id", Q.problem(_question(F.col("type"), F.col("instructions"), F.col("criteria"))).alias("error"))
 
 
 def chat_prompt(spark, sf_dir):
@@ -217,10 +219,12 @@ def circular_rotations(spark, sf_dir):
 
 
 def option_probs(spark, sf_dir):
-    rows = [(1, [("A", -0.1), (" B", -2.5), ("C", -4.0)]), (2, [("x", -0.1)]), (3, [("B", -1.0), ("B ", -1.2)])]
-    t = spark.createDataFrame(rows, "id int, top array<struct<token:string,logprob:double>>")
-    p = Q.option_probabilities(F.col("top"), F.array(F.array(F.lit("A")), F.array(F.lit("B"))))
-    return t.select("id", p.alias("p")).select("id", F.round(F.get("p.probs", 0), 4).alias("a"), F.round("p.mass", 4).alias("mass"))
+    """A teacher's likeliest tokens for each document: both options, one in two spellings, or neither."""
+    n = F.col("doc_id")
+    pair = lambda t, p: F.struct(F.lit(t).alias("token"), p.cast("double").alias("logprob"))
+    top = F.when(n % 3 == 0, F.array(pair("A", -(n % 7) / 10), pair(" B", -(n % 11) / 4), pair("C", F.lit(-4.0)))).when(n % 3 == 1, F.array(pair("x", F.lit(-0.1)))).otherwise(F.array(pair("B", -(n % 5) / 5), pair("B ", -(n % 13) / 10)))
+    p = Q.option_probabilities(top, F.array(F.array(F.lit("A")), F.array(F.lit("B"))))
+    return table(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", F.round(F.get("p.probs", 0), 4).alias("a"), F.round("p.mass", 4).alias("mass"))
 
 
 def prompt_budget(spark, sf_dir):
@@ -230,8 +234,11 @@ def prompt_budget(spark, sf_dir):
 
 
 def json_list_choices(spark, sf_dir):
-    rows = [(1, '["a", "b"]'), (2, "a, b"), (3, "[]"), (4, None), (5, '["x"]')]
-    return spark.createDataFrame(rows, "id int, c string").select("id", F.from_json("c", "array<string>").alias("o")).where(F.size("o") > 0).select("id", F.array_join("o", "|").alias("options"))
+    """Choices given as text for each document: a JSON list, or something that is none."""
+    n = F.col("doc_id") % 5
+    text = F.when(n == 0, F.to_json(F.array("lang", "source"))).when(n == 1, F.concat_ws(", ", "lang", "source")).when(n == 2, "[]").when(n == 4, F.to_json(F.array("lang")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.from_json(text, "array<string>").alias("o"))
+    return d.where(F.size("o") > 0).select("doc_id", F.array_join("o", "|").alias("options"))
 
 
 def json_nested(spark, sf_dir):
@@ -330,16 +337,16 @@ FROM (SELECT n_nationkey, 100 + n_nationkey * 7 AS w, 60 + n_nationkey * 5 AS h
     "options_render_choice": f"SELECT r_name, array_to_string(list_transform(range(1, len(k) + 1), lambda i: k[i] || coalesce(': ' || v[i], '')), '|') AS options FROM {_CRIT}",
     "options_render_score": f"SELECT r_name, array_to_string(list_transform(range(1, len(k) + 1), lambda i: 'level ' || (i - 1) || ': ' || coalesce(v[i], k[i])), '|') AS options FROM {_CRIT}",
     "options_render_noul": "SELECT r_name, 'false: ' || CASE WHEN r_regionkey % 2 = 0 THEN 'not so' ELSE 'no, the statement does not hold' END || '|true: ' || CASE WHEN r_regionkey % 3 = 0 THEN 'in ' || r_name ELSE 'yes, the statement holds' END AS options FROM region",
-    "question_validate": "SELECT * FROM (VALUES (1, NULL), (2, 'choice needs criteria'), (3, 'score needs a list of criteria'), (4, NULL), (5, 'type and instructions are needed'), (6, 'type and instructions are needed'), (7, 'type and instructions are needed')) v(id, error)",
+    "question_validate": """SELECT doc_id, CASE WHEN doc_id % 7 IN (4, 5, 6) THEN 'type and instructions are needed' WHEN doc_id % 7 = 1 THEN 'choice needs criteria' WHEN doc_id % 7 = 2 THEN 'score needs a list of criteria' END AS error FROM documents""",
     "chat_prompt": r"""SELECT p_partkey, md5(CASE WHEN p_partkey % 3 = 0 THEN p_brand || e'\n' ELSE '' END || 'What is ' || p_name || '?' || CASE WHEN p_partkey % 2 = 0 THEN e'\nAnswer the question using a single word: Yes or No.' ELSE e'\nA. ' || p_type || e'\nB. ' || p_brand || e'\nC. none of these\nAnswer with the option''s letter from the given choices directly.' END) AS digest FROM part""",
     "state_texts": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Image.' WHEN 1 THEN 'Audio clip.' ELSE 'Image and audio clip.' END || CASE WHEN event_id % 2 = 0 THEN ' ' || event_type ELSE '' END AS state FROM events",
     "circular_rotations": "SELECT id AS grp, CAST(r AS INT) AS rot, CAST((id % 5 - r + 5) % 5 AS INT) AS label, array_to_string(list_concat(o[r + 1:], o[1:r]), '|') AS options FROM (SELECT n_regionkey AS id, list(n_name ORDER BY n_name) AS o FROM nation GROUP BY 1), range(5) t(r)",
-    "option_probs": "SELECT id, round(a / (a + b), 4) AS a, round(a + b, 4) AS mass FROM (VALUES (1, exp(-0.1), exp(-2.5)), (3, 0.0, exp(-1.0) + exp(-1.2))) v(id, a, b) UNION ALL SELECT 2, NULL, 0.0",
+    "option_probs": """SELECT doc_id, round(a / nullif(a + b, 0), 4) AS a, round(a + b, 4) AS mass FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN exp(-(doc_id % 7) / 10.0) ELSE 0.0 END AS a, CASE doc_id % 3 WHEN 0 THEN exp(-(doc_id % 11) / 4.0) WHEN 1 THEN 0.0 ELSE exp(-(doc_id % 5) / 5.0) + exp(-(doc_id % 13) / 10.0) END AS b FROM documents)""",
     "prompt_budget": """WITH o AS (SELECT doc_id, len(string_split(text, ' ')) AS n, doc_id % 40 AS head, list_transform(range(1, 3 + doc_id % 5), lambda i: 1 + least(i * doc_id % 70, 48)) AS f FROM documents),
 k AS (SELECT *, CASE WHEN 192 - list_sum(f) < 16 THEN list_transform(f, lambda x: least(x, greatest(4, 176 // len(f)))) ELSE f END AS kept FROM o), h AS (SELECT *, least(head, greatest(8, 192 - list_sum(kept))) AS hk, list_sum(kept) AS os FROM k),
 s AS (SELECT *, least(n, greatest(0, 512 - (3 + hk + os) - 1)) AS sk FROM h)
 SELECT doc_id, CAST(hk AS INT) AS head, CAST(os AS INT) AS options, CAST(sk AS INT) AS state, CAST(len(list_filter(range(1, len(kept) + 1), lambda i: 2 + hk + coalesce(list_sum(kept[1:i - 1]), 0) < 512)) AS INT) AS markers, CAST(least(512, 3 + hk + os + sk + 1) AS INT) AS total FROM s""",
-    "json_list_choices": "SELECT * FROM (VALUES (1, 'a|b'), (5, 'x')) v(id, options)",
+    "json_list_choices": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lang || '|' || source ELSE lang END AS options FROM documents WHERE doc_id % 5 IN (0, 4)",
     "json_nested": "SELECT CAST(k // 10 AS BIGINT) AS decade, count(*) AS n, min(k) AS low FROM (SELECT CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY 1",
     "multilabel_absent": "SELECT source, array_to_string(list_filter(v, lambda x: NOT list_contains(h, x)), '|') AS absent FROM (SELECT source, list(DISTINCT lang || '-' || length(CAST(n_chars AS VARCHAR))) AS h FROM documents GROUP BY 1), (SELECT list_sort(list(DISTINCT lang || '-' || length(CAST(n_chars AS VARCHAR)))) AS v FROM documents)",
     "music_questions": """WITH e AS (SELECT 60 + event_id % 90 AS bpm, event_id * 7 % 100 / 100.0 AS prob, event_id % 2 = 0 AS minor, event_id % 6 AS metre FROM events)

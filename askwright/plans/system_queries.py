@@ -1,4 +1,4 @@
-"""Converters on small fixtures and driver tables, roll-outs, scoring, files and streams."""
+"""Converters over the driver tables, roll-outs, scoring, files and streams."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from ..session import table
 from ..sources import readers, writers
 from ..sources.games import rollouts
 from ..streaming import append
+from .text_queries import filled
 
 
 def _dir(spark) -> str:
@@ -31,39 +32,47 @@ def _told(rows):
 
 
 def convert_mmbench(spark, sf_dir):
-    rows = [(1, "What is it?", "nan", "a", "b", "c", None, "B"), (2, "Where? ", "Look up.", "x", "y", "nan", "", "A"), (3, "Who?", None, "only", None, None, None, "A"), (4, "Bad", None, "a", "b", None, None, "E")]
-    df = spark.createDataFrame(rows, "index int, question string, hint string, A string, B string, C string, D string, answer string")
+    """A question about each document with three or four options, some blank, in every rotation."""
+    n = F.col("doc_id")
+    of = lambda *v: F.element_at(F.array(*v), (n % len(v) + 1).cast("int"))
+    text, null = lambda *v: of(*map(F.lit, v)), F.lit(None).cast("string")
+    hint = of(F.lit("nan"), F.concat(F.lit("Look at "), F.col("source"), F.lit(".")), null, F.lit(" "))
+    df = table(spark, sf_dir, "documents").select(n.alias("index"), F.concat(F.lit(" What is it in "), F.col("source"), F.lit("? ")).alias("question"), hint.alias("hint"), F.col("lang").alias("A"), F.col("source").alias("B"), F.concat(F.lit("item "), n.cast("string")).alias("C"), of(null, F.lit("nan"), F.lit(""), F.lit("d")).alias("D"), text(*"ABCDE").alias("answer"))
     return _told(C.mmbench(df))
 
 
 def convert_mmstar(spark, sf_dir):
-    rows = [(1, "What is it?\nOptions: A: a cat, B: a dog, C: a bird", "B"), (2, "Pick.\nChoices:\n(A) one\n(B) two", "A"), (3, "None here", "A"), (4, "Odd.\nOptions: B: x, C: y", "B")]
-    return _told(C.mmstar(spark.createDataFrame(rows, "index int, question string, answer string")))
+    asks = ["What is {a}?\nOptions: A: {b}, B: {c}, C: a bird", "Pick {a}.\nChoices:\n(A) {b}\n(B) {c}", "None {a}", "Odd {a}.\nOptions: B: x, C: y"]
+    return _told(C.mmstar(filled(spark, sf_dir, asks, ["B", "A", "A", "B"]).select(F.col("id").alias("index"), F.col("t0").alias("question"), F.col("t1").alias("answer"))))
 
 
 def convert_mme(spark, sf_dir):
-    rows = [("q1", "Is it red? Please answer yes or no.", "Yes", "color", "i1"), ("q2", "Is it blue? Please answer yes or no.", "No", "color", "i1"), ("q3", "How many?", "3", "count", "i2")]
-    df = spark.createDataFrame(rows, "question_id string, question string, answer string, category string, image string")
+    asks = ["Is {a} red? Please answer yes or no.", "Is {c} blue? Please answer yes or no.", "How many of {b}?"]
+    df = filled(spark, sf_dir, asks, ["Yes", "No", "3"], ["{b}"]).select(F.col("id").cast("string").alias("question_id"), F.col("t0").alias("question"), F.col("t1").alias("answer"), F.col("t2").alias("category"), F.expr("'i' || (id div 2)").alias("image"))
     return C.mme(df).select("id", "instructions", "label", "grp")
 
 
 def convert_options(spark, sf_dir):
-    """Converters of listed options: a row of each."""
-    s = spark.createDataFrame
-    out = C.seed_bench(s([("s1", "Q1", "a", "b", "c", "d", "C"), ("s2", "Q2", "a", "a", "c", "d", "C")], "id string, question string, choice_a string, choice_b string, choice_c string, choice_d string, answer string"))
-    out = out.unionByName(C.airbench(s([("a1", "Q3", "x", "y", None, None, "y"), ("a2", "Q4", "x", "y", None, None, "z")], "id string, question string, choice_a string, choice_b string, choice_c string, choice_d string, answer_gt string")))
-    out = out.unionByName(C.omnibench(s([("o1", "Q5", ["l", "m", "n"], "n")], "id string, question string, options array<string>, answer string")))
-    out = out.unionByName(C.mmau(s([("m1", "Q6", '["p", "q"]', "q"), ("m2", "Q7", "p, q", "q")], "id string, question string, choices string, answer string")))
-    out = out.unionByName(C.aokvqa(s([("k1", "Q8", ["u", "v"], 0, "train")], "id string, question string, choices array<string>, correct_choice_idx int, split string")))
-    out = out.unionByName(C.scienceqa(s([("n1", "Q9", ["u", "v"], 1, " a hint ", "test")], "id string, question string, choices array<string>, answer int, hint string, split string")))
-    out = out.unionByName(C.chat_targets(s([("v1", '[{"content": [{"text": "Q10"}]}]', '{"no": 0.2, "yes": 0.8}')], "id string, messages string, targets string")))
+    """Converters of listed options, each over the documents of one remainder."""
+    d = table(spark, sf_dir, "documents").withColumns({"id": F.col("doc_id").cast("string"), "question": F.concat(F.lit("What of item "), F.col("doc_id").cast("string"), F.lit("?")), "item": F.concat(F.lit("item "), F.col("doc_id").cast("string"))})
+    part = lambda *k: d.where((F.col("doc_id") % 10).isin(*k))
+    kind, two = F.col("doc_id") % 10, F.array("lang", "source")
+    out = C.seed_bench(part(0, 1).select("id", "question", F.col("lang").alias("choice_a"), F.when(kind == 0, F.col("source")).otherwise(F.col("lang")).alias("choice_b"), F.col("item").alias("choice_c"), F.lit("d").alias("choice_d"), F.lit("C").alias("answer")))
+    none = F.lit(None).cast("string")
+    out = out.unionByName(C.airbench(part(2, 3).select("id", "question", F.col("lang").alias("choice_a"), F.col("source").alias("choice_b"), none.alias("choice_c"), none.alias("choice_d"), F.when(kind == 2, F.col("source")).otherwise("z").alias("answer_gt"))))
+    out = out.unionByName(C.omnibench(part(4).select("id", "question", F.array("lang", "source", "item").alias("options"), F.col("item").alias("answer"))))
+    out = out.unionByName(C.mmau(part(5, 6).select("id", "question", F.when(kind == 5, F.to_json(two)).otherwise(F.concat_ws(", ", "lang", "source")).alias("choices"), F.col("source").alias("answer"))))
+    out = out.unionByName(C.aokvqa(part(7).select("id", "question", two.alias("choices"), F.lit(0).alias("correct_choice_idx"), F.lit("train").alias("split"))))
+    out = out.unionByName(C.scienceqa(part(8).select("id", "question", two.alias("choices"), F.lit(1).alias("answer"), F.concat(F.lit(" in "), F.col("lang"), F.lit(" ")).alias("hint"), F.lit("test").alias("split"))))
+    said = F.to_json(F.array(F.struct(F.array(F.struct(F.col("question").alias("text"))).alias("content"))))
+    out = out.unionByName(C.chat_targets(part(9).select("id", said.alias("messages"), F.to_json(F.create_map(F.col("lang"), F.lit(0.2), F.col("source"), F.lit(0.8))).alias("targets"))))
     return _told(out)
 
 
 def convert_yes_no(spark, sf_dir):
-    s = spark.createDataFrame
-    out = C.pope(s([("p1", "Is there a cup?", "yes"), ("p2", "Is there a cat?", " No "), ("p3", "Is it?", "maybe")], "id string, question string, answer string"))
-    return _told(out.unionByName(C.clothoaqa(s([("c1", "Is it loud?", "YES", "train")], "id string, question string, answer string, split string"))))
+    d = filled(spark, sf_dir, ["Is there {a}?"], ["yes", " No ", "maybe", "YES"]).select(F.col("id"), F.col("t0").alias("question"), F.col("t1").alias("answer"), F.lit("train").alias("split"))
+    named = lambda w: d.where(w).withColumn("id", F.col("id").cast("string"))
+    return _told(C.pope(named("id % 4 < 3").drop("split")).unionByName(C.clothoaqa(named("id % 4 = 3"))))
 
 
 def convert_labelled(spark, sf_dir):
@@ -140,13 +149,16 @@ def append_with_resume(spark, sf_dir):
 
 _HUMAN = "lower(replace(p_brand, '_', ' '))"
 ORACLE = {
-    "convert_mmbench": """SELECT * FROM (VALUES ('1', 'choice', 'Image.', 'What is it?', 'a|b|c', 1, 'test'), ('1', 'choice', 'Image.', 'What is it?', 'b|c|a', 0, 'test'), ('1', 'choice', 'Image.', 'What is it?', 'c|a|b', 2, 'test'),
-('2', 'choice', 'Image. Look up.', 'Where?', 'x|y', 0, 'test'), ('2', 'choice', 'Image. Look up.', 'Where?', 'y|x', 1, 'test')) v(id, type, state, instructions, criteria, label, split)""",
-    "convert_mmstar": "SELECT * FROM (VALUES ('1', 'choice', 'Image.', 'What is it?', 'a cat|a dog|a bird', 1, 'test'), ('2', 'choice', 'Image.', 'Pick.', 'one|two', 0, 'test')) v(id, type, state, instructions, criteria, label, split)",
-    "convert_mme": "SELECT * FROM (VALUES ('q1', 'Is it red?', 1, 'color/i1'), ('q2', 'Is it blue?', 0, 'color/i1')) v(id, instructions, label, grp)",
-    "convert_options": """SELECT id, 'choice' AS type, state, 'Q' || q AS instructions, criteria, label, split FROM (VALUES ('s1', 'Image.', 1, 'a|b|c|d', 2, 'test'), ('a1', 'Audio clip.', 3, 'x|y', 1, 'test'), ('o1', 'Image and audio clip.', 5, 'l|m|n', 2, 'test'),
-('m1', 'Audio clip.', 6, 'p|q', 1, 'test'), ('k1', 'Photo.', 8, 'u|v', 0, 'train'), ('n1', 'a hint', 9, 'u|v', 1, 'test'), ('v1', 'Image.', 10, 'no|yes', 1, 'test')) v(id, state, q, criteria, label, split)""",
-    "convert_yes_no": "SELECT id, 'noul' AS type, state, q AS instructions, '' AS criteria, label, split FROM (VALUES ('p1', 'Image.', 'Is there a cup?', 1, 'test'), ('p2', 'Image.', 'Is there a cat?', 0, 'test'), ('c1', 'Audio clip.', 'Is it loud?', 1, 'train')) v(id, state, q, label, split)",
+    "convert_mmbench": """WITH d AS (SELECT doc_id, 'What is it in ' || source || '?' AS q, 'Image.' || CASE WHEN doc_id % 4 = 1 THEN ' Look at ' || source || '.' ELSE '' END AS state, list_concat([lang, source, 'item ' || doc_id], CASE WHEN doc_id % 4 = 3 THEN ['d'] ELSE [] END) AS o, doc_id % 5 AS ans FROM documents),
+r AS (SELECT *, unnest(range(len(o))) AS r FROM d WHERE ans < len(o))
+SELECT CAST(doc_id AS VARCHAR) AS id, 'choice' AS type, state, q AS instructions, array_to_string(list_concat(o[r + 1:], o[1:r]), '|') AS criteria, CAST((ans - r + len(o)) % len(o) AS INT) AS label, 'test' AS split FROM r""",
+    "convert_mmstar": """SELECT CAST(doc_id AS VARCHAR) AS id, 'choice' AS type, 'Image.' AS state, CASE WHEN doc_id % 4 = 0 THEN 'What is item ' || doc_id || '?' ELSE 'Pick item ' || doc_id || '.' END AS instructions, lang || '|' || source || CASE WHEN doc_id % 4 = 0 THEN '|a bird' ELSE '' END AS criteria,
+CAST(doc_id % 4 = 0 AS INT) AS label, 'test' AS split FROM documents WHERE doc_id % 4 < 2""",
+    "convert_mme": """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'Is item ' || doc_id || ' red?' ELSE 'Is ' || source || ' blue?' END AS instructions, CAST(doc_id % 3 = 0 AS INT) AS label, lang || '/i' || (doc_id // 2) AS grp FROM documents WHERE doc_id % 3 < 2""",
+    "convert_options": """WITH d AS (SELECT *, doc_id % 10 AS k FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS id, 'choice' AS type, CASE k WHEN 0 THEN 'Image.' WHEN 2 THEN 'Audio clip.' WHEN 4 THEN 'Image and audio clip.' WHEN 5 THEN 'Audio clip.' WHEN 7 THEN 'Photo.' WHEN 8 THEN 'in ' || lang ELSE 'Image.' END AS state, 'What of item ' || doc_id || '?' AS instructions,
+lang || '|' || source || CASE k WHEN 0 THEN '|item ' || doc_id || '|d' WHEN 4 THEN '|item ' || doc_id ELSE '' END AS criteria, CASE WHEN k IN (0, 4) THEN 2 WHEN k = 7 THEN 0 ELSE 1 END AS label, CASE WHEN k = 7 THEN 'train' ELSE 'test' END AS split FROM d WHERE k IN (0, 2, 4, 5, 7, 8, 9)""",
+    "convert_yes_no": """SELECT CAST(doc_id AS VARCHAR) AS id, 'noul' AS type, CASE WHEN doc_id % 4 < 3 THEN 'Image.' ELSE 'Audio clip.' END AS state, 'Is there item ' || doc_id || '?' AS instructions, '' AS criteria, CAST(doc_id % 4 <> 1 AS INT) AS label, CASE WHEN doc_id % 4 < 3 THEN 'test' ELSE 'train' END AS split FROM documents WHERE doc_id % 4 <> 2""",
     "convert_labelled": "SELECT type, CASE WHEN p_partkey % 5 = 4 THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(*) AS \"right\", true AS enough FROM part, (VALUES ('choice'), ('noul')) v(type) GROUP BY 1, 2",
     "convert_vqa": """SELECT CASE p_partkey % 3 WHEN 0 THEN 'yes/no' WHEN 1 THEN 'number' ELSE 'other' END AS answer_type, count(*) AS n, count(*) AS "right" FROM part p WHERE p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND p_size <= 20)
 OR (p_partkey % 3 = 2 AND (SELECT count(DISTINCT q.p_type) FROM part q WHERE q.p_partkey % 3 = 2 AND q.p_brand = p.p_brand) >= 4) GROUP BY 1""",

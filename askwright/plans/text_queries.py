@@ -1,4 +1,4 @@
-"""Queries over the text parsers; small fixtures are rows in the code, their expectations were worked out by hand."""
+"""Queries over the text parsers.  What they parse is made from documents by templates, and the SQL makes what should come out."""
 
 from __future__ import annotations
 
@@ -9,29 +9,42 @@ from ..functions import text as T
 from ..operators import questions as Q
 from ..session import table
 
-#: id, user, assistant: a turn for each branch of the rules.
+#: A turn for each branch of the rules; {a}, {b} and {c} are a document's number, language and source.
 TURNS = [
-    (1, "Which animal is it?\nChoices:\nA. A cat.\nB. A dog\nC. A bird.\nAnswer with the letter.", "Answer: B"),
-    (2, "Question: What melts?\nHint: Ice is cold.\nChoices:\nA. ice\nB. rock\n", "A"),
-    (3, "Lecture: Things fall.\nQuestion: Is it heavy?\nChoices:\nA. no\nB. yes\nPick one.", "b"),
-    (4, "What colour is the sky?\nOptions: Blue, red , green.", "Answer: blue."),
-    (5, "Is the cat asleep?\nAnswer yes or no.", "Yes."),
-    (6, "How many birds are there?\nKeep it brief.", "3"),
-    (7, "What is shown here?", "A small dog runs over the wet green grass."),
-    (8, "What is the color of the car?", "silver"),
-    (9, "What is the color of the door?", "brown"),
-    (10, "What is the color of the wall?", "white"),
-    (11, "What is the color of the hat?", "black"),
-    (12, "Which way?\nChoices:\nA. left\nB. left", "A"),
-    (13, "Name it.\nOptions: one, two", "three"),
-    (14, "", "nothing"),
-    (15, "Context: none\nQuestion: When was it built?\nContext: A tower.", "1,950"),
-    (16, "Where is the odd one?", "under the old table"),
+    ("Which {c} is it?\nChoices:\nA. {a}.\nB. {b}\nC. {c}.\nAnswer with the letter.", "Answer: B"),
+    ("Question: What melts {a}?\nHint: {c} is cold.\nChoices:\nA. {b}\nB. rock\n", "A"),
+    ("Lecture: {c} falls.\nQuestion: Is {a} heavy?\nChoices:\nA. no\nB. yes\nPick one.", "b"),
+    ("What colour is {c}?\nOptions: Blue, {a} , {b}.", "Answer: {a}."),
+    ("Is {c} asleep?\nAnswer yes or no.", "Yes."),
+    ("How many {c} are there?\nKeep it brief.", "3"),
+    ("Which way?\nChoices:\nA. {a}\nB. {a}", "A"),
+    ("Name it.\nOptions: {a}, {b}", "three"),
+    ("", "nothing"),
+    ("Context: none\nQuestion: When was {a} built?\nContext: A {c}.", "1,950"),
 ]
 
 
-def turns(spark):
-    return spark.createDataFrame(TURNS, "id int, user string, assistant string")
+def filled(spark, sf_dir, *templates: list[str]):
+    """Every document's number (id), with a text of each list of templates by the number, filled with the document's values."""
+    d = table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+
+    def text(template: str):
+        for name, value in (("{a}", F.concat(F.lit("item "), n.cast("string"))), ("{b}", F.col("lang")), ("{c}", F.col("source"))):
+            template = F.replace(F.lit(template) if isinstance(template, str) else template, F.lit(name), value)
+        return template
+
+    def chosen(of: list[str]):
+        told = F.lit(None).cast("string")
+        for i, t in enumerate(of):
+            told = F.when(n % len(of) == i, text(t) if t is not None else F.lit(None)).otherwise(told)
+        return told
+
+    return d.select(n.alias("id"), *[chosen(t).alias(f"t{i}") for i, t in enumerate(templates)])
+
+
+def turns(spark, sf_dir):
+    return filled(spark, sf_dir, [u for u, _ in TURNS], [v for _, v in TURNS]).withColumnsRenamed({"t0": "user", "t1": "assistant"})
 
 
 def paired_turns(spark, sf_dir):
@@ -42,19 +55,19 @@ def paired_turns(spark, sf_dir):
 
 
 def parse_lettered(spark, sf_dir):
-    return turns(spark).select("id", T.lettered(F.col("user"), F.col("assistant")).alias("p")).where("p is not null").select("id", "p.background", "p.question", F.array_join("p.options", "|").alias("options"), "p.index")
+    return turns(spark, sf_dir).select("id", T.lettered(F.col("user"), F.col("assistant")).alias("p")).where("p is not null").select("id", "p.background", "p.question", F.array_join("p.options", "|").alias("options"), "p.index")
 
 
 def parse_listed(spark, sf_dir):
-    return turns(spark).select("id", T.listed(F.col("user"), F.col("assistant")).alias("p")).where("p is not null").select("id", "p.question", F.array_join("p.options", "|").alias("options"), "p.index")
+    return turns(spark, sf_dir).select("id", T.listed(F.col("user"), F.col("assistant")).alias("p")).where("p is not null").select("id", "p.question", F.array_join("p.options", "|").alias("options"), "p.index")
 
 
 def split_context(spark, sf_dir):
-    return turns(spark).select("id", T.context_and_question(F.col("user")).alias("p")).select("id", "p.background", "p.question")
+    return turns(spark, sf_dir).select("id", T.context_and_question(F.col("user")).alias("p")).select("id", "p.background", "p.question")
 
 
 def strip_hints(spark, sf_dir):
-    return turns(spark).select("id", T.without_hints(F.col("user")).alias("question"))
+    return turns(spark, sf_dir).select("id", T.without_hints(F.col("user")).alias("question"))
 
 
 def clean_answers(spark, sf_dir):
@@ -79,15 +92,19 @@ def split_captions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.captions(F.col("text"))).alias("at", "caption"))
 
 
+ALTERNATIVES = [("Is the {c} blue or gray?", "gray"), ("Is the {c} light blue or dark red?", "dark red"), ("Is the {c} to the left or to the right of the {b}?", "right"), ("Is it {b} or small?", "huge"), ("Is it {b} or {b}?", "{b}"), ("Is it {c}?", "{c}"), ("Do you see the {c} or a {b}?", "{b}")]
+
+
 def alternatives(spark, sf_dir):
-    rows = [(1, "Is the sky blue or gray?", "gray"), (2, "Is the shirt light blue or dark red?", "dark red"), (3, "Is the cup to the left or to the right of the plate?", "right"), (4, "Is it big or small?", "huge"), (5, "Is it red or red?", "red"), (6, "Is it red?", "red"), (7, "Do you see the man or a woman?", "woman")]
-    told = spark.createDataFrame(rows, "id int, question string, answer string").select("id", T.alternatives(F.col("question"), F.col("answer")).alias("a"))
+    told = filled(spark, sf_dir, [q for q, _ in ALTERNATIVES], [v for _, v in ALTERNATIVES]).select("id", T.alternatives(F.col("t0"), F.col("t1")).alias("a"))
     return told.where("a is not null").select("id", F.array_join("a", "|").alias("options"))
 
 
 def numbers(spark, sf_dir):
-    rows = [(1, "1,234"), (2, "7"), (3, "2e9"), (4, "seven"), (5, "inf"), (6, "nan"), (7, "0.5"), (8, "")]
-    return spark.createDataFrame(rows, "id int, t string").select("id", T.number(F.col("t")).alias("value"))
+    """Lengths of documents as text: with commas, plain, halved, in thousand millions, as words, empty."""
+    n = F.col("n_chars") * 7
+    text = F.element_at(F.array(F.format_number(n, 0), n.cast("string"), F.format_string("%.1f", n / 2), F.concat(n.cast("string"), F.lit("e9")), F.concat(F.lit("n"), n.cast("string")), F.lit("inf"), F.lit("nan"), F.lit("")), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.number(text).alias("value"))
 
 
 def number_options(spark, sf_dir):
@@ -96,8 +113,7 @@ def number_options(spark, sf_dir):
 
 
 def null_like_filter(spark, sf_dir):
-    rows = [(1, None), (2, "nan"), (3, " None "), (4, ""), (5, "0"), (6, "text"), (7, " \t"), (8, "NaN")]
-    return spark.createDataFrame(rows, "id int, t string").where(~T.null_like(F.col("t"))).select("id")
+    return filled(spark, sf_dir, [None, "nan", " None ", "", "0", "{c}", " \t", "NaN", "none of {b}"]).where(~T.null_like(F.col("t0"))).select("id")
 
 
 def humanised_labels(spark, sf_dir):
@@ -106,8 +122,8 @@ def humanised_labels(spark, sf_dir):
 
 
 def answer_requests(spark, sf_dir):
-    rows = [(1, "Is it a dog? Please answer yes or no."), (2, "What is it? please answer this question with one word"), (3, "Please answer yes or no. Is it?"), (4, " Is it? ")]
-    return spark.createDataFrame(rows, "id int, q string").select("id", T.without_answer_request(F.col("q")).alias("q"))
+    asks = ["Is it {c}? Please answer yes or no.", "What is {a}? please answer this question with one word", "Please answer yes or no. Is it {b}?", " Is it {c}? "]
+    return filled(spark, sf_dir, asks).select("id", T.without_answer_request(F.col("t0")).alias("q"))
 
 
 def path_parts(spark, sf_dir):
@@ -116,7 +132,7 @@ def path_parts(spark, sf_dir):
 
 
 def turn_cascade(spark, sf_dir):
-    told = Q.cascade(turns(spark))
+    told = Q.cascade(turns(spark, sf_dir))
     return told.select("id", "rule", "type", "state", "instructions", F.when(F.size("criteria") > 0, F.get("criteria", F.col("label"))).otherwise(F.col("label").cast("string")).alias("answer"))
 
 
@@ -126,7 +142,7 @@ def turn_cascade_pairs(spark, sf_dir):
 
 
 def pool_collect(spark, sf_dir):
-    rows = Q.pools(turns(spark).unionByName(paired_turns(spark, sf_dir).withColumn("id", F.lit(0))))
+    rows = Q.pools(turns(spark, sf_dir).drop("id").unionByName(paired_turns(spark, sf_dir).drop("id")))
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -148,65 +164,35 @@ _NEAR_SQL = """CASE WHEN v = floor(v) AND abs(v) <= 20 THEN list_filter(list_tra
 ELSE list_filter(list_sort(list_distinct(list_transform([0.5, 0.75, 0.9, 1.1, 1.25, 1.5, 2.0], lambda s: CASE WHEN v = floor(v) THEN round(v * CAST(s AS DOUBLE), 0) ELSE round(v * CAST(s AS DOUBLE), 2) END))), lambda x: x <> v) END"""
 
 
-def _rows(columns: str, *rows: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) v({columns})"
+_DOC = "doc AS (SELECT doc_id AS id, 'item ' || doc_id AS a, lang AS b, source AS c, doc_id % 10 AS k FROM documents)"
 
 
 _KIND = "array_to_string(regexp_extract_all(lower({0}), '[a-z]+')[1:{1}], ' ')"
 ORACLE = {
-    "parse_lettered": _rows("id, background, question, options, index", "(1, '', 'Which animal is it?', 'A cat|A dog|A bird', 1)", "(2, 'Hint: Ice is cold.', 'What melts?', 'ice|rock', 0)", "(3, 'Lecture: Things fall.', 'Is it heavy?', 'no|yes', 1)"),
-    "parse_listed": _rows("id, question, options, index", "(4, 'What colour is the sky?', 'Blue|red|green', 0)"),
-    "strip_hints": r"""SELECT * FROM (VALUES (1, e'Which animal is it?'),
-(2, e'Question: What melts?\nHint: Ice is cold.'),
-(3, e'Lecture: Things fall.\nQuestion: Is it heavy?'),
-(4, e'What colour is the sky?'),
-(5, e'Is the cat asleep?'),
-(6, e'How many birds are there?'),
-(7, e'What is shown here?'),
-(8, e'What is the color of the car?'),
-(9, e'What is the color of the door?'),
-(10, e'What is the color of the wall?'),
-(11, e'What is the color of the hat?'),
-(12, e'Which way?'),
-(13, e'Name it.'),
-(14, e''),
-(15, e'Context: none\nQuestion: When was it built?\nContext: A tower.'),
-(16, e'Where is the odd one?')) v(id, question)""",
-    "split_context": r"""SELECT * FROM (VALUES (1, e'', e'Which animal is it?\nChoices:\nA. A cat.\nB. A dog\nC. A bird.\nAnswer with the letter.'),
-(2, e'Hint: Ice is cold.\nChoices:\nA. ice\nB. rock', e'What melts?'),
-(3, e'Lecture: Things fall.', e'Is it heavy?\nChoices:\nA. no\nB. yes\nPick one.'),
-(4, e'', e'What colour is the sky?\nOptions: Blue, red , green.'),
-(5, e'', e'Is the cat asleep?\nAnswer yes or no.'),
-(6, e'', e'How many birds are there?\nKeep it brief.'),
-(7, e'', e'What is shown here?'),
-(8, e'', e'What is the color of the car?'),
-(9, e'', e'What is the color of the door?'),
-(10, e'', e'What is the color of the wall?'),
-(11, e'', e'What is the color of the hat?'),
-(12, e'', e'Which way?\nChoices:\nA. left\nB. left'),
-(13, e'', e'Name it.\nOptions: one, two'),
-(14, e'', e''),
-(15, e'Context: A tower.\nContext: none', e'When was it built?'),
-(16, e'', e'Where is the odd one?')) v(id, background, question)""",
+    "parse_lettered": f"""WITH {_DOC} SELECT id, CASE k WHEN 1 THEN 'Hint: ' || c || ' is cold.' WHEN 2 THEN 'Lecture: ' || c || ' falls.' ELSE '' END AS background, CASE k WHEN 0 THEN 'Which ' || c || ' is it?' WHEN 1 THEN 'What melts ' || a || '?' ELSE 'Is ' || a || ' heavy?' END AS question,
+CASE k WHEN 0 THEN a || '|' || b || '|' || c WHEN 1 THEN b || '|rock' ELSE 'no|yes' END AS options, CAST(k <> 1 AS INT) AS index FROM doc WHERE k < 3""",
+    "parse_listed": f"""WITH {_DOC} SELECT id, 'What colour is ' || c || '?' AS question, 'Blue|' || a || '|' || b AS options, 1 AS index FROM doc WHERE k = 3""",
+    "strip_hints": f"""WITH {_DOC} SELECT id, CASE k WHEN 0 THEN 'Which ' || c || ' is it?' WHEN 1 THEN 'Question: What melts ' || a || e'?\\nHint: ' || c || ' is cold.' WHEN 2 THEN 'Lecture: ' || c || e' falls.\\nQuestion: Is ' || a || ' heavy?' WHEN 3 THEN 'What colour is ' || c || '?'
+WHEN 4 THEN 'Is ' || c || ' asleep?' WHEN 5 THEN 'How many ' || c || ' are there?' WHEN 6 THEN 'Which way?' WHEN 7 THEN 'Name it.' WHEN 8 THEN '' ELSE e'Context: none\\nQuestion: When was ' || a || e' built?\\nContext: A ' || c || '.' END AS question FROM doc""",
+    "split_context": f"""WITH {_DOC} SELECT id, CASE k WHEN 1 THEN 'Hint: ' || c || e' is cold.\\nChoices:\\nA. ' || b || e'\\nB. rock' WHEN 2 THEN 'Lecture: ' || c || ' falls.' WHEN 9 THEN 'Context: A ' || c || e'.\\nContext: none' ELSE '' END AS background,
+CASE k WHEN 0 THEN 'Which ' || c || e' is it?\\nChoices:\\nA. ' || a || e'.\\nB. ' || b || e'\\nC. ' || c || e'.\\nAnswer with the letter.' WHEN 1 THEN 'What melts ' || a || '?' WHEN 2 THEN 'Is ' || a || e' heavy?\\nChoices:\\nA. no\\nB. yes\\nPick one.'
+WHEN 3 THEN 'What colour is ' || c || e'?\\nOptions: Blue, ' || a || ' , ' || b || '.' WHEN 4 THEN 'Is ' || c || e' asleep?\\nAnswer yes or no.' WHEN 5 THEN 'How many ' || c || e' are there?\\nKeep it brief.' WHEN 6 THEN e'Which way?\\nChoices:\\nA. ' || a || e'\\nB. ' || a
+WHEN 7 THEN e'Name it.\\nOptions: ' || a || ', ' || b WHEN 8 THEN '' ELSE 'When was ' || a || ' built?' END AS question FROM doc""",
     "clean_answers": f"SELECT id, {_CLEAN.format('assistant')} AS answer FROM {_USER_TURNS}",
     "question_kinds": f"""SELECT rank, kind, count(*) AS n FROM (SELECT unnest([0, 1, 2]) AS rank, unnest([{_KIND.format('text', 4)}, {_KIND.format('text', 3)}, {_KIND.format('text', 2)}]) AS kind FROM conversations WHERE role = 'user') GROUP BY 1, 2""",
     "normalised_texts": "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents",
     "content_words": f"""SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})))) AS word FROM documents) GROUP BY 1""",
-    "alternatives": _rows("id, options", "(1, 'blue|gray')", "(2, 'light blue|dark red')", "(3, 'left|right')", "(7, 'man|woman')"),
-    "numbers": "SELECT id, CAST(v AS DOUBLE) AS value FROM (VALUES (1, 1234), (2, 7), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, 0.5), (8, NULL)) t(id, v)",
+    "alternatives": """SELECT id, CASE k WHEN 0 THEN 'blue|gray' WHEN 1 THEN 'light blue|dark red' WHEN 2 THEN 'left|right' ELSE source || '|' || lang END AS options FROM (SELECT doc_id AS id, doc_id % 7 AS k, source, lang FROM documents) WHERE k IN (0, 1, 2, 6)""",
+    "numbers": """SELECT doc_id AS id, CASE WHEN doc_id % 8 < 2 THEN CAST(n_chars * 7 AS DOUBLE) WHEN doc_id % 8 = 2 THEN n_chars * 7 / 2.0 END AS value FROM documents""",
     "number_options": f"SELECT p_partkey, array_to_string(list_transform({_NEAR_SQL}, lambda x: CAST(CAST(round(x, 2) AS DECIMAL(18, 2)) AS VARCHAR)), ' ') AS near FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v FROM part)",
-    "null_like_filter": _rows("id", "(5)", "(6)"),
+    "null_like_filter": "SELECT doc_id AS id FROM documents WHERE doc_id % 9 IN (4, 5, 8)",
     "humanised_labels": "SELECT p_partkey, lower(replace(replace(replace(p_type, ' ', '_'), '_and_', ' and '), '_', ' ')) AS label FROM part",
-    "answer_requests": _rows("id, q", "(1, 'Is it a dog?')", "(2, 'What is it?')", "(3, 'Please answer yes or no. Is it?')", "(4, 'Is it?')"),
+    "answer_requests": """SELECT doc_id AS id, CASE doc_id % 4 WHEN 1 THEN 'What is item ' || doc_id || '?' WHEN 2 THEN 'Please answer yes or no. Is it ' || lang || '?' ELSE 'Is it ' || source || '?' END AS q FROM documents""",
     "path_parts": r"SELECT page_id, lower(regexp_extract(path, '\.[^./]+$', 0)) AS ext, split_part(path, '/', -1) AS name, split_part(path, '/', -2) AS parent FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages)",
-    "turn_cascade": _rows(
-        "id, rule, type, state, instructions, answer",
-        "(1, 'options', 'choice', 'Image.', 'Which animal is it?', 'A dog')", "(2, 'options', 'choice', 'Hint: Ice is cold.', 'What melts?', 'ice')", "(3, 'options', 'noul', 'Lecture: Things fall.', 'Is it heavy?', '1')",
-        "(4, 'options', 'choice', 'Image.', 'What colour is the sky?', 'Blue')", "(5, 'yes_no', 'noul', 'Image.', 'Is the cat asleep?', '1')", "(6, 'number', 'choice', 'Image.', 'How many birds are there?', '3')",
-        "(7, 'description', 'noul', 'Image.', 'Does this description match the image? \"A small dog runs over the wet green grass\"', '1')", "(8, 'pool', 'choice', 'Image.', 'What is the color of the car?', 'silver')",
-        "(9, 'pool', 'choice', 'Image.', 'What is the color of the door?', 'brown')", "(10, 'pool', 'choice', 'Image.', 'What is the color of the wall?', 'white')", "(11, 'pool', 'choice', 'Image.', 'What is the color of the hat?', 'black')",
-        "(15, 'number', 'choice', e'Context: A tower.\\nContext: none', 'When was it built?', '1950')",
-    ),
+    "turn_cascade": f"""WITH {_DOC} SELECT id, CASE WHEN k < 4 THEN 'options' WHEN k = 4 THEN 'yes_no' ELSE 'number' END AS rule, CASE WHEN k IN (2, 4) THEN 'noul' ELSE 'choice' END AS type,
+CASE k WHEN 1 THEN 'Hint: ' || c || ' is cold.' WHEN 2 THEN 'Lecture: ' || c || ' falls.' WHEN 9 THEN 'Context: A ' || c || e'.\\nContext: none' ELSE 'Image.' END AS state,
+CASE k WHEN 0 THEN 'Which ' || c || ' is it?' WHEN 1 THEN 'What melts ' || a || '?' WHEN 2 THEN 'Is ' || a || ' heavy?' WHEN 3 THEN 'What colour is ' || c || '?' WHEN 4 THEN 'Is ' || c || ' asleep?' WHEN 5 THEN 'How many ' || c || ' are there?' ELSE 'When was ' || a || ' built?' END AS instructions,
+CASE k WHEN 0 THEN b WHEN 1 THEN b WHEN 2 THEN '1' WHEN 3 THEN a WHEN 4 THEN '1' WHEN 5 THEN '3' ELSE '1950' END AS answer FROM doc WHERE k IN (0, 1, 2, 3, 4, 5, 9)""",
     "finetune_rows": """SELECT file, media, 'Which language?' AS instructions, CASE media WHEN 'image' THEN 'Image.' ELSE 'Audio clip.' END AS state, 'choice' AS type, CAST(list_position(labels, lang) - 1 AS INT) AS label
 FROM (SELECT 'clips/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.WAV' WHEN 1 THEN '.jpg' ELSE '.txt' END AS file, CASE doc_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'image' END AS media, lang FROM documents), (SELECT list_sort(list(DISTINCT lang)) AS labels FROM documents) WHERE media IS NOT NULL""",
     "pool_fallback": f"""WITH q AS (SELECT p_partkey AS id, 'what is ' || regexp_replace(p_type, '[0-9]+', '', 'g') AS question, p_name AS answer FROM part),
