@@ -10,7 +10,8 @@ suffixes cut at SPAN bytes.  Sorting every suffix of a corpus would shuffle it m
    occurrences is cut into single windows that are dealt by their own hash, so it fills no task.
 4. A bucket sorts its suffixes by a mergesort whose comparisons find the common extension of two suffixes by binary search
    over prefix polynomial hashes (6 steps for 50 bytes) and then look at one byte.  Neighbours of equal hash are compared byte by
-   byte, so a collision cannot remove anything.  Equal windows take the least id among them.
+   byte, and a group in which hashes collided is sorted by its bytes, so a collision neither removes nor hides a repeat.  Equal windows
+   take the least id among them.
 5. One bit for each window goes back to the chunk: whether a smaller id outside has it.  Documents are cut.
 
 Texts that equal one of a smaller id are wholly covered and take no part.
@@ -101,7 +102,8 @@ def suffix_classes(data: np.ndarray, start: np.ndarray, group: np.ndarray, power
     """(order, new): the suffixes sorted by group and by their first ``span`` bytes, and where a new (group, bytes) begins.
 
     A bottom-up mergesort inside each group, all groups in step; an element's place in a merge is its own rank and its
-    rank in the other run, found by binary search with hash-compared suffixes.
+    rank in the other run, found by binary search with hash-compared suffixes.  Where neighbours of one hash differ in bytes, or equal
+    hashes of a group do not lie together, hashes have collided: those groups are sorted by their bytes.
     """
     ph = PrefixHashes(data, powers)
     whole = ph.of(start, span)
@@ -147,13 +149,30 @@ def suffix_classes(data: np.ndarray, start: np.ndarray, group: np.ndarray, power
         at, run = moved, 2 * run
     new = np.ones(len(at), bool)
     if len(at):
-        new[1:] = (sorted_group[1:] != sorted_group[:-1]) | (whole[at[1:]] != whole[at[:-1]])
+        lost = bool((np.bincount(at, minlength=len(at)) != 1).any())  # contradictory comparisons put two in one place
+        if lost:
+            at = np.argsort(group, kind="stable")
+        apart = sorted_group[1:] != sorted_group[:-1]
+        new[1:] = apart | (whole[at[1:]] != whole[at[:-1]])
         wide = np.arange(span)
-        same = np.flatnonzero(~new)
+        same, broken = np.flatnonzero(~new), []
         for i in range(0, len(same), 1 << 17):  # collision verification
             j = same[i : i + (1 << 17)]
-            differ = (data[start[at[j]][:, None] + wide] != data[start[at[j - 1]][:, None] + wide]).any(1)
-            new[j[differ]] = True
+            broken.append(j[(data[start[at[j]][:, None] + wide] != data[start[at[j - 1]][:, None] + wide]).any(1)])
+        number = np.cumsum(np.concatenate([[0], apart]))
+        mixed = whole[at].astype(np.uint64) ^ (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if lost or len(np.unique(mixed)) < new.sum():  # a hash of a group in two places, or one number for two of them
+            again = np.ones(len(at), bool)
+        else:
+            again = np.isin(number, number[np.concatenate(broken)]) if any(map(len, broken)) else np.zeros(len(at), bool)
+        if again.any():
+            place = np.flatnonzero(again)
+            members = at[place]
+            rows = np.zeros((len(members), -(-span // 8) * 8), np.uint8)
+            rows[:, :span] = data[start[members][:, None] + wide]
+            order = np.lexsort((*rows.view(">u8").T[::-1], number[place]))
+            at[place], rows = members[order], rows[order]
+            new[place] = np.concatenate([[True], (np.diff(number[place]) != 0) | (rows[1:] != rows[:-1]).any(1)])
     return at, new
 
 

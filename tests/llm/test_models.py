@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from askwright.llm import elias_fano, lm_score, packing, quality, toxicity
 from askwright.llm.labelled import Sample, labelled_sample, logistic, probability
 
-BIG = "/root/testdata/sf0.01"
+BIG = "/root/testdata/sf0.1"
 
 
 def accuracy(spark, query, label, threshold):
@@ -29,14 +29,15 @@ def accuracy(spark, query, label, threshold):
 def test_quality_on_held_out_rows(spark):
     right, held = accuracy(spark, quality.op1_nb_svm_quality, "quality", 0.7)
     most = sum(r.y for r in held) / len(held)
-    assert right > most + 0.02 and sum(r.predicted == r.y for r in held if not r.y) >= 0.6 * (1 - most) * len(held)
+    # on these rows 0.11 above the majority is reached
+    assert right > most + 0.09 and sum(r.predicted == r.y for r in held if not r.y) >= 0.75 * (1 - most) * len(held)
 
 
 def test_toxicity_on_held_out_rows(spark):
     right, held = accuracy(spark, toxicity.op4_crf_toxicity, "toxic", 0.3)
     toxic = [r for r in held if r.y]
     # always answering the majority is right for 1 - len(toxic) / len(held)
-    assert right > 1 - len(toxic) / len(held) + 0.05 and sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
+    assert right > 1 - len(toxic) / len(held) + 0.08 and sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
 
 
 EDGES = [(1, None), (2, ""), (3, " \n "), (4, "scum " * 30_000), (5, "fine words here"), (5, "fine words here")]

@@ -145,6 +145,20 @@ def test_suffix_sort_orders_like_bytes():
     assert new.tolist() == [k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]
 
 
+@pytest.mark.parametrize("keep", [0x0, 0x1, 0x7, 0xFF])
+def test_colliding_hashes_lose_no_repeat(monkeypatch, keep):
+    """Hashes with few bits left: equal windows are one class each all the same."""
+    plain = suffix_dedup.PrefixHashes.of
+    monkeypatch.setattr(suffix_dedup.PrefixHashes, "of", lambda self, start, length: plain(self, start, length) & np.uint64(keep))
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 2, 2000).astype(np.uint8)
+    start, group = rng.integers(0, 1900, 500), rng.integers(0, 4, 500)
+    order, new = suffix_dedup.suffix_classes(data, start, group, suffix_dedup.Powers(), span=11)
+    keys = [(group[i], data[start[i] : start[i] + 11].tobytes()) for i in order]
+    assert sorted(order) == list(range(500))
+    assert new.sum() == len(set(keys)) and new.tolist() == [k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]
+
+
 def brute_contamination(docs, items, span=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = defaultdict(set)
