@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from askwright.llm import elias_fano, lm_score, packing, quality, toxicity
 from askwright.llm.labelled import Sample, labelled_sample, logistic, probability
 
-BIG = "/root/testdata/sf0.1"
+BIG = "/root/testdata/sf0.01"
+LABELLED = "/root/testdata/sf0.1"  # some thousand labelled rows, for accuracies
 
 
 def accuracy(spark, query, label, threshold):
-    labels = spark.read.parquet(f"{BIG}/labels.parquet")
-    rows = query(spark, BIG).join(labels, "doc_id").select("held_out", "score", "predicted", F.col(label).alias("y")).collect()
+    labels = spark.read.parquet(f"{LABELLED}/labels.parquet")
+    rows = query(spark, LABELLED).join(labels, "doc_id").select("held_out", "score", "predicted", F.col(label).alias("y")).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= threshold) for r in rows)
     held = [r for r in rows if r.held_out]
     return sum(r.predicted == r.y for r in held) / len(held), held
