@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import TQ_ROW
@@ -27,6 +27,35 @@ def parquet_tree(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*(columns or df.columns), split, *place)
 
 
+def parquet_tree_until(spark: SparkSession, path: str, enough: dict[str, int], columns: list[str] | None = None, growth: int = 2) -> DataFrame:
+    """The first rows of each split below ``path``, ``enough`` of each, in the order of sorted paths; files behind those are not opened.
+
+    Files are listed, and read in rounds, ``growth`` times as many each time, until every split has its rows: a split's count comes from the
+    files' footers.  Splits that are not named give no rows; a split with too few gives all.  File and row are columns of the result.
+    """
+    if any(n < 0 for n in enough.values()):
+        raise ValueError("a number of rows is not negative")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    files = sorted(r[0] for r in listed.collect())
+    split = {f: "test" if re.search("(val|test)", f.rsplit("/", 1)[-1]) else "train" for f in files}
+    files = [f for f in files if enough.get(split[f], 0)]
+    have, taken, size = dict.fromkeys(enough, 0), [], 1
+    while wanted := [f for f in files if f not in taken and have[split[f]] < enough[split[f]]][:size]:
+        told = spark.read.parquet(*wanted).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        counts = {r["file"]: r["n"] for r in told.collect()}  # a row a file of the round
+        for f in wanted:
+            have[split[f]] += counts.get(f, 0)
+        taken, size = taken + wanted, size * growth
+    if not taken:
+        return parquet_tree(spark, path, columns, position=True).limit(0)
+    df = spark.read.parquet(*sorted(taken))
+    name = F.when(F.col("_metadata.file_name").rlike("(val|test)"), "test").otherwise("train")
+    rows = df.select(*(columns or df.columns), name.alias("split"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    quota = F.element_at(F.create_map(*[x for k, n in enough.items() for x in (F.lit(k), F.lit(n))]), F.col("split"))
+    rank = F.row_number().over(Window.partitionBy("split").orderBy("file", "row"))
+    return rows.withColumn("__rank", rank).where((F.col("__rank") <= max(enough.values())) & (F.col("__rank") <= quota)).drop("__rank")
+
+
 def footer_metadata(spark: SparkSession, path: str) -> dict[str, str]:
     """Key-value metadata in the footer of the first parquet file (by path) below ``path``; no rows are read."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

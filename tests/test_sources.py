@@ -37,6 +37,20 @@ def test_parquet_tree_splits_prunes_and_keeps_places(spark, tree):
     assert "ReadSchema: struct<id:bigint>" in plan
 
 
+def test_scan_ends_when_every_split_has_its_rows(spark, tmp_path):
+    for i in range(12):
+        name = f"{'test' if i % 4 == 3 else 'train'}-{i:02d}.parquet"
+        pq.write_table(pa.table({"id": [10 * i + k for k in range(10)], "clash": ["x"] * 10}), tmp_path / name)
+    (tmp_path / "train-99.parquet").write_bytes(b"a file that no round gets to")
+    told = readers.parquet_tree_until(spark, str(tmp_path), {"train": 25, "test": 5}, ["id"])
+    got = [(r.split, r.id) for r in told.orderBy("split", "file", "row").collect()]
+    train = [10 * i + k for i in range(12) if i % 4 < 3 for k in range(10)]
+    assert got == [("test", 30 + k) for k in range(5)] + [("train", n) for n in train[:25]]
+    assert len({f for f in told.inputFiles()}) < 8
+    assert readers.parquet_tree_until(spark, str(tmp_path), {"test": 1000}, ["id"]).count() == 30
+    assert readers.parquet_tree_until(spark, str(tmp_path), {"train": 0}, ["id"]).count() == 0
+
+
 def test_class_names_from_the_footer(spark, tree, tmp_path):
     assert readers.class_names(spark, tree, "label") == ["cat", "dog"]
     assert readers.class_names(spark, tree, "id") == []
