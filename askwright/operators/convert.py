@@ -16,7 +16,7 @@ from ..functions import sampling as S
 from ..functions import text as T
 from . import questions as Q
 from . import assembly as A
-from .joins import held_out_bases
+from .joins import drawn_by_clip, drawn_by_word, held_out_bases
 from .labels import wrong_labels
 from .neighbours import similar
 
@@ -68,28 +68,46 @@ def labelled(df: DataFrame, label: str, which: str, is_it: str | None, state: st
     return out.unionByName(asked.select(*_row(key, state, "noul", F.replace(F.lit(is_it), F.lit("{}"), name(F.col("__s"))), None, F.col("__s") == F.col(label), split)))
 
 
+MATCH_ASKS = ("Does this description fit?", "Is this an accurate description?", "Is this what it shows or sounds like?")
+PICK_ASKS = ("Which description fits best?", "Which of these is described?", "What is going on here?")
+
+
 def captioned(df: DataFrame, state: str, split: str, seed: str, clip: str = "id", caption: str = "caption", near: DataFrame | None = None) -> DataFrame:
-    """Does this fit, and which fits, with a negative of the same split: a caption that shares a content word, drawn by the row from all
-    of a word drawn by the row, else any caption of the split.
+    """Does this fit, and which fits: a negative or the caption by a coin, and one to three negatives beside the caption.
 
-    No negative has the normalised text of a caption of the clip.  ``near`` (clip, negative) goes before both.
+    Each negative is by a coin of its own a caption of the same split that shares a content word, where there is one, or any of another clip;
+    ``near`` (clip, negative) takes the place of the first kind.  Asks are drawn too.  A caption whose split has no other clip is asked about
+    alone.  Captions of one split that agree when they are normalised are one, so none is a negative of the other; equal negatives are one
+    option; null and empty captions and null clips are left out.
     """
-    told = df.select(F.col(clip).alias("clip"), F.col(caption).alias("caption"), F.col(split).alias("split")).where("caption <> ''")
-    key = F.concat_ws(":", F.col("clip").cast("string"), F.md5("caption"))
-    told = told.distinct().withColumn("key", key).withColumn("norm", F.coalesce(F.nullif(T.normalise(F.col("caption")), F.lit("")), F.col("caption")))
-    whole = F.concat(F.col("split"), F.lit(":"))
-    told = told.withColumn("kinds", F.concat(S.shuffled(seed + "-word", F.transform(T.content_words(F.col("caption")), lambda w: F.concat(whole, w)), F.col("key")), F.array(whole)))
-    pool = told.select(F.explode("kinds").alias("kind"), F.col("norm").alias("answer"), "caption").groupBy("kind", "answer").agg(F.min("caption").alias("shown"))
-    own = told.groupBy("clip").agg(F.collect_set("norm").alias("answers"))
-    drawn = Q.drawn_pool(told.join(own, "clip").select("key", "answers", "kinds"), pool, "key", seed, 1, 1).select("key", F.col("wrong")[0].alias("negative"))
-    rows = told.join(drawn, "key", "left")
+    base = df.select(F.col(clip).alias("clip"), F.col(caption).alias("caption"), F.coalesce(F.col(split), F.lit("")).alias("split")).where("caption <> '' and clip is not null")
+    norm = F.coalesce(F.nullif(T.normalise(F.col("caption")), F.lit("")), F.col("caption"))
+    base = base.withColumn("__own", F.md5(F.concat_ws(":", F.col("split"), norm)))
+    seeds = [f"{seed}-{i}" for i in range(4)]
+    row = F.concat_ws(":", F.col("clip").cast("string"), "__own")
+    rows = base.select("clip", "split", "__own").distinct().withColumns({"row": row, "many": S.whole(seed + "-many", 3, row) + 1, "shown": S.uniform(seed + "-coin", row) < 0.5})
+    # the draws that a row needs: the first for the match, unless the caption itself is shown, and those of its options
+    needed = F.filter(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(i == 0, ~F.col("shown")).otherwise(i <= F.col("many")))
+    needed = rows.select("clip", "split", "__own", "row", F.explode(needed).alias("draw"))
+    close = drawn_by_word(base, seeds, "clip", "caption", within="split").select("clip", "__own", "draw", F.col("__other").alias("__close"))
+    other = drawn_by_clip(base, seeds, "clip", "split")
+    drawn = needed.join(other, ["clip", "__own", "draw"]).join(close, ["clip", "__own", "draw"], "left")
+    head = F.pmod(F.conv(F.substring(S.draw(seed + "-near", F.col("draw"), F.col("row")), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0
+    texts = base.groupBy(F.col("__own").alias("__other")).agg(F.min("caption").alias("text"))
+    told = drawn.select("clip", "split", "__own", "draw", head.alias("head"), F.when(head, F.coalesce("__close", "__other")).otherwise(F.col("__other")).alias("__other"))
+    told = told.where("__other <> __own").join(texts, "__other")  # another clip may have the same caption
     if near is not None:
-        rows = rows.join(near.select("clip", F.col("negative").alias("near")), "clip", "left").withColumn("negative", F.coalesce("near", "negative"))
-    rows = rows.where("negative is not null")
-    shown = F.when(S.uniform(seed + "-coin", "key") < 0.5, F.col("caption")).otherwise(F.col("negative"))
-    rows = rows.withColumns({"shown": shown, "options": _ordered(seed, F.col("key"), F.array("negative", "caption"))})
-    match = rows.select(*_row(F.col("clip"), state, "noul", F.concat(F.lit('Does this description fit? "'), F.col("shown"), F.lit('"')), None, F.col("shown") == F.col("caption"), F.col("split")))
-    return match.unionByName(rows.select(*_row(F.col("clip"), state, "choice", "Which description fits best?", F.col("options"), F.array_position("options", F.col("caption")) - 1, F.col("split"))))
+        hard = near.select("clip", F.col("negative").alias("__hard")).dropDuplicates(["clip"])
+        told = told.join(hard, "clip", "left").withColumn("text", F.when(F.col("head"), F.coalesce("__hard", "text")).otherwise(F.col("text"))).drop("__hard")
+    told = told.groupBy("clip", "split", "__own").agg(F.array_sort(F.collect_list(F.struct("draw", "text"))).alias("drawn"))
+    own = base.groupBy("clip", "split", "__own").agg(F.min("caption").alias("caption"))
+    rows = rows.join(told, ["clip", "split", "__own"], "left").join(own, ["clip", "split", "__own"])
+    of = lambda keep: F.transform(F.filter(F.coalesce("drawn", F.array().cast("array<struct<draw:int,text:string>>")), keep), lambda x: x["text"])
+    rows = rows.withColumn("said", F.coalesce(F.get(of(lambda x: x["draw"] == 0), 0), F.col("caption")))
+    rows = rows.withColumn("options", S.shuffled(seed + "-order", F.concat(F.array_distinct(F.array_remove(of(lambda x: x["draw"] > 0), F.col("caption"))), F.array("caption")), F.col("row")))
+    ask = lambda asks, name: F.get(F.array(*map(F.lit, asks)), S.whole(seed + name, len(asks), F.col("row")))
+    match = rows.select(*_row(F.col("clip"), state, "noul", F.concat(ask(MATCH_ASKS, "-match"), F.lit(' "'), F.col("said"), F.lit('"')), None, F.col("said") == F.col("caption"), F.col("split")))
+    return match.unionByName(rows.where(F.size("options") > 1).select(*_row(F.col("clip"), state, "choice", ask(PICK_ASKS, "-pick"), F.col("options"), F.array_position("options", F.col("caption")) - 1, F.col("split"))))
 
 
 def pooled(df: DataFrame, state: str, split: Column, seed: str, id_: str = "id", kind: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sampling as S
 from ..functions import text as T
+from ..functions.ranks import places
 from ..session import settled
 from .questions import drawn_pool
 
@@ -99,14 +100,26 @@ def word_negatives(captions: DataFrame, seed: str, key: str = "clip", text: str
 
     Captions of one text count once and none is drawn that the clip has itself.  Repeated rows count once; captions that share no word with
     another have no row, nor have null ones or those of a null clip.
+    """
+    base = captions.select(F.col(key), F.col(text), F.md5(F.col(text)).alias("__own")).where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    told = drawn_by_word(base, [seed], key, text, first).drop("draw")
+    once = base.select("__own", text).dropDuplicates(["__own"])
+    told = told.join(once, "__own").select(key, F.col(text), "__other")
+    return told.join(once.select(F.col("__own").alias("__other"), F.col(text).alias("negative")), "__other").select(key, text, "negative")
+
+
+def drawn_by_word(base: DataFrame, seeds: list[str], key: str, text: str, first: int = 4, within: str | None = None) -> DataFrame:
+    """(key, __own, draw, __other) of captions (key, text, __own): for each of the ``seeds`` a caption of another clip that shares a content
+    word, by their digests.  With ``within`` words of different values of that column are different; the digest has to tell them apart too.
 
     Words are kept once for each text.  A row first tries the ``first`` words that it draws, and only rows none of whose words another text
     has try all.  The drawn place of a word's captions (numbered in 64 buckets by md5) and the one after it are looked up: of the two the caption
     is the one that does not count the row's own.  Clips with several captions go through ``drawn_pool``.
     """
-    base = captions.select(F.col(key), F.col(text), F.md5(F.col(text)).alias("__own")).where(F.col(text).isNotNull() & F.col(key).isNotNull())
-    once = base.select("__own", text).dropDuplicates(["__own"])
-    texts = settled(once.select("__own", T.content_words(F.col(text)).alias("__words")), "caption-words")  # after the shuffle, which deals out large files
+    words = T.content_words(F.col(text))
+    words = words if within is None else F.transform(words, lambda w: F.concat(F.col(within), F.lit(":"), w))
+    once = base.dropDuplicates(["__own"])
+    texts = settled(once.select("__own", words.alias("__words")), "caption-words")  # after the shuffle, which deals out large files
     rows = settled(base.select(key, "__own").distinct(), "captions")
     bucket = lambda own: F.conv(F.substring(F.md5(own), 1, 4), 16, 10).cast("int") % 64
     pool = texts.select("__own", bucket(F.col("__own")).alias("bucket"), F.explode("__words").alias("word"))
@@ -115,36 +128,58 @@ def word_negatives(captions: DataFrame, seed: str, key: str = "clip", text: str
     several = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "clips")
 
     row = F.concat_ws(":", F.col(key).cast("string"), "__own")
-    chance = lambda w: F.md5(F.concat_ws(":", F.lit(seed + "-word"), row, w))
     single = rows.join(several, key, "left_anti").join(texts, "__own")
-    drawn = lambda words: single.select(key, "__own", F.explode(words).alias("x")).select(key, "__own", "x.*").join(sizes, "word").groupBy(key, "__own").agg(F.min(F.struct("d", "word", "size")).alias("x")).select(key, "__own", "x.word", "x.size")
-    chances = F.transform("__words", lambda w: F.struct(chance(w).alias("d"), w.alias("word")))
-    some = settled(drawn(F.slice(F.sort_array(chances), 1, first)), "drawn-words")
-    single = single.join(some.select(key, "__own"), [key, "__own"], "left_anti")
-    picks = settled(some.unionByName(drawn(chances)), "drawn-words")
-
-    free = F.pmod(F.conv(F.substring(S.draw(seed, F.lit(0), row), 1, 12), 16, 10).cast("long"), F.col("size") - 1)
+    chances = lambda i: F.transform("__words", lambda w: F.struct(F.md5(F.concat_ws(":", F.lit(seeds[i] + "-word"), row, w)).alias("d"), w.alias("word"), F.lit(i).alias("draw")))
+    least = lambda rows, words: rows.select(key, "__own", F.explode(words).alias("x")).select(key, "__own", "x.*").join(sizes, "word").groupBy(key, "__own", "draw").agg(F.min(F.struct("d", "word", "size")).alias("x")).select(key, "__own", "draw", "x.word", "x.size")
+    some = settled(least(single, F.flatten(F.array(*[F.slice(F.sort_array(chances(i)), 1, first) for i in range(len(seeds))]))), "drawn-words")
+    picks = some
+    for i in range(len(seeds)):
+        rest = single.join(some.where(F.col("draw") == i).select(key, "__own"), [key, "__own"], "left_anti")
+        picks = picks.unionByName(least(rest, chances(i)))
+    picks = settled(picks, "drawn-words")
+
+    drawn = F.lit(None)
+    for i, s in enumerate(seeds):
+        drawn = F.when(F.col("draw") == i, F.conv(F.substring(S.draw(s, F.lit(0), row), 1, 12), 16, 10).cast("long")).otherwise(drawn)
+    free = F.pmod(drawn, F.col("size") - 1)
     of_word = filled.join(picks.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("filled"))
     start = F.struct(F.col("at").alias("left"), F.lit(None).cast("int").alias("bucket"))
     met = F.aggregate("filled", start, lambda s, b: F.when(s["bucket"].isNotNull(), s).when(s["left"] < b["n"], F.struct(s["left"].alias("left"), b["bucket"].alias("bucket"))).otherwise(F.struct((s["left"] - b["n"]).alias("left"), s["bucket"].alias("bucket"))))
-    asked = picks.join(of_word, "word").select(key, "__own", "word", "filled", F.posexplode(F.array(free, free + 1)).alias("which", "at"))
-    asked = asked.withColumn("m", met).select(key, "__own", "word", "which", F.col("m.bucket").alias("bucket"), F.col("m.left").alias("nth")).where("bucket is not null")
+    asked = picks.join(of_word, "word").select(key, "__own", "draw", "word", "filled", F.posexplode(F.array(free, free + 1)).alias("which", "at"))
+    asked = asked.withColumn("m", met).select(key, "__own", "draw", "word", "which", F.col("m.bucket").alias("bucket"), F.col("m.left").alias("nth")).where("bucket is not null")
     asked = settled(asked, "drawn-places")
     by = Window.partitionBy("word", "bucket").orderBy("__own")
     numbered = pool.join(asked.select("word", "bucket").distinct(), ["word", "bucket"], "left_semi").select("word", "bucket", F.col("__own").alias("__other"), (F.row_number().over(by) - 1).cast("long").alias("nth"))
-    met = asked.join(numbered, ["word", "bucket", "nth"]).groupBy(key, "__own").agg(*[F.max(F.when(F.col("which") == i, F.struct("bucket", "__other"))).alias(f"__{i}") for i in (0, 1)])
+    met = asked.join(numbered, ["word", "bucket", "nth"]).groupBy(key, "__own", "draw").agg(*[F.max(F.when(F.col("which") == i, F.struct("bucket", "__other"))).alias(f"__{i}") for i in (0, 1)])
     before = F.struct(bucket(F.col("__own")).alias("bucket"), F.col("__own").alias("__other")) <= F.col("__0")
-    told = met.select(key, "__own", F.when(before, F.col("__1.__other")).otherwise(F.col("__0.__other")).alias("__other"))
+    told = met.select(key, "__own", "draw", F.when(before, F.col("__1.__other")).otherwise(F.col("__0.__other")).alias("__other"))
 
     if not several.isEmpty():
         many = rows.join(several, key, "left_semi")
         held = many.groupBy(key).agg(F.collect_set("__own").alias("answers"))
         own = many.join(texts, "__own").withColumn("__row", row)
-        by_row = own.join(held, key).select("__row", "answers", S.shuffled(seed + "-word", F.col("__words"), F.col("__row")).alias("kinds"))
-        other = drawn_pool(by_row, pool.select(F.col("word").alias("kind"), F.col("__own").alias("answer")), "__row", seed, 1, 1).select("__row", F.col("wrong")[0].alias("__other"))
-        told = told.unionByName(own.select(key, "__own", "__row").join(other, "__row").drop("__row"))
-    told = told.join(once, "__own").select(key, F.col(text), "__other")
-    return told.join(once.select(F.col("__own").alias("__other"), F.col(text).alias("negative")), "__other").select(key, text, "negative")
+        answers = pool.select(F.col("word").alias("kind"), F.col("__own").alias("answer"))
+        for i, s in enumerate(seeds):
+            by_row = own.join(held, key).select("__row", "answers", S.shuffled(s + "-word", F.col("__words"), F.col("__row")).alias("kinds"))
+            other = drawn_pool(by_row, answers, "__row", s, 1, 1).select("__row", F.col("wrong")[0].alias("__other"))
+            told = told.unionByName(own.select(key, "__own", "__row", F.lit(i).alias("draw")).join(other, "__row").drop("__row"))
+    return told
+
+
+def drawn_by_clip(base: DataFrame, seeds: list[str], key: str, within: str) -> DataFrame:
+    """(key, __own, draw, __other) of captions (key, within, __own): for each of the ``seeds`` a caption of another clip of the same
+    ``within``, the clip drawn by the row from all, then one of its captions.  Clips and captions are numbered, so none is an array."""
+    rows = settled(base.select(key, within, "__own").distinct(), "captions")
+    clips = settled(places(rows.groupBy(key, within).agg(F.count(F.lit(1)).alias("n")), [within], [key]), "clips")
+    own = settled(places(rows, [within, key], ["__own"], "nth", "n"), "clip-captions")
+    row = F.concat_ws(":", F.col(key).cast("string"), "__own")
+    number = lambda s, i: F.conv(F.substring(S.draw(s, F.lit(i), row), 1, 12), 16, 10).cast("long")
+    free = [F.pmod(number(s, 1), F.col("of") - 1) for s in seeds]
+    asked = rows.join(clips.where("of > 1"), [key, within])
+    asked = asked.select(key, within, "__own", F.posexplode(F.array(*[F.struct((f + (f >= F.col("at")).cast("long")).alias("place"), number(s, 2).alias("nth")) for f, s in zip(free, seeds, strict=True)])).alias("draw", "x"))
+    other = clips.select(within, F.col(key).alias("__clip"), F.col("at").alias("place"), "n")
+    asked = asked.select(key, within, "__own", "draw", "x.*").join(other, [within, "place"]).withColumn("nth", F.pmod("nth", F.col("n"))).drop("n")
+    return asked.join(own.select(within, F.col(key).alias("__clip"), "nth", F.col("__own").alias("__other")), [within, "__clip", "nth"]).select(key, "__own", "draw", "__other")
 
 
 def nearest(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3, block: int = 4096, key: str = "vec_id", vector: str = "embedding", text: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assembly as A
+from ..functions import text as T
 from ..operators import convert as C
 from ..session import table
 
@@ -65,6 +66,13 @@ def convert_sounds(spark, sf_dir):
     return told.select("id", asks.alias("ask"), "split", F.coalesce(there, F.when(asks == "is it", F.contains("instructions", "own") == (F.col("label") == 1))).alias("right"), F.when(asks.isin("which", "is it"), F.lit(None)).otherwise(F.col("label")).alias("label"), F.when(F.col("type") == "choice", near).alias("near"))
 
 
+def convert_captions(spark, sf_dir):
+    """Every document's whole text as the caption of its number: questions with digests of what they say."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("caption"), F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"))
+    rows = C.captioned(d, C.IMAGE, "split", "docs")
+    return rows.select("id", "type", F.md5("instructions").alias("instructions"), F.md5(F.array_join("criteria", "|")).alias("criteria"), "label", "split")
+
+
 def _draw(seed: str, key: str, *more: str) -> str:
     return f"md5('{seed}:' || {key}{''.join(f' || {chr(39)}:{chr(39)} || {m}' for m in more)})"
 
@@ -95,8 +103,32 @@ FROM (SELECT *, {_uniform(seed + '-voice-language', 'id')} < 0.5 AS c FROM w) WH
 FROM n UNION ALL FROM v"""
 
 
+def _near_sql(i: int) -> str:
+    """The drawn caption that shares a word, by number among the word's captions without the row's own."""
+    s = f"docs-{i}"
+    return f"""pick{i} AS (SELECT clip, own, word, place, CAST('0x' || substr(md5('{s}:0:' || clip || ':' || own), 1, 12) AS BIGINT) % size AS free FROM wd JOIN pool USING (word, own) WHERE size >= 1
+QUALIFY row_number() OVER (PARTITION BY clip, own ORDER BY md5('{s}-word:' || clip || ':' || own || ':' || word), word) = 1),
+near{i} AS (SELECT p.clip, {i} AS draw, o.own AS other FROM pick{i} p JOIN pool o ON o.word = p.word AND o.place = p.free + CAST(p.place <= p.free AS INT)),
+any{i} AS (SELECT a.clip, {i} AS draw, b.own AS other FROM cap a JOIN cap b ON a.split = b.split AND b.at = CAST('0x' || substr(md5('{s}:1:' || a.clip || ':' || a.own), 1, 12) AS BIGINT) % (a.n - 1)
++ CAST(a.at <= CAST('0x' || substr(md5('{s}:1:' || a.clip || ':' || a.own), 1, 12) AS BIGINT) % (a.n - 1) AS INT) WHERE a.n > 1)"""
+
+
 _KEYS = str(list(A.KEYS))
 ORACLE = {
+    "convert_captions": f"""WITH raw AS (SELECT CAST(doc_id AS VARCHAR) AS clip, text AS caption, CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM documents WHERE text <> ''),
+cap AS (SELECT *, md5(split || ':' || coalesce(nullif(trim(regexp_replace(lower(caption), '[^a-z0-9]+', ' ', 'g')), ''), caption)) AS own, row_number() OVER (PARTITION BY split ORDER BY clip) - 1 AS at, count(*) OVER (PARTITION BY split) AS n FROM raw),
+wd AS (SELECT DISTINCT clip, own, split || ':' || unnest(list_filter(regexp_extract_all(lower(caption), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}))) AS word FROM cap),
+pool AS (SELECT word, own, row_number() OVER (PARTITION BY word ORDER BY CAST('0x' || substr(md5(own), 1, 4) AS INT) % 64, own) - 1 AS place, count(*) OVER (PARTITION BY word) - 1 AS size FROM (SELECT DISTINCT word, own FROM wd)),
+{", ".join(_near_sql(i) for i in range(4))},
+rows AS (SELECT *, clip || ':' || own AS row, {_whole('docs-many', 3, "clip || ':' || own")} + 1 AS many, {_uniform('docs-coin', "clip || ':' || own")} < 0.5 AS shown FROM cap),
+drawn AS (SELECT r.clip, r.own, a.draw, CASE WHEN CAST('0x' || substr(md5('docs-near:' || a.draw || ':' || row), 1, 8) AS BIGINT) % 2 = 0 THEN coalesce(c.other, a.other) ELSE a.other END AS other
+FROM rows r JOIN (FROM any0 UNION ALL FROM any1 UNION ALL FROM any2 UNION ALL FROM any3) a ON a.clip = r.clip LEFT JOIN (FROM near0 UNION ALL FROM near1 UNION ALL FROM near2 UNION ALL FROM near3) c ON c.clip = a.clip AND c.draw = a.draw
+WHERE (a.draw = 0 AND NOT shown) OR (a.draw > 0 AND a.draw <= many)),
+said AS (SELECT d.clip, d.draw, t.caption AS text FROM drawn d JOIN (SELECT own, min(caption) AS caption FROM cap GROUP BY own) t ON t.own = d.other AND d.other <> d.own),
+told AS (SELECT r.*, coalesce(any_value(text) FILTER (draw = 0), any_value(caption)) AS said, list(DISTINCT text) FILTER (draw > 0 AND text <> caption) AS wrong FROM rows r LEFT JOIN said s USING (clip) GROUP BY ALL),
+o AS (SELECT *, {_shuffled('docs-order', 'list_append(coalesce(wrong, []), caption)', 'row')} AS o FROM told)
+SELECT clip AS id, 'noul' AS type, md5({list(C.MATCH_ASKS)}[{_whole('docs-match', len(C.MATCH_ASKS), 'row')} + 1] || ' "' || said || '"') AS instructions, NULL AS criteria, CAST(said = caption AS INT) AS label, split FROM o
+UNION ALL SELECT clip, 'choice', md5({list(C.PICK_ASKS)}[{_whole('docs-pick', len(C.PICK_ASKS), 'row')} + 1]), md5(array_to_string(o, '|')), CAST(list_position(o, caption) - 1 AS INT), split FROM o WHERE len(o) > 1""",
     "convert_emotions": f"""WITH d AS (SELECT (1000 + doc_id % 91) || '_' || doc_id AS id, {[*C.EMOTIONS, 'bored']}[doc_id % 7 + 1] AS e, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS woman, CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 10 AS DOUBLE) END AS angry,
 CAST(doc_id % 7 AS DOUBLE) AS sad, CASE WHEN (1000 + doc_id % 91) % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents),
 {_named_sql('cremad', C.EMOTIONS, 'e', ('How does the speaker sound?', '说话人是什么情绪？'), 'Does the speaker sound {}?', ', angry, sad')}""",
@@ -126,4 +158,4 @@ SELECT id, 'which' AS ask, split, true AS "right", NULL AS label, true AS near F
 UNION ALL SELECT id, 'Is anyone speaking in this clip?', split, NULL, CAST(doc_id % 3 > 0 AS INT), NULL FROM d WHERE split = 'train'
 UNION ALL SELECT id, 'Is there music in this clip?', split, NULL, CAST(doc_id % 4 = 1 AS INT), NULL FROM d WHERE split = 'train' AND doc_id % 4 < 2""",
 }
-QUERIES = {f.__name__: f for f in (convert_emotions, convert_vocals, convert_music, convert_intents, convert_sounds)}
+QUERIES = {f.__name__: f for f in (convert_emotions, convert_vocals, convert_music, convert_intents, convert_sounds, convert_captions)}

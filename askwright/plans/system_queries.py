@@ -83,13 +83,6 @@ def convert_labelled(spark, sf_dir):
     return rows.groupBy("type", "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("right"), F.min(F.when(F.col("type") == "choice", F.size("criteria") >= 2).otherwise(True)).alias("enough"))
 
 
-def convert_captions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), F.regexp_extract("text", r"^[^.\n]*", 0).alias("caption"), F.lit("train").alias("split"))
-    rows = C.cc3m(d).join(d.select("id", "caption"), "id")
-    right = F.when(F.col("type") == "choice", F.get("criteria", F.col("label")) == F.col("caption")).otherwise(F.contains("instructions", "caption") == (F.col("label") == 1))
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("right"))
-
-
 def convert_vqa(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     kind = F.col("p_partkey") % 3
@@ -168,5 +161,5 @@ UNION ALL SELECT n_nationkey, 'bad', NULL, NULL, 'choice needs criteria' FROM na
     "stream_append": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "append_with_resume": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
 }
-_FUNCTIONS = [convert_mmbench, convert_mmstar, convert_mme, convert_options, convert_yes_no, convert_labelled, convert_captions, convert_vqa, snake_rollout, bird_rollout, bricks_rollout, typed_predictions, jsonl_round_trip, stream_append, append_with_resume]
+_FUNCTIONS = [convert_mmbench, convert_mmstar, convert_mme, convert_options, convert_yes_no, convert_labelled, convert_vqa, snake_rollout, bird_rollout, bricks_rollout, typed_predictions, jsonl_round_trip, stream_append, append_with_resume]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

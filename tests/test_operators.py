@@ -211,11 +211,14 @@ def test_caption_negatives_are_of_the_split_and_drawn_by_the_row(spark):
     own, split = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
     of = {r[1]: r[2] for r in rows}
     told = [r for r in convert.captioned(df, "s", "split", "x").collect() if r.type == "choice"]
-    wrong = {r.id: r.criteria[1 - r.label] for r in told}
+    wrong = {r.id: [c for k, c in enumerate(r.criteria) if k != r.label] for r in told}
     plain = lambda t: "".join(c for c in t.lower() if c.isalnum())
     assert set(wrong) == set(own) and all(r.criteria[r.label] == own[r.id] for r in told)
-    assert all(of[w] == split[i] and plain(w) != plain(own[i]) for i, w in wrong.items())
-    assert len({w for i, w in wrong.items() if split[i] == "train"}) > 90
+    assert all(of[w] == split[i] and plain(w) != plain(own[i]) for i, ws in wrong.items() for w in ws)
+    assert len({w for i, ws in wrong.items() if split[i] == "train" for w in ws}) > 90
+    assert {len(ws) for ws in wrong.values()} == {1, 2, 3}
+    match = [r for r in convert.captioned(df, "s", "split", "x").collect() if r.type == "noul"]
+    assert len(match) == len(rows) and 70 < sum(r.label for r in match) < 140 and len({r.instructions.split('"')[0] for r in match}) == 3
     clips = [(f"c{i // 3}", f"the dog barks {'abcdefghi'[i]}", "train") for i in range(9)]
     for r in convert.captioned(spark.createDataFrame(clips, "id string, caption string, split string"), "s", "split", "x").where("type = 'choice'").collect():
         assert {c[0] for c in clips if c[1] in r.criteria} - {r.id}
@@ -227,4 +230,5 @@ def test_near_captions_differ_in_text(spark):
     near = {(r.id, r.other) for r in joins.nearest(df, 3, 9.0, key="id", text="caption").collect()}
     assert near == {(f"c{i}", f"c{j}") for i in range(4) for j in range(4) if i != j and {i, j} != {0, 1}}
     told = convert.cc3m(df.drop("embedding"), df.select("id", "embedding"), max_sim=9.0).where("type = 'choice'").collect()
-    assert len(told) == 4 and all({f"c{j}" for j in range(4) if rows[j][1] == r.criteria[1 - r.label]} <= {o for i, o in near if i == r.id} for r in told)
+    of = {"A red car here": {"c0", "c1"}, "a red  car here!": {"c0", "c1"}, "A blue car here": {"c2"}, "A green car there": {"c3"}}
+    assert len(told) == 4 and all(of[w] & {o for i, o in near if i == r.id} for r in told for k, w in enumerate(r.criteria) if k != r.label)
