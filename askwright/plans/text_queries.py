@@ -168,7 +168,17 @@ _DOC = "doc AS (SELECT doc_id AS id, 'item ' || doc_id AS a, lang AS b, source A
 
 
 _KIND = "array_to_string(regexp_extract_all(lower({0}), '[a-z]+')[1:{1}], ' ')"
+_STRIP = r"trim({0}, e' \t\n\r')"
 ORACLE = {
+    # lookbehind and lookahead as a mark put between what stands on either side
+    "split_captions": rf"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace({_STRIP.format('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), '([a-z])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents),
+c AS (SELECT doc_id, list_transform(list_filter(p, lambda x: len(regexp_extract_all(x, '\S+')) >= 4), lambda x: regexp_replace({_STRIP.format('x')}, '\.+$', '')) AS c FROM p)
+SELECT doc_id, CAST(i - 1 AS INT) AS at, c[i] AS caption FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)""",
+    "pool_collect": f"""WITH {_DOC}, q AS (SELECT CASE k WHEN 0 THEN 'Which ' || c || ' is it?' WHEN 1 THEN 'What melts ' || a || '?' WHEN 2 THEN 'Is ' || a || ' heavy?' WHEN 3 THEN 'What colour is ' || c || '?' WHEN 4 THEN 'Is ' || c || ' asleep?' WHEN 5 THEN 'How many ' || c || ' are there?'
+WHEN 6 THEN 'Which way?' WHEN 7 THEN 'Name it.' WHEN 8 THEN '' ELSE 'When was ' || a || ' built?' END AS question, CASE k WHEN 0 THEN 'B' WHEN 1 THEN 'A' WHEN 2 THEN 'b' WHEN 3 THEN a WHEN 4 THEN 'Yes' WHEN 5 THEN '3' WHEN 6 THEN 'A' WHEN 7 THEN 'three' WHEN 8 THEN 'nothing' ELSE '1,950' END AS answer FROM doc
+UNION ALL SELECT "user", {_CLEAN.format('assistant')} FROM {_USER_TURNS}),
+k AS (SELECT answer, unnest([{_KIND.format('question', 4)}, {_KIND.format('question', 3)}, {_KIND.format('question', 2)}]) AS kind FROM q WHERE len(regexp_extract_all(answer, '\\S+')) BETWEEN 1 AND 5)
+SELECT kind, count(DISTINCT answer) AS n FROM k GROUP BY kind""",
     "parse_lettered": f"""WITH {_DOC} SELECT id, CASE k WHEN 1 THEN 'Hint: ' || c || ' is cold.' WHEN 2 THEN 'Lecture: ' || c || ' falls.' ELSE '' END AS background, CASE k WHEN 0 THEN 'Which ' || c || ' is it?' WHEN 1 THEN 'What melts ' || a || '?' ELSE 'Is ' || a || ' heavy?' END AS question,
 CASE k WHEN 0 THEN a || '|' || b || '|' || c WHEN 1 THEN b || '|rock' ELSE 'no|yes' END AS options, CAST(k <> 1 AS INT) AS index FROM doc WHERE k < 3""",
     "parse_listed": f"""WITH {_DOC} SELECT id, 'What colour is ' || c || '?' AS question, 'Blue|' || a || '|' || b AS options, 1 AS index FROM doc WHERE k = 3""",
