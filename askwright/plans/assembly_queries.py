@@ -95,7 +95,7 @@ def media_second_pass(spark, sf_dir):
 
 
 def teacher_progress(spark, sf_dir):
-    """Labelled and failed rows and the teacher's accuracy, by language."""
+    """Labelled and failed rows and the teacher's accuracy, by half."""
     l = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"), F.when(F.col("doc_id") % 9 > 0, F.array((F.col("doc_id") % 10) / 10.0, (F.lit(9) - F.col("doc_id") % 10) / 10.0)).alias("probs"))
     parts = [A.labelling_progress(l.where(F.col("doc_id") % 2 == k)).withColumn("half", F.lit(k)) for k in (0, 1)]
     return parts[0].unionByName(parts[1])
