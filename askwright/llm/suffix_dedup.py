@@ -8,7 +8,8 @@ suffixes cut at SPAN bytes.  Sorting every suffix of a corpus would shuffle it m
 2. A bucket tells which anchors occur in several documents.  Only windows on those can repeat.
 3. The runs of such windows (up to 74 bytes) go to a bucket by anchor, once for each chunk of documents.  An anchor with very many
    occurrences is cut into single windows that are dealt by their own hash, so it fills no task.
-4. A bucket sorts its suffixes by a mergesort whose comparisons find the common extension of two suffixes by binary search
+4. A bucket leaves out the suffixes whose hash none other has, which nothing can equal, takes one of those that are the same byte by
+   byte, however many, and sorts these by a mergesort whose comparisons find the common extension of two suffixes by binary search
    over prefix polynomial hashes (6 steps for 50 bytes) and then look at one byte.  Neighbours of equal hash are compared byte by
    byte, and a group in which hashes collided is sorted by its bytes, so a collision neither removes nor hides a repeat.  Equal windows
    take the least id among them.
@@ -260,6 +261,16 @@ def _repeated_anchors(chunks: int, hot: int):
     return run
 
 
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` (8 at least) bytes of ``data`` at ``a`` and at ``b`` are the same, by words of eight bytes."""
+    words = np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), strides=(1,))
+    same = np.ones(len(a), bool)
+    for i in range(0, int(length.max(initial=0)), 8):
+        step = np.minimum(i, length - 8)
+        same &= words[a + step] == words[b + step]
+    return same
+
+
 class Chunk:
     """The candidate runs of a chunk of documents, each content once: a pure function of the documents and the anchors told."""
 
@@ -271,18 +282,14 @@ class Chunk:
         order, code, many = order[by], code[by], many[by]
         powers = per_process("powers", Powers)
         self.data: list[np.ndarray] = []
-        self.runs: list[tuple[np.ndarray, ...]] = []  # start, windows and content of each run, by document
-        self.index: dict[tuple[int, bytes], int] = {}
-        self.least: list[int] = []
-        self.hash: list[int] = []
-        self.bucket: list[int] = []
-        shift = np.uint64(64 - bits)
+        held: list[tuple[np.ndarray, ...]] = []  # begin, windows, place of the anchor, anchor, bucket, hash of the content
+        sizes, shift, none = [], np.uint64(64 - bits), np.zeros(0, np.int64)
         for i, text in zip(self.docs["ord"], self.docs["text"], strict=True):
             data = _bytes(text)
             self.data.append(data)
             s, e = np.searchsorted(order, i, "left"), np.searchsorted(order, i, "right")
             if len(data) < SPAN or s == e:
-                self.runs.append(())
+                sizes.append(0)
                 continue
             at, h, ph = anchors(data, powers)
             begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -302,23 +309,42 @@ class Chunk:
                 end = np.where(cut[of], begin + 1, end[of])
                 anchor = anchor[of]
                 where = np.where(cut[of], _mixed(ph.of(begin, SPAN)), anchor) >> shift
-            raw, content = data.tobytes(), np.empty(len(begin), np.int64)
-            for r, (b, f, a, x, w) in enumerate(zip(begin.tolist(), end.tolist(), rel.tolist(), anchor.tolist(), where.tolist(), strict=True)):
-                key = (a, raw[b : f + SPAN - 1])
-                c = self.index.get(key)
-                if c is None:
-                    c = self.index[key] = len(self.least)
-                    self.least.append(i)
-                    self.hash.append(x)
-                    self.bucket.append(w)
-                content[r] = c
-            self.runs.append((begin, end - begin, content))
+            sizes.append(len(begin))
+            held.append((begin, end - begin, rel, anchor, where.astype(np.int64), ph.of(begin, end - begin + SPAN - 1)))
+        begin, windows, rel, anchor, where, whole = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (none, none, none, none.astype(np.uint64), none, none.astype(np.uint64))
+        self.text = np.concatenate([*self.data, np.zeros(0, np.uint8)])
+        lengths = np.array([len(x) for x in self.data], np.int64)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        start = begin + (np.cumsum(lengths) - lengths)[of]
+        first, content = self._contents(start, windows, rel, whole)
+        #: Of each content: least id, anchor, bucket, place of the anchor, windows, where it starts in ``text``.
+        self.least, self.hash, self.bucket = self.docs["ord"].to_numpy()[of][first], anchor[first], where[first]
+        self.rel, self.windows, self.start = rel[first], windows[first], start[first]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.runs = [(begin[e - n : e], windows[e - n : e], content[e - n : e]) if n else () for n, e in zip(sizes, ends, strict=True)]
+
+    def _contents(self, start: np.ndarray, windows: np.ndarray, rel: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first run of each content, content of each run): runs of one hash are compared with the first of them, byte by byte."""
+        key = whole ^ _mixed((rel * 256 + windows).astype(np.uint64))
+        _, first, content = np.unique(key, return_index=True, return_inverse=True)
+        again = np.flatnonzero(first[content] != np.arange(len(content)))
+        to = first[content[again]]
+        same = (rel[again] == rel[to]) & (windows[again] == windows[to])
+        length = np.minimum(windows[again], windows[to]) + SPAN - 1
+        same &= _same(self.text, start[again], start[to], length)
+        more: dict[tuple[int, bytes], int] = {}
+        for r in again[~same].tolist():  # of equal hash
+            k = (int(rel[r]), self.text[start[r] : start[r] + windows[r] + SPAN - 1].tobytes())
+            if k not in more:
+                more[k] = len(first)
+                first = np.append(first, r)
+            content[r] = more[k]
+        return first, content
 
     def sent(self) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, contents in the order in which they are sent)."""
-        bucket = np.array(self.bucket, np.int64)
-        order = np.argsort(bucket, kind="stable")
-        for b, s, e in _slices(bucket[order]):
+        order = np.argsort(self.bucket, kind="stable")
+        for b, s, e in _slices(self.bucket[order]):
             yield b, order[s:e]
 
 
@@ -335,15 +361,35 @@ def _send_runs(bits: int):
         rows = []
         if len(docs) and (told["kind"] == 0).any():
             chunk = Chunk(_own(docs, told), list(told["blob"][told["kind"] == 0]), bits)
-            contents = list(chunk.index)
             for b, which in chunk.sent():
-                keys = [contents[c] for c in which]
-                rows.append((b, int(key[0]), _squeeze(np.array([chunk.hash[c] for c in which], "<u8"), np.array([chunk.least[c] for c in which], "<i8"), np.array([k[0] for k in keys], "u1"), np.array([len(k[1]) for k in keys], "u1"), np.frombuffer(b"".join(k[1] for k in keys), np.uint8))))
+                length = chunk.windows[which] + SPAN - 1
+                at = np.repeat(chunk.start[which] - np.cumsum(length) + length, length) + np.arange(length.sum())
+                rows.append((b, int(key[0]), _squeeze(chunk.hash[which].astype("<u8"), chunk.least[which].astype("<i8"), chunk.rel[which].astype("u1"), length.astype("u1"), chunk.text[at])))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "blob"])
 
     return run
 
 
+def _one_of_each(data: np.ndarray, start: np.ndarray, kin: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of windows whose key another has, places of one of each, which of these each is like).
+
+    Windows of one key are compared with the first of them; those that differ from it stand for themselves.
+    """
+    by = np.argsort(keys, kind="stable")
+    new = np.concatenate([[True], keys[by[1:]] != keys[by[:-1]]]) if len(by) else np.zeros(0, bool)
+    several = ~(new & np.concatenate([new[1:], [True]])) if len(by) else new
+    at, new = by[several], new[several]
+    one = at[new]
+    like = np.cumsum(new) - 1
+    to = one[like]
+    apart = np.zeros(len(at), bool)
+    for i in range(0, len(at), 1 << 17):
+        j = slice(i, i + (1 << 17))
+        apart[j] = (kin[at[j]] != kin[to[j]]) | ~_same(data, start[at[j]], start[to[j]], np.full(len(at[j]), SPAN))
+    like[apart] = len(one) + np.arange(np.count_nonzero(apart))
+    return at, np.concatenate([one, at[apart]]), like
+
+
 def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("chunk", kind="stable")
     parts = [_expand(b, "<u8", "<i8", "u1", "u1", "u1") for b in group["blob"]]
@@ -355,12 +401,18 @@ def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
     k = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     start = offset[of] + k
     place = rel[of].astype(np.int64) - k  # of the anchor in the window
-    names, which = np.unique(anchor, return_inverse=True)
-    order, new = suffix_classes(data, start, which[of] * SPAN + place, per_process("powers", Powers))
-    first = np.flatnonzero(new)
-    owner = np.empty(len(order), np.int64)
-    owner[order] = np.repeat(np.minimum.reduceat(least[of][order], first), np.diff(np.append(first, len(order))))
-    outside = owner < least[of]
+    _, which = np.unique(anchor, return_inverse=True)
+    powers = per_process("powers", Powers)
+    kin = which[of] * SPAN + place
+    at, one, like = _one_of_each(data, start, kin, PrefixHashes(data, powers).of(start, SPAN) ^ _mixed(kin.astype(np.uint64)))
+    order, new = suffix_classes(data, start[one], kin[one], powers)
+    number = np.empty(len(one), np.int64)
+    number[order] = np.cumsum(new) - 1
+    least = least[of]
+    owner, lowest = least.copy(), np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, number[like], least[at])
+    owner[at] = lowest[number[like]]
+    outside = owner < least
     ends = np.cumsum([int((p[3].astype(np.int64) - SPAN + 1).sum()) for p in parts])
     rows = [(int(c), 1, int(group["bucket"].iloc[0]), zstandard.ZstdCompressor(level=1).compress(np.packbits(outside[s:e]).tobytes())) for c, s, e in zip(group["chunk"], [0, *ends[:-1]], ends, strict=True)]
     return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "blob"])
@@ -370,7 +422,7 @@ def _cut(bits: int):
     def run(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(_own(docs, told), list(told["blob"][told["kind"] == 0]), bits)
         answers = {b: np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x)), np.uint8)) for b, x in zip(told["bucket"][told["kind"] == 1], told["blob"][told["kind"] == 1], strict=True)}
-        size = np.array([len(k[1]) - SPAN + 1 for k in chunk.index], np.int64)
+        size = chunk.windows
         first = np.zeros(len(size), np.int64)  # of each content's bits in the row below
         row, base = [np.zeros(0, np.uint8)], 0
         for b, which in chunk.sent():
@@ -378,7 +430,7 @@ def _cut(bits: int):
             first[which] = base + np.cumsum(n) - n
             row.append(answers[b][: int(n.sum())])
             base += int(n.sum())
-        outside, least = np.concatenate(row).astype(bool), np.array(chunk.least, np.int64)
+        outside, least = np.concatenate(row).astype(bool), chunk.least
         out = []
         for i, order, data, runs in zip(chunk.docs["doc_id"], chunk.docs["ord"], chunk.data, chunk.runs, strict=True):
             kept, spans = data, 0
@@ -387,12 +439,13 @@ def _cut(bits: int):
                 k = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
                 c = np.repeat(content, windows)
                 at = (np.repeat(begin, windows) + k)[outside[first[c] + k] | (least[c] < order)]
-                edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + SPAN, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + bool(gone[0]))
-                kept = data[~gone]
+                if len(at):
+                    begun = np.zeros(len(data) + SPAN, np.int32)
+                    begun[at + SPAN] = 1
+                    np.cumsum(begun, out=begun)
+                    gone = begun[SPAN:] > begun[:-SPAN]  # of each byte: whether one of the SPAN windows over it goes
+                    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + bool(gone[0]))
+                    kept = data[~gone]
             out.append((i, len(data), len(data) - len(kept), spans, sha256(kept.tobytes()).hexdigest()))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
