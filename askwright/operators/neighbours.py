@@ -3,7 +3,10 @@
 The index is fitted on at most ``sample`` vectors, drawn by a hash of their values, and holds every vector.  How many cells a vector looks at
 follows from a target for the recall, measured on the sample against all of it (where neighbours are farther away than among all vectors, so
 the number errs upwards).  Vectors with clusters need few cells; vectors in all directions alike need a share of the cells that no index can
-make small.  With no more vectors than one cell holds the search is exact; ``joins.nearest`` is exact at any size.
+make small.  With no more vectors than one cell holds the search is exact.
+
+A recall of 1 takes no index: all vectors are one cell, whose blocks are larger, so that what is shuffled (each vector once for every block of
+the other side) stays small beside the products.  It is exact at any size, in bounded memory, and its products grow with asking times asked vectors.
 
 Equal vectors are searched once, and are found once: of their ids only the least ``wide * k`` can be among anybody's most similar, ties being
 settled by the id.  Cells are dealt out in blocks of asking and of asked vectors, so a crowded cell is many tasks, none larger than two blocks.
@@ -25,6 +28,8 @@ from ..session import settled
 
 #: Draws of the sample, and centroids of the index, whatever the input: 65,536 vectors of 64 numbers are 32 MB.
 SAMPLE, MOST_CELLS, CELL, BLOCK = 65_536, 4_096, 2_048, 4_096
+#: Side of a block of the exact search, in blocks of the index.
+WHOLE = 4
 
 
 def centroids(vectors: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
@@ -94,7 +99,7 @@ def _key(vector: Column) -> list[Column]:
 
 def similar(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3, asks: DataFrame | None = None, recall: float = 0.95, cell: int = CELL, most_cells: int = MOST_CELLS, sample: int = SAMPLE, key: str = "vec_id", vector: str = "embedding", text: str | None = None) -> DataFrame:
     """(key, rank, other, sim): the k most similar others below ``max_sim`` among the ``wide`` * k most similar, for each row of ``asks``
-    (all of ``vectors``, where not given), by the index described above.
+    (all of ``vectors``, where not given), by the index described above; exact with a ``recall`` of 1.
 
     With ``text``, a column of both, others of the same normalised text are no neighbours.  Similarities are inner products, rounded to six
     places.  Rows without a vector or key have no neighbours and are none; repeated rows of one key are one; an empty table gives no rows.
@@ -112,7 +117,8 @@ def similar(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
     once = base.where("n = 1").select("h1", "h2", "v") if asks is None else asking.select(*_key(F.col("v")), "v").dropDuplicates(["h1", "h2"])
 
     total = base.count()
-    cells = int(min(most_cells, max(1, -(-total // cell))))
+    cells = 1 if recall >= 1 else int(min(most_cells, max(1, -(-total // cell))))
+    block = BLOCK if cells > 1 else WHOLE * BLOCK
     if cells == 1:
         found, probes = None, 1
     else:
@@ -134,7 +140,7 @@ def similar(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
 
     base = base.withColumn("cell", nearest_cells(1)[0])
     once = once.withColumn("cell", F.explode(nearest_cells(probes)))
-    sizes = {side: {r[0]: -(-r[1] // BLOCK) for r in df.groupBy("cell").count().collect()} for side, df in (("asked", base), ("asks", once))}  # a row a cell
+    sizes = {side: {r[0]: -(-r[1] // block) for r in df.groupBy("cell").count().collect()} for side, df in (("asked", base), ("asks", once))}  # a row a cell
     blocks = lambda side: F.element_at(F.create_map(*[F.lit(int(x)) for kv in sizes[side].items() for x in kv]), F.col("cell")) if sizes[side] else F.lit(1)
     part = lambda side, *by: F.pmod(F.xxhash64(*by), F.coalesce(blocks(side), F.lit(1))).cast("int")
     every = lambda side: F.explode(F.sequence(F.lit(0), F.coalesce(blocks(side), F.lit(1)) - 1))

@@ -86,3 +86,24 @@ def test_other_texts_only(spark):
     got = {(r.id, r.other) for r in N.similar(df, k=1, max_sim=2.0, key="id", text="caption").collect()}
     assert ("a", "c") in got and ("b", "c") in got and ("c", "b") in got or ("c", "a") in got
     assert all(a != b for a, b in got)
+
+
+@pytest.mark.parametrize("query", ["knn_hard_negatives"])
+def test_queries_equal_their_sql_beyond_a_cell(spark, duck, tmp_path, monkeypatch, query):
+    """Many more vectors than a cell holds, in all directions alike: an index misses some."""
+    from askwright.plans import registry
+
+    plain = N.similar
+    monkeypatch.setattr(N, "similar", lambda *a, **kw: plain(*a, cell=50, **kw))
+    rows = list(enumerate(unit(np.random.default_rng(11), 1500, 64)))
+    df = frame(spark, rows).selectExpr("vec_id", "cast(embedding as array<float>) AS embedding").repartition(3)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = told(registry.queries()[query](spark, str(tmp_path)))
+    sql = duck.sql(f"WITH embeddings AS (FROM '{tmp_path}/embeddings.parquet/*.parquet') SELECT vec_id, rank, other, sim FROM ({registry.oracle_sql()[query]})")
+    assert got == sorted((a, b, c, round(d, 6)) for a, b, c, d in sql.fetchall())
+
+
+def test_exact_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rows = list(enumerate(unit(np.random.default_rng(12), 150)))
+    assert told(N.similar(frame(spark, rows), k=3, max_sim=0.9, recall=1.0, cell=20)) == brute(rows, 3, 0.9, 3)
