@@ -187,9 +187,11 @@ def inverted(m: Column) -> Column:
 
 def difference_hash(grey: Column, size: int = 16) -> Column:
     """Hex of a perceptual hash: for each of ``size`` rows of ``size`` + 1 grey values (row by row), whether each is brighter than the one before."""
-    bit = lambda k: F.when(F.get(grey, F.floor(k / size).cast("int") + k + 1) > F.get(grey, F.floor(k / size).cast("int") + k), 1).otherwise(0)
-    digit = lambda d: F.lower(F.hex(8 * bit(4 * d) + 4 * bit(4 * d + 1) + 2 * bit(4 * d + 2) + bit(4 * d + 3)))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size * size // 4 - 1)), digit), "")
+    at = lambda k: F.floor(k / size).cast("int") + k
+    bit = lambda g, k: F.when(F.get(g, at(k) + 1) > F.get(g, at(k)), 1).otherwise(0)
+    digit = lambda g, d: F.lower(F.hex(8 * bit(g, 4 * d) + 4 * bit(g, 4 * d + 1) + 2 * bit(g, 4 * d + 2) + bit(g, 4 * d + 3)))
+    told = lambda g: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size * size // 4 - 1)), lambda d: digit(g, d)), "")
+    return F.get(F.transform(F.array(grey), told), F.lit(0))  # a variable: the values are worked out once, not for every bit
 
 
 def music_facts(bpm: Column, root: Column, mode: Column, prob: Column, metre: Column, key: Column, seed: str = "music") -> Column:
