@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,48 +111,74 @@ def word_negatives(captions: DataFrame, seed: str, key: str = "clip", text: str
     return told.join(once.select(F.col("__own").alias("__other"), F.col(text).alias("negative")), "__other").select(key, text, "negative")
 
 
-def drawn_by_word(base: DataFrame, seeds: list[str], key: str, text: str, first: int = 4, within: str | None = None) -> DataFrame:
+def _nth_of_words(asks: pa.Table, texts: pa.Table) -> pa.Table:
+    """The ``nth`` text, by digest, of those that have the asked word; the texts of a bucket and what is asked of them."""
+    texts = texts.sort_by("__own").combine_chunks()
+    if len(asks) and len(texts):
+        words = pc.split_pattern(texts["__packed"].combine_chunks(), " ")
+        names, owner, words = asks["word"].unique(), pc.list_parent_indices(words), words.flatten()
+        if "__in" in texts.column_names:
+            words = pc.binary_join_element_wise(texts["__in"].combine_chunks().take(owner), words, ":")
+        code = pc.index_in(words, value_set=names)
+        has = pc.is_valid(code).to_numpy(zero_copy_only=False)
+        code, owner = code.drop_null().to_numpy(), owner.to_numpy()[has]
+        owner = owner[np.argsort(code, kind="stable")]
+        size = np.bincount(code, minlength=len(names))
+        place = (np.cumsum(size) - size)[pc.index_in(asks["word"], value_set=names).to_numpy()] + asks["nth"].to_numpy()
+        other = texts["__own"].take(pa.array(owner[place]))
+    else:
+        asks, other = asks.slice(0, 0), pa.chunked_array([], pa.string())
+    return pa.table({"word": asks["word"], "bucket": asks["bucket"], "nth": asks["nth"], "__other": other})
+
+
+def drawn_by_word(base: DataFrame, seeds: list[str], key: str, text: str, first: int = 4, within: str | None = None, most: int = 4096) -> DataFrame:
     """(key, __own, draw, __other) of captions (key, text, __own): for each of the ``seeds`` a caption of another clip that shares a content
     word, by their digests.  With ``within`` words of different values of that column are different; the digest has to tell them apart too.
 
     Words are kept once for each text.  A row first tries the ``first`` words that it draws, and only rows none of whose words another text
-    has try all.  The drawn place of a word's captions (numbered in 64 buckets by md5) and the one after it are looked up: of the two the caption
-    is the one that does not count the row's own.  Clips with several captions go through ``drawn_pool``.
+    has try all.  The drawn place of a word's captions (numbered in 64 buckets by md5, each cut by
+    leading digits of the digest so that about ``most`` texts are one part) and the one after it are looked up: of the two the caption is the one
+    that does not count the row's own.  Texts are dealt by part, so a word is counted there before anything is shuffled, and what is asked goes
+    to the texts' words, which are not shuffled one by one.  Clips with several captions go through ``drawn_pool``.
     """
-    words = T.content_words(F.col(text))
-    words = words if within is None else F.transform(words, lambda w: F.concat(F.col(within), F.lit(":"), w))
-    once = base.dropDuplicates(["__own"])
-    texts = settled(once.select("__own", words.alias("__words")), "caption-words")  # after the shuffle, which deals out large files
+    unpacked = F.when(F.col("__packed") == "", F.array().cast("array<string>")).otherwise(F.split("__packed", " "))
+    unpacked = unpacked if within is None else F.transform(unpacked, lambda w: F.concat("__in", F.lit(":"), w))
     rows = settled(base.select(key, "__own").distinct(), "captions")
-    bucket = lambda own: F.conv(F.substring(F.md5(own), 1, 4), 16, 10).cast("int") % 64
-    pool = texts.select("__own", bucket(F.col("__own")).alias("bucket"), F.explode("__words").alias("word"))
+    deep, parts = 0, rows.count() // most
+    while 64 * 16**deep < parts:
+        deep += 1
+    bucket = lambda own: (F.conv(F.substring(F.md5(own), 1, 4), 16, 10).cast("int") % 64).cast("long") * 16**deep + (F.conv(F.substring(own, 1, deep), 16, 10).cast("long") if deep else 0)
+    once = base.withColumn("bucket", bucket(F.col("__own"))).repartition("bucket").dropDuplicates(["bucket", "__own"])
+    packed = F.array_join(T.content_words(F.col(text)), " ").alias("__packed")  # a third of the array, where it is shuffled
+    texts = settled(once.select("__own", "bucket", packed, *([] if within is None else [F.col(within).cast("string").alias("__in")])), "caption-words")  # after the shuffle, which deals out large files
+    pool = texts.select("__own", "bucket", F.explode(unpacked).alias("word"))
     filled = settled(pool.groupBy("word", "bucket").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     sizes = filled.groupBy("word").agg(F.sum("n").alias("size")).where("size > 1")
     several = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "clips")
 
     row = F.concat_ws(":", F.col(key).cast("string"), "__own")
-    single = rows.join(several, key, "left_anti").join(texts, "__own")
-    chances = lambda i: F.transform("__words", lambda w: F.struct(F.md5(F.concat_ws(":", F.lit(seeds[i] + "-word"), row, w)).alias("d"), w.alias("word"), F.lit(i).alias("draw")))
+    single = rows.join(several, key, "left_anti").join(texts, "__own").withColumn("__words", unpacked)
+    seed = F.element_at(F.array(*[F.lit(s + "-word") for s in seeds]), F.col("draw") + 1)
+    chances = lambda seed, draw: F.transform("__words", lambda w: F.struct(F.md5(F.concat_ws(":", seed, row, w)).alias("d"), w.alias("word"), draw.alias("draw")))
     least = lambda rows, words: rows.select(key, "__own", F.explode(words).alias("x")).select(key, "__own", "x.*").join(sizes, "word").groupBy(key, "__own", "draw").agg(F.min(F.struct("d", "word", "size")).alias("x")).select(key, "__own", "draw", "x.word", "x.size")
-    some = settled(least(single, F.flatten(F.array(*[F.slice(F.sort_array(chances(i)), 1, first) for i in range(len(seeds))]))), "drawn-words")
-    picks = some
-    for i in range(len(seeds)):
-        rest = single.join(some.where(F.col("draw") == i).select(key, "__own"), [key, "__own"], "left_anti")
-        picks = picks.unionByName(least(rest, chances(i)))
-    picks = settled(picks, "drawn-words")
+    some = settled(least(single, F.flatten(F.array(*[F.slice(F.sort_array(chances(F.lit(s + "-word"), F.lit(i))), 1, first) for i, s in enumerate(seeds)]))), "drawn-words")
+    draws = F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias("draw")
+    rest = rows.join(several, key, "left_anti").select(key, "__own", draws).join(some.select(key, "__own", "draw"), [key, "__own", "draw"], "left_anti")
+    rest = settled(rest, "undrawn").join(texts, "__own").withColumn("__words", unpacked).withColumn("__chances", chances(seed, F.col("draw")))
+    picks = settled(some.unionByName(least(rest, F.col("__chances"))), "drawn-words")
 
     drawn = F.lit(None)
     for i, s in enumerate(seeds):
         drawn = F.when(F.col("draw") == i, F.conv(F.substring(S.draw(s, F.lit(0), row), 1, 12), 16, 10).cast("long")).otherwise(drawn)
     free = F.pmod(drawn, F.col("size") - 1)
     of_word = filled.join(picks.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("filled"))
-    start = F.struct(F.col("at").alias("left"), F.lit(None).cast("int").alias("bucket"))
+    start = F.struct(F.col("at").alias("left"), F.lit(None).cast("long").alias("bucket"))
     met = F.aggregate("filled", start, lambda s, b: F.when(s["bucket"].isNotNull(), s).when(s["left"] < b["n"], F.struct(s["left"].alias("left"), b["bucket"].alias("bucket"))).otherwise(F.struct((s["left"] - b["n"]).alias("left"), s["bucket"].alias("bucket"))))
     asked = picks.join(of_word, "word").select(key, "__own", "draw", "word", "filled", F.posexplode(F.array(free, free + 1)).alias("which", "at"))
     asked = asked.withColumn("m", met).select(key, "__own", "draw", "word", "which", F.col("m.bucket").alias("bucket"), F.col("m.left").alias("nth")).where("bucket is not null")
     asked = settled(asked, "drawn-places")
-    by = Window.partitionBy("word", "bucket").orderBy("__own")
-    numbered = pool.join(asked.select("word", "bucket").distinct(), ["word", "bucket"], "left_semi").select("word", "bucket", F.col("__own").alias("__other"), (F.row_number().over(by) - 1).cast("long").alias("nth"))
+    wanted = asked.select("word", "bucket", "nth").distinct().groupBy("bucket")
+    numbered = wanted.cogroup(texts.groupBy("bucket")).applyInArrow(_nth_of_words, "word string, bucket long, nth long, __other string")
     met = asked.join(numbered, ["word", "bucket", "nth"]).groupBy(key, "__own", "draw").agg(*[F.max(F.when(F.col("which") == i, F.struct("bucket", "__other"))).alias(f"__{i}") for i in (0, 1)])
     before = F.struct(bucket(F.col("__own")).alias("bucket"), F.col("__own").alias("__other")) <= F.col("__0")
     told = met.select(key, "__own", "draw", F.when(before, F.col("__1.__other")).otherwise(F.col("__0.__other")).alias("__other"))
@@ -157,7 +186,7 @@ def drawn_by_word(base: DataFrame, seeds: list[str], key: str, text: str, first:
     if not several.isEmpty():
         many = rows.join(several, key, "left_semi")
         held = many.groupBy(key).agg(F.collect_set("__own").alias("answers"))
-        own = many.join(texts, "__own").withColumn("__row", row)
+        own = many.join(texts, "__own").withColumn("__words", unpacked).withColumn("__row", row)
         answers = pool.select(F.col("word").alias("kind"), F.col("__own").alias("answer"))
         for i, s in enumerate(seeds):
             by_row = own.join(held, key).select("__row", "answers", S.shuffled(s + "-word", F.col("__words"), F.col("__row")).alias("kinds"))
@@ -188,7 +217,6 @@ def nearest(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3,
     With ``text``, others of the same normalised text are no neighbours.  Vectors are dealt to hashed blocks; each pair of blocks is one matrix product whose rows keep their best, so what is shuffled
     grows with the number of blocks and not with the number of pairs.  Exact; similarities are rounded to six places.
     """
-    import numpy as np
     import pandas as pd
 
     n, kind = vectors.count(), "string" if vectors.schema[key].dataType.simpleString() == "string" else "long"

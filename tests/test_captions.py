@@ -51,3 +51,13 @@ def test_word_negatives(spark, several):
 def test_no_captions(spark):
     df = spark.createDataFrame([], "clip int, caption string")
     assert J.word_negatives(df, "s").count() == 0
+
+
+def test_words_are_looked_up_in_parts_of_few_texts(spark, monkeypatch):
+    """Parts of one text or two: the place of a word's caption goes on over parts."""
+    plain = J.drawn_by_word
+    monkeypatch.setattr(J, "drawn_by_word", lambda *a, **kw: plain(*a, most=1, **kw))
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["water", "rain", "birds", "engine", "the"], k=3)) + f" {i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "clip int, caption string").repartition(3)
+    assert sorted(map(tuple, J.word_negatives(df, "s").collect())) == by_hand(rows, "s")
