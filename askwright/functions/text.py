@@ -122,8 +122,8 @@ def question_kinds(c: Column) -> Column:
 
 def content_words(c: Column) -> Column:
     """Distinct words of more than three letters that are no stop words, in order."""
-    w = F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-    return F.sort_array(F.array_distinct(F.filter(w, lambda x: (F.length(x) > 3) & ~x.isin(STOP_WORDS))))
+    w = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
+    return F.sort_array(F.filter(w, lambda x: ~x.isin(STOP_WORDS)))
 
 
 def captions(c: Column) -> Column:

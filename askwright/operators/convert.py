@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from ..functions import sampling as S
 from ..functions import text as T
+from ..session import settled
 from . import questions as Q
 from . import assembly as A
-from .joins import drawn_by_clip, drawn_by_word, held_out_bases
+from .joins import dealt_words, drawn_by_clip, drawn_by_word, held_out_bases
 from .labels import wrong_labels
 from .neighbours import similar
 
@@ -72,6 +76,40 @@ MATCH_ASKS = ("Does this description fit?", "Is this an accurate description?",
 PICK_ASKS = ("Which description fits best?", "Which of these is described?", "What is going on here?")
 
 
+def _told_small(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with that column of whole texts compressed, for shuffles: 43 bytes of 100, where blocks of a shuffle have 64."""
+
+    def run(batches):
+        import zstandard
+
+        small = zstandard.ZstdCompressor().compress
+        for batch in batches:
+            told = pa.array([None if x is None else small(x.as_buffer()) for x in batch[text]], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index(text), text, told)
+
+    return rows.mapInArrow(run, StructType([StructField(f.name, BinaryType()) if f.name == text else f for f in rows.schema]))
+
+
+def _told_whole(rows: DataFrame, lists: str, text: str) -> DataFrame:
+    """``rows`` with the compressed texts in a list of (draw, text) whole again, some rows at a time."""
+
+    def run(batches):
+        import zstandard
+
+        whole = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
+                flat = part[lists].flatten()
+                told = pa.StructArray.from_arrays([flat.field("draw"), pa.array([whole(x.as_buffer()) for x in flat.field(text)], pa.binary()).cast(pa.string())], ["draw", text])
+                ends = pc.cumulative_sum(pc.list_value_length(part[lists]))
+                told = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], ends.type), ends]), told)
+                yield part.set_column(part.schema.get_field_index(lists), lists, told)
+
+    kind = ArrayType(StructType([StructField("draw", IntegerType()), StructField(text, StringType())]))
+    return rows.mapInArrow(run, StructType([StructField(f.name, kind) if f.name == lists else f for f in rows.schema]))
+
+
 def captioned(df: DataFrame, state: str, split: str, seed: str, clip: str = "id", caption: str = "caption", near: DataFrame | None = None) -> DataFrame:
     """Does this fit, and which fits: a negative or the caption by a coin, and one to three negatives beside the caption.
 
@@ -84,30 +122,36 @@ def captioned(df: DataFrame, state: str, split: str, seed: str, clip: str = "id"
     norm = F.coalesce(F.nullif(T.normalise(F.col("caption")), F.lit("")), F.col("caption"))
     base = base.withColumn("__own", F.md5(F.concat_ws(":", F.col("split"), norm)))
     seeds = [f"{seed}-{i}" for i in range(4)]
+    by = ["clip", "split", "__own"]
     row = F.concat_ws(":", F.col("clip").cast("string"), "__own")
-    rows = base.select("clip", "split", "__own").distinct().withColumns({"row": row, "many": S.whole(seed + "-many", 3, row) + 1, "shown": S.uniform(seed + "-coin", row) < 0.5})
-    # the draws that a row needs: the first for the match, unless the caption itself is shown, and those of its options
-    needed = F.filter(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(i == 0, ~F.col("shown")).otherwise(i <= F.col("many")))
-    needed = rows.select("clip", "split", "__own", "row", F.explode(needed).alias("draw"))
-    close = drawn_by_word(base, seeds, "clip", "caption", within="split").select("clip", "__own", "draw", F.col("__other").alias("__close"))
-    other = drawn_by_clip(base, seeds, "clip", "split")
-    drawn = needed.join(other, ["clip", "__own", "draw"]).join(close, ["clip", "__own", "draw"], "left")
-    head = F.pmod(F.conv(F.substring(S.draw(seed + "-near", F.col("draw"), F.col("row")), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0
+    shown, many = S.uniform(seed + "-coin", row) < 0.5, S.whole(seed + "-many", 3, row) + 1
+    # the draws that a row needs: the first for the match, unless the caption itself is shown, and those of its options; and which of them are near
+    needed = F.filter(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(i == 0, ~shown).otherwise(i <= many))
+    is_near = lambda i: F.pmod(F.conv(F.substring(S.draw(seed + "-near", i, row), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0
+    captions = dealt_words(base, seeds, "clip", "caption", within="split", draws=F.filter(needed, is_near))
+    rows = captions.select("clip", F.col("__in").alias("split"), "__own")
+    asks = rows.select(*by, F.explode(needed).alias("draw"))
+    close = settled(drawn_by_word(base, seeds, "clip", "caption", within="split", captions=captions).select("clip", "__own", "draw", "__other"), "near-captions")
+    close = asks.where(is_near(F.col("draw"))).join(close, ["clip", "__own", "draw"], "left")
+    far = drawn_by_clip(rows, asks.where(~is_near(F.col("draw"))).unionByName(close.where("__other is null").drop("__other")), seeds, "clip", "split")
+    drawn = close.where("__other is not null").unionByName(far).where("__other <> __own")  # another clip may have the same caption
     texts = base.groupBy(F.col("__own").alias("__other")).agg(F.min("caption").alias("text"))
-    told = drawn.select("clip", "split", "__own", "draw", head.alias("head"), F.when(head, F.coalesce("__close", "__other")).otherwise(F.col("__other")).alias("__other"))
-    told = told.where("__other <> __own").join(texts, "__other")  # another clip may have the same caption
+    told = drawn.join(_told_small(texts, "text"), "__other").drop("__other")
     if near is not None:
-        hard = near.select("clip", F.col("negative").alias("__hard")).dropDuplicates(["clip"])
-        told = told.join(hard, "clip", "left").withColumn("text", F.when(F.col("head"), F.coalesce("__hard", "text")).otherwise(F.col("text"))).drop("__hard")
-    told = told.groupBy("clip", "split", "__own").agg(F.array_sort(F.collect_list(F.struct("draw", "text"))).alias("drawn"))
-    own = base.groupBy("clip", "split", "__own").agg(F.min("caption").alias("caption"))
-    rows = rows.join(told, ["clip", "split", "__own"], "left").join(own, ["clip", "split", "__own"])
-    of = lambda keep: F.transform(F.filter(F.coalesce("drawn", F.array().cast("array<struct<draw:int,text:string>>")), keep), lambda x: x["text"])
+        hard = _told_small(near.select("clip", F.col("negative").alias("__hard")).dropDuplicates(["clip"]), "__hard")
+        told = told.join(hard, "clip", "left").withColumn("text", F.when(is_near(F.col("draw")), F.coalesce("__hard", "text")).otherwise(F.col("text"))).drop("__hard")
+    own = _told_small(base.select(*by, F.lit(-1).alias("draw"), F.col("caption").alias("text")), "text")
+    told = told.unionByName(own).repartition(*by).groupBy(*by).agg(F.array_sort(F.collect_set(F.struct("draw", "text"))).alias("drawn"))
+    rows = _told_whole(told, "drawn", "text").withColumn("row", row)
+    of = lambda keep: F.transform(F.filter("drawn", keep), lambda x: x["text"])
+    rows = rows.withColumn("caption", F.array_min(of(lambda x: x["draw"] < 0)))
     rows = rows.withColumn("said", F.coalesce(F.get(of(lambda x: x["draw"] == 0), 0), F.col("caption")))
     rows = rows.withColumn("options", S.shuffled(seed + "-order", F.concat(F.array_distinct(F.array_remove(of(lambda x: x["draw"] > 0), F.col("caption"))), F.array("caption")), F.col("row")))
     ask = lambda asks, name: F.get(F.array(*map(F.lit, asks)), S.whole(seed + name, len(asks), F.col("row")))
-    match = rows.select(*_row(F.col("clip"), state, "noul", F.concat(ask(MATCH_ASKS, "-match"), F.lit(' "'), F.col("said"), F.lit('"')), None, F.col("said") == F.col("caption"), F.col("split")))
-    return match.unionByName(rows.where(F.size("options") > 1).select(*_row(F.col("clip"), state, "choice", ask(PICK_ASKS, "-pick"), F.col("options"), F.array_position("options", F.col("caption")) - 1, F.col("split"))))
+    match = _row(F.col("clip"), state, "noul", F.concat(ask(MATCH_ASKS, "-match"), F.lit(' "'), F.col("said"), F.lit('"')), None, F.col("said") == F.col("caption"), F.col("split"))
+    pick = _row(F.col("clip"), state, "choice", ask(PICK_ASKS, "-pick"), F.col("options"), F.array_position("options", F.col("caption")) - 1, F.col("split"))
+    both = F.array(F.struct(*match), F.when(F.size("options") > 1, F.struct(*pick)))
+    return rows.select(F.inline(F.filter(both, lambda x: x.isNotNull())))
 
 
 def pooled(df: DataFrame, state: str, split: Column, seed: str, id_: str = "id", kind: str | None = None) -> DataFrame:

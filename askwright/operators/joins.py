@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling as S
@@ -111,104 +111,159 @@ def word_negatives(captions: DataFrame, seed: str, key: str = "clip", text: str
     return told.join(once.select(F.col("__own").alias("__other"), F.col(text).alias("negative")), "__other").select(key, text, "negative")
 
 
-def _nth_of_words(asks: pa.Table, texts: pa.Table) -> pa.Table:
-    """The ``nth`` text, by digest, of those that have the asked word; the texts of a bucket and what is asked of them."""
-    texts = texts.sort_by("__own").combine_chunks()
-    if len(asks) and len(texts):
-        words = pc.split_pattern(texts["__packed"].combine_chunks(), " ")
-        names, owner, words = asks["word"].unique(), pc.list_parent_indices(words), words.flatten()
-        if "__in" in texts.column_names:
-            words = pc.binary_join_element_wise(texts["__in"].combine_chunks().take(owner), words, ":")
-        code = pc.index_in(words, value_set=names)
-        has = pc.is_valid(code).to_numpy(zero_copy_only=False)
-        code, owner = code.drop_null().to_numpy(), owner.to_numpy()[has]
-        owner = owner[np.argsort(code, kind="stable")]
-        size = np.bincount(code, minlength=len(names))
-        place = (np.cumsum(size) - size)[pc.index_in(asks["word"], value_set=names).to_numpy()] + asks["nth"].to_numpy()
-        other = texts["__own"].take(pa.array(owner[place]))
-    else:
-        asks, other = asks.slice(0, 0), pa.chunked_array([], pa.string())
-    return pa.table({"word": asks["word"], "bucket": asks["bucket"], "nth": asks["nth"], "__other": other})
-
-
-def drawn_by_word(base: DataFrame, seeds: list[str], key: str, text: str, first: int = 4, within: str | None = None, most: int = 4096) -> DataFrame:
-    """(key, __own, draw, __other) of captions (key, text, __own): for each of the ``seeds`` a caption of another clip that shares a content
-    word, by their digests.  With ``within`` words of different values of that column are different; the digest has to tell them apart too.
+def _counted(batches):
+    """(word, bucket, n) of texts whose distinct words are ``__packed``; a batch counts its own."""
+    for batch in batches:
+        words = pc.split_pattern(batch["__packed"], " ")
+        owner, words = pc.list_parent_indices(words), words.flatten()
+        if "__in" in batch.schema.names:
+            words = pc.binary_join_element_wise(batch["__in"].take(owner), words, ":")
+        told = pa.table({"word": words, "bucket": batch["bucket"].take(owner)}).group_by(["word", "bucket"]).aggregate([([], "count_all")])
+        yield from told.rename_columns(["word", "bucket", "n"]).to_batches(65_536)
+
+
+def _nth_of_words(columns: list[str]):
+    """The ``nth`` text, by digest, of those that have the asked word, without the asking one; the texts of a bucket and what is asked of them."""
+
+    def run(asks: pa.Table, texts: pa.Table) -> pa.Table:
+        texts = texts.sort_by("__own").combine_chunks()
+        if len(asks) and len(texts):
+            words = pc.split_pattern(texts["__packed"].combine_chunks(), " ")
+            names, owner, words = asks["word"].unique(), pc.list_parent_indices(words), words.flatten()
+            if "__in" in texts.column_names:
+                words = pc.binary_join_element_wise(texts["__in"].combine_chunks().take(owner), words, ":")
+            code = pc.index_in(words, value_set=names)
+            has = pc.is_valid(code).to_numpy(zero_copy_only=False)
+            code, owner = code.drop_null().to_numpy(), owner.to_numpy()[has]
+            owner = owner[np.argsort(code, kind="stable")]
+            size = np.bincount(code, minlength=len(names))
+            place = (np.cumsum(size) - size)[pc.index_in(asks["word"], value_set=names).to_numpy()] + asks["nth"].to_numpy()
+            own = pc.fill_null(pc.index_in(asks["__own"], value_set=texts["__own"].combine_chunks()), len(texts)).to_numpy()  # texts of other buckets: after all
+            place += owner[place] >= own
+            other = texts["__own"].take(pa.array(owner[place]))
+        else:
+            asks, other = asks.slice(0, 0), pa.chunked_array([], pa.string())
+        return asks.select(columns).append_column("__other", other)
+
+    return run
+
 
-    Words are kept once for each text.  A row first tries the ``first`` words that it draws, and only rows none of whose words another text
-    has try all.  The drawn place of a word's captions (numbered in 64 buckets by md5, each cut by
-    leading digits of the digest so that about ``most`` texts are one part) and the one after it are looked up: of the two the caption is the one
-    that does not count the row's own.  Texts are dealt by part, so a word is counted there before anything is shuffled, and what is asked goes
-    to the texts' words, which are not shuffled one by one.  Clips with several captions go through ``drawn_pool``.
+def _row_of(key: str) -> Column:
+    return F.concat_ws(":", F.col(key).cast("string"), "__own")
+
+
+def _ordered_words(head: Column, words: Column) -> Column:
+    """The words in the order of their draws; the digest before each has 32 digits."""
+    return F.transform(F.sort_array(F.transform(words, lambda w: F.concat(F.md5(F.concat(head, w)), w))), lambda x: F.substring(x, 33, 1 << 30))
+
+
+def dealt_words(base: DataFrame, seeds: list[str], key: str, text: str, first: int = 4, within: str | None = None, most: int = 4096, draws: Column | None = None) -> DataFrame:
+    """(key, __own, __in, bucket, __packed, chances) of distinct captions (key, text, __own), written once: a text's content words in one string,
+    null but for the first caption of a text, and for each of the ``draws`` (numbers of the ``seeds``; all) the ``first`` words in the order that the row draws.
+
+    Both are told where the text lies.  Rows are dealt in 64 buckets by md5, each cut by leading digits of the digest so that about ``most`` texts are one part.
     """
-    unpacked = F.when(F.col("__packed") == "", F.array().cast("array<string>")).otherwise(F.split("__packed", " "))
-    unpacked = unpacked if within is None else F.transform(unpacked, lambda w: F.concat("__in", F.lit(":"), w))
-    rows = settled(base.select(key, "__own").distinct(), "captions")
-    deep, parts = 0, rows.count() // most
+    draws = F.array(*[F.lit(i) for i in range(len(seeds))]) if draws is None else draws
+    deep, parts = 0, base.select(key).count() // most
     while 64 * 16**deep < parts:
         deep += 1
-    bucket = lambda own: (F.conv(F.substring(F.md5(own), 1, 4), 16, 10).cast("int") % 64).cast("long") * 16**deep + (F.conv(F.substring(own, 1, deep), 16, 10).cast("long") if deep else 0)
-    once = base.withColumn("bucket", bucket(F.col("__own"))).repartition("bucket").dropDuplicates(["bucket", "__own"])
-    packed = F.array_join(T.content_words(F.col(text)), " ").alias("__packed")  # a third of the array, where it is shuffled
-    texts = settled(once.select("__own", "bucket", packed, *([] if within is None else [F.col(within).cast("string").alias("__in")])), "caption-words")  # after the shuffle, which deals out large files
-    pool = texts.select("__own", "bucket", F.explode(unpacked).alias("word"))
-    filled = settled(pool.groupBy("word", "bucket").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    sizes = filled.groupBy("word").agg(F.sum("n").alias("size")).where("size > 1")
-    several = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "clips")
+    bucket = (F.conv(F.substring(F.md5("__own"), 1, 4), 16, 10).cast("int") % 64).cast("long") * 16**deep + (F.conv(F.substring("__own", 1, deep), 16, 10).cast("long") if deep else 0)
+    inner = F.lit(None).cast("string") if within is None else F.col(within).cast("string")
+    seen = base.select(key, "__own", inner.alias("__in"), bucket.alias("bucket"), draws.alias("__draws"), T.content_words(F.col(text)).alias("__words"))
+    heads = F.transform("__draws", lambda d: F.struct(d.alias("draw"), F.concat(_of_draw([s + "-word:" for s in seeds], d), _row_of(key), F.lit(":")).alias("head")))
+    chances = F.transform(heads, lambda d: F.struct(d["draw"].alias("draw"), F.slice(_ordered_words(d["head"], _named("__words", within)), 1, first).alias("words")))
+    dealt = seen.select(key, "__own", "__in", "bucket", F.array_join("__words", " ").alias("__packed"), chances.alias("chances"))  # a third of the array, where it is shuffled
+    dealt = dealt.repartition("bucket").dropDuplicates(["bucket", "__own", key])
+    again = F.row_number().over(Window.partitionBy("bucket", "__own").orderBy(key)) > 1
+    return settled(dealt.withColumn("__packed", F.when(~again, F.col("__packed"))), "captions")  # after the shuffle, which deals out large files
 
-    row = F.concat_ws(":", F.col(key).cast("string"), "__own")
-    single = rows.join(several, key, "left_anti").join(texts, "__own").withColumn("__words", unpacked)
-    seed = F.element_at(F.array(*[F.lit(s + "-word") for s in seeds]), F.col("draw") + 1)
-    chances = lambda seed, draw: F.transform("__words", lambda w: F.struct(F.md5(F.concat_ws(":", seed, row, w)).alias("d"), w.alias("word"), draw.alias("draw")))
-    least = lambda rows, words: rows.select(key, "__own", F.explode(words).alias("x")).select(key, "__own", "x.*").join(sizes, "word").groupBy(key, "__own", "draw").agg(F.min(F.struct("d", "word", "size")).alias("x")).select(key, "__own", "draw", "x.word", "x.size")
-    some = settled(least(single, F.flatten(F.array(*[F.slice(F.sort_array(chances(F.lit(s + "-word"), F.lit(i))), 1, first) for i, s in enumerate(seeds)]))), "drawn-words")
-    draws = F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias("draw")
-    rest = rows.join(several, key, "left_anti").select(key, "__own", draws).join(some.select(key, "__own", "draw"), [key, "__own", "draw"], "left_anti")
-    rest = settled(rest, "undrawn").join(texts, "__own").withColumn("__words", unpacked).withColumn("__chances", chances(seed, F.col("draw")))
-    picks = settled(some.unionByName(least(rest, F.col("__chances"))), "drawn-words")
-
-    drawn = F.lit(None)
-    for i, s in enumerate(seeds):
-        drawn = F.when(F.col("draw") == i, F.conv(F.substring(S.draw(s, F.lit(0), row), 1, 12), 16, 10).cast("long")).otherwise(drawn)
-    free = F.pmod(drawn, F.col("size") - 1)
-    of_word = filled.join(picks.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("filled"))
-    start = F.struct(F.col("at").alias("left"), F.lit(None).cast("long").alias("bucket"))
-    met = F.aggregate("filled", start, lambda s, b: F.when(s["bucket"].isNotNull(), s).when(s["left"] < b["n"], F.struct(s["left"].alias("left"), b["bucket"].alias("bucket"))).otherwise(F.struct((s["left"] - b["n"]).alias("left"), s["bucket"].alias("bucket"))))
-    asked = picks.join(of_word, "word").select(key, "__own", "draw", "word", "filled", F.posexplode(F.array(free, free + 1)).alias("which", "at"))
-    asked = asked.withColumn("m", met).select(key, "__own", "draw", "word", "which", F.col("m.bucket").alias("bucket"), F.col("m.left").alias("nth")).where("bucket is not null")
-    asked = settled(asked, "drawn-places")
-    wanted = asked.select("word", "bucket", "nth").distinct().groupBy("bucket")
-    numbered = wanted.cogroup(texts.groupBy("bucket")).applyInArrow(_nth_of_words, "word string, bucket long, nth long, __other string")
-    met = asked.join(numbered, ["word", "bucket", "nth"]).groupBy(key, "__own", "draw").agg(*[F.max(F.when(F.col("which") == i, F.struct("bucket", "__other"))).alias(f"__{i}") for i in (0, 1)])
-    before = F.struct(bucket(F.col("__own")).alias("bucket"), F.col("__own").alias("__other")) <= F.col("__0")
-    told = met.select(key, "__own", "draw", F.when(before, F.col("__1.__other")).otherwise(F.col("__0.__other")).alias("__other"))
-
-    if not several.isEmpty():
+
+def _of_draw(names: list[str], draw: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), draw + 1)
+
+
+def _named(words: Column | str, within: str | None) -> Column:
+    """Words of different values of ``within`` are different."""
+    return F.transform(words, lambda w: w if within is None else F.concat(F.col("__in"), F.lit(":"), w))
+
+
+def drawn_by_word(base: DataFrame, seeds: list[str], key: str, text: str, first: int = 4, within: str | None = None, most: int = 4096, captions: DataFrame | None = None) -> DataFrame:
+    """(key, __own, draw, __other) of captions (key, text, __own): for each of the ``seeds`` a caption of another clip that shares a content
+    word, by their digests.  With ``within`` words of different values of that column are different; the digest has to tell them apart too.
+    ``captions`` are those of ``dealt_words``, where only some draws are needed.
+
+    A row's first words in its order are looked up, and only rows none of which another text has try all.  A word's captions are numbered by bucket and
+    digest, and the row's own does not count.  Texts are dealt by bucket with their words in one string, so a word is counted there before
+    anything is shuffled, and what is asked goes to the texts' words, which are not shuffled one by one.  Clips with several captions go through ``drawn_pool``.
+    """
+    captions = dealt_words(base, seeds, key, text, first, within, most) if captions is None else captions
+    unpacked = _named(F.when(F.col("__packed") == "", F.array().cast("array<string>")).otherwise(F.split("__packed", " ")), within)
+    row = _row_of(key)
+    rows = captions.select(key, "__own")
+    texts = captions.where("__packed is not null").select("__own", "bucket", "__packed", *([] if within is None else ["__in"]))
+    several = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), "clips")
+    crowded = not several.isEmpty()
+
+    counted = texts.where("__packed <> ''").drop("__own").mapInArrow(_counted, "word string, bucket long, n long")
+    filled = counted.repartition("word").groupBy("word", "bucket").agg(F.sum("n").alias("n"))
+    of_word = filled.groupBy("word").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("filled")).where("size > 1")
+    drawn = F.conv(F.substring(F.md5(F.concat(_of_draw([s + ":0:" for s in seeds], F.col("draw")), row)), 1, 12), 16, 10).cast("long")
+    start = F.struct(F.pmod(drawn, F.col("size") - 1).alias("left"), F.lit(None).cast("long").alias("bucket"))
+
+    def met(s, b):
+        others = b["n"] - (b["bucket"] == F.col("mine")).cast("long")
+        return F.when(s["bucket"].isNotNull(), s).when(s["left"] < others, F.struct(s["left"].alias("left"), b["bucket"].alias("bucket"))).otherwise(F.struct((s["left"] - others).alias("left"), s["bucket"].alias("bucket")))
+
+    def told(tried: DataFrame) -> DataFrame:
+        """(key, __own, draw, x) of (key, __own, mine, draw, words): the first word that another text has and the place of its drawn text, or nulls."""
+        tried = tried.select(key, "__own", "mine", "draw", F.posexplode("words").alias("rank", "word"))
+        place = F.when(F.col("size").isNotNull(), F.aggregate("filled", start, met))
+        x = tried.join(of_word, "word", "left").select(key, "__own", "draw", F.col("size").isNull().alias("none"), "rank", "word", place.alias("m"))
+        x = x.select(key, "__own", "draw", F.struct("none", "rank", "word", F.col("m.bucket").alias("bucket"), F.col("m.left").alias("nth")).alias("x"))
+        return x.groupBy(key, "__own", "draw").agg(F.min("x").alias("x"))
+
+    single = captions.join(several, key, "left_anti") if crowded else captions
+    picks = settled(told(single.select(key, "__own", F.col("bucket").alias("mine"), F.inline("chances"))), "drawn-words")
+    rest = picks.where("x.none").select(key, "__own", "draw")
+    if not rest.isEmpty():
+        rest = rest.join(texts, "__own").withColumn("__words", unpacked).where(F.size("__words") > first)
+        words = _ordered_words(F.concat(_of_draw([s + "-word:" for s in seeds], F.col("draw")), row, F.lit(":")), F.col("__words"))
+        picks = picks.unionByName(settled(told(rest.select(key, "__own", F.col("bucket").alias("mine"), "draw", words.alias("words"))), "drawn-words"))
+    asked = picks.where("not x.none").select(key, "__own", "draw", "x.word", "x.bucket", "x.nth")
+    kind = captions.schema[key].dataType.simpleString()
+    drawn_of_words = asked.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_nth_of_words([key, "__own", "draw"]), f"`{key}` {kind}, __own string, draw int, __other string")
+
+    if crowded:
         many = rows.join(several, key, "left_semi")
         held = many.groupBy(key).agg(F.collect_set("__own").alias("answers"))
         own = many.join(texts, "__own").withColumn("__words", unpacked).withColumn("__row", row)
-        answers = pool.select(F.col("word").alias("kind"), F.col("__own").alias("answer"))
+        answers = texts.select(F.explode(unpacked).alias("kind"), F.col("__own").alias("answer"))
         for i, s in enumerate(seeds):
             by_row = own.join(held, key).select("__row", "answers", S.shuffled(s + "-word", F.col("__words"), F.col("__row")).alias("kinds"))
             other = drawn_pool(by_row, answers, "__row", s, 1, 1).select("__row", F.col("wrong")[0].alias("__other"))
-            told = told.unionByName(own.select(key, "__own", "__row", F.lit(i).alias("draw")).join(other, "__row").drop("__row"))
-    return told
+            drawn_of_words = drawn_of_words.unionByName(own.select(key, "__own", "__row", F.lit(i).alias("draw")).join(other, "__row").drop("__row"))
+    return drawn_of_words
 
 
-def drawn_by_clip(base: DataFrame, seeds: list[str], key: str, within: str) -> DataFrame:
-    """(key, __own, draw, __other) of captions (key, within, __own): for each of the ``seeds`` a caption of another clip of the same
-    ``within``, the clip drawn by the row from all, then one of its captions.  Clips and captions are numbered, so none is an array."""
-    rows = settled(base.select(key, within, "__own").distinct(), "captions")
-    clips = settled(places(rows.groupBy(key, within).agg(F.count(F.lit(1)).alias("n")), [within], [key]), "clips")
-    own = settled(places(rows, [within, key], ["__own"], "nth", "n"), "clip-captions")
+def drawn_by_clip(rows: DataFrame, asks: DataFrame, seeds: list[str], key: str, within: str) -> DataFrame:
+    """(key, within, __own, draw, __other) of ``asks`` (key, within, __own, draw) about distinct captions (key, within, __own): for each, by the seed of
+    its draw, a caption of another clip of the same ``within``, the clip drawn by the row from all, then one of its captions.  Clips and captions are numbered, so none is an array."""
+    clips = rows.groupBy(key, within).agg(F.count(F.lit(1)).alias("n"), F.min("__own").alias("only"))
+    clips = settled(places(clips, [within], [key]), "clips")
     row = F.concat_ws(":", F.col(key).cast("string"), "__own")
-    number = lambda s, i: F.conv(F.substring(S.draw(s, F.lit(i), row), 1, 12), 16, 10).cast("long")
-    free = [F.pmod(number(s, 1), F.col("of") - 1) for s in seeds]
-    asked = rows.join(clips.where("of > 1"), [key, within])
-    asked = asked.select(key, within, "__own", F.posexplode(F.array(*[F.struct((f + (f >= F.col("at")).cast("long")).alias("place"), number(s, 2).alias("nth")) for f, s in zip(free, seeds, strict=True)])).alias("draw", "x"))
-    other = clips.select(within, F.col(key).alias("__clip"), F.col("at").alias("place"), "n")
-    asked = asked.select(key, within, "__own", "draw", "x.*").join(other, [within, "place"]).withColumn("nth", F.pmod("nth", F.col("n"))).drop("n")
-    return asked.join(own.select(within, F.col(key).alias("__clip"), "nth", F.col("__own").alias("__other")), [within, "__clip", "nth"]).select(key, "__own", "draw", "__other")
+    number = lambda i: F.conv(F.substring(F.md5(F.concat(_of_draw([f"{s}:{i}:" for s in seeds], F.col("draw")), row)), 1, 12), 16, 10).cast("long")
+    free = F.pmod(number(1), F.col("of") - 1)
+    asked = asks.join(clips.where("of > 1").select(key, within, "at", "of"), [key, within])
+    asked = asked.select(key, within, "__own", "draw", (free + (free >= F.col("at")).cast("long")).alias("place"))
+    other = clips.select(within, F.col(key).alias("__clip"), F.col("at").alias("place"), "n", "only")
+    met = asked.join(other, [within, "place"])
+    told = met.where("n = 1").select(key, within, "__own", "draw", F.col("only").alias("__other"))
+    if not clips.where("n > 1").isEmpty():
+        several = clips.where("n > 1").select(key, within)
+        own = settled(places(rows.join(several, [key, within], "left_semi").select(key, within, "__own"), [within, key], ["__own"], "nth", "n"), "clip-captions")
+        met = met.where("n > 1").withColumn("nth", F.pmod(number(2), F.col("n"))).drop("n", "only")
+        told = told.unionByName(met.join(own.select(within, F.col(key).alias("__clip"), "nth", F.col("__own").alias("__other")), [within, "__clip", "nth"]).select(key, within, "__own", "draw", "__other"))
+    return told
 
 
 def nearest(vectors: DataFrame, k: int = 5, max_sim: float = 0.9, wide: int = 3, block: int = 4096, key: str = "vec_id", vector: str = "embedding", text: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import pytest
 
 from askwright.functions import text as T
+from askwright.operators import convert as C
 from askwright.operators import joins as J
 
 
@@ -61,3 +62,28 @@ def test_words_are_looked_up_in_parts_of_few_texts(spark, monkeypatch):
     rows = [(i, " ".join(rng.choices(["water", "rain", "birds", "engine", "the"], k=3)) + f" {i}") for i in range(120)]
     df = spark.createDataFrame(rows, "clip int, caption string").repartition(3)
     assert sorted(map(tuple, J.word_negatives(df, "s").collect())) == by_hand(rows, "s")
+
+
+def test_words_are_drawn_for_near_negatives_only(spark, monkeypatch):
+    """Words are drawn for the draws that a row needs and that a coin makes near, not for four of each row."""
+    plain, kept = J.settled, []
+    monkeypatch.setattr(J, "settled", lambda df, kind="table": (kept.append((kind, plain(df, kind))), kept[-1][1])[1])
+    rows = [(f"c{i}", f"the dog barks at thing {chr(97 + i % 26) * 4}{i}", "train") for i in range(60)]
+    told = C.captioned(spark.createDataFrame(rows, "id string, caption string, split string"), "s", "split", "x")
+    assert told.where("type = 'choice'").count() == 60
+    whole = lambda seed, row, n: int(md5(seed, row)[:8], 16) % n
+    near = set()
+    for clip, text, split in rows:
+        own = md5(split, " ".join(re.findall("[a-z0-9]+", text.lower())))
+        row = f"{clip}:{own}"
+        needed = ([] if int(md5("x-coin", row)[:8], 16) < 2**31 else [0]) + list(range(1, whole("x-many", row, 3) + 2))
+        near |= {(clip, own, i) for i in needed if whole("x-near", f"{i}:{row}", 2) == 0}
+    drawn = [tuple(r) for k, df in kept if k == "drawn-words" for r in df.select("clip", "__own", "draw").collect()]
+    assert sorted(drawn) == sorted(near)
+
+
+def test_texts_are_whole_after_they_were_small(spark):
+    rows = [(i, [(d, f"Über {'x' * i} {d}") for d in range(i % 4)]) for i in range(300)]
+    df = spark.createDataFrame([(i, d, t) for i, x in rows for d, t in x], "id int, draw int, text string")
+    lists = C._told_small(df, "text").groupBy("id").agg(C.F.array_sort(C.F.collect_list(C.F.struct("draw", "text"))).alias("x"))
+    assert sorted((r.id, [tuple(y) for y in r.x]) for r in C._told_whole(lists, "x", "text").collect()) == [r for r in rows if r[1]]
